@@ -13,6 +13,10 @@ from parlance.sources.fixtures import BASE_EPOCH, CATEGORY_ROWS, CONV_STEP, TURN
 TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
 
 
+def fmt_sql(expr: str, pattern: str = "%Y-%m-%d %H:%M") -> str:
+    return f"strftime(make_timestamp(CAST({expr} AS BIGINT) * 1000000), '{pattern}')"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -69,10 +73,10 @@ kwlabels AS (
   FROM hay
 )"""
 
-STATE = """state AS (
+STATE = f"""state AS (
   SELECT h.conv_id, h.title,
-         strftime(to_timestamp(CAST(h.create_time AS BIGINT)), '%Y-%m-%d %H:%M') AS created,
-         strftime(to_timestamp(CAST(h.update_time AS BIGINT)), '%Y-%m-%d %H:%M') AS updated,
+         {fmt_sql('h.create_time')} AS created,
+         {fmt_sql('h.update_time')} AS updated,
          h.message_count, h.user_messages, k.categories,
          CASE WHEN h.conv_id % 5 = 0 THEN []::VARCHAR[]
               ELSE ['topic-' || CAST(h.conv_id % 7 AS VARCHAR), 'size-' || CAST(h.message_count AS VARCHAR)] END AS tags,
@@ -99,6 +103,7 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+
 BASE = (MESSAGES, HEADERS, CATS, KEYWORD)
 
 
@@ -116,3 +121,186 @@ FROM kwlabels k JOIN headers h USING (conv_id), unnest(k.categories) AS u(slug)
 WHERE h.message_count >= 4
 GROUP BY slug
 """
+
+POOL = """pool AS (SELECT * FROM headers WHERE message_count >= 4)"""
+
+HYD = """hyd AS (
+  SELECT h.*,
+    CASE WHEN s.conv_id IS NULL THEN []::VARCHAR[] ELSE coalesce(s.categories, ['other']) END AS categories,
+    CASE WHEN s.conv_id IS NULL THEN []::VARCHAR[] ELSE coalesce(s.tags, []::VARCHAR[]) END AS tags,
+    CASE WHEN s.conv_id IS NULL THEN '' ELSE coalesce(s.summary, '') END AS summary,
+    CASE WHEN s.conv_id IS NULL THEN []::VARCHAR[] ELSE coalesce(s.key_facts, []::VARCHAR[]) END AS key_facts,
+    CASE WHEN s.conv_id IS NULL THEN 0.0::DOUBLE ELSE coalesce(s.relevance_score, 0.5) END AS relevance_score
+  FROM pool h LEFT JOIN state s ON h.conv_id = s.conv_id
+)"""
+
+SHYD = """shyd AS (
+  SELECT h.*,
+    CASE WHEN s.conv_id IS NULL THEN []::VARCHAR[] ELSE coalesce(s.categories, []::VARCHAR[]) END AS categories,
+    CASE WHEN s.conv_id IS NULL THEN 0.0::DOUBLE ELSE coalesce(s.relevance_score, 0.0) END AS relevance_score
+  FROM pool h LEFT JOIN state s ON h.conv_id = s.conv_id
+)"""
+
+LAB = """labelled AS (SELECT * FROM hyd WHERE len(categories) > 0)"""
+
+FULL = BASE + (STATE, POOL, HYD, LAB)
+
+IDS = f"""opts(opt_ord, opt) AS (VALUES (0, '5, 3'), (1, ' 12 '), (2, ','), (3, '5'), (4, '99999999')),
+split_opts AS (SELECT opt_ord, string_split(opt, ',') AS parts FROM opts),
+id_parts AS (SELECT opt_ord, parts, unnest(generate_series(1, len(parts))) AS i FROM split_opts),
+ids AS (SELECT CAST(opt_ord * 100000 + i - 1 AS BIGINT) AS ord, CAST(trim(parts[i], {TRIM}) AS BIGINT) AS conv_id
+        FROM id_parts WHERE trim(parts[i], {TRIM}) <> '')"""
+
+
+def odistinct(expr: str) -> str:
+    """Order-preserving distinct of a list (first occurrences)."""
+    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
+
+
+def idx_rows(src: str, title: str = "title") -> str:
+    return f"""SELECT CAST(conv_id AS VARCHAR) AS id, {title} AS title, {fmt_sql('create_time')} AS created,
+       {fmt_sql('update_time')} AS updated, message_count AS messages, user_messages FROM {src}"""
+
+
+SQL["message_counts"] = with_(MESSAGES, HEADERS) + "SELECT conv_id, message_count, user_messages FROM headers WHERE message_count >= 4"
+
+SQL["parse_summary"] = with_(MESSAGES, HEADERS) + f"""
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE message_count >= 4) AS after_filter,
+       count(*) FILTER (WHERE message_count < 4) AS skipped,
+       {fmt_sql('min(create_time) FILTER (WHERE message_count >= 4)')} AS oldest,
+       {fmt_sql('max(create_time) FILTER (WHERE message_count >= 4)')} AS newest,
+       CAST({dround('CAST(sum(message_count) FILTER (WHERE message_count >= 4) AS DOUBLE) / count(*) FILTER (WHERE message_count >= 4)', 0)} AS BIGINT) AS avg_messages
+FROM headers"""
+
+SQL["newest_n"] = with_(MESSAGES, HEADERS) + f"""
+SELECT conv_id, title, {fmt_sql('create_time')} AS created FROM headers WHERE message_count >= 4
+ORDER BY create_time DESC, conv_id LIMIT 10"""
+
+SQL["first_user_messages"] = with_(MESSAGES) + """
+SELECT conv_id, pos, content, user_rank FROM (
+  SELECT conv_id, pos, content, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS user_rank
+  FROM messages WHERE role = 'user') WHERE user_rank <= 5"""
+
+SQL["keyword_label"] = with_(*BASE) + """
+SELECT conv_id, array_to_string(categories, '|') AS categories, CAST(0.5 AS DOUBLE) AS relevance_score FROM kwlabels"""
+
+SQL["label_counts"] = with_(*FULL) + """
+SELECT slug, count(*) AS conversations FROM labelled, unnest(categories) AS u(slug) GROUP BY slug"""
+
+SQL["state_hydrate"] = with_(*FULL) + """
+SELECT conv_id, array_to_string(categories, '|') AS categories, array_to_string(tags, '|') AS tags, summary,
+       array_to_string(key_facts, '|') AS key_facts, relevance_score FROM hyd"""
+
+SQL["resume_worklist"] = with_(*FULL) + """
+SELECT conv_id, title FROM pool
+WHERE conv_id NOT IN (SELECT conv_id FROM state WHERE summary <> '' OR len(tags) > 0)"""
+
+SQL["cached_list"] = with_(*FULL) + """
+SELECT conv_id, 'model' AS mode FROM pool WHERE conv_id IN (SELECT conv_id FROM state WHERE summary <> '' OR len(tags) > 0)
+UNION ALL
+SELECT conv_id, 'keywords' AS mode FROM pool WHERE conv_id IN (SELECT conv_id FROM state)"""
+
+SQL["filter_pool"] = with_(*FULL) + """
+SELECT conv_id, relevance_score,
+       row_number() OVER (ORDER BY relevance_score DESC, create_time DESC, conv_id) AS position
+FROM labelled WHERE list_contains(categories, 'english') AND relevance_score >= 0.3"""
+
+SQL["by_ids"] = with_(*FULL, IDS) + """
+SELECT conv_id, relevance_score FROM labelled WHERE conv_id IN (SELECT conv_id FROM ids)"""
+
+SQL["ordered_lookup"] = with_(MESSAGES, HEADERS, IDS) + """
+SELECT ids.ord, ids.conv_id, h.title, h.conv_id IS NOT NULL AS found
+FROM ids LEFT JOIN headers h ON ids.conv_id = h.conv_id"""
+
+SQL["missing_ids"] = with_(MESSAGES, HEADERS, IDS) + """
+SELECT ids.ord, ids.conv_id FROM ids LEFT JOIN headers h ON ids.conv_id = h.conv_id WHERE h.conv_id IS NULL"""
+
+SQL["corpus_stats"] = with_(*BASE, STATE) + f"""
+, agg AS (
+  SELECT count(*) AS raw,
+         count(*) FILTER (WHERE message_count >= 4) AS filtered,
+         count(*) FILTER (WHERE message_count >= 4 AND s.conv_id IS NOT NULL) AS labelled,
+         CAST(coalesce(sum(message_count) FILTER (WHERE message_count >= 4), 0) AS BIGINT) AS total_messages
+  FROM headers h LEFT JOIN (SELECT conv_id FROM state) s ON h.conv_id = s.conv_id)
+SELECT raw, filtered, labelled, filtered - labelled AS unlabelled, total_messages,
+       CAST({dround('CAST(total_messages AS DOUBLE) / greatest(1, filtered)', 0)} AS BIGINT) AS avg_messages FROM agg"""
+
+SQL["category_breakdown"] = with_(*BASE, STATE, POOL, SHYD) + f"""
+SELECT slug, count(*) AS conversations, {dround('avg(relevance_score)', 2)} AS avg_relevance,
+       count(*) FILTER (WHERE relevance_score >= 0.7) AS high_relevance
+FROM shyd, unnest(categories) AS u(slug) GROUP BY slug"""
+
+SQL["relevance_histogram"] = with_(*BASE, STATE, POOL, SHYD) + """
+, bins(bin_ord, bin) AS (VALUES (0, '0.0-0.2'), (1, '0.2-0.4'), (2, '0.4-0.6'), (3, '0.6-0.8'), (4, '0.8-1.0')),
+scored AS (
+  SELECT CASE WHEN relevance_score < 0.2 THEN '0.0-0.2' WHEN relevance_score < 0.4 THEN '0.2-0.4'
+              WHEN relevance_score < 0.6 THEN '0.4-0.6' WHEN relevance_score < 0.8 THEN '0.6-0.8'
+              ELSE '0.8-1.0' END AS bin
+  FROM shyd WHERE relevance_score > 0),
+cnt AS (SELECT bin, count(*) AS n FROM scored GROUP BY bin)
+SELECT b.bin_ord, b.bin, CAST(coalesce(cnt.n, 0) AS BIGINT) AS conversations
+FROM bins b LEFT JOIN cnt ON b.bin = cnt.bin WHERE (SELECT count(*) FROM scored) > 0"""
+
+SQL["category_index"] = with_(*FULL) + f"""
+, st AS (SELECT slug, count(*) AS count, {dround('avg(relevance_score)', 3)} AS avg_relevance
+         FROM labelled, unnest(list_distinct(categories)) AS u(slug) GROUP BY slug)
+SELECT c.slug, c.name, CAST(coalesce(st.count, 0) AS BIGINT) AS count, coalesce(st.avg_relevance, 0.0::DOUBLE) AS avg_relevance
+FROM cats c LEFT JOIN st ON c.slug = st.slug"""
+
+SQL["exported_total"] = with_(*FULL) + """
+SELECT count(DISTINCT conv_id) AS total_conversations
+FROM labelled, unnest(categories) AS u(slug) WHERE slug IN (SELECT slug FROM cats)"""
+
+OLD_INDEX = f"""old_index AS ({idx_rows("headers WHERE message_count <= 6", "'Old ' || title")}),
+new_index AS ({idx_rows("pool")})"""
+
+SQL["index_upsert"] = with_(MESSAGES, HEADERS, POOL, OLD_INDEX) + """
+SELECT * FROM old_index WHERE id NOT IN (SELECT id FROM new_index)
+UNION ALL SELECT * FROM new_index"""
+
+SQL["index_delta"] = with_(MESSAGES, HEADERS, POOL, OLD_INDEX) + """
+SELECT count(*) FILTER (WHERE n.id IS NOT NULL AND o.id IS NULL) AS added,
+       count(*) FILTER (WHERE n.id IS NOT NULL AND o.id IS NOT NULL) AS updated,
+       count(*) AS total
+FROM (SELECT DISTINCT id FROM new_index) n FULL OUTER JOIN (SELECT DISTINCT id FROM old_index) o ON n.id = o.id"""
+
+SQL["point_lookup"] = with_(MESSAGES, HEADERS) + "SELECT conv_id, title, message_count FROM headers WHERE conv_id = 1"
+
+SQL["pick_category"] = with_(*FULL) + """
+SELECT conv_id, slug, c.name AS category_name FROM labelled, unnest(categories) AS u(slug) JOIN cats c USING (slug)
+WHERE slug = 'german'"""
+
+SQL["index_rows"] = with_(MESSAGES, HEADERS, POOL) + idx_rows("pool")
+
+SQL["membership_rows"] = with_(*FULL) + """
+SELECT conv_id, slug, c.name AS category_name FROM labelled, unnest(categories) AS u(slug) JOIN cats c USING (slug)"""
+
+SQL["rounding_clamp"] = with_(MESSAGES, HEADERS) + f"""
+, v AS (SELECT conv_id, message_count, CAST(conv_id % 13 AS DOUBLE) / 8.0 - 0.5 AS raw FROM headers)
+SELECT conv_id,
+       greatest(0.0, least(1.0, raw)) AS clamped,
+       CASE WHEN conv_id % 3 = 0 THEN 0.5::DOUBLE ELSE greatest(0.0, least(1.0, raw)) END AS clamped_default,
+       {dround('CAST(message_count AS DOUBLE) / 8.0', 0)} AS r0,
+       {dround('CAST(message_count AS DOUBLE) / 8.0', 2)} AS r2,
+       {dround('CAST(conv_id AS DOUBLE) / 16.0', 3)} AS r3
+FROM v"""
+
+SQL["array_merge_ops"] = with_(*BASE, STATE) + f"""
+SELECT conv_id,
+       array_to_string({odistinct('list_concat(categories, tags)')}, '|') AS merged,
+       array_to_string({odistinct('list_concat(categories, categories)')}, '|') AS distinct_cats,
+       array_to_string(tags, ', ') AS tag_list
+FROM state"""
+
+SQL["stratified_sample"] = with_(MESSAGES, HEADERS, POOL) + """
+, ranked AS (SELECT conv_id, row_number() OVER (ORDER BY create_time DESC, conv_id) - 1 AS p FROM pool),
+cnt AS (SELECT count(*) AS n FROM ranked),
+pos AS (SELECT t.i AS sample_ord, least((2 * t.i * cnt.n + 10) // 20, cnt.n - 1) AS sample_pos FROM range(10) t(i), cnt)
+SELECT conv_id, sample_ord FROM ranked JOIN pos ON ranked.p = pos.sample_pos WHERE (SELECT n FROM cnt) > 10
+UNION ALL SELECT conv_id, p AS sample_ord FROM ranked WHERE (SELECT n FROM cnt) <= 10"""
+
+SQL["review_queue"] = with_(*FULL) + """
+SELECT conv_id, row_number() OVER (ORDER BY relevance_score DESC, create_time DESC, conv_id) AS position,
+       count(*) OVER () AS total, relevance_score
+FROM labelled WHERE relevance_score >= 0.0"""

@@ -41,3 +41,260 @@ def keyword_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = S.min_messages(hdrs, 4)
     labels = L.keyword_label(pool, msgs, X.categories(spark))
     return S.category_breakdown(labels)
+
+
+# ---------------------------------------------------------------- shared inputs
+def _pool(spark, sf_dir):
+    msgs, hdrs = _base(spark, sf_dir)
+    return msgs, hdrs, S.min_messages(hdrs, 4)
+
+
+def _state(spark, sf_dir, msgs=None, hdrs=None):
+    if msgs is None:
+        msgs, hdrs = _base(spark, sf_dir)
+    return X.state(spark, sf_dir, hdrs, msgs)
+
+
+def _labelled(spark, sf_dir):
+    """Hydrated (label defaults) and labelled pool, min_messages = 4."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    st = _state(spark, sf_dir, msgs, hdrs)
+    return msgs, hdrs, st, Sel.labelled(Sel.hydrate(pool, st, "label"))
+
+
+from parlance.operators import select as Sel  # noqa: E402
+from parlance.operators import setops as U  # noqa: E402
+from parlance.plans.ranks import with_global_rank  # noqa: E402
+from parlance.functions import text as Tx  # noqa: E402
+
+
+def _arr_out(df, cols):
+    return df.select(*[joined(c).alias(c) if c in cols else c for c in df.columns])
+
+
+# ---------------------------------------------------------------- A1-A8, O, U, J
+@register
+def message_counts(spark, sf_dir):
+    """P1, P2, A1, P3, P4."""
+    return S.message_counts(X.messages(spark, sf_dir).select("conv_id", "role"), min_messages=2) \
+        .where("message_count >= 4")
+
+
+@register
+def parse_summary(spark, sf_dir):
+    """A2, O7."""
+    return S.parse_summary(_base(spark, sf_dir)[1], 4)
+
+
+@register
+def newest_n(spark, sf_dir):
+    """--limit 10 in newest-first order."""
+    _, _, pool = _pool(spark, sf_dir)
+    return Sel.first_n(pool, 10).select("conv_id", "title", Tx.fmt_time("create_time").alias("created"))
+
+
+@register
+def first_user_messages(spark, sf_dir):
+    """W3."""
+    return L.first_user_messages(X.messages(spark, sf_dir))
+
+
+@register
+def keyword_label(spark, sf_dir):
+    """J7, F5, F6 over every conversation."""
+    msgs, hdrs = _base(spark, sf_dir)
+    return _arr_out(L.keyword_label(hdrs, msgs, X.categories(spark)), ["categories"])
+
+
+@register
+def label_counts(spark, sf_dir):
+    """A8 over the hydrated, labelled pool."""
+    return S.label_counts(_labelled(spark, sf_dir)[3])
+
+
+@register
+def state_hydrate(spark, sf_dir):
+    """J1 with label defaults, every pool row (unlabelled keep empties)."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    h = Sel.hydrate(pool, _state(spark, sf_dir, msgs, hdrs), "label")
+    return _arr_out(h.select("conv_id", "categories", "tags", "summary", "key_facts", "relevance_score"),
+                    ["categories", "tags", "key_facts"])
+
+
+@register
+def resume_worklist(spark, sf_dir):
+    """P13 + J2: pool rows still to label when a model is used."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    return L.worklist(pool, L.model_done(_state(spark, sf_dir, msgs, hdrs))).select("conv_id", "title")
+
+
+@register
+def cached_list(spark, sf_dir):
+    """P13/P14 + J2: cached rows with model (done) and without (any state)."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    st = _state(spark, sf_dir, msgs, hdrs)
+    with_model = L.cached(pool, L.model_done(st)).select("conv_id", F.lit("model").alias("mode"))
+    keywords = L.cached(pool, st).select("conv_id", F.lit("keywords").alias("mode"))
+    return with_model.unionByName(keywords)
+
+
+@register
+def filter_pool(spark, sf_dir):
+    """One category, relevance >= 0.3, relevance order."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    pool = Sel.min_relevance(Sel.in_category(lab, "english"), 0.3)
+    return with_global_rank(pool, Sel.relevance_order(), "position").select("conv_id", "relevance_score", "position")
+
+
+ID_OPTIONS = ["5, 3", " 12 ", ",", "5", "99999999"]
+
+
+@register
+def by_ids(spark, sf_dir):
+    """Repeatable comma-separated id option, semi-join."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    ids = Sel.id_frame(spark, ID_OPTIONS, "bigint")
+    return Sel.by_ids(lab, ids).select("conv_id", "relevance_score")
+
+
+@register
+def ordered_lookup(spark, sf_dir):
+    """Request order, repeats kept, missing reported."""
+    _, hdrs = _base(spark, sf_dir)
+    ids = Sel.id_frame(spark, ID_OPTIONS, "bigint")
+    return Sel.lookup_ordered(hdrs.select("conv_id", "title"), ids).select("ord", "conv_id", "title", "found")
+
+
+@register
+def missing_ids(spark, sf_dir):
+    """Requested ids with no conversation."""
+    return ordered_lookup(spark, sf_dir).where(~F.col("found")).select("ord", "conv_id")
+
+
+@register
+def corpus_stats(spark, sf_dir):
+    """A4."""
+    msgs, hdrs = _base(spark, sf_dir)
+    return S.corpus_stats(hdrs, _state(spark, sf_dir, msgs, hdrs), 4)
+
+
+def _stats_pool(spark, sf_dir):
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    return Sel.hydrate(pool, _state(spark, sf_dir, msgs, hdrs), "stats")
+
+
+@register
+def category_breakdown(spark, sf_dir):
+    """A5 with stats defaults."""
+    return S.category_breakdown(_stats_pool(spark, sf_dir))
+
+
+@register
+def relevance_histogram(spark, sf_dir):
+    """A6."""
+    return S.relevance_histogram(_stats_pool(spark, sf_dir))
+
+
+@register
+def category_index(spark, sf_dir):
+    """A7 per configured category."""
+    return S.category_index(_labelled(spark, sf_dir)[3], X.categories(spark))
+
+
+@register
+def exported_total(spark, sf_dir):
+    """A7 distinct total over exported slugs."""
+    return S.exported_total(_labelled(spark, sf_dir)[3], X.categories(spark))
+
+
+def _old_index(hdrs):
+    """A previous index run: every conversation with 2-6 messages, older titles."""
+    old = Sel.index_rows(hdrs.where("message_count <= 6"))
+    return old.withColumn("title", F.concat(F.lit("Old "), F.col("title")))
+
+
+@register
+def index_upsert(spark, sf_dir):
+    """U1 + O3 + K1: new index rows win per id, other rows kept."""
+    _, hdrs, pool = _pool(spark, sf_dir)
+    merged = U.upsert(_old_index(hdrs), Sel.index_rows(pool), "id")
+    return merged
+
+
+@register
+def index_delta(spark, sf_dir):
+    """J10 + A3: added / updated / total of a merge."""
+    _, hdrs, pool = _pool(spark, sf_dir)
+    return U.merge_counts(Sel.index_rows(pool), _old_index(hdrs), "id")
+
+
+@register
+def point_lookup(spark, sf_dir):
+    """P9."""
+    _, hdrs = _base(spark, sf_dir)
+    return Sel.by_id(hdrs, 1).select("conv_id", "title", "message_count")
+
+
+@register
+def pick_category(spark, sf_dir):
+    """P10 + J6: members of one picked category."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    picked = Sel.pick_category(X.categories(spark), "german")
+    return Sel.by_category(lab, picked).select("conv_id", "slug", "category_name")
+
+
+@register
+def index_rows(spark, sf_dir):
+    """P17, O3, F4."""
+    _, _, pool = _pool(spark, sf_dir)
+    return Sel.index_rows(pool).orderBy(F.col("created").desc(), "id")
+
+
+@register
+def membership_rows(spark, sf_dir):
+    """J6."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    return Sel.by_category(lab, X.categories(spark)).select("conv_id", "slug", "category_name")
+
+
+@register
+def rounding_clamp(spark, sf_dir):
+    """F9, F11 over per-conversation values."""
+    _, hdrs = _base(spark, sf_dir)
+    raw = (F.col("conv_id") % 13) / F.lit(8.0) - F.lit(0.5)
+    return hdrs.select(
+        "conv_id",
+        Tx.clamp01(raw).alias("clamped"),
+        Tx.clamp01(F.when(F.col("conv_id") % 3 == 0, F.lit(None)).otherwise(raw)).alias("clamped_default"),
+        Tx.round_half_up(F.col("message_count") / F.lit(8.0), 0).alias("r0"),
+        Tx.round_half_up(F.col("message_count") / F.lit(8.0), 2).alias("r2"),
+        Tx.round_half_up(F.col("conv_id") / F.lit(16.0), 3).alias("r3"),
+    )
+
+
+@register
+def array_merge_ops(spark, sf_dir):
+    """U3, U4, U5, F16 over state arrays."""
+    st = _state(spark, sf_dir)
+    return st.select(
+        "conv_id",
+        joined(U.union_distinct(F.col("categories"), F.col("tags"))).alias("merged"),
+        joined(U.distinct_values(F.concat("categories", "categories"))).alias("distinct_cats"),
+        Tx.comma_list("tags").alias("tag_list"),
+    )
+
+
+@register
+def stratified_sample(spark, sf_dir):
+    """s = 10 evenly spaced conversations in newest-first order."""
+    from parlance.operators.sample import stratified_sample as sample
+    _, _, pool = _pool(spark, sf_dir)
+    return sample(pool, 10).select("conv_id", "sample_ord")
+
+
+@register
+def review_queue(spark, sf_dir):
+    """Labelled pool, relevance >= 0, numbered i/total."""
+    from parlance.operators.review import review_queue as rq
+    _, _, _, lab = _labelled(spark, sf_dir)
+    return rq(lab, min_rel=0.0).select("conv_id", "position", "total", "relevance_score")

@@ -26,7 +26,7 @@ def first_user_messages(msgs: DataFrame, n: int = FIRST_USER_MESSAGES) -> DataFr
     w = Window.partitionBy("conv_id").orderBy("pos")
     return (
         msgs.where(F.col("role") == "user")
-        .select("conv_id", "pos", "content", F.row_number().over(w).alias("user_rank"))
+        .select("conv_id", "pos", "content", F.row_number().over(w).cast("bigint").alias("user_rank"))
         .where(F.col("user_rank") <= n)
     )
 

@@ -124,7 +124,7 @@ def relevance_histogram(labelled: DataFrame) -> DataFrame:
         "bin_ord", "bin", F.coalesce("conversations", F.lit(0)).cast("bigint").alias("conversations"))
     # Five rows: the empty-window total is trivial here.
     total = F.sum("conversations").over(Window.partitionBy())
-    return out.where(total > 0).orderBy("bin_ord")
+    return out.withColumn("_total", total).where("_total > 0").drop("_total").orderBy("bin_ord")
 
 
 def category_index(labelled: DataFrame, cats: DataFrame) -> DataFrame:
