@@ -304,3 +304,160 @@ SQL["review_queue"] = with_(*FULL) + """
 SELECT conv_id, row_number() OVER (ORDER BY relevance_score DESC, create_time DESC, conv_id) AS position,
        count(*) OVER () AS total, relevance_score
 FROM labelled WHERE relevance_score >= 0.0"""
+
+# ---------------------------------------------------------------- pairs / enhance
+NL = "chr(10)"
+NL2 = "chr(10) || chr(10)"
+
+
+def pairs_cte(src: str = "messages", name: str = "pairs") -> str:
+    return f"""{name}_tagged AS (
+  SELECT conv_id, pos, role, content,
+         CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (
+           PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pair_index
+  FROM {src}),
+{name} AS (
+  SELECT conv_id, pair_index,
+         coalesce(string_agg(content, {NL2} ORDER BY pos) FILTER (WHERE role = 'user'), '') AS "user",
+         coalesce(max(content) FILTER (WHERE role = 'assistant'), '(no reply)') AS assistant
+  FROM {name}_tagged GROUP BY conv_id, pair_index)"""
+
+
+def snip(c: str) -> str:
+    return f"CASE WHEN length({c}) > 80 THEN substring({c}, 1, 79) || '…' ELSE {c} END"
+
+
+LPAIRS = pairs_cte("(SELECT * FROM messages WHERE conv_id IN (SELECT conv_id FROM labelled))", "lpairs")
+
+ONE_LINERS = f"""ol AS (
+  SELECT conv_id, pair_index, {snip('"user"')} AS user_snippet, {snip('assistant')} AS assistant_snippet,
+         CASE WHEN conv_id % 6 = 0 AND pair_index % 3 = 0
+                THEN 'Revised exchange ' || pair_index || ' of conversation ' || conv_id
+              WHEN (conv_id + pair_index) % 4 = 0 THEN '(no summary)'
+              ELSE 'Exchange ' || pair_index || ' of conversation ' || conv_id END AS one_liner
+  FROM lpairs WHERE conv_id % 9 <> 0)"""
+
+FLAGS = f"""fl AS (
+  SELECT o.conv_id, h.title,
+         string_agg('[' || o.pair_index || '] ' || o.one_liner || {NL}, '' ORDER BY o.pair_index) AS digest
+  FROM ol o JOIN headers h ON o.conv_id = h.conv_id GROUP BY o.conv_id, h.title),
+rlist AS (
+  SELECT conv_id, list_concat(
+      [{{'s': 0, 'e': 1, 'ok': true}}],
+      CASE WHEN conv_id % 2 = 0 THEN [{{'s': 1, 'e': 9, 'ok': true}}] ELSE [] END,
+      CASE WHEN conv_id % 5 = 0 THEN [{{'s': 2, 'e': 0, 'ok': true}}] ELSE [] END,
+      CASE WHEN conv_id % 7 = 0 THEN [{{'s': 2, 'e': 3, 'ok': false}}] ELSE [] END,
+      CASE WHEN conv_id % 10 = 0 THEN [{{'s': 0, 'e': 1, 'ok': true}}] ELSE [] END) AS items
+  FROM fl WHERE conv_id % 17 <> 0),
+rx AS (SELECT conv_id, items, unnest(generate_series(1, len(items))) AS k FROM rlist),
+ranges AS (
+  SELECT conv_id, CAST(k - 1 AS BIGINT) AS range_ord, CAST(items[k].s AS BIGINT) AS start, CAST(items[k].e AS BIGINT) AS "end"
+  FROM rx WHERE items[k].ok)"""
+
+SLICES = """sl AS (
+  SELECT r.conv_id, r.range_ord, r.start, r."end", p.pair_index, p."user", p.assistant
+  FROM ranges r JOIN lpairs p ON r.conv_id = p.conv_id AND p.pair_index >= r.start AND p.pair_index <= r."end")"""
+
+EXPAND = f"""ep AS (
+  SELECT s.conv_id, s.range_ord, s.start || '-' || s."end" AS range_key,
+         'Conversation: "' || h.title || '"' || {NL} || 'Exchanges ' || s.start || '–' || s."end" || ':' || {NL2}
+         || string_agg('USER:' || {NL} || s."user" || {NL2} || 'ASSISTANT:' || {NL} || s.assistant || {NL2} || '---' || {NL2}, '' ORDER BY s.pair_index)
+         || {NL} || 'Summarise this excerpt in detail.' AS prompt
+  FROM sl s JOIN headers h ON s.conv_id = h.conv_id
+  GROUP BY s.conv_id, s.range_ord, s.start, s."end", h.title),
+ex AS (
+  SELECT conv_id, range_key, min(range_ord) AS first_ord,
+         arg_max(CASE WHEN conv_id % 8 = 3 AND range_ord = 0 THEN '(Expansion failed for this range.)'
+                      ELSE 'Notes on exchanges ' || range_key || ' (range ' || range_ord || ') of conversation ' || conv_id || '.' END,
+                 range_ord) AS text
+  FROM ep GROUP BY conv_id, range_key),
+exo AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first_ord) - 1 AS BIGINT) AS entry_pos, range_key, text FROM ex)"""
+
+PROPOSE = f"""pp AS (
+  SELECT l.conv_id, 'Conversation: "' || l.title || '"' || {NL2} || 'CURRENT SUMMARY: ' || l.summary || {NL}
+         || 'CURRENT KEY_FACTS: ' || CAST(to_json(l.key_facts) AS VARCHAR) || {NL} || 'CURRENT TAGS: ' || CAST(to_json(l.tags) AS VARCHAR) || {NL2}
+         || 'NOTES ON KEY SECTIONS:' || {NL}
+         || (SELECT string_agg('### Exchanges ' || x.range_key || {NL} || x.text || {NL2}, '' ORDER BY x.entry_pos) FROM exo x WHERE x.conv_id = l.conv_id)
+         || 'Propose the updated JSON.' AS prompt
+  FROM labelled l WHERE l.conv_id IN (SELECT conv_id FROM exo)),
+prop AS (
+  SELECT l.conv_id, l.summary, l.key_facts, l.tags,
+         CASE WHEN l.conv_id % 3 = 0 THEN 'Summary of conversation ' || l.conv_id ELSE 'Improved summary of ' || l.conv_id END AS new_summary,
+         CASE WHEN l.conv_id % 2 = 0 THEN ['First fact of ' || l.conv_id, 'Second fact of ' || l.conv_id]
+              ELSE ['New fact of ' || l.conv_id] END AS new_facts,
+         CASE WHEN l.conv_id % 5 = 1 THEN []::VARCHAR[] ELSE ['tag-' || l.conv_id] END AS new_tags
+  FROM labelled l WHERE l.conv_id IN (SELECT conv_id FROM pp)),
+diff AS (
+  SELECT conv_id, summary, key_facts, tags, new_summary, new_facts, new_tags,
+         new_summary <> '' AND new_summary <> summary AS d_s,
+         len(new_facts) > 0 AND new_facts <> key_facts AS d_f,
+         len(new_tags) > 0 AND new_tags <> tags AS d_t
+  FROM prop)"""
+
+ENH = (*FULL, LPAIRS, ONE_LINERS)
+
+SQL["message_pairs"] = with_(MESSAGES, pairs_cte()) + 'SELECT conv_id, pair_index, "user", assistant FROM pairs'
+
+SQL["pair_chunks"] = with_(MESSAGES, pairs_cte()) + "SELECT conv_id, pair_index, CAST(pair_index // 3 AS BIGINT) AS chunk FROM pairs"
+
+SQL["pair_prompts"] = with_(*FULL, LPAIRS) + f"""
+SELECT 'pairs:' || conv_id || ':' || (pair_index // 3) AS prompt_id, conv_id, CAST(pair_index // 3 AS BIGINT) AS chunk,
+       'Exchanges to summarise (indices: ' || string_agg(CAST(pair_index AS VARCHAR), ', ' ORDER BY pair_index) || ').' || {NL2}
+       || string_agg('EXCHANGE ' || pair_index || ':' || {NL} || 'USER: ' || "user" || {NL} || 'ASSISTANT: ' || assistant || {NL2}, '' ORDER BY pair_index)
+       || 'Reply with JSON only, one entry per exchange.' AS prompt
+FROM lpairs GROUP BY conv_id, pair_index // 3"""
+
+SQL["one_liners"] = with_(*ENH) + "SELECT conv_id, pair_index, user_snippet, assistant_snippet, one_liner FROM ol"
+
+SQL["flag_prompts"] = with_(*ENH, FLAGS) + f"""
+SELECT 'flag:' || conv_id AS prompt_id, conv_id,
+       'Title: "' || title || '"' || {NL2} || 'Digest (index and one line):' || {NL} || digest || {NL}
+       || 'Which index ranges deserve a detailed summary? JSON only.' AS prompt
+FROM fl"""
+
+SQL["flag_ranges"] = with_(*ENH, FLAGS) + 'SELECT conv_id, range_ord, start, "end" FROM ranges'
+
+SQL["range_slices"] = with_(*ENH, FLAGS, SLICES) + 'SELECT conv_id, range_ord, start, "end", pair_index FROM sl'
+
+SQL["expand_prompts"] = with_(*ENH, FLAGS, SLICES, EXPAND) + """
+SELECT 'expand:' || conv_id || ':' || range_ord AS prompt_id, conv_id, range_ord, range_key, prompt FROM ep"""
+
+SQL["expansions"] = with_(*ENH, FLAGS, SLICES, EXPAND) + "SELECT conv_id, entry_pos, range_key, text FROM exo"
+
+SQL["proposal_prompts"] = with_(*ENH, FLAGS, SLICES, EXPAND, PROPOSE) + "SELECT 'propose:' || conv_id AS prompt_id, conv_id, prompt FROM pp"
+
+SQL["proposal_diff"] = with_(*ENH, FLAGS, SLICES, EXPAND, PROPOSE) + """
+SELECT conv_id,
+       CASE WHEN d_s THEN summary END AS summary_old, CASE WHEN d_s THEN new_summary END AS summary_new,
+       CASE WHEN d_f THEN array_to_string(key_facts, '|') END AS key_facts_old,
+       CASE WHEN d_f THEN array_to_string(new_facts, '|') END AS key_facts_new,
+       CASE WHEN d_t THEN array_to_string(tags, '|') END AS tags_old,
+       CASE WHEN d_t THEN array_to_string(new_tags, '|') END AS tags_new
+FROM diff WHERE d_s OR d_f OR d_t"""
+
+SQL["apply_proposals"] = with_(*ENH, FLAGS, SLICES, EXPAND, PROPOSE) + """
+, acc AS (
+  SELECT conv_id,
+         conv_id % 2 = 0 AND (d_s OR d_f) AS take_a, conv_id % 3 <> 0 AND d_t AS take_b,
+         d_s, d_f, new_summary, new_facts, new_tags
+  FROM diff),
+st AS (
+  SELECT s.conv_id,
+         CASE WHEN a.take_a AND a.d_s THEN a.new_summary ELSE s.summary END AS summary,
+         CASE WHEN a.take_a AND a.d_f THEN a.new_facts ELSE s.key_facts END AS key_facts,
+         CASE WHEN a.take_b THEN a.new_tags ELSE s.tags END AS tags
+  FROM state s LEFT JOIN acc a ON s.conv_id = a.conv_id),
+en AS (
+  SELECT o.conv_id,
+         CASE WHEN a.take_a AND a.d_s THEN a.new_summary ELSE l.summary END AS summary,
+         CASE WHEN a.take_a AND a.d_f THEN a.new_facts ELSE l.key_facts END AS key_facts,
+         CASE WHEN a.take_b THEN a.new_tags ELSE l.tags END AS tags
+  FROM (SELECT DISTINCT conv_id FROM ol) o JOIN labelled l ON o.conv_id = l.conv_id LEFT JOIN acc a ON o.conv_id = a.conv_id)
+SELECT 'state' AS table_name, conv_id, summary, array_to_string(key_facts, '|') AS key_facts, array_to_string(tags, '|') AS tags FROM st
+UNION ALL
+SELECT 'enhanced' AS table_name, conv_id, summary, array_to_string(key_facts, '|') AS key_facts, array_to_string(tags, '|') AS tags FROM en"""
+
+SQL["enhance_worklist"] = with_(*ENH) + """
+SELECT DISTINCT l.conv_id FROM labelled l, unnest(l.categories) AS u(slug)
+WHERE slug IN (SELECT slug FROM cats)
+  AND l.conv_id NOT IN (SELECT o.conv_id FROM ol o JOIN headers h ON o.conv_id = h.conv_id WHERE h.message_count <= 5)"""

@@ -29,9 +29,8 @@ def joined(c, sep: str = "|"):
 
 
 def _base(spark, sf_dir):
-    msgs = X.messages(spark, sf_dir)
-    hdrs = X.headers(spark, sf_dir, msgs)
-    return msgs, hdrs
+    p = X.prepared(spark, sf_dir)
+    return p.messages, p.headers
 
 
 @register
@@ -50,9 +49,7 @@ def _pool(spark, sf_dir):
 
 
 def _state(spark, sf_dir, msgs=None, hdrs=None):
-    if msgs is None:
-        msgs, hdrs = _base(spark, sf_dir)
-    return X.state(spark, sf_dir, hdrs, msgs)
+    return X.prepared(spark, sf_dir).state
 
 
 def _labelled(spark, sf_dir):
@@ -76,7 +73,7 @@ def _arr_out(df, cols):
 @register
 def message_counts(spark, sf_dir):
     """P1, P2, A1, P3, P4."""
-    return S.message_counts(X.messages(spark, sf_dir).select("conv_id", "role"), min_messages=2) \
+    return S.message_counts(_base(spark, sf_dir)[0].select("conv_id", "role"), min_messages=2) \
         .where("message_count >= 4")
 
 
@@ -96,7 +93,7 @@ def newest_n(spark, sf_dir):
 @register
 def first_user_messages(spark, sf_dir):
     """W3."""
-    return L.first_user_messages(X.messages(spark, sf_dir))
+    return L.first_user_messages(_base(spark, sf_dir)[0])
 
 
 @register
@@ -298,3 +295,149 @@ def review_queue(spark, sf_dir):
     from parlance.operators.review import review_queue as rq
     _, _, _, lab = _labelled(spark, sf_dir)
     return rq(lab, min_rel=0.0).select("conv_id", "position", "total", "relevance_score")
+
+
+# ---------------------------------------------------------------- pairs and enhance
+from parlance.operators import enhance as E  # noqa: E402
+from parlance.operators import pairs as P  # noqa: E402
+from parlance.plans.materialize import materialize  # noqa: E402
+
+
+def _enhance_inputs(spark, sf_dir):
+    msgs, hdrs, st, lab = _labelled(spark, sf_dir)
+    pairs = materialize(P.message_pairs(msgs.join(lab.select("conv_id"), "conv_id", "left_semi")), "pairs")
+    return msgs, hdrs, st, lab, pairs
+
+
+def _pass1(spark, sf_dir):
+    msgs, hdrs, st, lab, pairs = _enhance_inputs(spark, sf_dir)
+    prompts = E.pair_prompts(pairs)
+    summaries, failed = E.apply_pair_responses(pairs, prompts, X.pair_responses(prompts))
+    summaries = materialize(summaries, "pass1")
+    return hdrs, st, lab, pairs, summaries, failed
+
+
+def _pass2(spark, sf_dir):
+    hdrs, st, lab, pairs, summaries, failed = _pass1(spark, sf_dir)
+    fp = E.flag_prompts(summaries, hdrs)
+    ranges = materialize(E.apply_flag_responses(fp, X.flag_responses(fp)), "pass2")
+    return hdrs, st, lab, pairs, summaries, ranges
+
+
+def _pass3(spark, sf_dir):
+    hdrs, st, lab, pairs, summaries, ranges = _pass2(spark, sf_dir)
+    ep = E.expand_prompts(ranges, pairs, hdrs)
+    detailed = materialize(E.apply_expand_responses(ep, X.expand_responses(ep)), "pass3")
+    return hdrs, st, lab, pairs, summaries, ranges, detailed
+
+
+def _proposals(spark, sf_dir):
+    hdrs, st, lab, pairs, summaries, ranges, detailed = _pass3(spark, sf_dir)
+    pp = E.proposal_prompts(lab, detailed)
+    diffs = E.proposal_diff(lab, pp, X.proposal_responses(pp))
+    return hdrs, st, lab, summaries, ranges, detailed, pp, diffs
+
+
+@register
+def message_pairs(spark, sf_dir):
+    """W4, W5 over every conversation."""
+    return P.message_pairs(_base(spark, sf_dir)[0])
+
+
+@register
+def pair_chunks(spark, sf_dir):
+    """W6 per conversation (3 pairs per chunk)."""
+    return P.pair_chunks(P.message_pairs(_base(spark, sf_dir)[0]).select("conv_id", "pair_index"))
+
+
+@register
+def pair_prompts(spark, sf_dir):
+    """M6."""
+    pairs = _enhance_inputs(spark, sf_dir)[4]
+    return E.pair_prompts(pairs).select("prompt_id", "conv_id", "chunk", "prompt")
+
+
+@register
+def one_liners(spark, sf_dir):
+    """Parsed pass-1 responses attached to pairs."""
+    summaries = _pass1(spark, sf_dir)[4]
+    return summaries.select("conv_id", F.inline("message_summaries"))
+
+
+@register
+def flag_prompts(spark, sf_dir):
+    """M8."""
+    hdrs, _, _, _, summaries, _ = _pass1(spark, sf_dir)
+    return E.flag_prompts(summaries, hdrs).select("prompt_id", "conv_id", "prompt")
+
+
+@register
+def flag_ranges(spark, sf_dir):
+    """M9, P16."""
+    return _pass2(spark, sf_dir)[5]
+
+
+@register
+def range_slices(spark, sf_dir):
+    """Interval join as sequence-explode + equi-join."""
+    _, _, _, pairs, _, ranges = _pass2(spark, sf_dir)
+    return P.range_slices(ranges, pairs).select("conv_id", "range_ord", "start", "end", "pair_index")
+
+
+@register
+def expand_prompts(spark, sf_dir):
+    """M10."""
+    hdrs, _, _, pairs, _, ranges = _pass2(spark, sf_dir)
+    return E.expand_prompts(ranges, pairs, hdrs).select("prompt_id", "conv_id", "range_ord", "range_key", "prompt")
+
+
+@register
+def expansions(spark, sf_dir):
+    """Detailed summaries map, in key order of first appearance."""
+    detailed = _pass3(spark, sf_dir)[6]
+    return detailed.select("conv_id", F.posexplode("detailed_summaries").alias("entry_pos", "range_key", "text")) \
+        .withColumn("entry_pos", F.col("entry_pos").cast("bigint"))
+
+
+@register
+def proposal_prompts(spark, sf_dir):
+    """M12."""
+    return _proposals(spark, sf_dir)[6].select("prompt_id", "conv_id", "prompt")
+
+
+def _diff_out(d):
+    return d.select(
+        "conv_id",
+        F.col("summary_diff.old").alias("summary_old"), F.col("summary_diff.new").alias("summary_new"),
+        joined("key_facts_diff.old").alias("key_facts_old"), joined("key_facts_diff.new").alias("key_facts_new"),
+        joined("tags_diff.old").alias("tags_old"), joined("tags_diff.new").alias("tags_new"))
+
+
+@register
+def proposal_diff(spark, sf_dir):
+    """M13."""
+    return _diff_out(_proposals(spark, sf_dir)[7])
+
+
+@register
+def apply_proposals(spark, sf_dir):
+    """C4: group A accepted for even ids, group B for ids not divisible by 3;
+    both the state and the enhanced table are updated."""
+    hdrs, st, lab, summaries, ranges, detailed, pp, diffs = _proposals(spark, sf_dir)
+    enhanced = E.enhanced_records(lab, summaries, ranges, detailed, "2024-06-01T00:00:00+00:00")
+    acc = diffs.select("conv_id", (F.col("conv_id") % 2 == 0).alias("accept_a"), (F.col("conv_id") % 3 != 0).alias("accept_b"))
+    new_state, new_enh = E.apply_proposals(st, enhanced, diffs, acc)
+    a = new_state.select(F.lit("state").alias("table_name"), "conv_id", "summary", joined("key_facts").alias("key_facts"), joined("tags").alias("tags"))
+    b = new_enh.select(F.lit("enhanced").alias("table_name"), "conv_id", F.col("enhanced_summary").alias("summary"),
+                       joined("enhanced_key_facts").alias("key_facts"), joined("proposed_tags").alias("tags"))
+    return a.unionByName(b)
+
+
+@register
+def enhance_worklist(spark, sf_dir):
+    """Conversations in any configured category not yet enhanced; the
+    previous run enhanced the conversations with at most 5 messages."""
+    hdrs, st, lab, pairs, summaries, ranges, detailed = _pass3(spark, sf_dir)
+    enhanced = E.enhanced_records(lab, summaries, ranges, detailed, "2024-06-01T00:00:00+00:00")
+    previous = enhanced.join(hdrs.where("message_count <= 5").select("conv_id"), "conv_id", "left_semi")
+    return E.enhance_worklist(lab, X.categories(spark), previous).select("conv_id")

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from parlance.functions.text import fmt_time, php_trim
 
-EMPTY = F.array().cast("array<string>")
+def _empty():
+    return F.array().cast("array<string>")
 
 
 def newest_order() -> list[Column]:
@@ -45,7 +46,7 @@ def hydrate(headers: DataFrame, state: DataFrame, mode: str = "label") -> DataFr
     mode "label": hits get defaults ['other'], [], '', [], 0.5 for missing
     fields; mode "stats": [] and 0. Rows without a state row keep empty
     labels and score 0."""
-    cat_default = F.array(F.lit("other")) if mode == "label" else EMPTY
+    cat_default = F.array(F.lit("other")) if mode == "label" else _empty()
     score_default = F.lit(0.5) if mode == "label" else F.lit(0.0)
     s = state.select(
         "conv_id", F.lit(True).alias("_hit"),
@@ -55,10 +56,10 @@ def hydrate(headers: DataFrame, state: DataFrame, mode: str = "label") -> DataFr
     hit = F.col("_hit").isNotNull()
     return j.select(
         *[c for c in headers.columns],
-        F.when(hit, F.coalesce("_cats", cat_default)).otherwise(EMPTY).alias("categories"),
-        F.when(hit, F.coalesce("_tags", EMPTY)).otherwise(EMPTY).alias("tags"),
+        F.when(hit, F.coalesce("_cats", cat_default)).otherwise(_empty()).alias("categories"),
+        F.when(hit, F.coalesce("_tags", _empty())).otherwise(_empty()).alias("tags"),
         F.when(hit, F.coalesce("_summary", F.lit(""))).otherwise(F.lit("")).alias("summary"),
-        F.when(hit, F.coalesce("_facts", EMPTY)).otherwise(EMPTY).alias("key_facts"),
+        F.when(hit, F.coalesce("_facts", _empty())).otherwise(_empty()).alias("key_facts"),
         F.when(hit, F.coalesce(F.col("_score").cast("double"), score_default)).otherwise(F.lit(0.0)).alias("relevance_score"),
     )
 
@@ -123,7 +124,7 @@ def with_enhanced(df: DataFrame, enhanced: DataFrame) -> DataFrame:
         "message_summaries", "detailed_summaries", F.lit(True).alias("has_enhanced"))
     j = df.join(e, "conv_id", "left")
     return j.withColumn("digest_summary", F.coalesce(F.nullif(F.col("_es"), F.lit("")), F.col("summary"))) \
-        .withColumn("digest_facts", F.when(F.size(F.coalesce("_ef", EMPTY)) > 0, F.col("_ef")).otherwise(F.col("key_facts"))) \
+        .withColumn("digest_facts", F.when(F.size(F.coalesce("_ef", _empty())) > 0, F.col("_ef")).otherwise(F.col("key_facts"))) \
         .withColumn("has_enhanced", F.coalesce("has_enhanced", F.lit(False))) \
         .drop("_es", "_ef")
 

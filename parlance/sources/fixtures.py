@@ -115,3 +115,119 @@ def state(spark: SparkSession, sf_dir: str, hdrs: DataFrame | None = None,
         .otherwise(F.array(F.concat(F.lit("First fact of "), cid))).alias("key_facts"),
         ((F.col("conv_id") * 37) % 101 / F.lit(100.0)).alias("relevance_score"),
     )
+
+
+# ------------------------------------------------------------------ responders
+# Deterministic stand-ins for the model, built from prompt keys only, so the
+# response tables are derived from the data (FIXTURES.md section 3) and the
+# DuckDB oracle can state the expected parse result independently.
+
+def _s(c):
+    return F.col(c).cast("string")
+
+
+def _fence(body, cond):
+    return F.when(cond, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+
+
+def label_responses(prompts: DataFrame, st: DataFrame) -> DataFrame:
+    """Categorise responses built from state rows: fenced when conv_id % 3
+    = 0, with a reasoning block when % 7 = 0, truncated when % 11 = 0, an
+    unknown slug added when % 13 = 0."""
+    j = prompts.select("prompt_id", "conv_id").join(st, "conv_id")
+    cats = F.when(F.col("conv_id") % 13 == 0, F.concat("categories", F.array(F.lit("made-up-slug")))).otherwise(F.col("categories"))
+    body = F.to_json(F.struct(cats.alias("categories"), F.col("tags"), F.col("summary"),
+                              F.col("key_facts"), F.col("relevance_score")))
+    body = F.when(F.col("conv_id") % 11 == 0, F.substring(body, 1, 25)).otherwise(body)
+    body = _fence(body, F.col("conv_id") % 3 == 0)
+    body = F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("<think>\nweighing {the} options\n</think>\n"), body)).otherwise(body)
+    return j.select("prompt_id", body.alias("response"), F.lit(None).cast("string").alias("error"))
+
+
+def pair_responses(prompts: DataFrame) -> DataFrame:
+    """Pass-1 responses per (conversation, chunk): one-liners for pairs with
+    (conv_id + i) % 4 <> 0; a revised repeat of the chunk's first pair when
+    conv_id % 6 = 0; a negative index when % 7 = 0; fenced when % 3 = 0;
+    chunk 0 truncated (a failed conversation) when % 9 = 0."""
+    cid = F.col("conv_id")
+    item = lambda i, text: F.concat(F.lit('{"pair_index": '), i.cast("string"), F.lit(', "one_liner": "'), text, F.lit('"}'))
+    kept = F.filter("pair_indices", lambda i: (cid + i) % 4 != 0)
+    items = F.transform(kept, lambda i: item(i, F.concat(F.lit("Exchange "), i.cast("string"), F.lit(" of conversation "), cid.cast("string"))))
+    first = F.col("pair_indices")[0]
+    items = F.when(cid % 6 == 0, F.concat(items, F.array(item(first, F.concat(F.lit("Revised exchange "), first.cast("string"), F.lit(" of conversation "), cid.cast("string")))))).otherwise(items)
+    items = F.when(cid % 7 == 0, F.concat(items, F.array(item(F.lit(-1), F.lit("stray"))))).otherwise(items)
+    body = F.concat(F.lit('{"summaries": ['), F.array_join(items, ", "), F.lit("]}"))
+    body = F.when((cid % 9 == 0) & (F.col("chunk") == 0), F.lit('{"summaries": [{"pair_index": 0, "one_li')).otherwise(body)
+    return prompts.select("prompt_id", _fence(body, cid % 3 == 0).alias("response"), F.lit(None).cast("string").alias("error"))
+
+
+def flag_responses(prompts: DataFrame) -> DataFrame:
+    """Pass-2 responses: [0,1]; [1,9] (past the end) when conv_id is even;
+    [2,0] (reversed) when % 5 = 0; a string start (invalid) when % 7 = 0;
+    a repeated [0,1] when % 10 = 0; a reasoning block when % 4 = 1;
+    unparseable when % 17 = 0."""
+    cid = F.col("conv_id")
+    rng = lambda s, e: F.lit('{"start": ' + s + ', "end": ' + e + "}")
+    parts = F.array(rng("0", "1"))
+    parts = F.when(cid % 2 == 0, F.concat(parts, F.array(rng("1", "9")))).otherwise(parts)
+    parts = F.when(cid % 5 == 0, F.concat(parts, F.array(rng("2", "0")))).otherwise(parts)
+    parts = F.when(cid % 7 == 0, F.concat(parts, F.array(rng('"2"', "3")))).otherwise(parts)
+    parts = F.when(cid % 10 == 0, F.concat(parts, F.array(rng("0", "1")))).otherwise(parts)
+    body = F.concat(F.lit('{"flagged": ['), F.array_join(parts, ", "), F.lit('], "reasoning": "dense {parts}"}'))
+    body = F.when(cid % 4 == 1, F.concat(F.lit("<think>pick ranges</think>\n"), body)).otherwise(body)
+    body = F.when(cid % 17 == 0, F.lit("no ranges today")).otherwise(body)
+    return prompts.select("prompt_id", body.alias("response"), F.lit(None).cast("string").alias("error"))
+
+
+def expand_responses(prompts: DataFrame) -> DataFrame:
+    """Pass-3 responses: a plain paragraph naming the range and its order;
+    an error row when conv_id % 8 = 3 and it is the first range."""
+    cid = F.col("conv_id")
+    text = F.concat(F.lit("  Notes on exchanges "), F.col("range_key"), F.lit(" (range "), F.col("range_ord").cast("string"),
+                    F.lit(") of conversation "), cid.cast("string"), F.lit(".\n"))
+    failed = (cid % 8 == 3) & (F.col("range_ord") == 0)
+    return prompts.select("prompt_id", F.when(failed, F.lit(None)).otherwise(text).alias("response"),
+                          F.when(failed, F.lit("RuntimeError: timeout")).alias("error"))
+
+
+def proposal_responses(prompts: DataFrame) -> DataFrame:
+    """Proposal responses: summary unchanged when conv_id % 3 = 0, else a
+    padded new one; key facts unchanged when even, else a new list; empty
+    tags when % 5 = 1, else a new list."""
+    cid = F.col("conv_id")
+    c = cid.cast("string")
+    summary = F.when(cid % 3 == 0, F.concat(F.lit("Summary of conversation "), c)).otherwise(F.concat(F.lit("  Improved summary of "), c, F.lit(" ")))
+    facts = F.when(cid % 2 == 0, F.array(F.concat(F.lit("First fact of "), c), F.concat(F.lit("Second fact of "), c))) \
+        .otherwise(F.array(F.concat(F.lit("New fact of "), c)))
+    tags = F.when(cid % 5 == 1, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("tag-"), c)))
+    body = F.to_json(F.struct(summary.alias("summary"), facts.alias("key_facts"), tags.alias("tags")))
+    return prompts.select("prompt_id", body.alias("response"), F.lit(None).cast("string").alias("error"))
+
+
+# ------------------------------------------------------------------ prepared tables
+class Prepared:
+    """The stored tables a real run would already hold: messages and headers
+    from ingest, state from labelling."""
+
+    def __init__(self, msgs: DataFrame, hdrs: DataFrame, st: DataFrame):
+        self.messages, self.headers, self.state = msgs, hdrs, st
+
+
+_PREPARED: dict[tuple[str, str], Prepared] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
+    """Derive and store messages, headers and state once per session."""
+    from parlance.plans.materialize import materialize
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _PREPARED:
+        msgs = materialize(messages(spark, sf_dir), "messages")
+        hdrs = materialize(headers(spark, sf_dir, msgs), "headers")
+        st = materialize(state(spark, sf_dir, hdrs, msgs), "state")
+        _PREPARED[key] = Prepared(msgs, hdrs, st)
+    return _PREPARED[key]
+
+
+def reset_prepared() -> None:
+    _PREPARED.clear()
