@@ -461,3 +461,135 @@ SQL["enhance_worklist"] = with_(*ENH) + """
 SELECT DISTINCT l.conv_id FROM labelled l, unnest(l.categories) AS u(slug)
 WHERE slug IN (SELECT slug FROM cats)
   AND l.conv_id NOT IN (SELECT o.conv_id FROM ol o JOIN headers h ON o.conv_id = h.conv_id WHERE h.message_count <= 5)"""
+
+# ---------------------------------------------------------------- rendering
+GEN = "2024-06-01 00:00:00"
+LONG = "%d %b %Y %H:%M"
+
+
+def numtext(x: str) -> str:
+    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+
+
+def stars_sql(x: str) -> str:
+    return f"repeat('★', CAST(round({x} * 5) AS INTEGER))"
+
+
+def lines_sql(*parts: str) -> str:
+    return f"array_to_string(list_concat({', '.join(parts)}), chr(10))"
+
+
+def facts_sql(c: str) -> str:
+    return f"list_transform({c}, lambda f: '- ' || f)"
+
+
+def when_list(cond: str, lst: str) -> str:
+    return f"CASE WHEN {cond} THEN {lst} ELSE []::VARCHAR[] END"
+
+
+MEM = """mem AS (SELECT l.*, u.slug FROM labelled l, unnest(l.categories) AS u(slug) WHERE u.slug IN (SELECT slug FROM cats))"""
+
+MD_BODY = lines_sql(
+    f"['## ' || title, '', '| Field | Value |', '|-------|-------|', '| Created | ' || {fmt_sql('create_time')} || ' |', "
+    f"'| Updated | ' || {fmt_sql('update_time')} || ' |', '| Messages | ' || message_count || ' (' || user_messages || ' from user) |', "
+    f"'| Relevance | ' || {numtext('relevance_score')} || ' ' || {stars_sql('relevance_score')} || ' |', "
+    f"'| Categories | ' || array_to_string(categories, ', ') || ' |']",
+    when_list("len(tags) > 0", "['| Tags | ' || array_to_string(tags, ', ') || ' |']"),
+    "['']",
+    when_list("summary <> ''", "['**Summary**: ' || summary, '']"),
+    when_list("len(key_facts) > 0", f"list_concat(['**Key facts**:'], {facts_sql('key_facts')}, [''])"),
+    "['---', '']")
+
+SQL["category_markdown"] = with_(*FULL, MEM) + f"""
+SELECT slug, 1 AS part, relevance_score, create_time, conv_id, {MD_BODY} AS block FROM mem
+UNION ALL
+SELECT m.slug, 0 AS part, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT,
+       {lines_sql("['# ' || c.name, '', 'Exported: " + GEN + "', 'Conversations: ' || count(*), '', '---', '']")}
+FROM mem m JOIN cats c ON m.slug = c.slug GROUP BY m.slug, c.name"""
+
+SQL["category_json"] = with_(*FULL, MEM) + f"""
+SELECT slug, conv_id, CAST(conv_id AS VARCHAR) AS id, title, {fmt_sql('create_time')} AS created, {fmt_sql('update_time')} AS updated,
+       message_count, user_messages, array_to_string(categories, '|') AS categories, array_to_string(tags, '|') AS tags,
+       summary, array_to_string(key_facts, '|') AS key_facts, relevance_score FROM mem"""
+
+CTX_BODY = lines_sql(
+    f"['## ' || title, '', '**Date**: ' || {fmt_sql('create_time')} || ' | **Relevance**: ' || {numtext('relevance_score')} "
+    f"|| ' | **Messages**: ' || message_count, '']",
+    when_list("summary <> ''", "['**Summary**: ' || summary, '']"),
+    when_list("len(key_facts) > 0", f"list_concat(['**Key facts & decisions**:'], {facts_sql('key_facts')}, [''])"),
+    when_list("len(tags) > 0", "['**Tags**: ' || array_to_string(tags, ', '), '']"),
+    "['---', '']")
+
+SQL["context_package"] = with_(*FULL, MEM) + f"""
+SELECT slug, 1 AS part, relevance_score, create_time, conv_id, {CTX_BODY} AS block FROM mem WHERE relevance_score >= 0.3
+UNION ALL
+SELECT m.slug, 0 AS part, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT,
+       {lines_sql("['# Context Package: ' || c.name, '', 'Generated: " + GEN + "', 'Conversations: ' || count(*) FILTER (WHERE m.relevance_score >= 0.3), 'Minimum relevance: 0.3', '', '---', '']")}
+FROM mem m JOIN cats c ON m.slug = c.slug GROUP BY m.slug, c.name"""
+
+ENH_BODY = lines_sql(
+    f"['## ' || title, '', '**Date**: ' || {fmt_sql('create_time')} || ' | **Updated**: ' || {fmt_sql('update_time')} "
+    f"|| ' | **Relevance**: ' || {numtext('relevance_score')} || ' | **Messages**: ' || message_count, '']",
+    when_list("summary <> ''", "['**Summary**: ' || summary, '']"),
+    when_list("len(key_facts) > 0", f"list_concat(['**Key Facts & Decisions**:'], {facts_sql('key_facts')}, [''])"),
+    when_list("len(tags) > 0", "['**Tags**: ' || array_to_string(tags, ', '), '']"),
+    when_list("len(coalesce(digest, [])) > 0", "list_concat(['**Conversation Digest** *(message-pair one-liners)*:', ''], digest, [''])"),
+    when_list("len(coalesce(deep, [])) > 0", "list_concat(['**Deep-Dive Sections**:', ''], deep)"),
+    "['---', '']")
+
+SQL["enhanced_package"] = with_(*ENH, FLAGS, SLICES, EXPAND, MEM) + f"""
+, dg AS (SELECT conv_id, list((pair_index + 1) || '. ' || one_liner ORDER BY pair_index) AS digest FROM ol GROUP BY conv_id),
+dd AS (SELECT conv_id, flatten(list(['### Exchanges ' || (CAST(split_part(range_key, '-', 1) AS INTEGER) + 1) || '–'
+                                     || (CAST(split_part(range_key, '-', 2) AS INTEGER) + 1), '', text, ''] ORDER BY entry_pos)) AS deep
+       FROM exo GROUP BY conv_id),
+em AS (SELECT m.*, dg.digest, dd.deep FROM mem m LEFT JOIN dg ON m.conv_id = dg.conv_id LEFT JOIN dd ON m.conv_id = dd.conv_id)
+SELECT slug, 1 AS part, relevance_score, create_time, conv_id, {ENH_BODY} AS block FROM em WHERE relevance_score >= 0.3
+UNION ALL
+SELECT m.slug, 0 AS part, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT,
+       {lines_sql("['# Enhanced Context Package: ' || c.name, '', 'Generated: " + GEN + "', 'Conversations: ' || count(*) FILTER (WHERE m.relevance_score >= 0.3), 'Minimum relevance: 0.3', '', '---', '']")}
+FROM mem m JOIN cats c ON m.slug = c.slug GROUP BY m.slug, c.name"""
+
+
+def safe_sql(title: str, fallback: str) -> str:
+    kept = f"regexp_replace({title}, '[^\\w\\s-]', '', 'g')"
+    coll = f"regexp_replace(trim({kept}, {TRIM}), '\\s+', '_', 'g')"
+    return f"coalesce(nullif(substring({coll}, 1, 80), ''), CAST({fallback} AS VARCHAR))"
+
+
+SQL["transcripts"] = with_(MESSAGES, HEADERS) + f"""
+, mb AS (
+  SELECT conv_id, pos,
+         {lines_sql("[CASE WHEN role = 'user' THEN '### 🧑 User' ELSE '### 🤖 Assistant' END]",
+                    when_list("ts > 0", "['_' || " + fmt_sql('ts', LONG) + " || '_']"),
+                    "['', content, '', '---', '']")} AS block
+  FROM messages)
+SELECT h.conv_id, {safe_sql('h.title', 'h.conv_id')} || '.md' AS file_name,
+       '# ' || h.title || chr(10) || chr(10) || '_Created: ' || {fmt_sql('h.create_time', LONG)} || '_' || chr(10) || chr(10) || '---' || chr(10)
+       || chr(10) || string_agg(mb.block, chr(10) ORDER BY mb.pos) AS markdown
+FROM headers h JOIN mb ON h.conv_id = mb.conv_id GROUP BY h.conv_id, h.title, h.create_time"""
+
+
+def condensed_sql(max_chars: int) -> str:
+    head, tail = int(max_chars * 0.6), int(max_chars * 0.35)
+    cap = "CASE WHEN length(content) > 1500 THEN substring(content, 1, 1500) || ' [...]' ELSE content END"
+    return with_(MESSAGES, HEADERS) + f"""
+, ct AS (
+  SELECT h.conv_id, '# ' || h.title || chr(10) || chr(10)
+         || string_agg('[' || upper(m.role) || ']: ' || {cap} || chr(10), chr(10) ORDER BY m.pos) AS t
+  FROM headers h JOIN messages m ON h.conv_id = m.conv_id GROUP BY h.conv_id, h.title)
+SELECT conv_id, CASE WHEN length(t) > {max_chars}
+                     THEN substring(t, 1, {head}) || chr(10) || chr(10) || '[... middle truncated ...]' || chr(10) || chr(10)
+                          || substring(t, length(t) - {tail} + 1, {tail})
+                     ELSE t END AS condensed
+FROM ct"""
+
+
+SQL["condensed_text"] = condensed_sql(8000)
+SQL["condensed_short"] = condensed_sql(600)
+
+SQL["snippets"] = with_(MESSAGES) + f"SELECT conv_id, pos, {snip('content')} AS snippet FROM messages"
+
+SQL["safe_filenames"] = with_(MESSAGES, HEADERS) + f"SELECT conv_id, {safe_sql('title', 'conv_id')} AS file_name FROM headers"
+
+SQL["star_bar"] = with_(*FULL) + f"""
+SELECT conv_id, {numtext('relevance_score')} AS relevance, {stars_sql('relevance_score')} AS stars FROM labelled"""

@@ -441,3 +441,83 @@ def enhance_worklist(spark, sf_dir):
     enhanced = E.enhanced_records(lab, summaries, ranges, detailed, "2024-06-01T00:00:00+00:00")
     previous = enhanced.join(hdrs.where("message_count <= 5").select("conv_id"), "conv_id", "left_semi")
     return E.enhance_worklist(lab, X.categories(spark), previous).select("conv_id")
+
+
+# ---------------------------------------------------------------- rendering
+from parlance.operators import render as R  # noqa: E402
+
+GENERATED_AT = "2024-06-01 00:00:00"
+
+
+@register
+def category_markdown(spark, sf_dir):
+    """K6 blocks per configured category."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    return R.category_markdown_blocks(lab, X.categories(spark), GENERATED_AT)
+
+
+@register
+def category_json(spark, sf_dir):
+    """K5 conversation rows per category (JSON compared by fields)."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    rows = R.category_json_rows(lab, X.categories(spark))
+    return rows.select("slug", "conv_id", "id", "title", "created", "updated", "message_count", "user_messages",
+                       joined("categories").alias("categories"), joined("tags").alias("tags"), "summary",
+                       joined("key_facts").alias("key_facts"), "relevance_score")
+
+
+@register
+def context_package(spark, sf_dir):
+    """K7 blocks, minimum relevance 0.3."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    return R.context_package_blocks(lab, X.categories(spark), 0.3, GENERATED_AT)
+
+
+@register
+def enhanced_package(spark, sf_dir):
+    """K9 blocks over the enhanced table of this run, minimum relevance 0.3."""
+    hdrs, st, lab, pairs, summaries, ranges, detailed = _pass3(spark, sf_dir)
+    enhanced = E.enhanced_records(lab, summaries, ranges, detailed, "2024-06-01T00:00:00+00:00")
+    return R.enhanced_package_blocks(lab, enhanced, X.categories(spark), 0.3, GENERATED_AT)
+
+
+@register
+def transcripts(spark, sf_dir):
+    """K10, F3, F8 + collision suffix: one Markdown document per conversation."""
+    msgs, hdrs = _base(spark, sf_dir)
+    return R.transcript_file_names(R.transcripts(hdrs, msgs))
+
+
+@register
+def condensed_text(spark, sf_dir):
+    """F2 with an 8,000-character budget."""
+    msgs, hdrs = _base(spark, sf_dir)
+    return R.condensed_text(hdrs, msgs, 8000)
+
+
+@register
+def condensed_short(spark, sf_dir):
+    """F2 with the explore budget of 600 characters (head/tail cut)."""
+    msgs, hdrs = _base(spark, sf_dir)
+    return R.condensed_text(hdrs, msgs, 600)
+
+
+@register
+def snippets(spark, sf_dir):
+    """F7 over every message."""
+    msgs, _ = _base(spark, sf_dir)
+    return msgs.select("conv_id", "pos", Tx.snippet("content").alias("snippet"))
+
+
+@register
+def safe_filenames(spark, sf_dir):
+    """F8 over every conversation title."""
+    _, hdrs = _base(spark, sf_dir)
+    return hdrs.select("conv_id", Tx.safe_name("title", "conv_id").alias("file_name"))
+
+
+@register
+def star_bar(spark, sf_dir):
+    """F10 + float display over the labelled pool."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    return lab.select("conv_id", Tx.num_text("relevance_score").alias("relevance"), Tx.stars("relevance_score").alias("stars"))
