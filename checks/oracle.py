@@ -593,3 +593,227 @@ SQL["safe_filenames"] = with_(MESSAGES, HEADERS) + f"SELECT conv_id, {safe_sql('
 
 SQL["star_bar"] = with_(*FULL) + f"""
 SELECT conv_id, {numtext('relevance_score')} AS relevance, {stars_sql('relevance_score')} AS stars FROM labelled"""
+
+# ---------------------------------------------------------------- labels, responses, discovery, ask, review
+
+
+def condensed_cte(max_chars: int, name: str = "cond") -> str:
+    head, tail = int(max_chars * 0.6), int(max_chars * 0.35)
+    cap = "CASE WHEN length(m.content) > 1500 THEN substring(m.content, 1, 1500) || ' [...]' ELSE m.content END"
+    return f"""{name}_t AS (
+  SELECT h.conv_id, '# ' || h.title || chr(10) || chr(10)
+         || string_agg('[' || upper(m.role) || ']: ' || {cap} || chr(10), chr(10) ORDER BY m.pos) AS t
+  FROM headers h JOIN messages m ON h.conv_id = m.conv_id GROUP BY h.conv_id, h.title),
+{name} AS (
+  SELECT conv_id, CASE WHEN length(t) > {max_chars}
+                     THEN substring(t, 1, {head}) || chr(10) || chr(10) || '[... middle truncated ...]' || chr(10) || chr(10)
+                          || substring(t, length(t) - {tail} + 1, {tail})
+                     ELSE t END AS condensed
+  FROM {name}_t)"""
+
+
+DONE = "done AS (SELECT conv_id FROM state WHERE summary <> '' OR len(tags) > 0)"
+
+SQL["label_prompts"] = with_(*FULL, DONE, condensed_cte(8000)) + """
+SELECT 'label:' || p.conv_id AS prompt_id, p.conv_id,
+       'Conversation to analyse:' || chr(10) || '---' || chr(10) || c.condensed || chr(10) || '---' || chr(10) || chr(10)
+       || 'Reply with the JSON analysis only.' AS prompt
+FROM pool p JOIN cond c ON p.conv_id = c.conv_id WHERE p.conv_id NOT IN (SELECT conv_id FROM done)"""
+
+LRESP = """lr AS (
+  SELECT s.*, to_json({'categories': CASE WHEN s.conv_id % 13 = 0 THEN list_append(s.categories, 'made-up-slug') ELSE s.categories END,
+                       'tags': s.tags, 'summary': s.summary, 'key_facts': s.key_facts, 'relevance_score': s.relevance_score}) AS body
+  FROM state s WHERE s.conv_id IN (SELECT conv_id FROM pool))"""
+
+SQL["parse_label_responses"] = with_(*FULL, LRESP) + """
+SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN conv_id % 11 <> 0 THEN array_to_string(categories, '|') END AS categories,
+       CASE WHEN conv_id % 11 <> 0 THEN array_to_string(tags[1:10], '|') END AS tags,
+       CASE WHEN conv_id % 11 <> 0 THEN summary END AS summary,
+       CASE WHEN conv_id % 11 <> 0 THEN array_to_string(key_facts, '|') END AS key_facts,
+       CASE WHEN conv_id % 11 <> 0 THEN greatest(0.0, least(1.0, relevance_score)) END AS relevance_score
+FROM lr"""
+
+SQL["strip_and_extract_json"] = with_(*FULL, LRESP) + """
+SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN NULL ELSE CAST(body AS VARCHAR) END AS json_text FROM lr"""
+
+
+def _label_body() -> str:
+    b = "CASE WHEN conv_id % 11 = 0 THEN substring(CAST(body AS VARCHAR), 1, 25) ELSE CAST(body AS VARCHAR) END"
+    b = f"CASE WHEN conv_id % 3 = 0 THEN '```json' || chr(10) || {b} || chr(10) || '```' ELSE {b} END"
+    return f"CASE WHEN conv_id % 7 = 0 THEN '<think>' || chr(10) || 'weighing {{the}} options' || chr(10) || '</think>' || chr(10) || {b} ELSE {b} END"
+
+
+SQL["response_text"] = with_(*FULL, LRESP) + f"""
+SELECT conv_id, {_label_body()} AS text, true AS same_as_trimmed FROM lr"""
+
+SQL["generate_stub"] = with_(*FULL) + """
+SELECT 'label:' || conv_id AS prompt_id,
+       CASE WHEN conv_id % 10 = 7 THEN NULL ELSE 'ok:label:' || conv_id END AS response,
+       CASE WHEN conv_id % 10 = 7 THEN 'ValueError: boom label:' || conv_id END AS error
+FROM pool WHERE conv_id IN (SELECT conv_id FROM state)"""
+
+SQL["run_counts"] = with_(*FULL, DONE) + """
+, st AS (
+  SELECT CASE WHEN p.conv_id IN (SELECT conv_id FROM done) THEN 'skipped'
+              WHEN p.conv_id NOT IN (SELECT conv_id FROM state) OR p.conv_id % 11 = 0 THEN 'error'
+              ELSE 'retried' END AS status
+  FROM pool p)
+SELECT status, count(*) AS conversations FROM st GROUP BY status"""
+
+SQL["concat_ordered"] = with_(MESSAGES) + "SELECT conv_id, string_agg(content, chr(10) ORDER BY pos) AS text FROM messages GROUP BY conv_id"
+
+SAMPLE = """ranked AS (SELECT conv_id, title, create_time, row_number() OVER (ORDER BY create_time DESC, conv_id) - 1 AS p FROM pool),
+cnt AS (SELECT count(*) AS n FROM ranked),
+pos AS (SELECT t.i AS sample_ord, least((2 * t.i * cnt.n + 50) // 100, cnt.n - 1) AS sample_pos FROM range(50) t(i), cnt),
+sampled AS (
+  SELECT r.conv_id, r.title, r.create_time, pos.sample_ord FROM ranked r JOIN pos ON r.p = pos.sample_pos WHERE (SELECT n FROM cnt) > 50
+  UNION ALL SELECT conv_id, title, create_time, p AS sample_ord FROM ranked WHERE (SELECT n FROM cnt) <= 50),
+batches AS (SELECT *, CAST(sample_ord // 5 AS BIGINT) AS batch, CAST(sample_ord % 5 AS BIGINT) AS item_pos FROM sampled)"""
+
+EXISTING = "chr(10)".join([])  # placeholder for readability
+
+
+def _existing_list() -> str:
+    items = " || chr(10) || ".join(q(f"- {s}: {n}") for s, n, _, _ in CATEGORY_ROWS)
+    return items
+
+
+SQL["explore_prompts"] = with_(*FULL, condensed_cte(600, "c600"), SAMPLE) + f"""
+SELECT 'explore:' || b.batch AS prompt_id, b.batch,
+       'Existing categories:' || chr(10) || {_existing_list()} || chr(10) || chr(10)
+       || string_agg('--- CONVERSATION: "' || b.title || '" (' || {fmt_sql('b.create_time')} || ') ---' || chr(10) || c.condensed,
+                     chr(10) || chr(10) ORDER BY b.sample_ord) AS prompt
+FROM batches b JOIN c600 c ON b.conv_id = c.conv_id GROUP BY b.batch"""
+
+SUGG = """sugg AS (
+  SELECT batch, item_pos, 'topic-' || (conv_id % 9) AS slug,
+         CASE WHEN conv_id % 9 <> 4 THEN 'Topic ' || (conv_id % 9) END AS name,
+         repeat('d', CAST(conv_id % 17 AS INTEGER)) AS description, [title] AS sample_titles
+  FROM batches WHERE batch <> 3),
+allsug AS (
+  SELECT 'topic-1' AS slug, 'Seeded topic one' AS name, 'seed' AS description, ['Seed title'] AS sample_titles,
+         CAST(3 AS BIGINT) AS n, 0 AS src, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS p
+  UNION ALL SELECT slug, name, description, sample_titles, 1, 1, batch, item_pos FROM sugg),
+ranked_s AS (
+  SELECT *, row_number() OVER (PARTITION BY slug ORDER BY src, b, p) AS first_rn,
+            row_number() OVER (PARTITION BY slug ORDER BY length(coalesce(description, '')) DESC, src, b, p) AS desc_rn
+  FROM allsug),
+merged AS (
+  SELECT slug,
+         max(coalesce(name, slug)) FILTER (WHERE first_rn = 1) AS name,
+         max(coalesce(description, '')) FILTER (WHERE desc_rn = 1) AS description,
+         flatten(list(sample_titles ORDER BY src, b, p)) AS all_titles,
+         CAST(sum(n) AS BIGINT) AS count
+  FROM ranked_s GROUP BY slug)"""
+
+DISC = (*FULL, SAMPLE, SUGG)
+
+SQL["new_suggestions"] = with_(*DISC) + """
+SELECT batch, item_pos, slug, name, description, array_to_string(sample_titles, '|') AS sample_titles FROM sugg"""
+
+SQL["suggestion_merge"] = with_(*DISC) + f"""
+SELECT slug, name, description, array_to_string({odistinct('all_titles')}, '|') AS sample_titles, count FROM merged"""
+
+STOP = "['and', 'the', 'of', 'in', 'for', 'a', 'an', 'to', 'with', '&', '/']"
+
+
+def kw_sql(name: str, slug: str) -> str:
+    nw = f"list_filter(regexp_split_to_array(lower(coalesce({name}, '')), '[\\s\\-_]+'), lambda w: NOT list_contains({STOP}, w) AND length(w) > 2)"
+    sw = f"list_filter(string_split(coalesce({slug}, ''), '-'), lambda w: length(w) > 2)"
+    return odistinct(f"list_concat({nw}, {sw})")
+
+
+SQL["generate_keywords"] = with_(*DISC) + f"""
+SELECT slug, array_to_string({kw_sql('name', 'slug')}, '|') AS keywords FROM merged"""
+
+SQL["discovery_top"] = with_(*DISC) + f"""
+SELECT slug, name, count, array_to_string(({odistinct('all_titles')})[1:3], '|') AS head_titles FROM merged"""
+
+SQL["apply_discovery"] = with_(*DISC) + f"""
+, dec AS (
+  SELECT slug, name, description, {kw_sql('name', 'slug')} AS kw,
+         TRY_CAST(regexp_extract(slug, '(\\d+)$', 1) AS INTEGER) AS n FROM merged),
+cat2 AS (
+  SELECT slug, name, description, keywords FROM cats WHERE slug NOT IN (SELECT slug FROM dec WHERE n IN (0, 3, 6))
+  UNION ALL SELECT slug, name, coalesce(description, ''), kw FROM dec WHERE n IN (0, 3, 6)),
+mg AS (
+  SELECT CASE n WHEN 1 THEN 'english' WHEN 2 THEN 'topic-0' ELSE 'nowhere' END AS target,
+         flatten(list(kw ORDER BY n)) AS extra
+  FROM dec WHERE n IN (1, 2, 4) GROUP BY 1)
+SELECT c.slug, c.name, c.description,
+       array_to_string(CASE WHEN mg.extra IS NULL THEN c.keywords ELSE {odistinct('list_concat(c.keywords, mg.extra)')} END, '|') AS keywords
+FROM cat2 c LEFT JOIN mg ON c.slug = mg.target"""
+
+ASKPOOL = """ap AS (
+  SELECT *, row_number() OVER (ORDER BY relevance_score DESC, create_time DESC, conv_id) AS pool_rank
+  FROM labelled WHERE relevance_score >= 0.3)"""
+
+TRANS = f"""mb AS (
+  SELECT conv_id, pos,
+         {lines_sql("[CASE WHEN role = 'user' THEN '### 🧑 User' ELSE '### 🤖 Assistant' END]",
+                    when_list("ts > 0", "['_' || " + fmt_sql('ts', LONG) + " || '_']"),
+                    "['', content, '', '---', '']")} AS block
+  FROM messages),
+tr AS (
+  SELECT h.conv_id, '# ' || h.title || chr(10) || chr(10) || '_Created: ' || {fmt_sql('h.create_time', LONG)} || '_' || chr(10) || chr(10)
+         || '---' || chr(10) || chr(10) || string_agg(mb.block, chr(10) ORDER BY mb.pos) AS markdown
+  FROM headers h JOIN mb ON h.conv_id = mb.conv_id GROUP BY h.conv_id, h.title, h.create_time)"""
+
+SQL["ask_pool_state"] = with_(*FULL, ASKPOOL) + "SELECT conv_id, relevance_score, pool_rank FROM ap"
+
+SQL["ask_pool_raw"] = with_(MESSAGES, HEADERS, POOL) + """
+SELECT conv_id, row_number() OVER (ORDER BY create_time DESC, conv_id) AS pool_rank FROM pool"""
+
+ASKP = """askp AS (
+  SELECT CAST((ap.pool_rank - 1) // 3 AS BIGINT) AS batch,
+         '### Context Conversations' || chr(10) || chr(10)
+         || string_agg(tr.markdown || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY ap.pool_rank)
+         || chr(10) || '### Question' || chr(10) || chr(10) || 'What was decided?' AS prompt
+  FROM ap JOIN tr ON ap.conv_id = tr.conv_id GROUP BY 1)"""
+
+SQL["ask_prompts"] = with_(*FULL, ASKPOOL, TRANS, ASKP) + "SELECT 'ask:' || batch AS prompt_id, batch, prompt FROM askp"
+
+SQL["synthesis_prompts"] = with_(*FULL, ASKPOOL, TRANS, ASKP) + """
+SELECT 'synth1:0' AS prompt_id, count(*) AS n_answers,
+       '### Partial Answers' || chr(10) || chr(10)
+       || string_agg('**Answer ' || (batch + 1) || ':**' || chr(10) || 'Partial answer from batch ' || batch || '.' || chr(10), chr(10) ORDER BY batch)
+       || chr(10) || '### Question' || chr(10) || chr(10) || 'What was decided?' AS prompt
+FROM askp"""
+
+SQL["answer_document"] = with_(*FULL, ASKPOOL, TRANS, ASKP) + f"""
+, nb AS (SELECT count(*) AS n FROM askp)
+SELECT 0 AS part, CAST(0 AS BIGINT) AS pool_rank,
+       '# Ask: What was decided?' || chr(10) || chr(10) || '_Generated: 01 Jun 2024 00:00_' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+       || CASE WHEN n = 1 THEN 'Partial answer from batch 0.' ELSE 'Combined answer over ' || n || ' partial answers.' END
+       || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Sources' || chr(10) AS block
+FROM nb
+UNION ALL
+SELECT 1 AS part, pool_rank, '- **' || title || '** (' || {fmt_sql('create_time')} || ')' AS block FROM ap"""
+
+SQL["ask_sources"] = with_(*FULL, ASKPOOL) + f"SELECT pool_rank, conv_id, title, {fmt_sql('create_time')} AS created FROM ap"
+
+SQL["stub_conversations"] = with_(*BASE, STATE) + """
+, txt AS (
+  SELECT conv_id, title, created,
+         CASE WHEN summary <> '' THEN '**Summary:** ' || summary || chr(10) || chr(10) ELSE '' END
+         || CASE WHEN len(key_facts) > 0 THEN '**Key facts:**' || chr(10) || array_to_string(list_transform(key_facts, lambda f: '- ' || f || chr(10)), '') || chr(10) ELSE '' END
+         || CASE WHEN len(tags) > 0 THEN '**Tags:** ' || array_to_string(tags, ', ') || chr(10) ELSE '' END AS t
+  FROM state)
+SELECT conv_id, title, CAST(epoch(strptime(created, '%Y-%m-%d %H:%M')) AS DOUBLE) AS create_time,
+       CASE WHEN t <> '' THEN t ELSE '(no summary available)' END AS content
+FROM txt"""
+
+SQL["enhanced_hydrate"] = with_(*ENH, FLAGS, SLICES, EXPAND) + """
+, rl AS (SELECT conv_id, string_agg((CAST(split_part(range_key, '-', 1) AS INTEGER) + 1) || '–'
+                                    || (CAST(split_part(range_key, '-', 2) AS INTEGER) + 1), '|' ORDER BY entry_pos) AS range_labels
+         FROM exo GROUP BY conv_id)
+SELECT l.conv_id, l.summary AS digest_summary, array_to_string(l.key_facts, '|') AS digest_facts,
+       l.conv_id IN (SELECT conv_id FROM ol) AS has_enhanced, coalesce(rl.range_labels, '') AS range_labels
+FROM labelled l LEFT JOIN rl ON l.conv_id = rl.conv_id"""
+
+SQL["apply_review_edits"] = with_(*BASE, STATE) + """
+SELECT conv_id,
+       CASE conv_id % 6 WHEN 1 THEN 'german' WHEN 4 THEN 'spanish|english' ELSE array_to_string(categories, '|') END AS categories,
+       CASE conv_id % 6 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 ELSE relevance_score END AS relevance_score
+FROM state"""

@@ -521,3 +521,245 @@ def star_bar(spark, sf_dir):
     """F10 + float display over the labelled pool."""
     _, _, _, lab = _labelled(spark, sf_dir)
     return lab.select("conv_id", Tx.num_text("relevance_score").alias("relevance"), Tx.stars("relevance_score").alias("stars"))
+
+
+# ---------------------------------------------------------------- responses, labels, discovery, ask, review
+from parlance.functions.json import extract_json, response_text as _response_text  # noqa: E402
+from parlance.operators import ask as A  # noqa: E402
+from parlance.operators import discover as D  # noqa: E402
+from parlance.operators import generate as G  # noqa: E402
+from parlance.operators import review as Rv  # noqa: E402
+
+
+def _label_io(spark, sf_dir):
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    st = _state(spark, sf_dir)
+    work = pool.join(st.select("conv_id"), "conv_id", "left_semi")
+    prompts = L.label_prompts(work, msgs, X.categories(spark))
+    return msgs, hdrs, pool, st, prompts, X.label_responses(prompts, st)
+
+
+@register
+def label_prompts(spark, sf_dir):
+    """M1 for the resume work list (P13 + J2)."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    work = L.worklist(pool, L.model_done(_state(spark, sf_dir)))
+    return L.label_prompts(work, msgs, X.categories(spark)).select("prompt_id", "conv_id", "prompt")
+
+
+@register
+def parse_label_responses(spark, sf_dir):
+    """M2, F12-F14, P11, P12, F9."""
+    _, _, _, st, prompts, responses = _label_io(spark, sf_dir)
+    out = L.apply_label_responses(prompts, responses, X.categories(spark))
+    return _arr_out(out, ["categories", "tags", "key_facts"])
+
+
+@register
+def strip_and_extract_json(spark, sf_dir):
+    """the first balanced JSON object after cleanup (NULL when
+    there is none or it never closes)."""
+    _, _, _, _, prompts, responses = _label_io(spark, sf_dir)
+    j = responses.join(prompts.select("prompt_id", "conv_id"), "prompt_id")
+    return j.select("conv_id", extract_json(Tx.strip_boilerplate("response")).alias("json_text"))
+
+
+@register
+def response_text(spark, sf_dir):
+    """F18 over raw service bodies: even ids one JSON object, odd ids two
+    NDJSON lines (the text split in half)."""
+    _, _, _, _, prompts, responses = _label_io(spark, sf_dir)
+    j = responses.join(prompts.select("prompt_id", "conv_id"), "prompt_id")
+    half = F.floor(F.length("response") / 2).cast("int")
+    one = F.to_json(F.struct(F.lit("m").alias("model"), F.col("response").alias("response"), F.lit(True).alias("done")))
+    first = F.to_json(F.struct(F.substring("response", 1, half).alias("response"), F.lit(False).alias("done")))
+    rest = F.to_json(F.struct(F.expr("substring(response, floor(length(response) / 2) + 1)").alias("response"), F.lit(True).alias("done")))
+    raw = F.when(F.col("conv_id") % 2 == 0, one).otherwise(F.concat(first, F.lit("\n"), rest, F.lit("\n")))
+    return j.select("conv_id", _response_text(raw).alias("text"), (F.col("response") == _response_text(raw)).alias("same_as_trimmed"))
+
+
+def _stub_model(pdf):
+    """A deterministic stand-in model used by generate_stub."""
+    import pandas as pd
+    out = []
+    for pid in pdf["prompt_id"]:
+        if int(pid.split(":")[1]) % 10 == 7:
+            raise ValueError(f"boom {pid}")
+        out.append(f"ok:{pid}")
+    return pd.Series(out)
+
+
+@register
+def generate_stub(spark, sf_dir):
+    """The model step through mapInPandas with per-row error capture."""
+    _, _, _, _, prompts, _ = _label_io(spark, sf_dir)
+    return G.generate(prompts, _stub_model)
+
+
+@register
+def run_counts(spark, sf_dir):
+    """A10: per-status counts of a model labelling run over the pool."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    st = _state(spark, sf_dir)
+    work = L.worklist(pool, L.model_done(st))
+    prompts = L.label_prompts(work, msgs, X.categories(spark))
+    ok = L.apply_label_responses(prompts, X.label_responses(prompts, st), X.categories(spark)).where("status = 'ok'")
+    return L.run_counts(L.run_status(pool, st, ok))
+
+
+@register
+def concat_ordered(spark, sf_dir):
+    """All message texts of a conversation in order, newline-joined."""
+    msgs, _ = _base(spark, sf_dir)
+    g = msgs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("_m"))
+    return g.select("conv_id", F.array_join(F.transform("_m", lambda x: x["content"]), "\n").alias("text"))
+
+
+def _explore(spark, sf_dir):
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    cats = X.categories(spark)
+    prompts = D.explore_prompts(pool, msgs, cats)
+    sampled = D.stratified_sample(pool.select("conv_id", "title", "create_time"), D.EXPLORE_SAMPLE)
+    batches = D.chunked(sampled, D.EXPLORE_BATCH, [F.col("sample_ord")], "batch")
+    sugg = D.apply_explore_responses(prompts, X.explore_responses(batches))
+    seed = spark.createDataFrame([("topic-1", "Seeded topic one", "seed", ["Seed title"], 3)],
+                                 "slug string, name string, description string, sample_titles array<string>, count bigint")
+    merged = D.merge_suggestions(seed, D.new_suggestions(sugg, cats))
+    return cats, prompts, sugg, merged
+
+
+@register
+def explore_prompts(spark, sf_dir):
+    """M3 (W7 sample 50, W6 batches of 5, F2 at 600 characters)."""
+    return _explore(spark, sf_dir)[1].select("prompt_id", "batch", "prompt")
+
+
+@register
+def new_suggestions(spark, sf_dir):
+    """M4 + P15: parsed suggestions that are new."""
+    cats, _, sugg, _ = _explore(spark, sf_dir)
+    return D.new_suggestions(sugg, cats).select("batch", "item_pos", "slug", "name", "description", joined("sample_titles").alias("sample_titles"))
+
+
+@register
+def suggestion_merge(spark, sf_dir):
+    """A9 seeded by an existing report."""
+    merged = _explore(spark, sf_dir)[3]
+    return merged.select("slug", "name", "description", joined("sample_titles").alias("sample_titles"), "count")
+
+
+@register
+def generate_keywords(spark, sf_dir):
+    """F15 over merged suggestions."""
+    merged = _explore(spark, sf_dir)[3]
+    return merged.select("slug", joined(D.keywords_for(F.col("name"), F.col("slug"))).alias("keywords"))
+
+
+@register
+def discovery_top(spark, sf_dir):
+    """O4, O6."""
+    merged = _explore(spark, sf_dir)[3]
+    return D.discovery_top(merged).select("slug", "name", "count", joined("head_titles").alias("head_titles"))
+
+
+@register
+def apply_discovery(spark, sf_dir):
+    """Add topic-0/3/6, merge topic-1 into english, topic-2 into the
+    added topic-0, topic-4 into a missing slug; skip the rest."""
+    cats, _, _, merged = _explore(spark, sf_dir)
+    n = F.regexp_extract("slug", r"(\d+)$", 1).try_cast("int")
+    decisions = merged.select(
+        "slug", F.coalesce(n, F.lit(99)).cast("bigint").alias("seq"),
+        F.when(n.isin(0, 3, 6), "add").when(n.isin(1, 2, 4), "merge").otherwise("skip").alias("action"),
+        F.when(n == 1, "english").when(n == 2, "topic-0").when(n == 4, "nowhere").alias("target"),
+        F.lit(None).cast("array<string>").alias("keywords"))
+    out = D.apply_discovery(cats, merged, decisions)
+    return out.select("slug", "name", "description", joined("keywords").alias("keywords"))
+
+
+def _ask(spark, sf_dir, question="What was decided?"):
+    msgs, hdrs = _base(spark, sf_dir)
+    pool = A.ask_pool_state(hdrs.where("message_count >= 4"), _state(spark, sf_dir))
+    prompts = A.ask_prompts(pool, msgs, question)
+    return msgs, hdrs, pool, prompts
+
+
+@register
+def ask_pool_state(spark, sf_dir):
+    """J12 state path: labelled, relevance >= 0.3, relevance order."""
+    return _ask(spark, sf_dir)[2].select("conv_id", "relevance_score", "pool_rank")
+
+
+@register
+def ask_pool_raw(spark, sf_dir):
+    """J12 raw path: min_messages 4, newest first."""
+    _, hdrs = _base(spark, sf_dir)
+    return A.ask_pool_raw(hdrs).select("conv_id", "pool_rank")
+
+
+@register
+def ask_prompts(spark, sf_dir):
+    """Batches of 3 transcripts + question."""
+    return _ask(spark, sf_dir)[3].select("prompt_id", "batch", "prompt")
+
+
+@register
+def synthesis_prompts(spark, sf_dir):
+    """M15 over the partial answers."""
+    _, _, _, prompts = _ask(spark, sf_dir)
+    partials = G.join_responses(prompts.select("prompt_id", "batch"), X.ask_responses(prompts)).select("batch", F.col("response").alias("answer"))
+    return A.synthesis_prompts(partials, "What was decided?").select("prompt_id", "n_answers", "prompt")
+
+
+@register
+def answer_document(spark, sf_dir):
+    """K11 + M16: answer (single batch or synthesis) and sources."""
+    _, _, pool, prompts = _ask(spark, sf_dir)
+    partials = G.join_responses(prompts.select("prompt_id", "batch"), X.ask_responses(prompts)).select("batch", F.col("response").alias("answer"))
+    sp = A.synthesis_prompts(partials, "What was decided?")
+    answer = A.ask_result(partials, X.synthesis_responses(sp))
+    return A.answer_document_blocks("What was decided?", answer, A.ask_sources(pool), "01 Jun 2024 00:00")
+
+
+@register
+def ask_sources(spark, sf_dir):
+    """M16 sources list."""
+    return A.ask_sources(_ask(spark, sf_dir)[2])
+
+
+@register
+def stub_conversations(spark, sf_dir):
+    """Synthetic one-message conversations from state only."""
+    h, m = Sel.stub_conversations(_state(spark, sf_dir))
+    return h.select("conv_id", "title", "create_time").join(m.select("conv_id", "content"), "conv_id")
+
+
+@register
+def enhanced_hydrate(spark, sf_dir):
+    """J5 + F17: enhanced fields over base ones, 1-based range labels."""
+    hdrs, st, lab, pairs, summaries, ranges, detailed = _pass3(spark, sf_dir)
+    enhanced = E.enhanced_records(lab, summaries, ranges, detailed, "2024-06-01T00:00:00+00:00")
+    j = Sel.with_enhanced(lab, enhanced)
+    labels = F.transform(F.map_keys(F.coalesce("detailed_summaries", F.create_map().cast("map<string,string>"))), lambda k: Tx.range_label(k))
+    return j.select("conv_id", "digest_summary", joined("digest_facts").alias("digest_facts"), "has_enhanced",
+                    joined(labels).alias("range_labels"))
+
+
+@register
+def apply_review_edits(spark, sf_dir):
+    """Edits derived per conversation (id % 6): 1 recategorise with one
+    unknown slug, 2 relevance 1.7 (clamped), 3 delete, 4 two recategorise
+    edits (last wins) then a relevance edit, 5 only unknown slugs (ignored)."""
+    st = _state(spark, sf_dir)
+    m = F.col("conv_id") % 6
+    arr = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    e1 = st.where(m == 1).select("conv_id", F.lit(1).alias("seq"), F.lit("recategorise").alias("action"), arr("german", "bogus").alias("categories"), F.lit(None).cast("double").alias("relevance"))
+    e2 = st.where(m == 2).select("conv_id", F.lit(1).alias("seq"), F.lit("relevance").alias("action"), F.lit(None).cast("array<string>").alias("categories"), F.lit(1.7).alias("relevance"))
+    e3 = st.where(m == 3).select("conv_id", F.lit(1).alias("seq"), F.lit("delete").alias("action"), F.lit(None).cast("array<string>").alias("categories"), F.lit(None).cast("double").alias("relevance"))
+    e4a = st.where(m == 4).select("conv_id", F.lit(1).alias("seq"), F.lit("recategorise").alias("action"), arr("french").alias("categories"), F.lit(None).cast("double").alias("relevance"))
+    e4b = st.where(m == 4).select("conv_id", F.lit(2).alias("seq"), F.lit("recategorise").alias("action"), arr("spanish", "english", "spanish").alias("categories"), F.lit(None).cast("double").alias("relevance"))
+    e4c = st.where(m == 4).select("conv_id", F.lit(3).alias("seq"), F.lit("relevance").alias("action"), F.lit(None).cast("array<string>").alias("categories"), F.lit(-0.2).alias("relevance"))
+    e5 = st.where(m == 5).select("conv_id", F.lit(1).alias("seq"), F.lit("recategorise").alias("action"), arr("nope").alias("categories"), F.lit(None).cast("double").alias("relevance"))
+    edits = e1.unionByName(e2).unionByName(e3).unionByName(e4a).unionByName(e4b).unionByName(e4c).unionByName(e5)
+    out = Rv.apply_review_edits(st, edits, X.categories(spark))
+    return out.select("conv_id", joined("categories").alias("categories"), "relevance_score")

@@ -66,19 +66,37 @@ def is_int(v, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.variant_get(col_(v), path, "variant")).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit(False))
 
 
+def _object_end(chars: Column) -> Column:
+    """Length (in split units) of the balanced object starting at chars[0]; 0 if it never closes."""
+    folded = F.aggregate(
+        chars,
+        F.struct(F.lit(0).alias("d"), F.lit(False).alias("q"), F.lit(False).alias("e"),
+                 F.lit(0).alias("n"), F.lit(0).alias("end")),
+        _step,
+    )
+    return folded["end"]
+
+
 def response_text(raw) -> Column:
     """Normalise a raw service body.
 
-    A body that decodes to an object or array must carry ``response``;
+    A body that is one JSON object or array must carry ``response``;
     otherwise every non-blank line is decoded and the ``response`` fields
     are concatenated. Result is trimmed; NULL marks a body that cannot be
-    used (the caller records it as an error row)."""
+    used (the caller records it as an error row).
+
+    Spark's JSON parser accepts trailing content after the first value, so
+    "the whole body is one object" is checked by a balanced scan ending at
+    the last character."""
     raw = col_(raw)
-    whole = F.try_parse_json(raw)
-    whole_kind = F.schema_of_variant(whole)
-    is_container = whole.isNotNull() & (whole_kind.startswith("OBJECT") | whole_kind.startswith("ARRAY"))
-    whole_text = F.try_variant_get(whole, "$.response", "string")
+    body = php_trim(raw)
+    chars = F.split(body, "")
+    is_object = body.startswith("{") & (_object_end(chars) == F.size(chars)) & F.try_parse_json(body).isNotNull()
+    is_array = body.startswith("[") & body.endswith("]") & F.try_parse_json(body).isNotNull()
+    whole_text = F.try_variant_get(F.try_parse_json(body), "$.response", "string")
     lines = F.filter(F.transform(F.split(raw, "\n"), lambda ln: php_trim(ln)), lambda ln: ln != "")
-    parts = F.transform(lines, lambda ln: F.try_variant_get(F.try_parse_json(ln), "$.response", "string"))
+    parts = F.transform(lines, lambda ln: F.when(
+        ln.startswith("{") & (_object_end(F.split(ln, "")) == F.size(F.split(ln, ""))),
+        F.try_variant_get(F.try_parse_json(ln), "$.response", "string")))
     combined = F.nullif(F.array_join(parts, ""), F.lit(""))
-    return php_trim(F.when(is_container, whole_text).otherwise(combined))
+    return php_trim(F.when(is_object, whole_text).when(is_array, F.lit(None).cast("string")).otherwise(combined))

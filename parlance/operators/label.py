@@ -131,3 +131,44 @@ def apply_label_fields(obj: Column, valid: list[str]) -> dict[str, Column]:
         "key_facts": F.coalesce(vget(obj, "$.key_facts", "array<string>"), F.array().cast("array<string>")),
         "relevance_score": clamp01(vget(obj, "$.relevance_score", "double")),
     }
+
+
+# ---------------------------------------------------------------- M1, M2
+LABEL_SYSTEM_HEAD = (
+    "You read a finished conversation and describe it from the outside; do not continue it. "
+    "Answer in English with JSON only, shaped as "
+    '{"categories": [], "tags": [], "summary": "", "key_facts": [], "relevance_score": 0.5}. '
+    "Pick one to three category slugs from this list (use other only when nothing fits):\n"
+)
+
+
+def label_system(cats: DataFrame) -> str:
+    """The category list is a size-checked configuration table."""
+    rows = cats.orderBy("cat_ord").select("slug", "description").limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    return LABEL_SYSTEM_HEAD + "\n".join(f"- **{r['slug']}**: {r['description']}" for r in rows)
+
+
+def label_prompts(headers: DataFrame, msgs: DataFrame, cats: DataFrame, max_chars: int = 8000) -> DataFrame:
+    """M1: one prompt per conversation: condensed text (F2) within a
+    ``max_chars`` budget, the category list in the system prompt."""
+    from parlance.operators.render import condensed_text
+    text = condensed_text(headers, msgs, max_chars)
+    prompt = F.concat(F.lit("Conversation to analyse:\n---\n"), F.col("condensed"),
+                      F.lit("\n---\n\nReply with the JSON analysis only."))
+    return text.select(F.concat(F.lit("label:"), F.col("conv_id").cast("string")).alias("prompt_id"), "conv_id",
+                       F.lit(label_system(cats)).alias("system"), prompt.alias("prompt"))
+
+
+def apply_label_responses(prompts: DataFrame, responses: DataFrame, cats: DataFrame) -> DataFrame:
+    """M2: (conv_id, status, labels...). Failed rows (no JSON object, bad
+    JSON, service error) get status 'error' and no labels, so they stay out
+    of the state table and are retried next run."""
+    from parlance.operators.generate import join_responses, parsed_json
+    valid = [r["slug"] for r in cats.select("slug").limit(MAX_CATEGORIES + 1).collect()]
+    j = join_responses(prompts.select("prompt_id", "conv_id"), responses).withColumn("_obj", parsed_json("response"))
+    ok = F.col("_obj").isNotNull() & F.col("error").isNull()
+    fields = apply_label_fields(F.col("_obj"), valid)
+    return j.select("conv_id", F.when(ok, "ok").otherwise("error").alias("status"),
+                    *[F.when(ok, c).alias(k) for k, c in fields.items()])

@@ -22,3 +22,31 @@ def review_queue(labelled: DataFrame, slug: str | None = None, ids: DataFrame |
     ranked = with_global_rank(q, Sel.relevance_order(), "position")
     total = ranked.count()
     return ranked.withColumn("total", F.lit(total).cast("bigint"))
+
+
+def apply_review_edits(state: DataFrame, edits: DataFrame, cats: DataFrame) -> DataFrame:
+    """``edits(conv_id, seq, action, categories, relevance)``.
+
+    recategorise: valid slugs (configured + 'other'), distinct, order kept;
+    none valid -> edit ignored. relevance: clamped to [0, 1]. delete:
+    relevance 0. Several edits per conversation: the last one per field
+    wins; each touched conversation is written once (U1)."""
+    from parlance.operators.setops import upsert
+    valid = [r["slug"] for r in cats.select("slug").limit(10001).collect()]
+    if "other" not in valid:
+        valid.append("other")
+    cats_new = F.array_distinct(F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda s: s.isin(valid)))
+    e = edits.select(
+        "conv_id", "seq",
+        F.when((F.col("action") == "recategorise") & (F.size(cats_new) > 0), cats_new).alias("_cats"),
+        F.when(F.col("action") == "relevance", clamp01("relevance", 0.0))
+        .when(F.col("action") == "delete", F.lit(0.0)).alias("_rel"))
+    per = e.groupBy("conv_id").agg(
+        F.max_by("_cats", F.when(F.col("_cats").isNotNull(), F.col("seq"))).alias("_cats"),
+        F.max_by("_rel", F.when(F.col("_rel").isNotNull(), F.col("seq"))).alias("_rel"))
+    per = per.where(F.col("_cats").isNotNull() | F.col("_rel").isNotNull())
+    changed = state.join(per, "conv_id").select(
+        *[F.coalesce("_cats", "categories").alias("categories") if c == "categories"
+          else F.coalesce("_rel", "relevance_score").alias("relevance_score") if c == "relevance_score"
+          else F.col(c) for c in state.columns])
+    return upsert(state, changed)

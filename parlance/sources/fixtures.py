@@ -231,3 +231,38 @@ def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
 
 def reset_prepared() -> None:
     _PREPARED.clear()
+
+
+def explore_responses(batches: DataFrame) -> DataFrame:
+    """Explore responses per batch from its sampled conversations
+    (batch, sample_ord, conv_id, title): one suggestion per conversation,
+    slug topic-<conv_id % 9>, a name except when conv_id % 9 = 4, a
+    description of conv_id % 17 letters, its title as sample; even batches
+    also suggest an existing slug and an empty slug; batch 3 is unusable."""
+    cid = F.col("conv_id")
+    topic = (cid % 9).cast("string")
+    sugg = F.to_json(F.struct(
+        F.concat(F.lit("topic-"), topic).alias("slug"),
+        F.when(cid % 9 != 4, F.concat(F.lit("Topic "), topic)).alias("name"),
+        F.repeat(F.lit("d"), (cid % 17).cast("int")).alias("description"),
+        F.array(F.col("title")).alias("sample_titles")))
+    g = batches.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("sample_ord", sugg.alias("s")))).alias("_s"))
+    items = F.transform("_s", lambda x: x["s"])
+    extra = F.array(F.lit('{"slug": "english", "name": "English again", "description": "dup", "sample_titles": []}'),
+                    F.lit('{"slug": "", "name": "Nameless"}'))
+    items = F.when(F.col("batch") % 2 == 0, F.concat(items, extra)).otherwise(items)
+    body = F.concat(F.lit('{"suggestions": ['), F.array_join(items, ", "), F.lit("]}"))
+    body = F.when(F.col("batch") == 3, F.lit("I could not decide.")).otherwise(body)
+    return g.select(F.concat(F.lit("explore:"), F.col("batch").cast("string")).alias("prompt_id"), body.alias("response"),
+                    F.lit(None).cast("string").alias("error"))
+
+
+def ask_responses(prompts: DataFrame) -> DataFrame:
+    """Partial answers: a sentence naming the batch."""
+    return prompts.select("prompt_id", F.concat(F.lit("Partial answer from batch "), F.col("batch").cast("string"), F.lit(".")).alias("response"),
+                          F.lit(None).cast("string").alias("error"))
+
+
+def synthesis_responses(prompts: DataFrame) -> DataFrame:
+    return prompts.select("prompt_id", F.concat(F.lit("Combined answer over "), F.col("n_answers").cast("string"), F.lit(" partial answers.")).alias("response"),
+                          F.lit(None).cast("string").alias("error"))
