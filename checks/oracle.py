@@ -817,3 +817,39 @@ SELECT conv_id,
        CASE conv_id % 6 WHEN 1 THEN 'german' WHEN 4 THEN 'spanish|english' ELSE array_to_string(categories, '|') END AS categories,
        CASE conv_id % 6 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 ELSE relevance_score END AS relevance_score
 FROM state"""
+
+# ---------------------------------------------------------------- ingest
+SQL["linearise_tree"] = """
+WITH RECURSIVE nodes AS (
+  SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 2 THEN turn - 2 ELSE turn - 1 END AS parent
+  FROM conversations),
+walk(conv_id, turn, path) AS (
+  SELECT conv_id, turn, [turn] FROM nodes WHERE parent IS NULL
+  UNION ALL
+  SELECT n.conv_id, n.turn, list_append(w.path, n.turn) FROM nodes n JOIN walk w ON n.conv_id = w.conv_id AND n.parent = w.turn)
+SELECT conv_id, CAST(turn AS VARCHAR) AS node_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS BIGINT) AS pos
+FROM walk"""
+
+INGESTED = """ing AS (
+  SELECT CAST(h.conv_id AS VARCHAR) AS conv_id,
+         CASE WHEN h.conv_id % 10 = 0 THEN h.title || ' (revised)' ELSE h.title END AS title,
+         CASE WHEN h.conv_id % 10 = 0 THEN 'export-2.json' ELSE 'export-' || (h.conv_id % 3) || '.json' END AS file,
+         h.create_time, h.update_time, h.message_count, h.user_messages
+  FROM headers h)"""
+
+SQL["ingest_roundtrip"] = with_(MESSAGES, HEADERS, INGESTED) + """
+SELECT i.conv_id, CAST(row_number() OVER (PARTITION BY m.conv_id ORDER BY m.pos) - 1 AS BIGINT) AS pos,
+       m.role, m.content, m.ts, i.title
+FROM messages m JOIN ing i ON CAST(m.conv_id AS VARCHAR) = i.conv_id"""
+
+SQL["dedup_last_wins"] = with_(MESSAGES, HEADERS, INGESTED) + "SELECT * FROM ing"
+
+SQL["content_text"] = f"""
+SELECT conv_id, turn,
+       CASE (conv_id + turn) % 5
+         WHEN 0 THEN trim(text, {TRIM})
+         WHEN 1 THEN trim(text || chr(10) || '  tail  ', {TRIM})
+         WHEN 2 THEN trim(text || chr(10) || 'caption' || chr(10) || '', {TRIM})
+         WHEN 3 THEN ''
+         ELSE trim(text, {TRIM}) END AS text
+FROM conversations"""

@@ -763,3 +763,56 @@ def apply_review_edits(spark, sf_dir):
     edits = e1.unionByName(e2).unionByName(e3).unionByName(e4a).unionByName(e4b).unionByName(e4c).unionByName(e5)
     out = Rv.apply_review_edits(st, edits, X.categories(spark))
     return out.select("conv_id", joined("categories").alias("categories"), "relevance_score")
+
+
+# ---------------------------------------------------------------- ingest
+from parlance.operators.tree import linearise_tree as _linearise  # noqa: E402
+from parlance.plans.ingest import ingest as _ingest  # noqa: E402
+from parlance.session import scratch_path  # noqa: E402
+from parlance.sources import export as Ex  # noqa: E402
+
+_EXPORTS: dict = {}
+
+
+def _export_dir(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EXPORTS:
+        _EXPORTS[key] = X.write_export_fixture(spark, sf_dir, scratch_path(spark, "export"))
+    return _EXPORTS[key]
+
+
+@register
+def linearise_tree(spark, sf_dir):
+    """W1, J9 over the fixture tree of every conversation."""
+    nodes = X.tree_nodes_from_table(spark, sf_dir)
+    return _linearise(nodes)
+
+
+@register
+def ingest_roundtrip(spark, sf_dir):
+    """Raw export files written from the table
+    and read back into messages."""
+    hdrs, msgs = _ingest(spark, _export_dir(spark, sf_dir))
+    return msgs.join(hdrs.select("conv_id", "title"), "conv_id").select("conv_id", "pos", "role", "content", "ts", "title")
+
+
+@register
+def dedup_last_wins(spark, sf_dir):
+    """The surviving record per id (file and title)."""
+    hdrs, _ = _ingest(spark, _export_dir(spark, sf_dir))
+    return hdrs.select("conv_id", "title", "file", "create_time", "update_time", "message_count", "user_messages")
+
+
+@register
+def content_text(spark, sf_dir):
+    """F1 over heterogeneous content variants built from every turn."""
+    conv = X.table(spark, sf_dir, "conversations")
+    qt = F.regexp_extract(F.to_json(F.array("text")), r"^\[(.*)\]$", 1)
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    js = (F.when(k == 0, F.concat(F.lit('{"content_type": "text", "parts": ['), qt, F.lit("]}")))
+          .when(k == 1, F.concat(F.lit('{"content_type": "text", "parts": ['), qt, F.lit(', 5, {"x": 1}, "  tail  "]}')))
+          .when(k == 2, F.concat(F.lit('{"content_type": "multimodal_text", "parts": [{"content_type": "image_asset_pointer", "asset": "a"}, '),
+                                 qt, F.lit(', {"content_type": "text", "text": "caption"}, {"content_type": "text"}]}')))
+          .when(k == 3, F.concat(F.lit('{"content_type": "code", "text": '), qt, F.lit("}")))
+          .otherwise(F.concat(F.lit('{"parts": ['), qt, F.lit("]}"))))
+    return conv.select("conv_id", "turn", Ex.content_text(F.parse_json(js)).alias("text"))

@@ -266,3 +266,79 @@ def ask_responses(prompts: DataFrame) -> DataFrame:
 def synthesis_responses(prompts: DataFrame) -> DataFrame:
     return prompts.select("prompt_id", F.concat(F.lit("Combined answer over "), F.col("n_answers").cast("string"), F.lit(" partial answers.")).alias("response"),
                           F.lit(None).cast("string").alias("error"))
+
+
+# ------------------------------------------------------------------ raw export fixture
+def tree_parent(turn):
+    """Fixture tree edges: parent = turn - 1, except turns with turn % 3 = 2
+    whose parent is turn - 2 (a sibling branch); turn 0 is the root."""
+    return (F.when(turn == 0, F.lit(None))
+            .when(turn % 3 == 2, turn - 2)
+            .otherwise(turn - 1)).cast("string")
+
+
+def tree_nodes_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree-form nodes (conv_id, node_id, map_pos, parent, children, role,
+    create_time, text) for every turn of the conversations table."""
+    conv = table(spark, sf_dir, "conversations")
+    base = conv.select("conv_id", "turn", "role", "text", tree_parent(F.col("turn")).alias("parent"))
+    kids = base.where(F.col("parent").isNotNull()).groupBy(F.col("conv_id").alias("k_conv"), F.col("parent").alias("k_node")).agg(
+        F.transform(F.array_sort(F.collect_list("turn")), lambda t: t.cast("string")).alias("children"))
+    j = base.join(kids, (F.col("conv_id") == F.col("k_conv")) & (F.col("turn").cast("string") == F.col("k_node")), "left")
+    return j.select(
+        "conv_id", F.col("turn").cast("string").alias("node_id"), F.col("turn").cast("bigint").alias("map_pos"),
+        "parent", F.coalesce("children", F.array().cast("array<string>")).alias("children"),
+        "role", (F.lit(BASE_EPOCH) + F.col("conv_id") * CONV_STEP + F.col("turn") * TURN_STEP).cast("double").alias("create_time"),
+        "text")
+
+
+def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_name, file_ord, json) per conversation record of the raw export
+    fixture: split over three files by conv_id % 3, and every 10th
+    conversation repeated at the end of the last file with a new title."""
+    nodes = tree_nodes_from_table(spark, sf_dir)
+    node = F.struct(
+        F.col("parent"), F.col("children"),
+        F.struct(F.struct(F.col("role")).alias("author"), F.col("create_time"),
+                 F.struct(F.lit("text").alias("content_type"), F.array(F.col("text")).alias("parts")).alias("content")).alias("message"))
+    msgs_ok = F.col("role").isin("user", "assistant") & (php_trim("text") != "")
+    per = nodes.groupBy("conv_id").agg(
+        F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("map_pos", "node_id", node.alias("node")))),
+                                       lambda x: F.struct(x["node_id"], x["node"]))).alias("mapping"),
+        F.max(F.when(msgs_ok, F.col("create_time"))).alias("update_time"))
+    rec = per.select(
+        "conv_id", F.col("conv_id").cast("string").alias("id"),
+        F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"),
+        (F.lit(BASE_EPOCH) + F.col("conv_id") * CONV_STEP).cast("double").alias("create_time"),
+        F.coalesce("update_time", F.lit(0.0)).alias("update_time"), "mapping")
+    body = lambda title: F.to_json(F.struct("id", title.alias("title"), "create_time", "update_time", "mapping"))
+    first = rec.select(F.concat(F.lit("export-"), (F.col("conv_id") % 3).cast("string"), F.lit(".json")).alias("file_name"),
+                       F.struct(F.lit(0).alias("dup"), "conv_id").alias("file_ord"), body(F.col("title")).alias("json"))
+    again = rec.where(F.col("conv_id") % 10 == 0).select(
+        F.lit("export-2.json").alias("file_name"), F.struct(F.lit(1).alias("dup"), "conv_id").alias("file_ord"),
+        body(F.concat(F.col("title"), F.lit(" (revised)"))).alias("json"))
+    return first.unionByName(again)
+
+
+def write_export_fixture(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """Write the raw export fixture as JSON-array files named export-k.json
+    directly under ``out_dir`` (an export file is one unit by format)."""
+    recs = export_records(spark, sf_dir)
+    files = recs.groupBy("file_name").agg(
+        F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "json"))), lambda x: x["json"]), ",\n"),
+                 F.lit("\n]")).alias("value"))
+    staging = out_dir.rstrip("/") + "_staging"
+    files.write.mode("overwrite").partitionBy("file_name").text(staging)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(staging).getFileSystem(conf)
+    fs.mkdirs(Path(out_dir))
+    for st in fs.listStatus(Path(staging)):
+        name = st.getPath().getName()
+        if not name.startswith("file_name="):
+            continue
+        target = name.split("=", 1)[1]
+        parts = [p for p in fs.listStatus(st.getPath()) if p.getPath().getName().startswith("part-")]
+        fs.rename(parts[0].getPath(), Path(out_dir.rstrip("/") + "/" + target))
+    return out_dir
