@@ -853,3 +853,34 @@ SELECT conv_id, turn,
          WHEN 3 THEN ''
          ELSE trim(text, {TRIM}) END AS text
 FROM conversations"""
+
+# ---------------------------------------------------------------- stored tables and streaming
+SQL["category_table_load"] = SQL["apply_discovery"]
+SQL["state_upsert"] = SQL["apply_review_edits"]
+SQL["index_roundtrip"] = SQL["index_upsert"]
+SQL["discovery_roundtrip"] = SQL["suggestion_merge"]
+
+SQL["categories_upsert"] = with_(*DISC) + """
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS BIGINT) AS cat_ord, slug, name FROM (
+  SELECT cat_ord AS o, slug, name FROM cats
+  UNION ALL
+  SELECT 1000000 + CAST(regexp_extract(slug, '(\\d+)$', 1) AS INTEGER), slug, coalesce(name, slug) FROM merged
+  WHERE TRY_CAST(regexp_extract(slug, '(\\d+)$', 1) AS INTEGER) IN (0, 3, 6))"""
+
+SQL["state_clear"] = with_(*ENH) + """
+SELECT DISTINCT conv_id FROM ol WHERE conv_id NOT IN (SELECT conv_id FROM labelled WHERE list_contains(categories, 'german'))"""
+
+SQL["enhanced_upsert"] = with_(*ENH) + "SELECT conv_id, count(*) AS n_summaries FROM ol GROUP BY conv_id"
+
+SQL["category_index_merge"] = SQL["category_index"] + """
+UNION ALL SELECT 'legacy', 'Legacy', CAST(3 AS BIGINT), 0.4::DOUBLE"""
+
+SQL["incremental_ingest"] = with_(MESSAGES, HEADERS, INGESTED) + f"""
+SELECT conv_id AS id, title, {fmt_sql('create_time')} AS created, {fmt_sql('update_time')} AS updated,
+       message_count AS messages, user_messages FROM ing WHERE message_count >= 4"""
+
+SQL["label_stream"] = with_(*BASE, STATE, POOL) + """
+SELECT conv_id, array_to_string(categories, '|') AS categories, summary, relevance_score FROM state
+UNION ALL
+SELECT p.conv_id, array_to_string(k.categories, '|') AS categories, '' AS summary, 0.5::DOUBLE AS relevance_score
+FROM pool p JOIN kwlabels k ON p.conv_id = k.conv_id WHERE p.conv_id NOT IN (SELECT conv_id FROM state)"""

@@ -745,8 +745,7 @@ def enhanced_hydrate(spark, sf_dir):
                     joined(labels).alias("range_labels"))
 
 
-@register
-def apply_review_edits(spark, sf_dir):
+def _review_edits_raw(spark, sf_dir, raw=False):
     """Edits derived per conversation (id % 6): 1 recategorise with one
     unknown slug, 2 relevance 1.7 (clamped), 3 delete, 4 two recategorise
     edits (last wins) then a relevance edit, 5 only unknown slugs (ignored)."""
@@ -762,9 +761,19 @@ def apply_review_edits(spark, sf_dir):
     e5 = st.where(m == 5).select("conv_id", F.lit(1).alias("seq"), F.lit("recategorise").alias("action"), arr("nope").alias("categories"), F.lit(None).cast("double").alias("relevance"))
     edits = e1.unionByName(e2).unionByName(e3).unionByName(e4a).unionByName(e4b).unionByName(e4c).unionByName(e5)
     out = Rv.apply_review_edits(st, edits, X.categories(spark))
+    if raw:
+        return out
     return out.select("conv_id", joined("categories").alias("categories"), "relevance_score")
 
 
+@register
+def apply_review_edits(spark, sf_dir):
+    """Edits derived per conversation (id % 6): 1 recategorise with one
+    unknown slug, 2 relevance 1.7 (clamped), 3 delete, 4 two recategorise
+    edits (last wins) then a relevance edit, 5 only unknown slugs (ignored)."""
+    return _review_edits_raw(spark, sf_dir)
+
+
 # ---------------------------------------------------------------- ingest
 from parlance.operators.tree import linearise_tree as _linearise  # noqa: E402
 from parlance.plans.ingest import ingest as _ingest  # noqa: E402
@@ -816,3 +825,159 @@ def content_text(spark, sf_dir):
           .when(k == 3, F.concat(F.lit('{"content_type": "code", "text": '), qt, F.lit("}")))
           .otherwise(F.concat(F.lit('{"parts": ['), qt, F.lit("]}"))))
     return conv.select("conv_id", "turn", Ex.content_text(F.parse_json(js)).alias("text"))
+
+
+# ---------------------------------------------------------------- stored tables (S6-S9, K1-K4, K8, K12) and streaming
+from parlance.sources import tables as Tb  # noqa: E402
+from parlance.streaming import incremental as Inc  # noqa: E402
+from pyspark.sql import Window as _W  # noqa: E402
+
+
+def _discovered_categories(spark, sf_dir):
+    cats, _, _, merged = _explore(spark, sf_dir)
+    n = F.regexp_extract("slug", r"(\d+)$", 1).try_cast("int")
+    decisions = merged.select(
+        "slug", F.coalesce(n, F.lit(99)).cast("bigint").alias("seq"),
+        F.when(n.isin(0, 3, 6), "add").when(n.isin(1, 2, 4), "merge").otherwise("skip").alias("action"),
+        F.when(n == 1, "english").when(n == 2, "topic-0").when(n == 4, "nowhere").alias("target"),
+        F.lit(None).cast("array<string>").alias("keywords"))
+    out = D.apply_discovery(cats, merged, decisions)
+    # the category table is bounded (size-checked), so a global order is cheap
+    return cats, merged, out.select((F.row_number().over(_W.orderBy("seq")) - 1).cast("int").alias("cat_ord"),
+                                    "slug", "name", "description", "keywords")
+
+
+@register
+def category_table_load(spark, sf_dir):
+    """K12 save + S6 load of the category table produced by discovery."""
+    _, _, cats2 = _discovered_categories(spark, sf_dir)
+    path = scratch_path(spark, "categories") + ".json"
+    Tb.save_categories(spark, cats2, path)
+    back = Tb.read_categories(spark, path)
+    return back.select("slug", "name", "description", joined("keywords").alias("keywords"))
+
+
+@register
+def categories_upsert(spark, sf_dir):
+    """K12 merge: added categories appended after the existing ones."""
+    cats, merged, _ = _discovered_categories(spark, sf_dir)
+    n = F.regexp_extract("slug", r"(\d+)$", 1).try_cast("int")
+    adds = merged.where(n.isin(0, 3, 6)).select(n.alias("cat_ord"), "slug", "name", F.coalesce("description", F.lit("")).alias("description"),
+                                                D.keywords_for(F.col("name"), F.col("slug")).alias("keywords"))
+    out = Tb.upsert_categories(cats, adds)
+    return out.select(F.col("cat_ord").cast("bigint").alias("cat_ord"), "slug", "name")
+
+
+def _store(spark):
+    return Tb.TableStore(spark, scratch_path(spark, "store"))
+
+
+@register
+def state_upsert(spark, sf_dir):
+    """K2 + S7: state written, review-edit rows upserted, newest version read."""
+    st = _state(spark, sf_dir)
+    store = _store(spark)
+    store.write("state", st)
+    edited = _review_edits_raw(spark, sf_dir, raw=True)
+    changed = edited.join(st.select("conv_id", F.col("categories").alias("_c"), F.col("relevance_score").alias("_r")), "conv_id") \
+        .where((F.col("categories") != F.col("_c")) | (F.col("relevance_score") != F.col("_r"))).drop("_c", "_r")
+    store.upsert("state", changed, "conv_id")
+    out = store.read("state")
+    return out.select("conv_id", joined("categories").alias("categories"), "relevance_score")
+
+
+def _enhanced_now(spark, sf_dir):
+    hdrs, st, lab, pairs, summaries, ranges, detailed = _pass3(spark, sf_dir)
+    return hdrs, lab, E.enhanced_records(lab, summaries, ranges, detailed, "2024-06-01T00:00:00+00:00")
+
+
+@register
+def state_clear(spark, sf_dir):
+    """K4: enhanced rows cleared for the members of one category."""
+    hdrs, lab, enhanced = _enhanced_now(spark, sf_dir)
+    store = _store(spark)
+    store.write("enhanced", enhanced)
+    store.delete_keys("enhanced", Sel.in_category(lab, "german").select("conv_id"))
+    return store.read("enhanced").select("conv_id")
+
+
+@register
+def enhanced_upsert(spark, sf_dir):
+    """K3: previous enhanced rows plus this run's work list."""
+    hdrs, lab, enhanced = _enhanced_now(spark, sf_dir)
+    store = _store(spark)
+    previous = enhanced.join(hdrs.where("message_count <= 5").select("conv_id"), "conv_id", "left_semi")
+    store.write("enhanced", previous)
+    work = E.enhance_worklist(lab, X.categories(spark), store.read("enhanced"))
+    store.upsert("enhanced", enhanced.join(work, "conv_id", "left_semi"), "conv_id")
+    return store.read("enhanced").select("conv_id", F.size("message_summaries").cast("bigint").alias("n_summaries"))
+
+
+@register
+def index_roundtrip(spark, sf_dir):
+    """K1 + S8: the merged parsed index written as its JSON document and
+    read back."""
+    merged = index_upsert(spark, sf_dir)
+    path = scratch_path(spark, "parsed-index") + ".json"
+    Tb.save_json_document(spark, Tb.parsed_index_json(merged, 4, "2024-06-01T00:00:00+00:00"), path)
+    return Tb.read_index(spark, path)
+
+
+@register
+def discovery_roundtrip(spark, sf_dir):
+    """K12 report write + S9 read of the merged suggestions."""
+    cats, _, _, merged = _explore(spark, sf_dir)
+    path = scratch_path(spark, "discovery") + ".json"
+    Tb.save_json_document(spark, Tb.discovery_json(merged, "stub", False, 50, [r[0] for r in X.CATEGORY_ROWS], "2024-06-01T00:00:00+00:00"), path)
+    back = Tb.read_discovery(spark, path)
+    return back.select("slug", "name", "description", joined("sample_titles").alias("sample_titles"), "count")
+
+
+@register
+def category_index_merge(spark, sf_dir):
+    """K8: this run's per-category stats win; a slug only in the previous
+    index is kept."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    new = S.category_index(lab, X.categories(spark))
+    legacy = spark.createDataFrame([("legacy", "Legacy", 3, 0.4), ("english", "English (old)", 1, 0.1)],
+                                   "slug string, name string, count bigint, avg_relevance double")
+    return Tb.merge_category_index(legacy, new)
+
+
+def _copy(spark, src, dst_dir):
+    jvm = spark._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    fs = Path(src).getFileSystem(conf)
+    fs.mkdirs(Path(dst_dir))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, Path(src), fs, Path(dst_dir), False, conf)
+
+
+@register
+def incremental_ingest(spark, sf_dir):
+    """Two availableNow runs; the second sees only the new file, whose
+    revised titles win."""
+    export_dir = _export_dir(spark, sf_dir)
+    source = scratch_path(spark, "landing")
+    store = _store(spark)
+    ckpt = scratch_path(spark, "stream-ckpt")
+    for name in ("export-0.json", "export-1.json"):
+        _copy(spark, f"{export_dir}/{name}", source)
+    Inc.ingest_stream(spark, source, store, ckpt, files_per_batch=1)
+    _copy(spark, f"{export_dir}/export-2.json", source)
+    Inc.ingest_stream(spark, source, store, ckpt, files_per_batch=1)
+    return store.read("parsed_index")
+
+
+@register
+def label_stream(spark, sf_dir):
+    """Keyword labelling of new conversations, skipping stored ones."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    store = _store(spark)
+    store.write("state", _state(spark, sf_dir))
+    source = scratch_path(spark, "headers-landing")
+    pool.write.parquet(source)
+    Inc.label_stream(spark, source, pool.schema.simpleString()[7:-1].replace(":", " "), msgs, X.categories(spark), store,
+                     scratch_path(spark, "label-ckpt"))
+    out = store.read("state")
+    return out.select("conv_id", joined("categories").alias("categories"), "summary", "relevance_score")

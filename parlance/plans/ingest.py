@@ -36,7 +36,11 @@ def dedup_last_wins(hdr: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(headers, messages) of an export file or directory."""
-    raw = S.read_export(spark, path, glob)
+    return ingest_raw(S.read_export(spark, path, glob))
+
+
+def ingest_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, messages) from raw records carrying ``file`` and ``file_pos``."""
     hdr = S.conversation_headers(raw)
     msgs = S.chat_messages(record_messages(hdr))
     counts = msgs.groupBy("rec").agg(F.count(F.lit(1)).alias("message_count"),
