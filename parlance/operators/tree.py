@@ -99,6 +99,10 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
     w = Window.partitionBy("conv_id").orderBy("path", "depth")
     simple_order = reach.select("conv_id", "node_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
 
+    # The exact branch starts Python workers; skip it when no conversation
+    # needs it (one cheap existence check on the in-degree table).
+    if complex_convs.limit(1).count() == 0:
+        return simple_order
     cn = nodes.join(complex_convs, "conv_id", "left_semi").select(
         F.col("conv_id").cast("string").alias("conv_id"), "node_id", "map_pos", "parent", "children")
     exact = cn.groupBy("conv_id").applyInPandas(_dfs_group, ORDER_SCHEMA)
