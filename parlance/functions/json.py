@@ -21,14 +21,14 @@ def extract_json(c) -> Column:
     cleaned = F.regexp_replace(col_(c), FENCE_BLOCK, "$1")
     start = F.instr(cleaned, "{")
     rest = F.when(start > 0, cleaned.substr(start, F.length(cleaned) - start + 1))
-    chars = F.split(rest, "")
+    chars = tokens(rest)
     folded = F.aggregate(
         chars,
         F.struct(F.lit(0).alias("d"), F.lit(False).alias("q"), F.lit(False).alias("e"),
                  F.lit(0).alias("n"), F.lit(0).alias("end")),
         _step,
     )
-    # Re-join the same pieces, so code points and split units always agree.
+    # Re-join the same pieces, so code points and token lengths never matter.
     return F.when(folded["end"] > 0, F.array_join(F.slice(chars, 1, folded["end"]), ""))
 
 
@@ -66,6 +66,17 @@ def is_int(v, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.variant_get(col_(v), path, "variant")).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit(False))
 
 
+# Structural characters are single tokens; everything between them is one
+# run token. A run never changes the scanner state (an escape only needs to
+# be cleared, whatever the escaped character is), so folding over tokens is
+# the character scan with about ten times fewer steps.
+TOKEN = r'[{}"\\]|[^{}"\\]+'
+
+
+def tokens(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(TOKEN), 0)
+
+
 def _object_end(chars: Column) -> Column:
     """Length (in split units) of the balanced object starting at chars[0]; 0 if it never closes."""
     folded = F.aggregate(
@@ -90,13 +101,13 @@ def response_text(raw) -> Column:
     the last character."""
     raw = col_(raw)
     body = php_trim(raw)
-    chars = F.split(body, "")
+    chars = tokens(body)
     is_object = body.startswith("{") & (_object_end(chars) == F.size(chars)) & F.try_parse_json(body).isNotNull()
     is_array = body.startswith("[") & body.endswith("]") & F.try_parse_json(body).isNotNull()
     whole_text = F.try_variant_get(F.try_parse_json(body), "$.response", "string")
     lines = F.filter(F.transform(F.split(raw, "\n"), lambda ln: php_trim(ln)), lambda ln: ln != "")
     parts = F.transform(lines, lambda ln: F.when(
-        ln.startswith("{") & (_object_end(F.split(ln, "")) == F.size(F.split(ln, ""))),
+        ln.startswith("{") & (_object_end(tokens(ln)) == F.size(tokens(ln))),
         F.try_variant_get(F.try_parse_json(ln), "$.response", "string")))
     combined = F.nullif(F.array_join(parts, ""), F.lit(""))
     return php_trim(F.when(is_object, whole_text).when(is_array, F.lit(None).cast("string")).otherwise(combined))

@@ -1,0 +1,60 @@
+"""Keyword labelling for large taxonomies (J7, scan form).
+
+With thousands of keywords an inlined lambda would test every keyword
+against every haystack. Here one Aho-Corasick automaton over all
+keywords finds every match in a single pass over the text. The automaton
+is built from the size-checked category table, shipped to the executors
+as a broadcast variable (its size is bounded by the taxonomy, not the
+data) and used inside ``mapInPandas`` over Arrow batches.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from parlance.operators.label import KEYWORD_SCORE, MAX_CATEGORIES
+
+SCHEMA = "conv_id {key}, categories array<string>, relevance_score double"
+
+
+def keyword_label_scan(hay: DataFrame, cats: DataFrame) -> DataFrame:
+    rows = cats.orderBy("cat_ord").select("slug", "keywords").limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    slugs = [r["slug"] for r in rows]
+    words: dict[str, list[int]] = {}
+    always: set[int] = set()
+    for i, r in enumerate(rows):
+        if r["slug"] == "other":
+            continue
+        for k in r["keywords"] or []:
+            k = k.lower()
+            if k == "":
+                always.add(i)          # an empty keyword matches every text
+            else:
+                words.setdefault(k, []).append(i)
+    spec = hay.sparkSession.sparkContext.broadcast((slugs, words, sorted(always)))
+    key_type = hay.schema["conv_id"].dataType.simpleString()
+
+    def scan(batches):
+        import ahocorasick
+        slugs_, words_, always_ = spec.value
+        auto = ahocorasick.Automaton()
+        for w, idx in words_.items():
+            auto.add_word(w, tuple(idx))
+        if words_:
+            auto.make_automaton()
+        for pdf in batches:
+            out = []
+            for text in pdf["haystack"]:
+                hit = set(always_)
+                if words_ and text:
+                    for _, idx in auto.iter(text):
+                        hit.update(idx)
+                labels = [slugs_[i] for i in sorted(hit)]
+                out.append(labels or ["other"])
+            yield pd.DataFrame({"conv_id": pdf["conv_id"], "categories": out,
+                                "relevance_score": [KEYWORD_SCORE] * len(pdf)})
+
+    return hay.select("conv_id", "haystack").mapInPandas(scan, SCHEMA.format(key=key_type))

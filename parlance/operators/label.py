@@ -52,7 +52,7 @@ def _category_literal(cats: DataFrame) -> tuple[Column, int]:
     return lit, n_kw
 
 
-def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame) -> DataFrame:
+def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame, method: str = "auto") -> DataFrame:
     """Categories whose keyword occurs in the lower-cased haystack, in
     category order, ``other`` excluded; none -> ['other']; score 0.5.
 
@@ -61,7 +61,7 @@ def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame) -> DataF
     and no join fan-out. Large keyword sets use a multi-pattern scan."""
     hay = haystacks(headers, msgs)
     lit, n_kw = _category_literal(cats)
-    if n_kw > MAX_INLINE_KEYWORDS:
+    if method == "scan" or (method == "auto" and n_kw > MAX_INLINE_KEYWORDS):
         from parlance.operators.keyword_scan import keyword_label_scan
         return keyword_label_scan(hay, cats)
     matched = F.transform(

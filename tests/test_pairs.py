@@ -28,3 +28,14 @@ def test_all_text_kept_in_order(spark):
     for _, u, a in got:
         texts += [t for t in u.split("\n\n") if t] + ([a] if a != "(no reply)" else [])
     assert texts == [f"{r}{i}" for i, r in enumerate(roles)]
+
+
+def test_keyword_scan_matches_inline(spark):
+    from parlance.catalog import _base
+    from parlance.operators.label import keyword_label
+    from parlance.sources import fixtures as X
+    msgs, hdrs = _base(spark, "/root/testdata/sf0.001")
+    cats = X.categories(spark)
+    a = {r.conv_id: list(r.categories) for r in keyword_label(hdrs, msgs, cats, "inline").collect()}
+    b = {r.conv_id: list(r.categories) for r in keyword_label(hdrs, msgs, cats, "scan").collect()}
+    assert a == b and len(a) > 0
