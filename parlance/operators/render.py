@@ -6,9 +6,11 @@ assembled in one task. They are produced as rows of blocks
 ``(doc, sort keys..., block)``: one header block plus one block per
 conversation. ``write_documents`` range-partitions by (doc, sort keys) and
 writes text parts whose concatenation in name order is the document, so a
-hot category is spread over many tasks. Per-conversation documents
-(transcripts, condensed text) are bounded by one conversation and use an
-ordered collect.
+hot category is spread over many tasks. Transcripts are written the same
+way (``transcript_blocks``); the assembled form (``transcripts``) is only
+used where a consumer needs the text as one value (ask prompts of three
+conversations). Condensed text collects only the head and tail parts that
+can reach its bounded output.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import (DATE_FMT, LONG_DATE_FMT, cap_text, comma_list, fmt_time, head_tail,
+from parlance.functions.text import (DATE_FMT, LONG_DATE_FMT, MIDDLE_MARKER, cap_text, comma_list, fmt_time,
                                      num_text, range_label, safe_name, stars)
 
 # Fixed display strings.
@@ -193,6 +195,19 @@ def transcripts(headers: DataFrame, msgs: DataFrame) -> DataFrame:
     return h.select("conv_id", name.alias("_name"), doc.alias("markdown"))
 
 
+def transcript_blocks(headers: DataFrame, msgs: DataFrame) -> DataFrame:
+    """K10 as block rows (conv_id, part, pos, block): the heading block and
+    one block per message; ``write_documents(..., doc_col="conv_id",
+    order=[part, pos])`` writes one document per conversation without ever
+    gathering a conversation in one task."""
+    head = headers.select(
+        "conv_id", F.lit(HEADER_ORDER).alias("part"), F.lit(-1).cast("bigint").alias("pos"),
+        lines(L(F.concat(F.lit("# "), F.col("title")), "",
+                F.concat(F.lit("_Created: "), fmt_time("create_time", LONG_DATE_FMT), F.lit("_")), "", "---", "")).alias("block"))
+    body = message_blocks(msgs).select("conv_id", F.lit(BODY_ORDER).alias("part"), F.col("pos").cast("bigint").alias("pos"), "block")
+    return head.unionByName(body.join(headers.select("conv_id"), "conv_id", "left_semi"))
+
+
 def transcript_file_names(t: DataFrame) -> DataFrame:
     """Quirk 8: suffix the id where a safe name collides."""
     dup = t.groupBy("_name").agg(F.count(F.lit(1)).alias("_n"))
@@ -205,14 +220,36 @@ def transcript_file_names(t: DataFrame) -> DataFrame:
 def condensed_text(headers: DataFrame, msgs: DataFrame, max_chars: int = 8000) -> DataFrame:
     """'# title\\n' then '[ROLE]: text\\n' per message (each cut at 1,500
     chars + marker), joined by newlines; longer than max_chars -> 60 % head +
-    marker + 35 % tail. The per-message cap is applied before the collect."""
+    marker + 35 % tail.
+
+    Only the parts that can reach the output are collected: every part has
+    at least 6 characters, so the head lies in the first ``max_chars``
+    parts and the tail in the last ``max_chars``; the total length comes
+    from an algebraic sum. A very long conversation therefore never has to
+    be gathered whole."""
+    from parlance.plans.ranks import grouped_rank
     parts = msgs.where(F.col("content") != "").select(
         "conv_id", "pos", F.concat(F.lit("["), F.upper("role"), F.lit("]: "), cap_text("content"), F.lit("\n")).alias("part"))
-    g = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("_p"))
+    ranked = grouped_rank(parts, ["conv_id"], [F.col("pos")], "_r")
+    totals = parts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("part")).alias("_len"))
+    k = max_chars
+    kept = ranked.join(totals, "conv_id").where((F.col("_r") <= k) | (F.col("_r") > F.col("_n") - k))
+    g = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_r", "part"))).alias("_p"),
+                                    F.first("_n").alias("_n"), F.first("_len").alias("_len"))
     h = headers.select("conv_id", "title").join(g, "conv_id", "left")
-    text = F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.col("title"), F.lit("\n"))),
-                                 F.transform(F.coalesce("_p", F.array()), lambda x: x["part"])), "\n")
-    return h.select("conv_id", head_tail(text, max_chars).alias("condensed"))
+    head_line = F.concat(F.lit("# "), F.col("title"), F.lit("\n"))
+    p = F.coalesce("_p", F.array())
+    n = F.coalesce("_n", F.lit(0))
+    first_k = F.transform(F.filter(p, lambda x: x["_r"] <= k), lambda x: x["part"])
+    last_k = F.transform(F.filter(p, lambda x: x["_r"] > n - k), lambda x: x["part"])
+    every = F.transform(p, lambda x: x["part"])
+    full_len = F.length(head_line) + n + F.coalesce("_len", F.lit(0))
+    head_n, tail_n = int(max_chars * 0.6), int(max_chars * 0.35)
+    head_src = F.array_join(F.concat(F.array(head_line), first_k), "\n")
+    tail_src = F.when(n <= 2 * k, F.array_join(F.concat(F.array(head_line), every), "\n")).otherwise(F.array_join(last_k, "\n"))
+    text = F.when(full_len <= max_chars, F.array_join(F.concat(F.array(head_line), every), "\n")).otherwise(
+        F.concat(F.substring(head_src, 1, head_n), F.lit(MIDDLE_MARKER), F.substring(tail_src, -tail_n, tail_n)))
+    return h.select("conv_id", text.alias("condensed"))
 
 
 # ---------------------------------------------------------------- document writer

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.plans.ranks import grouped_rank
+
 ORDER_SCHEMA = "conv_id string, node_id string, pos bigint"
 
 
@@ -96,8 +98,9 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
 
     # reachable: the chain ends at the chosen root (cycles never end)
     reach = state.where(F.col("anc").isNull() & (F.col("top") == F.col("root")))
-    w = Window.partitionBy("conv_id").orderBy("path", "depth")
-    simple_order = reach.select("conv_id", "node_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
+    simple_order = grouped_rank(reach.select("conv_id", "node_id", "path", "depth"), ["conv_id"],
+                                [F.col("path"), F.col("depth")], "_rank") \
+        .select("conv_id", "node_id", (F.col("_rank") - 1).alias("pos"))
 
     # The exact branch starts Python workers; skip it when no conversation
     # needs it (one cheap existence check on the in-degree table).

@@ -207,9 +207,11 @@ def transcribe(ws: Workspace, out_dir: str, conv_id=None) -> DataFrame:
     headers, msgs = ws.headers(), ws.messages()
     if conv_id is not None:
         headers, msgs = Sel.by_id(headers, conv_id), Sel.by_id(msgs, conv_id)
-    docs = R.transcript_file_names(R.transcripts(headers, msgs))
-    docs.select("file_name", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file_name").text(out_dir)
-    return docs
+    names = R.transcript_file_names(headers.select("conv_id", R.safe_name("title", "conv_id").alias("_name"),
+                                                   F.lit("").alias("markdown")))
+    blocks = R.transcript_blocks(headers, msgs).join(names.select("conv_id", "file_name"), "conv_id")
+    R.write_documents(blocks, out_dir, doc_col="file_name", order=[F.col("part"), F.col("pos")])
+    return names.select("conv_id", "file_name")
 
 
 # ---------------------------------------------------------------- explore

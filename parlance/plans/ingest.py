@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parlance.sources import export as S
 from parlance.operators.tree import linearise_tree
+from parlance.plans.ranks import grouped_rank
 
 
 def record_messages(hdr: DataFrame) -> DataFrame:
@@ -30,8 +31,11 @@ def dedup_last_wins(hdr: DataFrame) -> DataFrame:
     """Per conversation id keep the record from the last file; within a
     file the reference's newest-first order makes the oldest, then the
     later-positioned record win."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("file").desc(), F.col("create_time").asc(), F.col("file_pos").desc())
-    return hdr.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # max_by is algebraic: it pre-aggregates map-side, so an id repeated
+    # across many files never lands in one task.
+    winner = hdr.groupBy("conv_id").agg(F.max_by("file_pos", F.struct(
+        F.col("file"), (-F.col("create_time")).alias("t"), F.col("file_pos"))).alias("file_pos"))
+    return hdr.join(winner, ["conv_id", "file_pos"], "left_semi")
 
 
 def ingest(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
@@ -48,8 +52,8 @@ def ingest_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = hdr.select("conv_id", "title", "create_time", "update_time", "file", F.col("file_pos").alias("rec"),
                       F.col("file_pos")).join(counts.where("message_count >= 2"), "rec")
     winners = dedup_last_wins(kept)
-    w = Window.partitionBy("rec").orderBy("pos")
-    out_msgs = msgs.join(winners.select("rec", "conv_id"), "rec").select(
-        "conv_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"), "role", "content", "ts")
+    joined = msgs.join(winners.select("rec", "conv_id"), "rec")
+    out_msgs = grouped_rank(joined, ["rec"], [F.col("pos")], "_rank").select(
+        "conv_id", (F.col("_rank") - 1).alias("pos"), "role", "content", "ts")
     headers = winners.select("conv_id", "title", "create_time", "update_time", "message_count", "user_messages", "file")
     return headers, out_msgs

@@ -44,3 +44,26 @@ def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") ->
 def chunk_index(rank: Column, n: int) -> Column:
     """0-based chunk of ``n`` consecutive ranks."""
     return F.floor((rank - 1) / n).cast("bigint")
+
+
+# Largest group ranked inside one task with a plain window. Bigger groups
+# (one conversation holding a large share of all rows) are ranked through
+# the range-partitioned global rank, which splits them over many tasks.
+HOT_GROUP_ROWS = 2_000_000
+
+
+def grouped_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
+                 hot_rows: int | None = None) -> DataFrame:
+    """1-based rank inside each group (``order`` must be total within it).
+
+    One pre-aggregated count finds the largest group. When every group fits
+    one task this is ``row_number`` over a window; otherwise the rank is the
+    global rank over (group, order) minus the group's first global rank,
+    and AQE's skew-join handling splits the hot key in the final join."""
+    hot_rows = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= hot_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
+    ranked = with_global_rank(df, [F.col(g) for g in group] + order, "_g")
+    firsts = ranked.groupBy(*group).agg(F.min("_g").alias("_first"))
+    return ranked.join(firsts, group).withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")

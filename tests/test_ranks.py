@@ -20,3 +20,29 @@ def test_sample_positions(spark):
     got = [r.sample_pos for r in sample_positions(spark, n, s).orderBy("sample_ord").collect()]
     assert got == [min(int(i * n / s + 0.5), n - 1) for i in range(s)]
     assert len(set(got)) == s and got == sorted(got)
+
+
+def test_hot_group_path(spark, monkeypatch):
+    """Force the split path for every group; results must not change."""
+    from parlance.operators.pairs import message_pairs
+    from parlance.plans import ranks
+    rows = [(1, i, "user" if i % 3 else "assistant", f"t{i}") for i in range(50)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, pos long, role string, content string")
+    normal = sorted(message_pairs(df).collect())
+    monkeypatch.setattr(ranks, "HOT_GROUP_ROWS", 0)
+    split = sorted(message_pairs(df).collect())
+    assert normal == split and len(normal) > 10
+
+
+def test_condensed_long_conversation(spark):
+    """Bounded collect gives the same text as cutting the whole text."""
+    from parlance.functions.text import MIDDLE_MARKER
+    from parlance.operators.render import condensed_text
+    rows = [(1, i, "user" if i % 2 else "assistant", ("w%d " % i) * (i % 7 + 1)) for i in range(400)]
+    msgs = spark.createDataFrame(rows, "conv_id long, pos long, role string, content string")
+    hdr = spark.createDataFrame([(1, "Long one")], "conv_id long, title string")
+    full = "\n".join(["# Long one\n"] + [f"[{r[2].upper()}]: {r[3]}\n" for r in rows])
+    for m in (100, 600, 100000):
+        got = condensed_text(hdr, msgs, m).first().condensed
+        exp = full if len(full) <= m else full[: int(m * 0.6)] + MIDDLE_MARKER + full[-int(m * 0.35):]
+        assert got == exp, m
