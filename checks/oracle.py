@@ -557,16 +557,17 @@ def safe_sql(title: str, fallback: str) -> str:
 
 
 SQL["transcripts"] = with_(MESSAGES, HEADERS) + f"""
-, mb AS (
-  SELECT conv_id, pos,
-         {lines_sql("[CASE WHEN role = 'user' THEN '### 🧑 User' ELSE '### 🤖 Assistant' END]",
-                    when_list("ts > 0", "['_' || " + fmt_sql('ts', LONG) + " || '_']"),
-                    "['', content, '', '---', '']")} AS block
-  FROM messages)
-SELECT h.conv_id, {safe_sql('h.title', 'h.conv_id')} || '.md' AS file_name,
-       '# ' || h.title || chr(10) || chr(10) || '_Created: ' || {fmt_sql('h.create_time', LONG)} || '_' || chr(10) || chr(10) || '---' || chr(10)
-       || chr(10) || string_agg(mb.block, chr(10) ORDER BY mb.pos) AS markdown
-FROM headers h JOIN mb ON h.conv_id = mb.conv_id GROUP BY h.conv_id, h.title, h.create_time"""
+SELECT h.conv_id, 0 AS part, CAST(-1 AS BIGINT) AS pos,
+       '# ' || h.title || chr(10) || chr(10) || '_Created: ' || {fmt_sql('h.create_time', LONG)} || '_' || chr(10) || chr(10) || '---' || chr(10) AS block,
+       {safe_sql('h.title', 'h.conv_id')} || '.md' AS file_name
+FROM headers h
+UNION ALL
+SELECT m.conv_id, 1 AS part, m.pos,
+       {lines_sql("[CASE WHEN m.role = 'user' THEN '### 🧑 User' ELSE '### 🤖 Assistant' END]",
+                  when_list("m.ts > 0", "['_' || " + fmt_sql('m.ts', LONG) + " || '_']"),
+                  "['', m.content, '', '---', '']")} AS block,
+       {safe_sql('h.title', 'h.conv_id')} || '.md' AS file_name
+FROM messages m JOIN headers h ON m.conv_id = h.conv_id"""
 
 
 def condensed_sql(max_chars: int) -> str:
@@ -661,7 +662,10 @@ SQL["run_counts"] = with_(*FULL, DONE) + """
   FROM pool p)
 SELECT status, count(*) AS conversations FROM st GROUP BY status"""
 
-SQL["concat_ordered"] = with_(MESSAGES) + "SELECT conv_id, string_agg(content, chr(10) ORDER BY pos) AS text FROM messages GROUP BY conv_id"
+SQL["concat_ordered"] = with_(MESSAGES) + """
+SELECT conv_id, chunk, string_agg(content, chr(10) ORDER BY pos) AS text FROM (
+  SELECT conv_id, pos, content, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1) // 1000 AS BIGINT) AS chunk
+  FROM messages) GROUP BY conv_id, chunk"""
 
 SAMPLE = """ranked AS (SELECT conv_id, title, create_time, row_number() OVER (ORDER BY create_time DESC, conv_id) - 1 AS p FROM pool),
 cnt AS (SELECT count(*) AS n FROM ranked),

@@ -503,9 +503,12 @@ def enhanced_package(spark, sf_dir):
 
 @register
 def transcripts(spark, sf_dir):
-    """K10, F3, F8 + collision suffix: one Markdown document per conversation."""
+    """K10, F3, F8 + collision suffix: the block rows written as one
+    Markdown document per conversation (header block, then one block per
+    message in order)."""
     msgs, hdrs = _base(spark, sf_dir)
-    return R.transcript_file_names(R.transcripts(hdrs, msgs))
+    names = R.transcript_file_names(hdrs.select("conv_id", Tx.safe_name("title", "conv_id").alias("_name"), F.lit("").alias("markdown")))
+    return R.transcript_blocks(hdrs, msgs).join(names.select("conv_id", "file_name"), "conv_id")
 
 
 @register
@@ -629,10 +632,10 @@ def run_counts(spark, sf_dir):
 
 @register
 def concat_ordered(spark, sf_dir):
-    """All message texts of a conversation in order, newline-joined."""
+    """Message texts of a conversation in order, newline-joined, in
+    bounded chunks of consecutive messages."""
     msgs, _ = _base(spark, sf_dir)
-    g = msgs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("_m"))
-    return g.select("conv_id", F.array_join(F.transform("_m", lambda x: x["content"]), "\n").alias("text"))
+    return S.concat_ordered(msgs, "conv_id", "pos", "content", "\n")
 
 
 def _explore(spark, sf_dir):
