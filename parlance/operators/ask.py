@@ -76,7 +76,7 @@ def synthesis_prompts(partials: DataFrame, question: str, fan_in: int = FAN_IN,
     numbered = F.transform("_a", lambda x, i: F.concat(F.lit("**Answer "), (i + 1).cast("string"), F.lit(":**\n"), x["answer"], F.lit("\n")))
     prompt = F.concat(F.lit("### Partial Answers\n\n"), F.array_join(numbered, "\n"), F.lit("\n### Question\n\n" + question))
     return g.select(F.concat(F.lit(f"synth{level}:"), F.col("group").cast("string")).alias("prompt_id"),
-                    F.col("group").alias("batch"), F.size("_a").alias("n_answers"),
+                    F.col("group").alias("batch"), F.size("_a").cast("bigint").alias("n_answers"),
                     F.lit(SYNTHESIS_SYSTEM).alias("system"), prompt.alias("prompt"))
 
 
