@@ -27,3 +27,27 @@ def stub_model(pdf: pd.DataFrame) -> pd.Series:
         else:
             out.append(f"answer for {pid}")
     return pd.Series(out)
+
+
+CALLS: list = []
+
+
+def flaky_label_model(pdf: pd.DataFrame) -> pd.Series:
+    """Label stand-in that fails (raises) for every 10th conversation id."""
+    out = []
+    for pid in pdf["prompt_id"]:
+        cid = int(pid.split(":")[1])
+        if cid % 10 == 3:
+            raise RuntimeError(f"timeout {pid}")
+        out.append(json.dumps({"categories": ["english"], "tags": [f"t{cid}"], "summary": f"s{cid}",
+                               "key_facts": [], "relevance_score": (cid % 10) / 10}))
+    return pd.Series(out)
+
+
+def good_label_model(pdf: pd.DataFrame) -> pd.Series:
+    out = []
+    for pid in pdf["prompt_id"]:
+        cid = int(pid.split(":")[1])
+        out.append(json.dumps({"categories": ["english"], "tags": [f"t{cid}"], "summary": f"s{cid}",
+                               "key_facts": [], "relevance_score": (cid % 10) / 10}))
+    return pd.Series(out)
