@@ -102,21 +102,3 @@ def strip_boilerplate(c) -> Column:
 def cap_text(c, n: int = MESSAGE_CAP, marker: str = MESSAGE_CAP_MARKER) -> Column:
     c = col_(c)
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(marker))).otherwise(c)
-
-
-def head_tail(c, max_chars: int) -> Column:
-    """Keep 60 % head + marker + 35 % tail when longer than ``max_chars``."""
-    c = col_(c)
-    head = int(max_chars * 0.6)
-    tail = int(max_chars * 0.35)
-    return F.when(
-        F.length(c) > max_chars,
-        F.concat(F.substring(c, 1, head), F.lit(MIDDLE_MARKER), F.substring(c, -tail, tail)),
-    ).otherwise(c)
-
-
-def ordered_join(struct_col: Column, value_field: str, sep: str) -> Column:
-    """Join ``value_field`` of a collected array of structs after sorting it.
-
-    The struct's leading fields are the order keys (A11)."""
-    return F.array_join(F.transform(F.array_sort(struct_col), lambda x: x[value_field]), sep)

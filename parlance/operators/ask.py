@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import LONG_DATE_FMT, DATE_FMT, fmt_time
+from parlance.functions.text import DATE_FMT, fmt_time
 from parlance.operators import select as Sel
 from parlance.operators.render import transcripts
 from parlance.plans.ranks import chunk_index, with_global_rank
@@ -116,5 +116,3 @@ def answer_file_name(category: str | None, ts_compact: str) -> str:
     """K11 name: ``<category or ask>-answer-<timestamp>.md``."""
     return f"{category or 'ask'}-answer-{ts_compact}.md"
 
-
-__all__ = ["LONG_DATE_FMT"]

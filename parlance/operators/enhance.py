@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.json import is_int
 from parlance.functions.text import php_trim, range_label
 from parlance.operators.generate import cleaned_text, join_responses, parsed_json
-from parlance.operators.pairs import PAIR_BATCH, attach_one_liners, pair_chunks, range_key, range_slices
+from parlance.operators.pairs import PAIR_BATCH, attach_one_liners, pair_chunks, range_key, range_slices, valid_ranges
 
 EXPANSION_FAILED = "(Expansion failed for this range.)"
 def _empty():
@@ -100,10 +99,7 @@ def apply_flag_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     j = join_responses(prompts.select("prompt_id", "conv_id"), responses).withColumn("_obj", parsed_json("response"))
     items = j.where(F.col("_obj").isNotNull()).select(
         "conv_id", F.posexplode(F.coalesce(F.try_variant_get("_obj", "$.flagged", "array<variant>"), F.array())).alias("range_ord", "flag"))
-    return items.where(is_int("flag", "$.start") & is_int("flag", "$.end")).select(
-        "conv_id", F.col("range_ord").cast("bigint").alias("range_ord"),
-        F.variant_get("flag", "$.start", "bigint").alias("start"),
-        F.variant_get("flag", "$.end", "bigint").alias("end"))
+    return valid_ranges(items.withColumn("range_ord", F.col("range_ord").cast("bigint")))
 
 
 def expand_prompts(ranges: DataFrame, pairs: DataFrame, headers: DataFrame) -> DataFrame:

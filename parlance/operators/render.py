@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import (DATE_FMT, LONG_DATE_FMT, MIDDLE_MARKER, cap_text, comma_list, fmt_time,
+from parlance.functions.text import (LONG_DATE_FMT, MIDDLE_MARKER, cap_text, comma_list, fmt_time,
                                      num_text, range_label, safe_name, stars)
 
 # Fixed display strings.
@@ -273,5 +273,3 @@ def assemble(blocks: DataFrame, doc_col: str = "slug") -> DataFrame:
         "conv_id", "block"))).alias("_b"))
     return g.select(doc_col, F.array_join(F.transform("_b", lambda x: x["block"]), "\n").alias("content"))
 
-
-__all__ = ["DATE_FMT"]

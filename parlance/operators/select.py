@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.functions.text import fmt_time, php_trim
 
@@ -166,7 +165,3 @@ def state_rows(df: DataFrame) -> DataFrame:
         "conv_id", "title", fmt_time("create_time").alias("created"), fmt_time("update_time").alias("updated"),
         "message_count", "user_messages", "categories", "tags", "summary", "key_facts", "relevance_score")
 
-
-ANSWER_SOURCE_SCHEMA = T.StructType([
-    T.StructField("conv_id", T.StringType()), T.StructField("title", T.StringType()),
-    T.StructField("created", T.StringType())])

@@ -122,10 +122,6 @@ def state(spark: SparkSession, sf_dir: str, hdrs: DataFrame | None = None,
 # response tables are derived from the data (FIXTURES.md section 3) and the
 # DuckDB oracle can state the expected parse result independently.
 
-def _s(c):
-    return F.col(c).cast("string")
-
-
 def _fence(body, cond):
     return F.when(cond, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
 

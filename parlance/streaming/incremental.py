@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators import label as L
-from parlance.operators.select import hydrate, index_rows, state_rows
+from parlance.operators.select import index_rows, state_rows
 from parlance.plans.ingest import ingest_raw
 from parlance.sources.export import RAW_SCHEMA
 from parlance.sources.tables import TableStore
@@ -78,5 +78,3 @@ def label_stream(spark: SparkSession, source_dir: str, schema: str, msgs: DataFr
          .foreachBatch(apply).start())
     q.awaitTermination()
 
-
-__all__ = ["ingest_stream", "label_stream", "hydrate"]
