@@ -9,22 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values that must equal the reference for identical output.
-# The character set the reference's trim() removes: space, tab, newline,
-# carriage return, NUL and vertical tab.
-TRIM_CHARS = " \t\n\r\x00\x0b"
-# Date patterns: "Y-m-d H:i" for state rows and tables, "d M Y H:i" for
-# transcripts and answer sources.
-DATE_FMT = "yyyy-MM-dd HH:mm"
-LONG_DATE_FMT = "dd MMM yyyy HH:mm"
-# Snippet width and marker used in pair digests.
-SNIPPET_WIDTH = 80
-ELLIPSIS = "…"
-STAR = "★"
-# Per-message cap and markers used in condensed text.
-MESSAGE_CAP = 1500
-MESSAGE_CAP_MARKER = " [...]"
-MIDDLE_MARKER = "\n\n[... middle truncated ...]\n\n"
+from parlance.functions.formats import (  # noqa: F401  (re-exported)
+    DATE_FMT, ELLIPSIS, LONG_DATE_FMT, MESSAGE_CAP, MESSAGE_CAP_MARKER, MIDDLE_MARKER, SNIPPET_WIDTH, STAR,
+    TRIM_CHARS)
 
 
 def col_(c) -> Column:

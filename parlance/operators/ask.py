@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.formats import ASK_BATCH, ASK_TITLE, GENERATED_LINE, RULE, SOURCE_MID, SOURCE_OPEN, SOURCES
 from parlance.functions.text import DATE_FMT, fmt_time
 from parlance.operators import select as Sel
 from parlance.operators.render import transcripts
 from parlance.plans.ranks import chunk_index, with_global_rank
 
-ASK_BATCH = 3
 FAN_IN = 1000
 
 ASK_SYSTEM = (
@@ -105,10 +105,10 @@ def answer_document_blocks(question: str, answer: DataFrame, sources: DataFrame,
     newline they form the document."""
     head = answer.select(
         F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("pool_rank"),
-        F.concat(F.lit(f"# Ask: {question}\n\n_Generated: {generated_at_long}_\n\n---\n\n"), F.col("answer"),
-                 F.lit("\n\n---\n\n## Sources\n")).alias("block"))
+        F.concat(F.lit(ASK_TITLE + question + "\n\n" + GENERATED_LINE + generated_at_long + "_\n\n" + RULE + "\n\n"), F.col("answer"),
+                 F.lit("\n\n" + RULE + "\n\n" + SOURCES + "\n")).alias("block"))
     src = sources.select(F.lit(1).alias("part"), "pool_rank",
-                         F.concat(F.lit("- **"), F.col("title"), F.lit("** ("), F.col("created"), F.lit(")")).alias("block"))
+                         F.concat(F.lit(SOURCE_OPEN), F.col("title"), F.lit(SOURCE_MID), F.col("created"), F.lit(")")).alias("block"))
     return head.unionByName(src)
 
 

@@ -9,11 +9,7 @@ from parlance.functions.text import fmt_time
 from parlance.operators.generate import join_responses, parsed_json
 from parlance.operators.sample import chunked, stratified_sample
 
-# Keyword stop words (F15) and explore defaults.
-STOP_WORDS = ["and", "the", "of", "in", "for", "a", "an", "to", "with", "&", "/"]
-EXPLORE_SAMPLE = 50
-EXPLORE_BATCH = 5
-EXPLORE_CHARS = 600
+from parlance.functions.formats import EXPLORE_BATCH, EXPLORE_CHARS, EXPLORE_SAMPLE, STOP_WORDS
 
 EXPLORE_SYSTEM = (
     "Suggest topic categories that the listed conversations share and that the existing list does not "

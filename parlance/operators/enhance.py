@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.formats import EXCHANGES, EXPANSION_FAILED
 from parlance.functions.text import php_trim, range_label
 from parlance.operators.generate import cleaned_text, join_responses, parsed_json
 from parlance.operators.pairs import PAIR_BATCH, attach_one_liners, pair_chunks, range_key, range_slices, valid_ranges
 
-EXPANSION_FAILED = "(Expansion failed for this range.)"
 def _empty():
     return F.array().cast("array<string>")
 
@@ -225,4 +225,4 @@ def enhanced_records(labelled: DataFrame, summaries: DataFrame, ranges: DataFram
 
 def range_heading(key):
     """display heading for a "s-e" key."""
-    return F.concat(F.lit("### Exchanges "), range_label(key))
+    return F.concat(F.lit(EXCHANGES), range_label(key))

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import clamp01
 
-KEYWORD_SCORE = 0.5
-FIRST_USER_MESSAGES = 5
-MAX_TAGS = 10
+from parlance.functions.formats import FIRST_USER_MESSAGES, KEYWORD_SCORE, MAX_TAGS  # noqa: E402
 # Largest taxonomy inlined into the plan as a literal; larger keyword sets
 # go through the Aho-Corasick scan (mapInPandas) instead.
 MAX_INLINE_KEYWORDS = 2000

@@ -10,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.formats import NO_REPLY, NO_SUMMARY, PAIR_BATCH, USER_JOIN
 from parlance.functions.text import snippet
 from parlance.plans.ranks import grouped_rank
 
-NO_REPLY = "(no reply)"
-NO_SUMMARY = "(no summary)"
-USER_JOIN = "\n\n"
-PAIR_BATCH = 3
 
 
 def message_pairs(msgs: DataFrame) -> DataFrame:

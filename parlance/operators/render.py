@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from parlance.functions.text import (LONG_DATE_FMT, MIDDLE_MARKER, cap_text, comma_list, fmt_time,
                                      num_text, range_label, safe_name, stars)
 
-# Fixed display strings.
-USER_HEADING = "### 🧑 User"
-ASSISTANT_HEADING = "### 🤖 Assistant"
+from parlance.functions.formats import (
+    ASSISTANT_HEADING, CELL_END, CONTEXT_TITLE, CONVERSATIONS, CREATED_LINE, DATE, DEEP_DIVE, DIGEST, ENHANCED_TITLE,
+    EXCHANGES, EXPORTED, FROM_USER, GENERATED, H1, H2, KEY_FACTS, KEY_FACTS_DECISIONS, KEY_FACTS_ENHANCED, MESSAGES,
+    MIN_RELEVANCE, RELEVANCE, ROW_CATEGORIES, ROW_CREATED, ROW_MESSAGES, ROW_RELEVANCE, ROW_TAGS, ROW_UPDATED, RULE,
+    SUMMARY, TABLE_HEAD, TABLE_RULE, TAGS, UPDATED, USER_HEADING)
+
 HEADER_ORDER = 0
 BODY_ORDER = 1
 
@@ -53,25 +56,25 @@ def category_markdown_blocks(labelled: DataFrame, cats: DataFrame, generated_at:
     body = members.select(
         "slug", F.lit(BODY_ORDER).alias("part"), "relevance_score", "create_time", "conv_id",
         lines(
-            L(F.concat(F.lit("## "), F.col("title")), "", "| Field | Value |", "|-------|-------|",
-              F.concat(F.lit("| Created | "), fmt_time("create_time"), F.lit(" |")),
-              F.concat(F.lit("| Updated | "), fmt_time("update_time"), F.lit(" |")),
-              F.concat(F.lit("| Messages | "), F.col("message_count").cast("string"), F.lit(" ("),
-                       F.col("user_messages").cast("string"), F.lit(" from user) |")),
-              F.concat(F.lit("| Relevance | "), num_text("relevance_score"), F.lit(" "), stars("relevance_score"), F.lit(" |")),
-              F.concat(F.lit("| Categories | "), comma_list("categories"), F.lit(" |"))),
-            when_lines(F.size("tags") > 0, L(F.concat(F.lit("| Tags | "), comma_list("tags"), F.lit(" |")))),
+            L(F.concat(F.lit(H2), F.col("title")), "", TABLE_HEAD, TABLE_RULE,
+              F.concat(F.lit(ROW_CREATED), fmt_time("create_time"), F.lit(CELL_END)),
+              F.concat(F.lit(ROW_UPDATED), fmt_time("update_time"), F.lit(CELL_END)),
+              F.concat(F.lit(ROW_MESSAGES), F.col("message_count").cast("string"), F.lit(" ("),
+                       F.col("user_messages").cast("string"), F.lit(FROM_USER)),
+              F.concat(F.lit(ROW_RELEVANCE), num_text("relevance_score"), F.lit(" "), stars("relevance_score"), F.lit(CELL_END)),
+              F.concat(F.lit(ROW_CATEGORIES), comma_list("categories"), F.lit(CELL_END))),
+            when_lines(F.size("tags") > 0, L(F.concat(F.lit(ROW_TAGS), comma_list("tags"), F.lit(CELL_END)))),
             L(""),
-            when_lines(F.col("summary") != "", L(F.concat(F.lit("**Summary**: "), F.col("summary")), "")),
-            when_lines(F.size("key_facts") > 0, F.concat(L("**Key facts**:"), fact_lines("key_facts"), L(""))),
-            L("---", ""),
+            when_lines(F.col("summary") != "", L(F.concat(F.lit(SUMMARY), F.col("summary")), "")),
+            when_lines(F.size("key_facts") > 0, F.concat(L(KEY_FACTS), fact_lines("key_facts"), L(""))),
+            L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
     header = counts.join(F.broadcast(cats.select("slug", "name")), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
-        lines(L(F.concat(F.lit("# "), F.col("name")), "", f"Exported: {generated_at}",
-                F.concat(F.lit("Conversations: "), F.col("n").cast("string")), "", "---", "")).alias("block"))
+        lines(L(F.concat(F.lit(H1), F.col("name")), "", EXPORTED + generated_at,
+                F.concat(F.lit(CONVERSATIONS), F.col("n").cast("string")), "", RULE, "")).alias("block"))
     return header.unionByName(body)
 
 
@@ -110,21 +113,21 @@ def context_package_blocks(labelled: DataFrame, cats: DataFrame, min_rel: float,
     body = kept.select(
         "slug", F.lit(BODY_ORDER).alias("part"), "relevance_score", "create_time", "conv_id",
         lines(
-            L(F.concat(F.lit("## "), F.col("title")), "",
-              F.concat(F.lit("**Date**: "), fmt_time("create_time"), F.lit(" | **Relevance**: "), num_text("relevance_score"),
-                       F.lit(" | **Messages**: "), F.col("message_count").cast("string")), ""),
-            when_lines(F.col("summary") != "", L(F.concat(F.lit("**Summary**: "), F.col("summary")), "")),
-            when_lines(F.size("key_facts") > 0, F.concat(L("**Key facts & decisions**:"), fact_lines("key_facts"), L(""))),
-            when_lines(F.size("tags") > 0, L(F.concat(F.lit("**Tags**: "), comma_list("tags")), "")),
-            L("---", ""),
+            L(F.concat(F.lit(H2), F.col("title")), "",
+              F.concat(F.lit(DATE), fmt_time("create_time"), F.lit(RELEVANCE), num_text("relevance_score"),
+                       F.lit(MESSAGES), F.col("message_count").cast("string")), ""),
+            when_lines(F.col("summary") != "", L(F.concat(F.lit(SUMMARY), F.col("summary")), "")),
+            when_lines(F.size("key_facts") > 0, F.concat(L(KEY_FACTS_DECISIONS), fact_lines("key_facts"), L(""))),
+            when_lines(F.size("tags") > 0, L(F.concat(F.lit(TAGS), comma_list("tags")), "")),
+            L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count_if(F.col("relevance_score") >= min_rel).alias("n"))
     header = counts.join(F.broadcast(cats.select("slug", "name")), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
-        lines(L(F.concat(F.lit("# Context Package: "), F.col("name")), "", f"Generated: {generated_at}",
-                F.concat(F.lit("Conversations: "), F.col("n").cast("string")),
-                f"Minimum relevance: {_php_float(min_rel)}", "", "---", "")).alias("block"))
+        lines(L(F.concat(F.lit(CONTEXT_TITLE), F.col("name")), "", GENERATED + generated_at,
+                F.concat(F.lit(CONVERSATIONS), F.col("n").cast("string")),
+                MIN_RELEVANCE + _php_float(min_rel), "", RULE, "")).alias("block"))
     return header.unionByName(body)
 
 
@@ -144,28 +147,28 @@ def enhanced_package_blocks(labelled: DataFrame, enhanced: DataFrame, cats: Data
     digest = F.transform(F.coalesce("message_summaries", F.array()), lambda s: F.concat(
         (s["pair_index"] + 1).cast("string"), F.lit(". "), s["one_liner"]))
     deep = F.flatten(F.transform(F.map_entries(F.coalesce("detailed_summaries", F.create_map().cast("map<string,string>"))),
-                                 lambda e: F.array(F.concat(F.lit("### Exchanges "), range_label(e["key"])), F.lit(""), e["value"], F.lit(""))))
+                                 lambda e: F.array(F.concat(F.lit(EXCHANGES), range_label(e["key"])), F.lit(""), e["value"], F.lit(""))))
     body = kept.select(
         "slug", F.lit(BODY_ORDER).alias("part"), "relevance_score", "create_time", "conv_id",
         lines(
-            L(F.concat(F.lit("## "), F.col("title")), "",
-              F.concat(F.lit("**Date**: "), fmt_time("create_time"), F.lit(" | **Updated**: "), fmt_time("update_time"),
-                       F.lit(" | **Relevance**: "), num_text("relevance_score"), F.lit(" | **Messages**: "),
+            L(F.concat(F.lit(H2), F.col("title")), "",
+              F.concat(F.lit(DATE), fmt_time("create_time"), F.lit(UPDATED), fmt_time("update_time"),
+                       F.lit(RELEVANCE), num_text("relevance_score"), F.lit(MESSAGES),
                        F.col("message_count").cast("string")), ""),
-            when_lines(F.col("digest_summary") != "", L(F.concat(F.lit("**Summary**: "), F.col("digest_summary")), "")),
-            when_lines(F.size("digest_facts") > 0, F.concat(L("**Key Facts & Decisions**:"), fact_lines("digest_facts"), L(""))),
-            when_lines(F.size("tags") > 0, L(F.concat(F.lit("**Tags**: "), comma_list("tags")), "")),
-            when_lines(F.size(digest) > 0, F.concat(L("**Conversation Digest** *(message-pair one-liners)*:", ""), digest, L(""))),
-            when_lines(F.size(deep) > 0, F.concat(L("**Deep-Dive Sections**:", ""), deep)),
-            L("---", ""),
+            when_lines(F.col("digest_summary") != "", L(F.concat(F.lit(SUMMARY), F.col("digest_summary")), "")),
+            when_lines(F.size("digest_facts") > 0, F.concat(L(KEY_FACTS_ENHANCED), fact_lines("digest_facts"), L(""))),
+            when_lines(F.size("tags") > 0, L(F.concat(F.lit(TAGS), comma_list("tags")), "")),
+            when_lines(F.size(digest) > 0, F.concat(L(DIGEST, ""), digest, L(""))),
+            when_lines(F.size(deep) > 0, F.concat(L(DEEP_DIVE, ""), deep)),
+            L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count_if(F.col("relevance_score") >= min_rel).alias("n"))
     header = counts.join(F.broadcast(cats.select("slug", "name")), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
-        lines(L(F.concat(F.lit("# Enhanced Context Package: "), F.col("name")), "", f"Generated: {generated_at}",
-                F.concat(F.lit("Conversations: "), F.col("n").cast("string")),
-                f"Minimum relevance: {_php_float(min_rel)}", "", "---", "")).alias("block"))
+        lines(L(F.concat(F.lit(ENHANCED_TITLE), F.col("name")), "", GENERATED + generated_at,
+                F.concat(F.lit(CONVERSATIONS), F.col("n").cast("string")),
+                MIN_RELEVANCE + _php_float(min_rel), "", RULE, "")).alias("block"))
     return header.unionByName(body)
 
 
@@ -177,7 +180,7 @@ def message_blocks(msgs: DataFrame) -> DataFrame:
         "conv_id", "pos",
         lines(L(heading),
               when_lines(F.col("ts") > 0, L(F.concat(F.lit("_"), fmt_time("ts", LONG_DATE_FMT), F.lit("_")))),
-              L("", F.col("content"), "", "---", "")).alias("block"))
+              L("", F.col("content"), "", RULE, "")).alias("block"))
 
 
 def transcripts(headers: DataFrame, msgs: DataFrame) -> DataFrame:
@@ -187,8 +190,8 @@ def transcripts(headers: DataFrame, msgs: DataFrame) -> DataFrame:
     blocks = message_blocks(msgs).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_b"))
     h = headers.select("conv_id", "title", "create_time").join(blocks, "conv_id", "left")
-    head = lines(L(F.concat(F.lit("# "), F.col("title")), "",
-                   F.concat(F.lit("_Created: "), fmt_time("create_time", LONG_DATE_FMT), F.lit("_")), "", "---", ""))
+    head = lines(L(F.concat(F.lit(H1), F.col("title")), "",
+                   F.concat(F.lit(CREATED_LINE), fmt_time("create_time", LONG_DATE_FMT), F.lit("_")), "", RULE, ""))
     body = F.transform(F.coalesce("_b", F.array()), lambda x: x["block"])
     doc = F.array_join(F.concat(F.array(head), body), "\n")
     name = safe_name("title", "conv_id")
@@ -202,8 +205,8 @@ def transcript_blocks(headers: DataFrame, msgs: DataFrame) -> DataFrame:
     gathering a conversation in one task."""
     head = headers.select(
         "conv_id", F.lit(HEADER_ORDER).alias("part"), F.lit(-1).cast("bigint").alias("pos"),
-        lines(L(F.concat(F.lit("# "), F.col("title")), "",
-                F.concat(F.lit("_Created: "), fmt_time("create_time", LONG_DATE_FMT), F.lit("_")), "", "---", "")).alias("block"))
+        lines(L(F.concat(F.lit(H1), F.col("title")), "",
+                F.concat(F.lit(CREATED_LINE), fmt_time("create_time", LONG_DATE_FMT), F.lit("_")), "", RULE, "")).alias("block"))
     body = message_blocks(msgs).select("conv_id", F.lit(BODY_ORDER).alias("part"), F.col("pos").cast("bigint").alias("pos"), "block")
     return head.unionByName(body.join(headers.select("conv_id"), "conv_id", "left_semi"))
 
@@ -237,7 +240,7 @@ def condensed_text(headers: DataFrame, msgs: DataFrame, max_chars: int = 8000) -
     g = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_r", "part"))).alias("_p"),
                                     F.first("_n").alias("_n"), F.first("_len").alias("_len"))
     h = headers.select("conv_id", "title").join(g, "conv_id", "left")
-    head_line = F.concat(F.lit("# "), F.col("title"), F.lit("\n"))
+    head_line = F.concat(F.lit(H1), F.col("title"), F.lit("\n"))
     p = F.coalesce("_p", F.array())
     n = F.coalesce("_n", F.lit(0))
     first_k = F.transform(F.filter(p, lambda x: x["_r"] <= k), lambda x: x["part"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.formats import NO_SUMMARY_AVAILABLE, STUB_FACTS, STUB_SUMMARY, STUB_TAGS
 from parlance.functions.text import fmt_time, php_trim
 
 def _empty():
@@ -132,11 +133,11 @@ def stub_conversations(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Headers and one synthetic assistant message per state row, made
     of summary, key facts and tags, or '(no summary available)'."""
     facts = F.when(F.size("key_facts") > 0, F.concat(
-        F.lit("**Key facts:**\n"),
+        F.lit(STUB_FACTS + "\n"),
         F.array_join(F.transform("key_facts", lambda f: F.concat(F.lit("- "), f, F.lit("\n"))), ""),
         F.lit("\n"))).otherwise(F.lit(""))
-    summary = F.when(F.col("summary") != "", F.concat(F.lit("**Summary:** "), F.col("summary"), F.lit("\n\n"))).otherwise(F.lit(""))
-    tags = F.when(F.size("tags") > 0, F.concat(F.lit("**Tags:** "), F.array_join("tags", ", "), F.lit("\n"))).otherwise(F.lit(""))
+    summary = F.when(F.col("summary") != "", F.concat(F.lit(STUB_SUMMARY), F.col("summary"), F.lit("\n\n"))).otherwise(F.lit(""))
+    tags = F.when(F.size("tags") > 0, F.concat(F.lit(STUB_TAGS), F.array_join("tags", ", "), F.lit("\n"))).otherwise(F.lit(""))
     text = F.concat(summary, facts, tags)
     to_epoch = lambda c: F.unix_timestamp(F.col(c), "yyyy-MM-dd HH:mm").cast("double")
     headers = state.select(
@@ -146,7 +147,7 @@ def stub_conversations(state: DataFrame) -> tuple[DataFrame, DataFrame]:
         "categories", "tags", "summary", "key_facts", F.coalesce(F.col("relevance_score").cast("double"), F.lit(0.5)).alias("relevance_score"))
     msgs = state.select(
         "conv_id", F.lit(0).cast("bigint").alias("pos"), F.lit("assistant").alias("role"),
-        F.when(text != "", text).otherwise(F.lit("(no summary available)")).alias("content"),
+        F.when(text != "", text).otherwise(F.lit(NO_SUMMARY_AVAILABLE)).alias("content"),
         F.lit(0.0).alias("ts"))
     return headers, msgs
 

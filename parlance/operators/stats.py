@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import fmt_time
 
-# Fixed relevance-histogram bins: label and upper bound (exclusive; the last
-# bin takes everything from 0.8 up).
-HISTOGRAM_BINS = [("0.0-0.2", 0.2), ("0.2-0.4", 0.4), ("0.4-0.6", 0.6), ("0.6-0.8", 0.8), ("0.8-1.0", None)]
-HIGH_RELEVANCE = 0.7
+# Histogram bins: label and exclusive upper bound (the last bin takes the rest).
+from parlance.functions.formats import HIGH_RELEVANCE, HISTOGRAM_BINS  # noqa: E402
 
 
 def message_counts(msgs: DataFrame, min_messages: int | None = None,
