@@ -78,16 +78,17 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``parlance`` importable on the executors' Python workers (for the
-    mapInPandas / applyInPandas steps) by adding it as a zip with
-    ``addPyFile``, once per application. Deployments that already ship the
-    package with ``--py-files`` lose nothing."""
+    """Local mode: make ``parlance`` importable on the Python workers (for
+    the mapInPandas / applyInPandas steps) by adding it as a zip with
+    ``addPyFile``, once per application. On a cluster the package is shipped
+    the usual way (``--py-files`` / ``spark.submit.pyFiles``), so nothing is
+    written to a machine-local folder there."""
     import zipfile
 
     import parlance
 
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not (sc.master or "").startswith("local"):
         return
     pkg = os.path.dirname(os.path.abspath(parlance.__file__))
     root = os.path.dirname(pkg)
