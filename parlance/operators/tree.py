@@ -60,12 +60,19 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
     nodes. ``nodes`` needs conv_id, node_id, map_pos, parent, children."""
     nodes = nodes.select("conv_id", "node_id", "map_pos", "parent", "children")
     root = roots(nodes)
+    # Edges carry the conversation's root and a "complex" flag (some node
+    # listed by two parents); computed once and stored, every later step
+    # reads the stored edges.
     e = edges(nodes, root)
     indeg = e.groupBy("conv_id", "dst").agg(F.count(F.lit(1)).alias("n"))
     complex_convs = indeg.where("n > 1").select("conv_id").distinct()
-    simple_e = e.join(complex_convs, "conv_id", "left_anti")
+    e = e.join(complex_convs.withColumn("_complex", F.lit(True)), "conv_id", "left") \
+        .withColumn("_complex", F.coalesce("_complex", F.lit(False))).checkpoint(eager=True)
+    has_complex = e.where("_complex").limit(1).count() > 0
+    complex_convs = e.where("_complex").select("conv_id").distinct()
+    simple_e = e.where(~F.col("_complex")).drop("_complex")
     fanout = simple_e.groupBy("conv_id", "src").agg(F.count(F.lit(1)).alias("fanout"))
-    simple_nodes = nodes.join(complex_convs, "conv_id", "left_anti").join(root, "conv_id")
+    simple_nodes = (nodes.join(complex_convs, "conv_id", "left_anti") if has_complex else nodes).join(root, "conv_id")
 
     # initial pointers: each node's unique listing parent
     up = simple_e.join(fanout, ["conv_id", "src"]).select(
@@ -78,7 +85,7 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
         F.when(F.col("anc").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
 
     if max_rounds is None:
-        biggest = simple_nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
+        biggest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
         max_rounds = max(1, math.ceil(math.log2(max(biggest, 2)))) + 1
     state = state.checkpoint(eager=True)
     for _ in range(max_rounds):
@@ -103,8 +110,8 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
         .select("conv_id", "node_id", (F.col("_rank") - 1).alias("pos"))
 
     # The exact branch starts Python workers; skip it when no conversation
-    # needs it (one cheap existence check on the in-degree table).
-    if complex_convs.limit(1).count() == 0:
+    # needs it.
+    if not has_complex:
         return simple_order
     cn = nodes.join(complex_convs, "conv_id", "left_semi").select(
         F.col("conv_id").cast("string").alias("conv_id"), "node_id", "map_pos", "parent", "children")

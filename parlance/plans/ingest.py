@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parlance.sources import export as S
 from parlance.operators.tree import linearise_tree
+from parlance.plans.materialize import materialize
 from parlance.plans.ranks import grouped_rank
 
 
@@ -44,7 +45,12 @@ def ingest(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFr
 
 
 def ingest_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, messages) from raw records carrying ``file`` and ``file_pos``."""
+    """(headers, messages) from raw records carrying ``file`` and ``file_pos``.
+
+    The records are written once as parquet (VARIANT content included): the
+    JSON files are parsed a single time and every later step, including the
+    pointer-doubling rounds, reads columnar data."""
+    raw = materialize(raw, "raw-records")
     hdr = S.conversation_headers(raw)
     msgs = S.chat_messages(record_messages(hdr))
     counts = msgs.groupBy("rec").agg(F.count(F.lit(1)).alias("message_count"),
