@@ -888,3 +888,6 @@ SELECT conv_id, array_to_string(categories, '|') AS categories, summary, relevan
 UNION ALL
 SELECT p.conv_id, array_to_string(k.categories, '|') AS categories, '' AS summary, 0.5::DOUBLE AS relevance_score
 FROM pool p JOIN kwlabels k ON p.conv_id = k.conv_id WHERE p.conv_id NOT IN (SELECT conv_id FROM state)"""
+
+SQL["index_by_created"] = "WITH upserted AS (" + SQL["index_upsert"].replace("WITH ", "WITH ", 1) + """)
+SELECT row_number() OVER (ORDER BY created DESC, id) AS position, id, created, title FROM upserted"""

@@ -1027,3 +1027,11 @@ def prepare(spark: SparkSession, sf_dir: str) -> None:
     _export_dir(spark, sf_dir)
     _pass3(spark, sf_dir)
     _explore(spark, sf_dir)
+
+
+@register
+def index_by_created(spark, sf_dir):
+    """O3 + K1: the merged parsed index newest-first by the ``created``
+    text (ties by id), numbered with the offset-based global rank."""
+    merged = index_upsert(spark, sf_dir)
+    return with_global_rank(merged, [F.col("created").desc(), F.col("id")], "position").select("position", "id", "created", "title")

@@ -38,3 +38,27 @@ def test_rerun_redoes_only_failures(spark):
     key = lambda r: (r["conv_id"], tuple(r["categories"]), tuple(r["tags"]), r["summary"], r["relevance_score"])
     assert sorted(map(key, ws_a.state().collect())) == sorted(map(key, ws_b.state().collect()))
     assert L.model_done(ws_a.state()).count() == ws_a.state().count()
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
+def test_label_stream_with_model(spark):
+    """T2 model branch: failed rows are not stored; a later run retries them."""
+    from checks.stub_model import flaky_label_model
+    from parlance.catalog import _base
+    from parlance.plans.materialize import materialize
+    from parlance.session import scratch_path
+    from parlance.sources import fixtures as X
+    from parlance.sources.tables import TableStore
+    from parlance.streaming import incremental as Inc
+
+    msgs, hdrs = _base(spark, SF)
+    pool = hdrs.where("message_count >= 4")
+    store = TableStore(spark, scratch_path(spark, "t2-store"))
+    source = scratch_path(spark, "t2-source")
+    pool.write.parquet(source)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema.fields)
+    Inc.label_stream(spark, source, schema, msgs, X.categories(spark), store, scratch_path(spark, "t2-ckpt"),
+                     model=flaky_label_model)
+    stored = {r.conv_id for r in store.read("state").collect()}
+    expected = {r.conv_id for r in pool.collect() if r.conv_id % 10 != 3}
+    assert stored == expected and len(stored) > 0
