@@ -46,3 +46,24 @@ def test_condensed_long_conversation(spark):
         got = condensed_text(hdr, msgs, m).first().condensed
         exp = full if len(full) <= m else full[: int(m * 0.6)] + MIDDLE_MARKER + full[-int(m * 0.35):]
         assert got == exp, m
+
+
+def test_histogram_bins_sum(spark):
+    """Bin counts sum to the rows with a positive score; five bins."""
+    import random
+    from parlance.operators.stats import relevance_histogram
+    rng = random.Random(5)
+    scores = [round(rng.choice([0.0, rng.random(), 0.2, 0.4, 0.6, 0.8, 1.0]), 3) for _ in range(300)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "conv_id long, relevance_score double")
+    rows = relevance_histogram(df).collect()
+    assert len(rows) == 5 and sum(r.conversations for r in rows) == sum(1 for s in scores if s > 0)
+    empty = spark.createDataFrame([(1, 0.0)], "conv_id long, relevance_score double")
+    assert relevance_histogram(empty).count() == 0
+
+
+def test_sample_sizes(spark):
+    """Exactly s distinct, increasing positions for any n > s."""
+    from parlance.operators.sample import sample_positions
+    for n, s in [(11, 10), (77, 10), (1000, 50), (51, 50), (7, 3)]:
+        got = [r.sample_pos for r in sample_positions(spark, n, s).orderBy("sample_ord").collect()]
+        assert len(got) == s and got == sorted(set(got)) and got[-1] <= n - 1
