@@ -27,8 +27,8 @@ def message_pairs(msgs: DataFrame) -> DataFrame:
     # assistant's is (assistants before it): both are plain ranks, which
     # grouped_rank computes without putting a huge conversation in one task.
     m = msgs.select("conv_id", "pos", "role", "content")
-    m = grouped_rank(m, ["conv_id"], [F.col("pos")], "_i")
-    m = grouped_rank(m, ["conv_id", "role"], [F.col("pos")], "_r")
+    m = grouped_rank(m, ["conv_id"], ["pos"], "_i")
+    m = grouped_rank(m, ["conv_id", "role"], ["pos"], "_r")
     tagged = m.select(
         "conv_id", "pos", "role", "content",
         F.when(F.col("role") == "assistant", F.col("_r") - 1).otherwise(F.col("_i") - F.col("_r")).cast("bigint").alias("pair_index"))

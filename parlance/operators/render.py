@@ -233,7 +233,7 @@ def condensed_text(headers: DataFrame, msgs: DataFrame, max_chars: int = 8000) -
     from parlance.plans.ranks import grouped_rank
     parts = msgs.where(F.col("content") != "").select(
         "conv_id", "pos", F.concat(F.lit("["), F.upper("role"), F.lit("]: "), cap_text("content"), F.lit("\n")).alias("part"))
-    ranked = grouped_rank(parts, ["conv_id"], [F.col("pos")], "_r")
+    ranked = grouped_rank(parts, ["conv_id"], ["pos"], "_r")
     totals = parts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("part")).alias("_len"))
     k = max_chars
     kept = ranked.join(totals, "conv_id").where((F.col("_r") <= k) | (F.col("_r") > F.col("_n") - k))

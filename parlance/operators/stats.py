@@ -160,7 +160,7 @@ def concat_ordered(df: DataFrame, key: str, order: str, value: str, sep: str = "
     in chunk order give the whole text. A key with a huge number of values
     is therefore split over many groups instead of one task."""
     from parlance.plans.ranks import grouped_rank
-    ranked = grouped_rank(df.select(key, order, value), [key], [F.col(order)], "_r")
+    ranked = grouped_rank(df.select(key, order, value), [key], [order], "_r")
     g = ranked.withColumn("chunk", F.floor((F.col("_r") - 1) / chunk).cast("bigint")).groupBy(key, "chunk").agg(
         F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("_v")))).alias("_p"))
     return g.select(key, "chunk", F.array_join(F.transform("_p", lambda x: x["_v"]), sep).alias("text"))

@@ -106,7 +106,7 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
     # reachable: the chain ends at the chosen root (cycles never end)
     reach = state.where(F.col("anc").isNull() & (F.col("top") == F.col("root")))
     simple_order = grouped_rank(reach.select("conv_id", "node_id", "path", "depth"), ["conv_id"],
-                                [F.col("path"), F.col("depth")], "_rank") \
+                                ["path", "depth"], "_rank") \
         .select("conv_id", "node_id", (F.col("_rank") - 1).alias("pos"))
 
     # The exact branch starts Python workers; skip it when no conversation

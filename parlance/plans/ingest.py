@@ -59,7 +59,7 @@ def ingest_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
                       F.col("file_pos")).join(counts.where("message_count >= 2"), "rec")
     winners = dedup_last_wins(kept)
     joined = msgs.join(winners.select("rec", "conv_id"), "rec")
-    out_msgs = grouped_rank(joined, ["rec"], [F.col("pos")], "_rank").select(
+    out_msgs = grouped_rank(joined, ["rec"], ["pos"], "_rank").select(
         "conv_id", (F.col("_rank") - 1).alias("pos"), "role", "content", "ts")
     headers = winners.select("conv_id", "title", "create_time", "update_time", "message_count", "user_messages", "file")
     return headers, out_msgs

@@ -52,18 +52,23 @@ def chunk_index(rank: Column, n: int) -> Column:
 HOT_GROUP_ROWS = 2_000_000
 
 
-def grouped_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
+def grouped_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank",
                  hot_rows: int | None = None) -> DataFrame:
-    """1-based rank inside each group (``order`` must be total within it).
+    """1-based rank inside each group by the ascending ``order`` columns,
+    which must be unique within a group.
 
     One pre-aggregated count finds the largest group. When every group fits
-    one task this is ``row_number`` over a window; otherwise the rank is the
-    global rank over (group, order) minus the group's first global rank,
-    and AQE's skew-join handling splits the hot key in the final join."""
+    one task this is ``row_number`` over a window. Otherwise only the keys
+    (group + order columns, no payload such as message text) are ranked
+    with the offset-based global rank, each group's first rank is
+    subtracted, and the rank is joined back on the full composite key, so
+    neither the hot group nor its payload ever sits in one task."""
     hot_rows = HOT_GROUP_ROWS if hot_rows is None else hot_rows
     biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if biggest <= hot_rows:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    ranked = with_global_rank(df, [F.col(g) for g in group] + order, "_g")
+    keys = df.select(*group, *order)
+    ranked = with_global_rank(keys, [F.col(c) for c in group + order], "_g")
     firsts = ranked.groupBy(*group).agg(F.min("_g").alias("_first"))
-    return ranked.join(firsts, group).withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
+    ranks = ranked.join(firsts, group).select(*group, *order, (F.col("_g") - F.col("_first") + 1).alias(name))
+    return df.join(ranks, group + order)
