@@ -118,6 +118,24 @@ def run_counts(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("conversations"))
 
 
+def _kind(obj: Column, path: str) -> Column:
+    """JSON kind of a field: NULL when missing or JSON null."""
+    k = F.schema_of_variant(F.variant_get(obj, path, "variant"))
+    return F.when(k.isNull() | (k == "VOID"), F.lit(None)).otherwise(k)
+
+
+def contract_types_ok(obj: Column) -> Column:
+    """The label contract's list fields must be lists and the summary a
+    string when present (the reference fails such a row with a type
+    error, so it is retried rather than stored)."""
+    lists_ok = [F.coalesce(_kind(obj, f"$.{f}").startswith("ARRAY"), F.lit(True)) for f in ("categories", "tags", "key_facts")]
+    summary_ok = F.coalesce(_kind(obj, "$.summary") == "STRING", F.lit(True))
+    out = summary_ok
+    for c in lists_ok:
+        out = out & c
+    return out
+
+
 def apply_label_fields(obj: Column, valid: list[str]) -> dict[str, Column]:
     """M2 field contract over a parsed response variant."""
     from parlance.functions.json import vget
@@ -166,7 +184,7 @@ def apply_label_responses(prompts: DataFrame, responses: DataFrame, cats: DataFr
     from parlance.operators.generate import join_responses, parsed_json
     valid = [r["slug"] for r in cats.select("slug").limit(MAX_CATEGORIES + 1).collect()]
     j = join_responses(prompts.select("prompt_id", "conv_id"), responses).withColumn("_obj", parsed_json("response"))
-    ok = F.col("_obj").isNotNull() & F.col("error").isNull()
+    ok = F.col("_obj").isNotNull() & F.col("error").isNull() & contract_types_ok(F.col("_obj"))
     fields = apply_label_fields(F.col("_obj"), valid)
     return j.select("conv_id", F.when(ok, "ok").otherwise("error").alias("status"),
                     *[F.when(ok, c).alias(k) for k, c in fields.items()])

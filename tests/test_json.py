@@ -27,3 +27,21 @@ def test_response_text(spark):
     assert one(spark, response_text, '{"response": "a"}\n{"response": "b"}\n') == "ab"
     assert one(spark, response_text, '{"model": "m"}') is None
     assert one(spark, response_text, "plain text") is None
+
+
+def test_label_contract_types(spark):
+    from parlance.operators.label import apply_label_responses
+    from parlance.sources import fixtures as X
+    bodies = {
+        1: '{"categories": ["german", "x"], "tags": [], "summary": "s", "key_facts": [], "relevance_score": "0.4"}',
+        2: '{"categories": "german", "summary": "s"}',
+        3: '{"categories": ["german"], "summary": 5}',
+        4: '{"categories": null, "summary": null, "tags": null}',
+        5: '{"tags": {"a": 1}}',
+    }
+    prompts = spark.createDataFrame([(f"label:{k}", k) for k in bodies], "prompt_id string, conv_id long")
+    responses = spark.createDataFrame([(f"label:{k}", v, None) for k, v in bodies.items()], "prompt_id string, response string, error string")
+    out = {r.conv_id: r for r in apply_label_responses(prompts, responses, X.categories(spark)).collect()}
+    assert out[1].status == "ok" and list(out[1].categories) == ["german"] and out[1].relevance_score == 0.4
+    assert out[2].status == "error" and out[3].status == "error" and out[5].status == "error"
+    assert out[4].status == "ok" and list(out[4].categories) == ["other"] and out[4].summary == ""
