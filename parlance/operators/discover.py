@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import fmt_time
 from parlance.operators.generate import join_responses, parsed_json
 from parlance.operators.sample import chunked, stratified_sample
+from parlance.plans.broadcast import MAX_BROADCAST_ROWS, bounded_broadcast  # noqa: F401
 
 from parlance.functions.formats import EXPLORE_BATCH, EXPLORE_CHARS, EXPLORE_SAMPLE, STOP_WORDS
 
@@ -67,7 +68,7 @@ def apply_explore_responses(prompts: DataFrame, responses: DataFrame) -> DataFra
 def new_suggestions(sugg: DataFrame, cats: DataFrame, free: bool = False) -> DataFrame:
     """Non-empty slug, not already a category unless free mode."""
     s = sugg.where(F.col("slug") != "")
-    return s if free else s.join(F.broadcast(cats.select("slug")), "slug", "left_anti")
+    return s if free else s.join(bounded_broadcast(cats.select("slug")), "slug", "left_anti")
 
 
 def merge_suggestions(seed: DataFrame, new: DataFrame) -> DataFrame:

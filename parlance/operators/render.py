@@ -27,6 +27,8 @@ from parlance.functions.formats import (
     MIN_RELEVANCE, RELEVANCE, ROW_CATEGORIES, ROW_CREATED, ROW_MESSAGES, ROW_RELEVANCE, ROW_TAGS, ROW_UPDATED, RULE,
     SUMMARY, TABLE_HEAD, TABLE_RULE, TAGS, UPDATED, USER_HEADING)
 
+from parlance.plans.broadcast import bounded_broadcast  # noqa: E402
+
 HEADER_ORDER = 0
 BODY_ORDER = 1
 
@@ -70,7 +72,7 @@ def category_markdown_blocks(labelled: DataFrame, cats: DataFrame, generated_at:
             L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
-    header = counts.join(F.broadcast(cats.select("slug", "name")), "slug").select(
+    header = counts.join(bounded_broadcast(cats.select("slug", "name")), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
         lines(L(F.concat(F.lit(H1), F.col("name")), "", EXPORTED + generated_at,
@@ -81,7 +83,7 @@ def category_markdown_blocks(labelled: DataFrame, cats: DataFrame, generated_at:
 def _members(labelled: DataFrame, cats: DataFrame) -> DataFrame:
     """J6 restricted to configured categories (a repeated slug repeats)."""
     ex = labelled.select("*", F.explode("categories").alias("slug"))
-    return ex.join(F.broadcast(cats.select("slug")), "slug", "left_semi")
+    return ex.join(bounded_broadcast(cats.select("slug")), "slug", "left_semi")
 
 
 # ---------------------------------------------------------------- K5 category JSON
@@ -99,7 +101,7 @@ def category_json_rows(labelled: DataFrame, cats: DataFrame) -> DataFrame:
 def category_json_header(labelled: DataFrame, cats: DataFrame, exported_at: str) -> DataFrame:
     members = _members(labelled, cats)
     counts = members.groupBy("slug").agg(F.count(F.lit(1)).alias("conversation_count"))
-    return counts.join(F.broadcast(cats), "slug").select(
+    return counts.join(bounded_broadcast(cats), "slug").select(
         "slug", F.to_json(F.struct("slug", "name", "description", "keywords")).alias("category"),
         F.lit(exported_at).alias("exported_at"), "conversation_count")
 
@@ -122,7 +124,7 @@ def context_package_blocks(labelled: DataFrame, cats: DataFrame, min_rel: float,
             L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count_if(F.col("relevance_score") >= min_rel).alias("n"))
-    header = counts.join(F.broadcast(cats.select("slug", "name")), "slug").select(
+    header = counts.join(bounded_broadcast(cats.select("slug", "name")), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
         lines(L(F.concat(F.lit(CONTEXT_TITLE), F.col("name")), "", GENERATED + generated_at,
@@ -163,7 +165,7 @@ def enhanced_package_blocks(labelled: DataFrame, enhanced: DataFrame, cats: Data
             L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count_if(F.col("relevance_score") >= min_rel).alias("n"))
-    header = counts.join(F.broadcast(cats.select("slug", "name")), "slug").select(
+    header = counts.join(bounded_broadcast(cats.select("slug", "name")), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
         lines(L(F.concat(F.lit(ENHANCED_TITLE), F.col("name")), "", GENERATED + generated_at,

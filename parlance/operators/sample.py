@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.select import newest_order
+from parlance.plans.broadcast import MAX_BROADCAST_ROWS
 from parlance.plans.ranks import chunk_index, with_global_rank
 
 
@@ -29,7 +30,9 @@ def stratified_sample(df: DataFrame, s: int, order=None) -> DataFrame:
     if s <= 0 or s >= n:
         return ranked.withColumn("sample_ord", F.col("_rank") - 1).drop("_rank")
     pos = sample_positions(df.sparkSession, n, s)
-    return ranked.join(F.broadcast(pos), ranked["_rank"] - 1 == pos["sample_pos"]).drop("_rank", "sample_pos")
+    # exactly s rows: broadcast while s is within the broadcast bound
+    pos = F.broadcast(pos) if s <= MAX_BROADCAST_ROWS else pos
+    return ranked.join(pos, ranked["_rank"] - 1 == pos["sample_pos"]).drop("_rank", "sample_pos")
 
 
 def chunked(df: DataFrame, n: int, order=None, name: str = "batch") -> DataFrame:

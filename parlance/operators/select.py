@@ -112,9 +112,10 @@ def lookup_ordered(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def by_category(df: DataFrame, cats: DataFrame) -> DataFrame:
     """Conversation x configured category (many-to-many). The category
-    table is a size-checked configuration table, so it is broadcast."""
+    table is broadcast when its size check passes."""
+    from parlance.plans.broadcast import bounded_broadcast
     ex = df.select("*", F.explode("categories").alias("slug"))
-    return ex.join(F.broadcast(cats.select("slug", F.col("name").alias("category_name"))), "slug")
+    return ex.join(bounded_broadcast(cats.select("slug", F.col("name").alias("category_name"))), "slug")
 
 
 def with_enhanced(df: DataFrame, enhanced: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import fmt_time
+from parlance.plans.broadcast import bounded_broadcast
 
 # Histogram bins: label and exclusive upper bound (the last bin takes the rest).
 from parlance.functions.formats import HIGH_RELEVANCE, HISTOGRAM_BINS  # noqa: E402
@@ -145,7 +146,7 @@ def exported_total(labelled: DataFrame, cats: DataFrame) -> DataFrame:
     """A7 total: distinct conversations in at least one exported slug."""
     members = labelled.select("conv_id", F.explode("categories").alias("slug"))
     return (
-        members.join(F.broadcast(cats.select("slug")), "slug", "left_semi")
+        members.join(bounded_broadcast(cats.select("slug")), "slug", "left_semi")
         .agg(F.count_distinct("conv_id").alias("total_conversations"))
     )
 

@@ -1,0 +1,18 @@
+"""Broadcast only behind a size check.
+
+``bounded_broadcast`` counts at most ``max_rows + 1`` rows (a bounded,
+cheap action on the small side) and adds the broadcast hint only when the
+table is within the bound; otherwise the join is left to the planner
+(sort-merge or AQE's runtime choice).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
