@@ -183,8 +183,17 @@ def apply_label_responses(prompts: DataFrame, responses: DataFrame, cats: DataFr
     of the state table and are retried next run."""
     from parlance.operators.generate import join_responses, parsed_json
     valid = [r["slug"] for r in cats.select("slug").limit(MAX_CATEGORIES + 1).collect()]
-    j = join_responses(prompts.select("prompt_id", "conv_id"), responses).withColumn("_obj", parsed_json("response"))
-    ok = F.col("_obj").isNotNull() & F.col("error").isNull() & contract_types_ok(F.col("_obj"))
-    fields = apply_label_fields(F.col("_obj"), valid)
+    j = join_responses(prompts.select("prompt_id", "conv_id"), responses)
+
+    # Bind the parsed object once with a lambda: every check and field then
+    # reads the bound value, so a filter on ``status`` that Catalyst pushes
+    # below this projection does not repeat the extraction per reference.
+    def pack(o):
+        fields = apply_label_fields(o, valid)
+        return F.struct((o.isNotNull() & contract_types_ok(o)).alias("ok"), *[c.alias(k) for k, c in fields.items()])
+
+    j = j.withColumn("_p", F.transform(F.array(parsed_json("response")), pack)[0])
+    ok = F.col("_p.ok") & F.col("error").isNull()
+    names = ["categories", "tags", "summary", "key_facts", "relevance_score"]
     return j.select("conv_id", F.when(ok, "ok").otherwise("error").alias("status"),
-                    *[F.when(ok, c).alias(k) for k, c in fields.items()])
+                    *[F.when(ok, F.col(f"_p.{k}")).alias(k) for k in names])
