@@ -54,9 +54,9 @@ def explore_prompts(headers: DataFrame, msgs: DataFrame, cats: DataFrame, sample
 def apply_explore_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     """M4: suggestion rows (batch, item_pos, slug, name, description,
     sample_titles); a failed batch yields none."""
-    j = join_responses(prompts.select("prompt_id", "batch"), responses).withColumn("_obj", parsed_json("response"))
-    items = j.where(F.col("_obj").isNotNull()).select(
-        "batch", F.posexplode(F.coalesce(F.try_variant_get("_obj", "$.suggestions", "array<variant>"), F.array())).alias("item_pos", "s"))
+    j = join_responses(prompts.select("prompt_id", "batch"), responses)
+    items = j.select(
+        "batch", F.posexplode(F.coalesce(F.try_variant_get(parsed_json("response"), "$.suggestions", "array<variant>"), F.array())).alias("item_pos", "s"))
     return items.select(
         "batch", F.col("item_pos").cast("bigint").alias("item_pos"),
         F.coalesce(F.try_variant_get("s", "$.slug", "string"), F.lit("")).alias("slug"),

@@ -67,7 +67,9 @@ def apply_pair_responses(pairs: DataFrame, prompts: DataFrame, responses: DataFr
     j = j.withColumn("_obj", parsed_json("response"))
     chunk_failed = F.col("_obj").isNull()
     failed = j.groupBy("conv_id").agg(F.bool_or(chunk_failed).alias("_f")).where("_f").select("conv_id")
-    items = j.where(~chunk_failed).select(
+    # a failed chunk has a NULL object, so its list is empty: no filter on
+    # the parsed column (which Catalyst would push down and evaluate twice)
+    items = j.select(
         "conv_id", "chunk",
         F.posexplode(F.coalesce(F.try_variant_get("_obj", "$.summaries", "array<variant>"), F.array())).alias("item_pos", "item"))
     summaries = items.select(
@@ -96,9 +98,9 @@ def flag_prompts(summaries: DataFrame, headers: DataFrame) -> DataFrame:
 def apply_flag_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     """M9 + P16: ranges(conv_id, range_ord, start, end); a failed response
     gives no ranges; entries whose start/end are not integers are dropped."""
-    j = join_responses(prompts.select("prompt_id", "conv_id"), responses).withColumn("_obj", parsed_json("response"))
-    items = j.where(F.col("_obj").isNotNull()).select(
-        "conv_id", F.posexplode(F.coalesce(F.try_variant_get("_obj", "$.flagged", "array<variant>"), F.array())).alias("range_ord", "flag"))
+    j = join_responses(prompts.select("prompt_id", "conv_id"), responses)
+    items = j.select(
+        "conv_id", F.posexplode(F.coalesce(F.try_variant_get(parsed_json("response"), "$.flagged", "array<variant>"), F.array())).alias("range_ord", "flag"))
     return valid_ranges(items.withColumn("range_ord", F.col("range_ord").cast("bigint")))
 
 
@@ -154,11 +156,16 @@ def proposal_diff(labelled: DataFrame, prompts: DataFrame, responses: DataFrame)
     """Per field struct(old, new) when the proposal is non-empty and
     differs from the current value; NULL otherwise. A failed response, or
     a proposal with no change, gives no row."""
-    j = join_responses(prompts.select("prompt_id", "conv_id"), responses).withColumn("_obj", parsed_json("response"))
-    j = j.where(F.col("_obj").isNotNull()).join(labelled.select("conv_id", "summary", "key_facts", "tags"), "conv_id")
-    new_summary = php_trim(F.coalesce(F.try_variant_get("_obj", "$.summary", "string"), F.lit("")))
-    new_facts = F.coalesce(F.try_variant_get("_obj", "$.key_facts", "array<string>"), _empty())
-    new_tags = F.coalesce(F.try_variant_get("_obj", "$.tags", "array<string>"), _empty())
+    # Bind the parsed object once (lambda) and read the three fields from it.
+    j = join_responses(prompts.select("prompt_id", "conv_id"), responses)
+    proposal = F.transform(F.array(parsed_json("response")), lambda o: F.struct(
+        o.isNotNull().alias("ok"),
+        php_trim(F.coalesce(F.try_variant_get(o, "$.summary", "string"), F.lit(""))).alias("summary"),
+        F.coalesce(F.try_variant_get(o, "$.key_facts", "array<string>"), _empty()).alias("key_facts"),
+        F.coalesce(F.try_variant_get(o, "$.tags", "array<string>"), _empty()).alias("tags")))[0]
+    j = j.select("conv_id", proposal.alias("_p")).where("_p.ok") \
+        .join(labelled.select("conv_id", "summary", "key_facts", "tags"), "conv_id")
+    new_summary, new_facts, new_tags = F.col("_p.summary"), F.col("_p.key_facts"), F.col("_p.tags")
     d = j.select(
         "conv_id",
         F.when((new_summary != "") & (new_summary != F.col("summary")),
