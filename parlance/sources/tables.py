@@ -212,3 +212,51 @@ def merge_category_index(existing: DataFrame, new: DataFrame) -> DataFrame:
     """K8: this run's stats win per slug, slugs absent from this run kept."""
     return upsert(existing.select("slug", "name", "count", "avg_relevance"),
                   new.select("slug", "name", "count", "avg_relevance"), "slug")
+
+
+# ---------------------------------------------------------------- bucketed upserts
+class BucketedTable:
+    """A large keyed table (messages, headers) partitioned by a hash bucket
+    of its key, for frequent upserts (the incremental stream).
+
+    An upsert appends rows with new keys and rewrites only the buckets that
+    hold updated keys (dynamic partition overwrite), so a micro-batch costs
+    O(batch + touched buckets), not O(table). Finding updated keys reads only
+    the key column of the table (column pruning). The rewrite is staged
+    first, because Spark cannot read and overwrite the same files in one
+    job. Single writer per table, like the versioned store."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "conv_id", buckets: int = 256):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int"))
+
+    def exists(self) -> bool:
+        return path_exists(self.spark, self.path + "/_SUCCESS")
+
+    def read(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.path).drop("_bucket") if self.exists() else None
+
+    def upsert(self, new: DataFrame) -> None:
+        from parlance.plans.materialize import materialize
+        from parlance.session import scratch_path
+
+        k = self.key
+        new_b = materialize(self._bucketed(new), "bucketed-batch")
+        if not self.exists():
+            new_b.write.mode("overwrite").partitionBy("_bucket").parquet(self.path)
+            return
+        table = self.spark.read.parquet(self.path)
+        new_keys = new_b.select(k, "_bucket").distinct()
+        updated = table.select(k, "_bucket").join(new_keys, [k, "_bucket"], "left_semi")
+        touched = [r[0] for r in updated.select("_bucket").distinct().collect()]  # at most `buckets` rows
+        if touched:
+            in_touched = F.col("_bucket").isin(touched)
+            kept = table.where(in_touched).join(new_keys.where(in_touched), [k, "_bucket"], "left_anti")
+            staged_path = scratch_path(self.spark, "bucket-rewrite")
+            kept.unionByName(new_b.where(in_touched)).write.parquet(staged_path)
+            (self.spark.read.parquet(staged_path).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path))
+            new_b = new_b.where(~in_touched)
+        new_b.write.mode("append").partitionBy("_bucket").parquet(self.path)

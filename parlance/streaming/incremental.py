@@ -22,7 +22,7 @@ from parlance.operators import label as L
 from parlance.operators.select import index_rows, state_rows
 from parlance.plans.ingest import ingest_raw
 from parlance.sources.export import RAW_SCHEMA
-from parlance.sources.tables import TableStore
+from parlance.sources.tables import BucketedTable, TableStore
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, store: TableStore, checkpoint: str,
@@ -38,8 +38,10 @@ def ingest_stream(spark: SparkSession, source_dir: str, store: TableStore, check
     def apply(batch: DataFrame, epoch_id: int) -> None:
         raw = batch.withColumn("file_pos", F.monotonically_increasing_id())
         headers, msgs = ingest_raw(raw)
-        store.upsert("headers", headers.drop("file"), "conv_id")
-        store.upsert("messages", msgs, "conv_id")
+        # the large keyed tables take bucketed upserts (append new ids,
+        # rewrite only buckets with updated ids); the index is versioned
+        BucketedTable(spark, f"{store.root}/headers_b").upsert(headers.drop("file"))
+        BucketedTable(spark, f"{store.root}/messages_b").upsert(msgs)
         rows = index_rows(headers.where(F.col("message_count") >= min_messages))
         store.upsert("parsed_index", rows, "id")
 
