@@ -224,9 +224,11 @@ class BucketedTable:
     O(batch + touched buckets), not O(table). Finding updated keys reads only
     the key column of the table (column pruning). The rewrite is staged
     first, because Spark cannot read and overwrite the same files in one
-    job. Single writer per table, like the versioned store."""
+    job. Each write shuffles by bucket so a bucket gets one file per write;
+    size ``buckets`` so a bucket is a few hundred MB at the target scale.
+    Single writer per table, like the versioned store."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "conv_id", buckets: int = 256):
+    def __init__(self, spark: SparkSession, path: str, key: str = "conv_id", buckets: int = 64):
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
@@ -245,7 +247,7 @@ class BucketedTable:
         k = self.key
         new_b = materialize(self._bucketed(new), "bucketed-batch")
         if not self.exists():
-            new_b.write.mode("overwrite").partitionBy("_bucket").parquet(self.path)
+            new_b.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(self.path)
             return
         table = self.spark.read.parquet(self.path)
         new_keys = new_b.select(k, "_bucket").distinct()
@@ -255,8 +257,8 @@ class BucketedTable:
             in_touched = F.col("_bucket").isin(touched)
             kept = table.where(in_touched).join(new_keys.where(in_touched), [k, "_bucket"], "left_anti")
             staged_path = scratch_path(self.spark, "bucket-rewrite")
-            kept.unionByName(new_b.where(in_touched)).write.parquet(staged_path)
+            kept.unionByName(new_b.where(in_touched)).repartition("_bucket").write.parquet(staged_path)
             (self.spark.read.parquet(staged_path).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path))
             new_b = new_b.where(~in_touched)
-        new_b.write.mode("append").partitionBy("_bucket").parquet(self.path)
+        new_b.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(self.path)
