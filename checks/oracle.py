@@ -891,3 +891,7 @@ FROM pool p JOIN kwlabels k ON p.conv_id = k.conv_id WHERE p.conv_id NOT IN (SEL
 
 SQL["index_by_created"] = "WITH upserted AS (" + SQL["index_upsert"].replace("WITH ", "WITH ", 1) + """)
 SELECT row_number() OVER (ORDER BY created DESC, id) AS position, id, created, title FROM upserted"""
+
+SQL["ask_pool_ids"] = with_(MESSAGES, HEADERS, POOL, IDS) + """
+SELECT p.conv_id, p.title, row_number() OVER (ORDER BY ids.ord) AS pool_rank
+FROM ids JOIN pool p ON ids.conv_id = p.conv_id"""

@@ -1035,3 +1035,12 @@ def index_by_created(spark, sf_dir):
     text (ties by id), numbered with the offset-based global rank."""
     merged = index_upsert(spark, sf_dir)
     return with_global_rank(merged, [F.col("created").desc(), F.col("id")], "position").select("position", "id", "created", "title")
+
+
+@register
+def ask_pool_ids(spark, sf_dir):
+    """J12 path A: requested ids in request order, repeats kept, missing
+    dropped; no hydration or relevance filter (min_messages 4 applies)."""
+    _, _, pool = _pool(spark, sf_dir)
+    ids = Sel.id_frame(spark, ID_OPTIONS, "bigint")
+    return A.ask_pool_ids(pool, ids).select("conv_id", "title", "pool_rank")
