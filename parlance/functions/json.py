@@ -100,14 +100,19 @@ def response_text(raw) -> Column:
     "the whole body is one object" is checked by a balanced scan ending at
     the last character."""
     raw = col_(raw)
-    body = php_trim(raw)
-    chars = tokens(body)
-    is_object = body.startswith("{") & (_object_end(chars) == F.size(chars)) & F.try_parse_json(body).isNotNull()
-    is_array = body.startswith("[") & body.endswith("]") & F.try_parse_json(body).isNotNull()
-    whole_text = F.try_variant_get(F.try_parse_json(body), "$.response", "string")
+
+    def whole(body, parsed):
+        toks = tokens(body)
+        is_object = body.startswith("{") & (_object_end(toks) == F.size(toks)) & parsed.isNotNull()
+        is_array = body.startswith("[") & body.endswith("]") & parsed.isNotNull()
+        return F.struct(is_object.alias("obj"), is_array.alias("arr"),
+                        F.try_variant_get(parsed, "$.response", "string").alias("text"))
+
+    # bind the trimmed body and its parse once (lambda), used by every check
+    w = F.transform(F.array(php_trim(raw)), lambda b: whole(b, F.try_parse_json(b)))[0]
     lines = F.filter(F.transform(F.split(raw, "\n"), lambda ln: php_trim(ln)), lambda ln: ln != "")
     parts = F.transform(lines, lambda ln: F.when(
         ln.startswith("{") & (_object_end(tokens(ln)) == F.size(tokens(ln))),
         F.try_variant_get(F.try_parse_json(ln), "$.response", "string")))
     combined = F.nullif(F.array_join(parts, ""), F.lit(""))
-    return php_trim(F.when(is_object, whole_text).when(is_array, F.lit(None).cast("string")).otherwise(combined))
+    return php_trim(F.when(w["obj"], w["text"]).when(w["arr"], F.lit(None).cast("string")).otherwise(combined))
