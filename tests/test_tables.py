@@ -66,3 +66,13 @@ def test_bucketed_upsert(spark):
     changed = [d for d in before if before[d] != after.get(d)]
     assert len(changed) == 1
     assert {r.conv_id: r.v for r in t.read().collect()}[k] == "new"
+
+
+def test_store_reset_keeps_history(spark):
+    """K4 reset writes an empty newest version; older versions stay readable on disk."""
+    root = tempfile.mkdtemp()
+    store = TableStore(spark, root)
+    store.write("state", spark.createDataFrame([(1, "a")], "conv_id long, v string"))
+    store.reset("state", "conv_id long, v string")
+    assert store.read("state").count() == 0
+    assert sorted(os.listdir(os.path.join(root, "state"))) == ["v=1", "v=2"]
