@@ -76,3 +76,20 @@ def test_store_reset_keeps_history(spark):
     store.reset("state", "conv_id long, v string")
     assert store.read("state").count() == 0
     assert sorted(os.listdir(os.path.join(root, "state"))) == ["v=1", "v=2"]
+
+
+def test_corrupt_side_files_read_empty(spark):
+    """A corrupt index or discovery report reads as empty; missing too."""
+    from parlance.sources.tables import read_discovery, read_index
+    d = tempfile.mkdtemp()
+    bad = os.path.join(d, "bad.json")
+    with open(bad, "w") as f:
+        f.write("{not json")
+    assert read_index(spark, bad).count() == 0
+    assert read_discovery(spark, bad).count() == 0
+    assert read_index(spark, os.path.join(d, "none.json")).count() == 0
+    ok = os.path.join(d, "report.json")
+    with open(ok, "w") as f:
+        f.write('{"discovered_categories": [{"slug": "a", "name": "A"}, {"slug": "", "name": "x"}, {"name": "y"}]}')
+    rows = read_discovery(spark, ok).collect()
+    assert [(r.slug, r["count"]) for r in rows] == [("a", 1)]
