@@ -93,3 +93,13 @@ def test_corrupt_side_files_read_empty(spark):
         f.write('{"discovered_categories": [{"slug": "a", "name": "A"}, {"slug": "", "name": "x"}, {"name": "y"}]}')
     rows = read_discovery(spark, ok).collect()
     assert [(r.slug, r["count"]) for r in rows] == [("a", 1)]
+
+
+def test_free_mode_and_suggestion_filter(spark):
+    """M5: free mode when no category exists; P15 keeps existing slugs only in free mode."""
+    from parlance.operators.discover import free_mode, new_suggestions
+    cats = spark.createDataFrame([(0, "english", "English", "", [])], "cat_ord int, slug string, name string, description string, keywords array<string>")
+    assert free_mode(cats.limit(0)) and not free_mode(cats) and free_mode(cats, True)
+    sugg = spark.createDataFrame([(0, 0, "english"), (0, 1, ""), (0, 2, "new-one")], "batch long, item_pos long, slug string")
+    assert sorted(r.slug for r in new_suggestions(sugg, cats).collect()) == ["new-one"]
+    assert sorted(r.slug for r in new_suggestions(sugg, cats, free=True).collect()) == ["english", "new-one"]
