@@ -113,8 +113,9 @@ class WaveletMatrix:
 
 class FMIndex:
     def __init__(self, text: np.ndarray):
-        """``text``: positive symbols; 0 stands for separators and ends the text."""
-        text = np.append(text, 0)
+        """``text``: positive symbols, 0 for separators. Inside, all are one
+        higher and a single 0 ends the text, so walking back is one-to-one."""
+        text = np.append(text + 1, 0)
         order = suffix_array(text)
         before = text[order - 1]
         self.n = len(text)
@@ -129,7 +130,7 @@ class FMIndex:
         """Suffix-array ranges of equally long patterns (rows), by backward search."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         live = np.arange(len(patterns))
-        for column in patterns.T[::-1]:
+        for column in patterns.T[::-1] + 1:
             symbol = column[live]
             known = symbol < self.symbols
             low[live[~known]] = high[live[~known]] = 0

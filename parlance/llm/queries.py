@@ -44,6 +44,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document at similarity 0.85."""
+    from parlance.llm.near_dup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", percent=85)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     from parlance.llm.license_scan import scan_licenses
@@ -61,4 +67,4 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_decontaminate, op5_bpe, op7_license_scan, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_decontaminate, op5_bpe, op6_minhash, op7_license_scan, op8_sharding)}
