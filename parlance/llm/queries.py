@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.tables import table
+from parlance.llm.tables import held_out, table
 
 # Fixed values of the url query's contract: (host, path, decision).
 URL_RULES = [
@@ -17,6 +17,8 @@ URL_RULES = [
 ]
 
 SHARDS = 16
+#: From these scores on a document is of good quality, or toxic.
+QUALITY_FROM, TOXIC_FROM = 0.3, 0.5
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from parlance.llm.quality import fit_quality, score_quality
+    docs = table(spark, sf_dir, "documents")
+    trees = fit_quality(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+    return score_quality(docs, "doc_id", "text", trees).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from parlance.llm.html_text import extract_text
+    return extract_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside occurrences of benchmark windows."""
     from parlance.llm.decontaminate import find_hits
@@ -67,4 +84,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_decontaminate, op5_bpe, op6_minhash, op7_license_scan, op8_sharding)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from parlance.llm.toxicity import fit_toxicity, score_toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    return score_toxicity(docs, "doc_id", "text", model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    from parlance.llm.permutation_index import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_quality, op3_html_text, op4_decontaminate, op5_bpe, op6_minhash, op7_license_scan, op8_sharding, op9_toxicity, op10_neighbours)}
