@@ -59,9 +59,9 @@ def encode(enc, text: str) -> list[int]:
 
 
 def encode_texts(docs: DataFrame, id_col: str, text_col: str, rank_path: str, pattern: str,
-                 with_ids: bool = True) -> DataFrame:
+                 with_ids: bool = True, with_bytes: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, ``n_tokens``, ``ids_sha256``,
-    ``decoded_sha256`` and, with ``with_ids``, the ids and the decoded bytes."""
+    ``decoded_sha256`` and, if asked for, the ``ids`` and the ``decoded`` bytes."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(rank_path, pattern)
         names = [str(i) for i in range(enc.max_token_value + 1)]
@@ -77,13 +77,16 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, rank_path: str, pa
                     back.append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
                         ids_out.append(ids)
+                    if with_bytes:
                         bytes_out.append(decoded)
                 out = {"_id": part["_id"].values, "n_tokens": n, "ids_sha256": sha, "decoded_sha256": back}
                 if with_ids:
-                    out |= {"ids": ids_out, "decoded": bytes_out}
+                    out["ids"] = ids_out
+                if with_bytes:
+                    out["decoded"] = bytes_out
                 yield pd.DataFrame(out)
 
     schema = "_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        schema += ", ids array<int>, decoded binary"
+    schema += ", ids array<int>" if with_ids else ""
+    schema += ", decoded binary" if with_bytes else ""
     return restored(carried(docs, id_col, text_col).mapInPandas(run, schema), docs, id_col)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.tables import carried, restored, utf8
+from parlance.llm.tables import carried, ranges, restored, utf8
 from parlance.llm.words import ALNUM, Words, blocks
 
 WINDOW = 10
@@ -271,7 +271,7 @@ def remove_hits(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col:
     """``docs`` with every hit span cut out of the text; the cut leaves one
     line break. Words that come together over a cut may form a window again,
     so changed texts are searched until nothing is hit. Texts that are not hit
-    are returned as they are; a text may become empty."""
+    are returned as they are; rows of which nothing is left are dropped."""
     schema = docs.schema
     column = schema.names.index(text_col)
     for block in item_blocks(benchmark, item_col, item_text, block_bytes):
@@ -282,34 +282,24 @@ def remove_hits(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col:
             for batch in batches:
                 values = batch.column(column)
                 texts = values.cast(pa.binary()).to_pylist()
-                changed = False
-                for at, end in _ranges(texts, SHARD_BYTES):
+                changed: set[int] = set()
+                for at, end in ranges(texts, SHARD_BYTES):
                     todo = [i for i in range(at, end) if texts[i]]
                     while todo:
                         edges = [e for _, _, _, e in _hits(windows, [texts[i] for i in todo])]
                         todo = [i for i, e in zip(todo, edges, strict=True) if e]
                         for i, e in zip(todo, filter(None, edges), strict=True):
                             texts[i] = _without(texts[i], e)
-                            changed = True
+                            changed.add(i)
                 if changed:
                     batch = batch.set_column(column, batch.schema.field(column), pa.array(texts, pa.binary()).cast(values.type))
+                    batch = batch.filter(pa.array([i not in changed or bool(t) for i, t in enumerate(texts)], pa.bool_()))
                 yield batch
 
         docs = docs.mapInArrow(run, schema)
     return docs
 
 
-def _ranges(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
-    begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and held + len(t or b"") > size:
-            yield begin, i
-            begin, held = i, 0
-        held += len(t or b"")
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _without(text: bytes, edges: list[tuple[int, int]]) -> bytes:
     kept, last = [], 0
     for b, e in edges:

@@ -291,3 +291,13 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int =
                 F.coalesce("component", "id").cast(docs.schema[id_col].dataType).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str, text_col: str, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the row of its
+    smallest id (of rows that repeat this id, the first by text). Rows with a
+    null id stay."""
+    ids = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    one = docs.join(ids, id_col, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return one.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

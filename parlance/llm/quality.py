@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from parlance.llm.labels import labelled_sample
-from parlance.llm.tables import carried, restored
+from parlance.llm.tables import carried, restored, rows_where
 from parlance.llm.words import BLANK, Words, blocks, mix
 
 ROWS_PER_CLASS = 6000
@@ -215,3 +215,9 @@ def score_quality(docs: DataFrame, id_col: str, text_col: str, trees: Trees) ->
             yield pd.DataFrame({"_id": frame["_id"], "score": shared.value.score(statistics(list(frame["_text"])))})
 
     return restored(carried(docs, id_col, text_col).mapInPandas(run, "_id string, score double"), docs, id_col)
+
+
+def keep_good(docs: DataFrame, text_col: str, trees: Trees, threshold: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    return rows_where(docs, text_col, lambda texts: shared.value.score(statistics(texts)) >= threshold)

@@ -39,7 +39,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from parlance.llm.html_text import extract_text
-    return extract_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return extract_text(table(spark, sf_dir, "pages"), "page_id", "url", "html").select("page_id", "url", "text", "n_chars")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,4 +23,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL = {"op4_decontaminate": OP4}
+# Word runs between space and U+0009 to U+000D; A-Z lower-cased.
+OP6 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT x AS doc_id, x AS r FROM both_ways UNION SELECT b.x, r FROM reach JOIN both_ways b ON b.y = reach.doc_id WHERE r < b.x),
+roots AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(r, doc_id), doc_id) AS component_id, coalesce(least(r, doc_id), doc_id) = doc_id AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
+
+# The pages' one template: an article whose blocks are h1 and p. Character
+# references as they occur, the ampersand last.
+_TEXT = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+OP3 = rf"""
+WITH parts AS (
+  SELECT page_id, url, list_filter(list_transform(string_split_regex({_TEXT}, '</?(p|h1)>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks
+  FROM pages)
+SELECT page_id, url, t AS text, CAST(length(t) AS BIGINT) AS n_chars
+FROM (SELECT page_id, url, regexp_replace(array_to_string(blocks, chr(10)), '&amp;?', '&', 'g') AS t FROM parts)
+"""
+
+OP10 = """
+WITH pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
+"""
+
+SQL = {"op3_html_text": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op10_neighbours": OP10}

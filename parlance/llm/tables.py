@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +43,28 @@ def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def restored(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     """Give ``_id`` its name and type in ``docs`` back."""
     return df.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), *(c for c in df.columns if c != "_id"))
+
+
+def ranges(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows in ranges of about ``size`` bytes of text; one longer text is a range of its own."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and held + len(t or b"") > size:
+            yield begin, i
+            begin, held = i, 0
+        held += len(t or b"")
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def rows_where(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]], size: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs``, untouched, whose text ``keep`` accepts. It gets the UTF-8 bytes of a block of texts (null as empty)."""
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+            mask = [bool(k) for b, e in ranges(texts, size) for k in keep(texts[b:e])]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

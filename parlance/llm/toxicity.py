@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from parlance.llm.labels import labelled_sample
-from parlance.llm.tables import carried, restored
+from parlance.llm.tables import carried, restored, rows_where
 from parlance.llm.words import ALNUM, Words, blocks
 
 WINDOW, STRIDE = 24, 16
@@ -294,3 +294,9 @@ def score_toxicity(docs: DataFrame, id_col: str, text_col: str, model) -> DataFr
             yield pd.DataFrame({"_id": frame["_id"], "score": shared.value.score(list(frame["_text"]))})
 
     return restored(carried(docs, id_col, text_col).mapInPandas(run, "_id string, score double"), docs, id_col)
+
+
+def keep_clean(docs: DataFrame, text_col: str, model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows_where(docs, text_col, lambda texts: shared.value.score(texts) < threshold)
