@@ -298,6 +298,7 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, percent: int = 80) ->
     smallest id (of rows that repeat this id, the first by text). Rows with a
     null id stay."""
     ids = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    one = docs.join(ids, id_col, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return one.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    first = Window.partitionBy("id").orderBy("text")
+    one = rows.join(ids.toDF("id"), "id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return one.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

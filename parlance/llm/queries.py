@@ -80,8 +80,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     dealt = shuffle_into_shards(rows, SHARDS)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").alias("shard"),
-                        F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

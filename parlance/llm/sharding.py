@@ -48,10 +48,10 @@ def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int)
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """All columns of ``df`` (none may be called _row, _shard or _slot) plus
-    ``_shard`` (int) and ``_slot`` (long, gapless from 0 in every shard)."""
+    """``shard`` (int), ``slot`` (long, gapless from 0 in every shard) and
+    ``row``, a struct of all columns of ``df``, so that no names clash."""
     spark = df.sparkSession
-    numbered = written(df.withColumn("_row", F.monotonically_increasing_id()), "shard-input")
+    numbered = written(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("_row")), "shard-input")
     # The high bits of the number are the input partition.
     numbered = numbered.withColumn("_part", F.shiftright("_row", 33).cast("int"))
     counts = sorted((r["_part"], r["count"]) for r in numbered.groupBy("_part").count().collect())
@@ -65,7 +65,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, bucket_rows:
     assigned = (
         numbered.withColumn("_rank", F.row_number().over(local))
         .join(dealt, "_part")
-        .withColumn("_shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int"))
+        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int"))
         .drop("_rank", "_ends", "_part")
     )
     exchanged = written(assigned, "shard-exchanged")
@@ -73,21 +73,21 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, bucket_rows:
     buckets = max(1, math.ceil(max(sizes) / bucket_rows))
     key = F.xxhash64(F.lit(seed + 1), "_row")
     exchanged = exchanged.withColumn("_bucket", F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int"))
-    earlier = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        exchanged.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_shard", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        exchanged.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        .select("shard", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
-    again = Window.partitionBy("_shard", "_bucket").orderBy(key, "_row")
+    again = Window.partitionBy("shard", "_bucket").orderBy(key, "_row")
     return (
         exchanged.withColumn("_rank", F.row_number().over(again))
-        .join(offsets, ["_shard", "_bucket"])
-        .withColumn("_slot", (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
+        .join(offsets, ["shard", "_bucket"])
+        .withColumn("slot", (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
         .drop("_bucket", "_rank", "_offset", "_row")
     )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """Write each shard to its own folder, in slot order, over as many files as the session's partitions."""
-    (sharded.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-     .write.partitionBy("_shard").parquet(path))
+    (sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+     .write.partitionBy("shard").parquet(path))
