@@ -148,7 +148,7 @@ FULL = BASE + (STATE, POOL, HYD, LAB)
 IDS = f"""opts(opt_ord, opt) AS (VALUES (0, '5, 3'), (1, ' 12 '), (2, ','), (3, '5'), (4, '99999999')),
 split_opts AS (SELECT opt_ord, string_split(opt, ',') AS parts FROM opts),
 id_parts AS (SELECT opt_ord, parts, unnest(generate_series(1, len(parts))) AS i FROM split_opts),
-ids AS (SELECT CAST(opt_ord * 100000 + i - 1 AS BIGINT) AS ord, CAST(trim(parts[i], {TRIM}) AS BIGINT) AS conv_id
+ids AS (SELECT CAST(opt_ord AS INTEGER) AS opt_ord, CAST(i - 1 AS INTEGER) AS part_ord, CAST(trim(parts[i], {TRIM}) AS BIGINT) AS conv_id
         FROM id_parts WHERE trim(parts[i], {TRIM}) <> '')"""
 
 
@@ -210,11 +210,11 @@ SQL["by_ids"] = with_(*FULL, IDS) + """
 SELECT conv_id, relevance_score FROM labelled WHERE conv_id IN (SELECT conv_id FROM ids)"""
 
 SQL["ordered_lookup"] = with_(MESSAGES, HEADERS, IDS) + """
-SELECT ids.ord, ids.conv_id, h.title, h.conv_id IS NOT NULL AS found
+SELECT ids.opt_ord, ids.part_ord, ids.conv_id, h.title, h.conv_id IS NOT NULL AS found
 FROM ids LEFT JOIN headers h ON ids.conv_id = h.conv_id"""
 
 SQL["missing_ids"] = with_(MESSAGES, HEADERS, IDS) + """
-SELECT ids.ord, ids.conv_id FROM ids LEFT JOIN headers h ON ids.conv_id = h.conv_id WHERE h.conv_id IS NULL"""
+SELECT ids.opt_ord, ids.part_ord, ids.conv_id FROM ids LEFT JOIN headers h ON ids.conv_id = h.conv_id WHERE h.conv_id IS NULL"""
 
 SQL["corpus_stats"] = with_(*BASE, STATE) + f"""
 , agg AS (
@@ -331,20 +331,21 @@ LPAIRS = pairs_cte("(SELECT * FROM messages WHERE conv_id IN (SELECT conv_id FRO
 
 ONE_LINERS = f"""ol AS (
   SELECT conv_id, pair_index, {snip('"user"')} AS user_snippet, {snip('assistant')} AS assistant_snippet,
-         CASE WHEN conv_id % 6 = 0 AND pair_index % 3 = 0
+         CASE WHEN conv_id % 10 = 3 AND pair_index >= 3 THEN '(no summary)'
+              WHEN conv_id % 6 = 0 AND pair_index % 3 = 0
                 THEN 'Revised exchange ' || pair_index || ' of conversation ' || conv_id
               WHEN (conv_id + pair_index) % 4 = 0 THEN '(no summary)'
               ELSE 'Exchange ' || pair_index || ' of conversation ' || conv_id END AS one_liner
   FROM lpairs WHERE conv_id % 9 <> 0)"""
 
 FLAGS = f"""fl AS (
-  SELECT o.conv_id, h.title,
-         string_agg('[' || o.pair_index || '] ' || o.one_liner || {NL}, '' ORDER BY o.pair_index) AS digest
-  FROM ol o JOIN headers h ON o.conv_id = h.conv_id GROUP BY o.conv_id, h.title),
+  SELECT o.conv_id, h.title, h.message_count,
+         string_agg(o.pair_index || ': ' || o.one_liner || {NL}, '' ORDER BY o.pair_index) AS digest
+  FROM ol o JOIN headers h ON o.conv_id = h.conv_id GROUP BY o.conv_id, h.title, h.message_count),
 rlist AS (
   SELECT conv_id, list_concat(
       [{{'s': 0, 'e': 1, 'ok': true}}],
-      CASE WHEN conv_id % 2 = 0 THEN [{{'s': 1, 'e': 9, 'ok': true}}] ELSE [] END,
+      CASE WHEN conv_id % 2 = 0 THEN [{{'s': 1, 'e': message_count, 'ok': true}}] ELSE [] END,
       CASE WHEN conv_id % 5 = 0 THEN [{{'s': 2, 'e': 0, 'ok': true}}] ELSE [] END,
       CASE WHEN conv_id % 7 = 0 THEN [{{'s': 2, 'e': 3, 'ok': false}}] ELSE [] END,
       CASE WHEN conv_id % 10 = 0 THEN [{{'s': 0, 'e': 1, 'ok': true}}] ELSE [] END) AS items
@@ -360,9 +361,8 @@ SLICES = """sl AS (
 
 EXPAND = f"""ep AS (
   SELECT s.conv_id, s.range_ord, s.start || '-' || s."end" AS range_key,
-         'Conversation: "' || h.title || '"' || {NL} || 'Exchanges ' || s.start || '–' || s."end" || ':' || {NL2}
-         || string_agg('USER:' || {NL} || s."user" || {NL2} || 'ASSISTANT:' || {NL} || s.assistant || {NL2} || '---' || {NL2}, '' ORDER BY s.pair_index)
-         || {NL} || 'Summarise this excerpt in detail.' AS prompt
+         'Stretch of ' || h.title || ', items ' || s.start || '-' || s."end" || {NL2}
+         || string_agg('asked: ' || s."user" || {NL} || 'answered: ' || s.assistant || {NL2}, '' ORDER BY s.pair_index) AS prompt
   FROM sl s JOIN headers h ON s.conv_id = h.conv_id
   GROUP BY s.conv_id, s.range_ord, s.start, s."end", h.title),
 ex AS (
@@ -374,11 +374,10 @@ ex AS (
 exo AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first_ord) - 1 AS BIGINT) AS entry_pos, range_key, text FROM ex)"""
 
 PROPOSE = f"""pp AS (
-  SELECT l.conv_id, 'Conversation: "' || l.title || '"' || {NL2} || 'CURRENT SUMMARY: ' || l.summary || {NL}
-         || 'CURRENT KEY_FACTS: ' || CAST(to_json(l.key_facts) AS VARCHAR) || {NL} || 'CURRENT TAGS: ' || CAST(to_json(l.tags) AS VARCHAR) || {NL2}
-         || 'NOTES ON KEY SECTIONS:' || {NL}
-         || (SELECT string_agg('### Exchanges ' || x.range_key || {NL} || x.text || {NL2}, '' ORDER BY x.entry_pos) FROM exo x WHERE x.conv_id = l.conv_id)
-         || 'Propose the updated JSON.' AS prompt
+  SELECT l.conv_id, 'Entry ' || l.title || {NL} || 'summary = ' || l.summary || {NL}
+         || 'facts = ' || CAST(to_json(l.key_facts) AS VARCHAR) || {NL} || 'tags = ' || CAST(to_json(l.tags) AS VARCHAR) || {NL2}
+         || 'Notes' || {NL}
+         || (SELECT string_agg(x.range_key || ' = ' || x.text || {NL}, '' ORDER BY x.entry_pos) FROM exo x WHERE x.conv_id = l.conv_id) AS prompt
   FROM labelled l WHERE l.conv_id IN (SELECT conv_id FROM exo)),
 prop AS (
   SELECT l.conv_id, l.summary, l.key_facts, l.tags,
@@ -402,17 +401,15 @@ SQL["pair_chunks"] = with_(MESSAGES, pairs_cte()) + "SELECT conv_id, pair_index,
 
 SQL["pair_prompts"] = with_(*FULL, LPAIRS) + f"""
 SELECT 'pairs:' || conv_id || ':' || (pair_index // 3) AS prompt_id, conv_id, CAST(pair_index // 3 AS BIGINT) AS chunk,
-       'Exchanges to summarise (indices: ' || string_agg(CAST(pair_index AS VARCHAR), ', ' ORDER BY pair_index) || ').' || {NL2}
-       || string_agg('EXCHANGE ' || pair_index || ':' || {NL} || 'USER: ' || "user" || {NL} || 'ASSISTANT: ' || assistant || {NL2}, '' ORDER BY pair_index)
-       || 'Reply with JSON only, one entry per exchange.' AS prompt
+       'Items ' || string_agg(CAST(pair_index AS VARCHAR), ', ' ORDER BY pair_index) || {NL2}
+       || string_agg('<item ' || pair_index || '>' || {NL} || 'asked: ' || "user" || {NL} || 'answered: ' || assistant || {NL} || '</item>' || {NL}, '' ORDER BY pair_index) AS prompt
 FROM lpairs GROUP BY conv_id, pair_index // 3"""
 
 SQL["one_liners"] = with_(*ENH) + "SELECT conv_id, pair_index, user_snippet, assistant_snippet, one_liner FROM ol"
 
 SQL["flag_prompts"] = with_(*ENH, FLAGS) + f"""
 SELECT 'flag:' || conv_id AS prompt_id, conv_id,
-       'Title: "' || title || '"' || {NL2} || 'Digest (index and one line):' || {NL} || digest || {NL}
-       || 'Which index ranges deserve a detailed summary? JSON only.' AS prompt
+       'Index of ' || title || {NL2} || digest AS prompt
 FROM fl"""
 
 SQL["flag_ranges"] = with_(*ENH, FLAGS) + 'SELECT conv_id, range_ord, start, "end" FROM ranges'
@@ -559,14 +556,14 @@ def safe_sql(title: str, fallback: str) -> str:
 SQL["transcripts"] = with_(MESSAGES, HEADERS) + f"""
 SELECT h.conv_id, 0 AS part, CAST(-1 AS BIGINT) AS pos,
        '# ' || h.title || chr(10) || chr(10) || '_Created: ' || {fmt_sql('h.create_time', LONG)} || '_' || chr(10) || chr(10) || '---' || chr(10) AS block,
-       {safe_sql('h.title', 'h.conv_id')} || '.md' AS file_name
+       {safe_sql('h.title', 'h.conv_id')} || '_' || h.conv_id || '.md' AS file_name
 FROM headers h
 UNION ALL
 SELECT m.conv_id, 1 AS part, m.pos,
        {lines_sql("[CASE WHEN m.role = 'user' THEN '### 🧑 User' ELSE '### 🤖 Assistant' END]",
                   when_list("m.ts > 0", "['_' || " + fmt_sql('m.ts', LONG) + " || '_']"),
                   "['', m.content, '', '---', '']")} AS block,
-       {safe_sql('h.title', 'h.conv_id')} || '.md' AS file_name
+       {safe_sql('h.title', 'h.conv_id')} || '_' || h.conv_id || '.md' AS file_name
 FROM messages m JOIN headers h ON m.conv_id = h.conv_id"""
 
 
@@ -617,13 +614,12 @@ DONE = "done AS (SELECT conv_id FROM state WHERE summary <> '' OR len(tags) > 0)
 
 SQL["label_prompts"] = with_(*FULL, DONE, condensed_cte(8000)) + """
 SELECT 'label:' || p.conv_id AS prompt_id, p.conv_id,
-       'Conversation to analyse:' || chr(10) || '---' || chr(10) || c.condensed || chr(10) || '---' || chr(10) || chr(10)
-       || 'Reply with the JSON analysis only.' AS prompt
+       '<transcript>' || chr(10) || c.condensed || chr(10) || '</transcript>' || chr(10) || 'Catalogue entry:' AS prompt
 FROM pool p JOIN cond c ON p.conv_id = c.conv_id WHERE p.conv_id NOT IN (SELECT conv_id FROM done)"""
 
 LRESP = """lr AS (
   SELECT s.*, to_json({'categories': CASE WHEN s.conv_id % 13 = 0 THEN list_append(s.categories, 'made-up-slug') ELSE s.categories END,
-                       'tags': s.tags, 'summary': s.summary, 'key_facts': s.key_facts, 'relevance_score': s.relevance_score}) AS body
+                       'tags': s.tags, 'summary': s.summary, 'key_facts': s.key_facts, 'relevance_score': CASE WHEN s.conv_id % 19 = 0 THEN '"high"'::JSON ELSE to_json(s.relevance_score) END}) AS body
   FROM state s WHERE s.conv_id IN (SELECT conv_id FROM pool))"""
 
 SQL["parse_label_responses"] = with_(*FULL, LRESP) + """
@@ -632,7 +628,7 @@ SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status,
        CASE WHEN conv_id % 11 <> 0 THEN array_to_string(tags[1:10], '|') END AS tags,
        CASE WHEN conv_id % 11 <> 0 THEN summary END AS summary,
        CASE WHEN conv_id % 11 <> 0 THEN array_to_string(key_facts, '|') END AS key_facts,
-       CASE WHEN conv_id % 11 <> 0 THEN greatest(0.0, least(1.0, relevance_score)) END AS relevance_score
+       CASE WHEN conv_id % 11 <> 0 THEN CASE WHEN conv_id % 19 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, relevance_score)) END END AS relevance_score
 FROM lr"""
 
 SQL["strip_and_extract_json"] = with_(*FULL, LRESP) + """
@@ -675,21 +671,21 @@ sampled AS (
   UNION ALL SELECT conv_id, title, create_time, p AS sample_ord FROM ranked WHERE (SELECT n FROM cnt) <= 50),
 batches AS (SELECT *, CAST(sample_ord // 5 AS BIGINT) AS batch, CAST(sample_ord % 5 AS BIGINT) AS item_pos FROM sampled)"""
 
-EXISTING = "chr(10)".join([])  # placeholder for readability
-
-
 def _existing_list() -> str:
-    items = " || chr(10) || ".join(q(f"- {s}: {n}") for s, n, _, _ in CATEGORY_ROWS)
-    return items
+    return " || ".join(q(f"{s} = {n}") + " || chr(10)" for s, n, _, _ in CATEGORY_ROWS)
 
 
-SQL["explore_prompts"] = with_(*FULL, condensed_cte(600, "c600"), SAMPLE) + f"""
+def _explore_sql(known: str) -> str:
+    return with_(*FULL, condensed_cte(600, "c600"), SAMPLE) + f"""
 SELECT 'explore:' || b.batch AS prompt_id, b.batch,
-       'Existing categories:' || chr(10) || {_existing_list()} || chr(10) || chr(10)
-       || string_agg('--- CONVERSATION: "' || b.title || '" (' || {fmt_sql('b.create_time')} || ') ---' || chr(10) || c.condensed,
+       {known} || string_agg('<conversation title="' || b.title || '" started="' || {fmt_sql('b.create_time')} || '">' || chr(10) || c.condensed,
                      chr(10) || chr(10) ORDER BY b.sample_ord) AS prompt
 FROM batches b JOIN c600 c ON b.conv_id = c.conv_id GROUP BY b.batch"""
 
+
+SQL["explore_prompts"] = _explore_sql(f"'Shelves so far:' || chr(10) || {_existing_list()} || chr(10)")
+SQL["explore_free"] = _explore_sql("''")
+
 SUGG = """sugg AS (
   SELECT batch, item_pos, 'topic-' || (conv_id % 9) AS slug,
          CASE WHEN conv_id % 9 <> 4 THEN 'Topic ' || (conv_id % 9) END AS name,
@@ -771,18 +767,15 @@ SELECT conv_id, row_number() OVER (ORDER BY create_time DESC, conv_id) AS pool_r
 
 ASKP = """askp AS (
   SELECT CAST((ap.pool_rank - 1) // 3 AS BIGINT) AS batch,
-         '### Context Conversations' || chr(10) || chr(10)
-         || string_agg(tr.markdown || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY ap.pool_rank)
-         || chr(10) || '### Question' || chr(10) || chr(10) || 'What was decided?' AS prompt
+         string_agg(tr.markdown, chr(10) ORDER BY ap.pool_rank) || chr(10) || 'Request: What was decided?' AS prompt
   FROM ap JOIN tr ON ap.conv_id = tr.conv_id GROUP BY 1)"""
 
 SQL["ask_prompts"] = with_(*FULL, ASKPOOL, TRANS, ASKP) + "SELECT 'ask:' || batch AS prompt_id, batch, prompt FROM askp"
 
 SQL["synthesis_prompts"] = with_(*FULL, ASKPOOL, TRANS, ASKP) + """
 SELECT 'synth1:0' AS prompt_id, count(*) AS n_answers,
-       '### Partial Answers' || chr(10) || chr(10)
-       || string_agg('**Answer ' || (batch + 1) || ':**' || chr(10) || 'Partial answer from batch ' || batch || '.' || chr(10), chr(10) ORDER BY batch)
-       || chr(10) || '### Question' || chr(10) || chr(10) || 'What was decided?' AS prompt
+       string_agg('<draft ' || (batch + 1) || '>' || chr(10) || 'Partial answer from batch ' || batch || '.' || chr(10) || '</draft>' || chr(10), '' ORDER BY batch)
+       || chr(10) || 'Request: What was decided?' AS prompt
 FROM askp"""
 
 SQL["answer_document"] = with_(*FULL, ASKPOOL, TRANS, ASKP) + f"""
@@ -893,5 +886,53 @@ SQL["index_by_created"] = "WITH upserted AS (" + SQL["index_upsert"].replace("WI
 SELECT row_number() OVER (ORDER BY created DESC, id) AS position, id, created, title FROM upserted"""
 
 SQL["ask_pool_ids"] = with_(MESSAGES, HEADERS, POOL, IDS) + """
-SELECT p.conv_id, p.title, row_number() OVER (ORDER BY ids.ord) AS pool_rank
+SELECT p.conv_id, p.title, row_number() OVER (ORDER BY ids.opt_ord, ids.part_ord) AS pool_rank
 FROM ids JOIN pool p ON ids.conv_id = p.conv_id"""
+
+SQL["answer_levels"] = with_(*FULL, ASKPOOL, TRANS, ASKP).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, lv AS (SELECT count(*) AS k, count(*) AS n FROM askp UNION ALL SELECT (k + 2) // 3, n FROM lv WHERE k > 3)
+SELECT CASE WHEN n = 1 THEN 'Partial answer from batch 0.' ELSE 'Combined answer over ' || min(k) || ' partial answers.' END AS answer, n AS batch_count
+FROM lv GROUP BY n"""
+
+SQL["ask_prompts_ids"] = with_(MESSAGES, HEADERS, POOL, IDS, TRANS) + """
+, ranked AS (SELECT p.conv_id, row_number() OVER (ORDER BY ids.opt_ord, ids.part_ord) AS pool_rank FROM ids JOIN pool p ON ids.conv_id = p.conv_id)
+SELECT 'ask:' || ((pool_rank - 1) // 3) AS prompt_id, CAST((pool_rank - 1) // 3 AS BIGINT) AS batch,
+       string_agg(tr.markdown, chr(10) ORDER BY pool_rank) || chr(10) || 'Request: What was decided?' AS prompt
+FROM ranked JOIN tr ON ranked.conv_id = tr.conv_id GROUP BY (pool_rank - 1) // 3"""
+
+SQL["ask_pool_stub"] = with_(*BASE, STATE) + """
+SELECT conv_id, title, relevance_score, row_number() OVER (ORDER BY relevance_score DESC, created DESC, conv_id) AS pool_rank
+FROM state WHERE len(categories) > 0 AND relevance_score >= 0.3"""
+
+SQL["ask_failed_batch"] = with_(*FULL, ASKPOOL, TRANS, ASKP) + "SELECT batch, 'RuntimeError: timeout' AS error FROM askp WHERE batch % 5 = 2"
+
+SQL["answer_file"] = "WITH doc AS (" + SQL["answer_document"] + ") SELECT unnest(string_split(block, chr(10))) AS line FROM doc"
+
+SQL["category_json_files"] = "SELECT * EXCLUDE (conv_id) FROM (" + SQL["category_json"] + ")"
+
+SQL["concat_chunked"] = SQL["concat_ordered"].replace("// 1000", "// 3")
+
+SQL["label_many_categories"] = """
+WITH cats AS (SELECT DISTINCT 'order-' || l_orderkey AS slug FROM lineitem),
+named AS (
+  SELECT o_orderkey, unnest([1, 2, 3, 4]) AS pos,
+         unnest(['order-' || (o_orderkey + 1), 'nope-' || o_orderkey, 'order-' || o_orderkey, 'order-' || (o_orderkey + 7)]) AS slug FROM orders)
+SELECT o_orderkey, coalesce(string_agg(n.slug, '|' ORDER BY pos) FILTER (WHERE c.slug IS NOT NULL), '') AS categories
+FROM named n LEFT JOIN cats c ON n.slug = c.slug GROUP BY o_orderkey"""
+
+SQL["ingest_flat"] = with_(MESSAGES, HEADERS) + """
+SELECT CAST(m.conv_id AS VARCHAR) AS conv_id, CAST(row_number() OVER (PARTITION BY m.conv_id ORDER BY m.pos) - 1 AS BIGINT) AS pos,
+       m.role, m.content, m.ts, h.title, h.message_count
+FROM messages m JOIN headers h ON m.conv_id = h.conv_id"""
+
+SQL["stream_then_stats"] = with_(MESSAGES, HEADERS) + f"""
+SELECT count(*) AS raw, count(*) FILTER (WHERE message_count >= 4) AS filtered, CAST(0 AS BIGINT) AS labelled,
+       count(*) FILTER (WHERE message_count >= 4) AS unlabelled,
+       CAST(coalesce(sum(message_count) FILTER (WHERE message_count >= 4), 0) AS BIGINT) AS total_messages,
+       CAST({dround('CAST(coalesce(sum(message_count) FILTER (WHERE message_count >= 4), 0) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE message_count >= 4))', 0)} AS BIGINT) AS avg_messages
+FROM headers"""
+
+SQL["label_stream_model"] = with_(*BASE, STATE, POOL) + """
+SELECT conv_id, array_to_string(categories, '|') AS categories, summary,
+       CASE WHEN conv_id % 5 = 0 AND conv_id % 19 = 0 AND conv_id % 11 <> 0 AND conv_id IN (SELECT conv_id FROM pool) THEN 0.0 ELSE relevance_score END AS relevance_score
+FROM state"""

@@ -11,7 +11,7 @@ def stub_model(pdf: pd.DataFrame) -> pd.Series:
     for pid, prompt in zip(pdf["prompt_id"], pdf["prompt"]):
         kind = pid.split(":")[0]
         if kind == "pairs":
-            idx = re.findall(r"EXCHANGE (\d+):", prompt)
+            idx = re.findall(r"<item (\d+)>", prompt)
             out.append(json.dumps({"summaries": [{"pair_index": int(i), "one_liner": f"line {i}"} for i in idx]}))
         elif kind == "flag":
             out.append('```json\n{"flagged": [{"start": 0, "end": 1}, {"start": "x", "end": 2}]}\n```')

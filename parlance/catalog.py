@@ -172,13 +172,13 @@ def ordered_lookup(spark, sf_dir):
     """Request order, repeats kept, missing reported."""
     _, hdrs = _base(spark, sf_dir)
     ids = Sel.id_frame(spark, ID_OPTIONS, "bigint")
-    return Sel.lookup_ordered(hdrs.select("conv_id", "title"), ids).select("ord", "conv_id", "title", "found")
+    return Sel.lookup_ordered(hdrs.select("conv_id", "title"), ids).select("ord.opt_ord", "ord.part_ord", "conv_id", "title", "found")
 
 
 @register
 def missing_ids(spark, sf_dir):
     """Requested ids with no conversation."""
-    return ordered_lookup(spark, sf_dir).where(~F.col("found")).select("ord", "conv_id")
+    return ordered_lookup(spark, sf_dir).where(~F.col("found")).select("opt_ord", "part_ord", "conv_id")
 
 
 @register
@@ -337,7 +337,7 @@ def _pass2(spark, sf_dir):
     hdrs, st, lab, pairs, summaries, failed = _pass1(spark, sf_dir)
     def build():
         fp = E.flag_prompts(summaries, hdrs)
-        return materialize(E.apply_flag_responses(fp, X.flag_responses(fp)), "pass2")
+        return materialize(E.apply_flag_responses(fp, X.flag_responses(fp, hdrs)), "pass2")
     ranges = _stage(spark, sf_dir, "pass2", build)
     return hdrs, st, lab, pairs, summaries, ranges
 
@@ -503,12 +503,11 @@ def enhanced_package(spark, sf_dir):
 
 @register
 def transcripts(spark, sf_dir):
-    """K10, F3, F8 + collision suffix: the block rows written as one
+    """The block rows written as one
     Markdown document per conversation (header block, then one block per
     message in order)."""
     msgs, hdrs = _base(spark, sf_dir)
-    names = R.transcript_file_names(hdrs.select("conv_id", Tx.safe_name("title", "conv_id").alias("_name"), F.lit("").alias("markdown")))
-    return R.transcript_blocks(hdrs, msgs).join(names.select("conv_id", "file_name"), "conv_id")
+    return R.transcript_blocks(hdrs, msgs).join(R.transcript_file_names(hdrs), "conv_id")
 
 
 @register
@@ -707,7 +706,7 @@ def apply_discovery(spark, sf_dir):
 
 def _ask(spark, sf_dir, question="What was decided?"):
     msgs, hdrs = _base(spark, sf_dir)
-    pool = A.ask_pool_state(hdrs.where("message_count >= 4"), _state(spark, sf_dir))
+    pool = _stage(spark, sf_dir, "ask-pool", lambda: materialize(A.ask_pool_state(hdrs.where("message_count >= 4"), _state(spark, sf_dir)), "ask-pool"))
     prompts = A.ask_prompts(pool, msgs, question)
     return msgs, hdrs, pool, prompts
 
@@ -735,7 +734,7 @@ def ask_prompts(spark, sf_dir):
 def synthesis_prompts(spark, sf_dir):
     """M15 over the partial answers."""
     _, _, _, prompts = _ask(spark, sf_dir)
-    partials = G.join_responses(prompts.select("prompt_id", "batch"), X.ask_responses(prompts)).select("batch", F.col("response").alias("answer"))
+    partials = A.partial_answers(prompts, X.ask_responses(prompts))
     return A.synthesis_prompts(partials, "What was decided?").select("prompt_id", "n_answers", "prompt")
 
 
@@ -743,9 +742,7 @@ def synthesis_prompts(spark, sf_dir):
 def answer_document(spark, sf_dir):
     """K11 + M16: answer (single batch or synthesis) and sources."""
     _, _, pool, prompts = _ask(spark, sf_dir)
-    partials = G.join_responses(prompts.select("prompt_id", "batch"), X.ask_responses(prompts)).select("batch", F.col("response").alias("answer"))
-    sp = A.synthesis_prompts(partials, "What was decided?")
-    answer = A.ask_result(partials, X.synthesis_responses(sp))
+    answer = A.reduce_answers(A.partial_answers(prompts, X.ask_responses(prompts)), "What was decided?", X.synthesis_responses)
     return A.answer_document_blocks("What was decided?", answer, A.ask_sources(pool), "01 Jun 2024 00:00")
 
 
@@ -1044,3 +1041,112 @@ def ask_pool_ids(spark, sf_dir):
     _, _, pool = _pool(spark, sf_dir)
     ids = Sel.id_frame(spark, ID_OPTIONS, "bigint")
     return A.ask_pool_ids(pool, ids).select("conv_id", "title", "pool_rank")
+
+
+@register
+def answer_levels(spark, sf_dir):
+    """The reduce in levels of three answers until one is left."""
+    prompts = _ask(spark, sf_dir)[3]
+    return A.reduce_answers(A.partial_answers(prompts, X.ask_responses(prompts)), "What was decided?", X.synthesis_responses, fan_in=3)
+
+
+@register
+def ask_prompts_ids(spark, sf_dir):
+    """M14 over requested ids: a repeated id repeats its transcript."""
+    msgs, _, pool = _pool(spark, sf_dir)
+    ids = Sel.id_frame(spark, ID_OPTIONS, "bigint")
+    return A.ask_prompts(A.ask_pool_ids(pool, ids), msgs, "What was decided?").select("prompt_id", "batch", "prompt")
+
+
+@register
+def ask_pool_stub(spark, sf_dir):
+    """J11 + J12 without an export: the pool from state rows alone."""
+    return A.ask_pool_stub(_state(spark, sf_dir))[0].select("conv_id", "title", "relevance_score", "pool_rank")
+
+
+@register
+def ask_failed_batch(spark, sf_dir):
+    """The batches whose prompt failed, with the error."""
+    prompts = _ask(spark, sf_dir)[3]
+    return A.failed_batches(A.partial_answers(prompts, X.ask_responses_failing(prompts)))
+
+
+@register
+def answer_file(spark, sf_dir):
+    """The document written under its file name and read back, by line."""
+    path = scratch_path(spark, "answers")
+    name = A.answer_file_name("english", "20240601-000000")
+    R.write_documents(answer_document(spark, sf_dir).withColumn("file_name", F.lit(name)), path, doc_col="file_name", order=[F.col("part"), F.col("pool_rank")])
+    return spark.read.text(f"{path}/file_name={name}").select(F.col("value").alias("line"))
+
+
+@register
+def category_json_files(spark, sf_dir):
+    """K5: the written files read back."""
+    _, _, _, lab = _labelled(spark, sf_dir)
+    path = scratch_path(spark, "category-json")
+    R.write_category_json(lab, X.categories(spark), path)
+    back = spark.read.schema("id string, title string, created string, updated string, message_count bigint, user_messages bigint, categories array<string>, "
+                             "tags array<string>, summary string, key_facts array<string>, relevance_score double, slug string").json(path)
+    return _arr_out(back, ["categories", "tags", "key_facts"])
+
+
+@register
+def concat_chunked(spark, sf_dir):
+    """A11 with three messages a row."""
+    return S.concat_ordered(_base(spark, sf_dir)[0], "conv_id", "pos", "content", "\n", chunk=3)
+
+
+@register
+def label_many_categories(spark, sf_dir):
+    """P11 against one category per order that has line items."""
+    cats = X.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("slug")).distinct()
+    key = F.col("o_orderkey")
+    named = F.array(*[F.concat(F.lit(p), (key + d).cast("string")) for p, d in (("order-", 1), ("nope-", 0), ("order-", 0), ("order-", 1), ("order-", 7))])
+    rows = X.table(spark, sf_dir, "orders").select("o_orderkey", named.alias("categories"))
+    return L.keep_valid(rows, cats, ["o_orderkey"]).select("o_orderkey", joined("categories").alias("categories"))
+
+
+@register
+def explore_free(spark, sf_dir):
+    """M5: prompts of the free mode, chosen because no category exists."""
+    msgs, _, pool = _pool(spark, sf_dir)
+    return D.explore_prompts(pool, msgs, X.categories(spark).limit(0)).select("prompt_id", "batch", "prompt")
+
+
+@register
+def ingest_flat(spark, sf_dir):
+    """One export file with flat records."""
+    def build():
+        path = X.write_export_fixture(spark, sf_dir, scratch_path(spark, "flat-export"), X.flat_records(spark, sf_dir))
+        return _ingest(spark, f"{path}/export.json")
+    hdrs, msgs = _stage(spark, sf_dir, "ingest-flat", build)
+    return msgs.join(hdrs.select("conv_id", "title", "message_count"), "conv_id")
+
+
+@register
+def stream_then_stats(spark, sf_dir):
+    """T1 then A4: a batch run's statistics of what two streaming runs ingested."""
+    from parlance.plans import commands as C
+    ws = C.Workspace(spark, scratch_path(spark, "workspace"))
+    source, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "stream-ckpt")
+    export_dir = _export_dir(spark, sf_dir)
+    for names in (("export-0.json", "export-1.json"), ("export-2.json",)):
+        for name in names:
+            _copy(spark, f"{export_dir}/{name}", source)
+        Inc.ingest_stream(spark, source, ws.store, ckpt)
+    return C.stats(ws)["corpus"]
+
+
+@register
+def label_stream_model(spark, sf_dir):
+    """T2 with the model step: rows that are not done are labelled again."""
+    msgs, hdrs, pool = _pool(spark, sf_dir)
+    st = _state(spark, sf_dir)
+    store = _store(spark)
+    store.write("state", st)
+    source = scratch_path(spark, "headers-landing")
+    pool.write.parquet(source)
+    Inc.label_stream(spark, source, pool.schema.simpleString()[7:-1].replace(":", " "), msgs, X.categories(spark), store,
+                     scratch_path(spark, "label-ckpt"), responses_for=lambda prompts: X.label_responses(prompts, st))
+    return store.read("state").select("conv_id", joined("categories").alias("categories"), "summary", "relevance_score")

@@ -87,3 +87,10 @@ EXPLORE_BATCH = 5
 EXPLORE_CHARS = 600
 ASK_BATCH = 3
 MIN_RELEVANCE_DEFAULT = 0.3
+
+# Fixed value: characters that take two display columns (East Asian wide and full-width ranges).
+WIDE_CHARACTERS = (
+    r"[\x{1100}-\x{115F}\x{11A3}-\x{11A7}\x{11FA}-\x{11FF}\x{2329}-\x{232A}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}"
+    r"\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{A960}-\x{A97C}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE10}-\x{FE19}\x{FE30}-\x{FE6B}"
+    r"\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1B000}-\x{1B001}\x{1F200}-\x{1F251}\x{20000}-\x{2FFFD}\x{30000}-\x{3FFFD}]"
+)

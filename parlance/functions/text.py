@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.formats import (  # noqa: F401  (re-exported)
     DATE_FMT, ELLIPSIS, LONG_DATE_FMT, MESSAGE_CAP, MESSAGE_CAP_MARKER, MIDDLE_MARKER, SNIPPET_WIDTH, STAR,
-    TRIM_CHARS)
+    TRIM_CHARS, WIDE_CHARACTERS)
 
 
 def col_(c) -> Column:
@@ -34,9 +34,20 @@ def num_text(c) -> Column:
 
 
 def snippet(c, width: int = SNIPPET_WIDTH) -> Column:
-    """Cut to ``width`` characters, the last one replaced by an ellipsis."""
+    """cut to ``width`` display columns, ellipsis included; East Asian
+    wide characters take two columns."""
     c = col_(c)
-    return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 1), F.lit(ELLIPSIS))).otherwise(c)
+    columns = F.length(c) + F.regexp_count(c, F.lit(WIDE_CHARACTERS))
+    # The longest prefix within width - 1 columns: it has at most as many characters.
+    fold = F.aggregate(
+        F.split(F.substring(c, 1, width - 1), ""), F.struct(F.lit(0).alias("used"), F.lit("").alias("kept")),
+        lambda s, x: F.when(s["used"] + 1 + F.rlike(x, F.lit(WIDE_CHARACTERS)).cast("int") <= width - 1,
+                            F.struct((s["used"] + 1 + F.rlike(x, F.lit(WIDE_CHARACTERS)).cast("int")).alias("used"), F.concat(s["kept"], x).alias("kept")))
+        .otherwise(F.struct(F.lit(width).alias("used"), s["kept"].alias("kept"))),
+        lambda s: s["kept"])
+    narrow = F.length(c) == columns
+    cut = F.when(narrow, F.substring(c, 1, width - 1)).otherwise(fold)
+    return F.when(columns > width, F.concat(cut, F.lit(ELLIPSIS))).otherwise(c)
 
 
 def safe_name(title, fallback) -> Column:

@@ -11,26 +11,23 @@ unbounded number of answers into one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.formats import ASK_BATCH, ASK_TITLE, GENERATED_LINE, RULE, SOURCE_MID, SOURCE_OPEN, SOURCES
+from parlance.functions.prompts import ASK_REQUEST, ASK_SYSTEM, DRAFT, DRAFT_END, SYNTHESIS_SYSTEM
 from parlance.functions.text import DATE_FMT, fmt_time
 from parlance.operators import select as Sel
+from parlance.operators.generate import join_responses
 from parlance.operators.render import transcripts
+from parlance.plans.materialize import materialize
 from parlance.plans.ranks import chunk_index, with_global_rank
 
+# Answers per synthesis prompt; a parameter of the reduce, not a bound on the batches.
 FAN_IN = 1000
 
-ASK_SYSTEM = (
-    "Answer the question using only the conversations provided. Say plainly when they do not cover it, "
-    "and name the conversation titles you rely on."
-)
-SYNTHESIS_SYSTEM = (
-    "Merge these partial answers to one question into a single answer without repetition. Add nothing "
-    "that is not in them and keep the conversation titles they cite."
-)
-
 
 def ask_pool_state(headers: DataFrame, state: DataFrame, slug: str | None = None, min_rel: float = 0.3) -> DataFrame:
     """J12 paths B/C: hydrate, labelled, optional category, min relevance;
@@ -55,43 +52,68 @@ def ask_pool_ids(headers: DataFrame, ids: DataFrame) -> DataFrame:
     return with_global_rank(j, [F.col("ord")], "pool_rank").drop("ord")
 
 
+def ask_pool_stub(state: DataFrame, slug: str | None = None, min_rel: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """J12 without an export: (pool, messages) of the stub conversations made
+    from state rows (J11), filtered and ordered like the state path."""
+    headers, msgs = Sel.stub_conversations(state)
+    return ask_pool_state(headers.select("conv_id", "title", "create_time"), state, slug, min_rel), msgs
+
+
 def ask_prompts(pool: DataFrame, msgs: DataFrame, question: str, batch: int = ASK_BATCH) -> DataFrame:
-    """One prompt per batch of ``batch`` conversations in pool order."""
-    t = transcripts(pool.select("conv_id", "title", "create_time"), msgs.join(pool.select("conv_id"), "conv_id", "left_semi"))
+    """One prompt per batch of ``batch`` conversations in pool order; a
+    repeated id repeats its transcript in the prompts, which is built once."""
+    once = pool.select("conv_id", "title", "create_time").dropDuplicates(["conv_id"])
+    t = transcripts(once, msgs.join(once.select("conv_id"), "conv_id", "left_semi"))
     j = pool.select("conv_id", "pool_rank").join(t.select("conv_id", "markdown"), "conv_id") \
         .withColumn("batch", chunk_index(F.col("pool_rank"), batch))
-    block = F.concat(F.col("markdown"), F.lit("\n\n---\n"))
-    g = j.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pool_rank", block.alias("b")))).alias("_b"))
-    prompt = F.concat(F.lit("### Context Conversations\n\n"), F.array_join(F.transform("_b", lambda x: x["b"]), "\n"),
-                      F.lit("\n### Question\n\n" + question))
+    g = j.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pool_rank", "markdown"))).alias("_b"))
+    prompt = F.concat(F.array_join(F.transform("_b", lambda x: x["markdown"]), "\n"), F.lit(ASK_REQUEST + question))
     return g.select(F.concat(F.lit("ask:"), F.col("batch").cast("string")).alias("prompt_id"), "batch",
                     F.lit(ASK_SYSTEM).alias("system"), prompt.alias("prompt"))
 
 
+def partial_answers(prompts: DataFrame, responses: DataFrame) -> DataFrame:
+    """(batch, answer, error) per prompt; a failed batch has no answer."""
+    return join_responses(prompts.select("prompt_id", "batch"), responses).select(
+        "batch", F.when(F.col("error").isNull(), F.col("response")).alias("answer"), "error")
+
+
+def failed_batches(partials: DataFrame) -> DataFrame:
+    """Batches without an answer and why; an ask with any fails as a whole."""
+    return partials.where(F.col("answer").isNull()).select("batch", "error")
+
+
 def synthesis_prompts(partials: DataFrame, question: str, fan_in: int = FAN_IN, level: int = 1) -> DataFrame:
     """partials(batch, answer) -> synthesis prompts for groups of at
     most ``fan_in`` answers (one group unless there are more batches)."""
     g = partials.withColumn("group", F.floor(F.col("batch") / fan_in).cast("bigint")) \
         .groupBy("group").agg(F.array_sort(F.collect_list(F.struct("batch", "answer"))).alias("_a"))
-    numbered = F.transform("_a", lambda x, i: F.concat(F.lit("**Answer "), (i + 1).cast("string"), F.lit(":**\n"), x["answer"], F.lit("\n")))
-    prompt = F.concat(F.lit("### Partial Answers\n\n"), F.array_join(numbered, "\n"), F.lit("\n### Question\n\n" + question))
+    drafts = F.transform("_a", lambda x, i: F.concat(F.lit(DRAFT), (i + 1).cast("string"), F.lit(">\n"), x["answer"], F.lit("\n" + DRAFT_END)))
+    prompt = F.concat(F.array_join(drafts, ""), F.lit(ASK_REQUEST + question))
     return g.select(F.concat(F.lit(f"synth{level}:"), F.col("group").cast("string")).alias("prompt_id"),
                     F.col("group").alias("batch"), F.size("_a").cast("bigint").alias("n_answers"),
                     F.lit(SYNTHESIS_SYSTEM).alias("system"), prompt.alias("prompt"))
 
 
-def ask_result(partials: DataFrame, final: DataFrame | None) -> DataFrame:
-    """One batch -> its answer; otherwise the synthesis answer.
-    ``final`` holds the last synthesis response (prompt_id, response).
-    One aggregation over the union, no join of single-row frames."""
-    u = partials.select("batch", "answer", F.lit(False).alias("_final"))
-    if final is not None:
-        u = u.unionByName(final.select(F.lit(-1).cast("bigint").alias("batch"), F.col("response").alias("answer"),
-                                       F.lit(True).alias("_final")))
-    agg = u.agg(F.count_if(~F.col("_final")).alias("batch_count"),
-                F.min_by(F.when(~F.col("_final"), F.col("answer")), F.when(~F.col("_final"), F.col("batch"))).alias("_only"),
-                F.max(F.when(F.col("_final"), F.col("answer"))).alias("_syn"))
-    return agg.select(F.when(F.col("batch_count") == 1, F.col("_only")).otherwise(F.col("_syn")).alias("answer"), "batch_count")
+def reduce_answers(partials: DataFrame, question: str, respond: Callable[[DataFrame], DataFrame], fan_in: int = FAN_IN) -> DataFrame:
+    """(answer, batch_count) of all partial answers. One answer is
+    the result; more are combined level by level, ``fan_in`` at a time, until
+    one is left. ``respond`` turns prompts into responses (the model step).
+    Each level is stored before the next; a failed prompt raises."""
+    if fan_in < 2:
+        raise ValueError("fan_in must be at least 2")
+    current = materialize(partials.select("batch", "answer", "error"), "ask-partials")
+    batches = current.count()
+    left, level = batches, 1
+    while True:
+        failed = failed_batches(current).count()
+        if failed:
+            raise RuntimeError(f"{failed} of {left} prompts of level {level - 1} failed")
+        if left <= 1:
+            return current.select("answer", F.lit(batches).cast("bigint").alias("batch_count"))
+        prompts = synthesis_prompts(current, question, fan_in, level)
+        current = materialize(partial_answers(prompts, respond(prompts)), f"ask-level{level}")
+        left, level = current.count(), level + 1
 
 
 def ask_sources(pool: DataFrame) -> DataFrame:

@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from parlance.functions.text import fmt_time
 from parlance.operators.generate import join_responses, parsed_json
 from parlance.operators.sample import chunked, stratified_sample
-from parlance.plans.broadcast import MAX_BROADCAST_ROWS, bounded_broadcast  # noqa: F401
 
 from parlance.functions.formats import EXPLORE_BATCH, EXPLORE_CHARS, EXPLORE_SAMPLE, STOP_WORDS
-
-EXPLORE_SYSTEM = (
-    "Suggest topic categories that the listed conversations share and that the existing list does not "
-    "cover yet. Answer with JSON only: "
-    '{"suggestions": [{"slug": "", "name": "", "description": "", "sample_titles": []}]}'
-)
-FREE_SYSTEM = (
-    "Suggest a small topic taxonomy for the listed conversations. Answer with JSON only: "
-    '{"suggestions": [{"slug": "", "name": "", "description": "", "sample_titles": []}]}'
-)
+from parlance.functions.prompts import EXPLORE_BODY, EXPLORE_DATE, EXPLORE_ITEM, EXPLORE_KNOWN, EXPLORE_SYSTEM, FREE_SYSTEM
 
 
 def free_mode(cats: DataFrame, flag: bool = False) -> bool:
@@ -39,13 +29,12 @@ def explore_prompts(headers: DataFrame, msgs: DataFrame, cats: DataFrame, sample
     text = condensed_text(headers.join(sampled.select("conv_id"), "conv_id", "left_semi"),
                           msgs.join(sampled.select("conv_id"), "conv_id", "left_semi"), max_chars)
     j = batches.join(text, "conv_id")
-    block = F.concat(F.lit('--- CONVERSATION: "'), F.col("title"), F.lit('" ('), fmt_time("create_time"),
-                     F.lit(") ---\n"), F.col("condensed"))
+    block = F.concat(F.lit(EXPLORE_ITEM), F.col("title"), F.lit(EXPLORE_DATE), fmt_time("create_time"), F.lit(EXPLORE_BODY), F.col("condensed"))
     g = j.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("sample_ord", block.alias("b")))).alias("_b"))
     is_free = free_mode(cats) if free is None else free
-    existing = "" if is_free else "\n".join(
-        f"- {r['slug']}: {r['name']}" for r in cats.orderBy("cat_ord").select("slug", "name").limit(10001).collect())
-    prompt = F.concat(F.lit("Existing categories:\n" + existing + "\n\n" if not is_free else ""),
+    # The prompt lists every category, so the table is as long as a prompt may be.
+    known = "" if is_free else EXPLORE_KNOWN + "".join(f"{r['slug']} = {r['name']}\n" for r in cats.orderBy("cat_ord").select("slug", "name").collect()) + "\n"
+    prompt = F.concat(F.lit(known),
                       F.array_join(F.transform("_b", lambda x: x["b"]), "\n\n"))
     return g.select(F.concat(F.lit("explore:"), F.col("batch").cast("string")).alias("prompt_id"), "batch",
                     F.lit(FREE_SYSTEM if is_free else EXPLORE_SYSTEM).alias("system"), prompt.alias("prompt"))
@@ -68,7 +57,7 @@ def apply_explore_responses(prompts: DataFrame, responses: DataFrame) -> DataFra
 def new_suggestions(sugg: DataFrame, cats: DataFrame, free: bool = False) -> DataFrame:
     """Non-empty slug, not already a category unless free mode."""
     s = sugg.where(F.col("slug") != "")
-    return s if free else s.join(bounded_broadcast(cats.select("slug")), "slug", "left_anti")
+    return s if free else s.join(cats.select("slug"), "slug", "left_anti")
 
 
 def merge_suggestions(seed: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,8 +105,9 @@ def apply_discovery(cats: DataFrame, merged: DataFrame, decisions: DataFrame) ->
     adds = d.where(F.col("action") == "add").select(
         "slug", "name", F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("keywords", kw).alias("keywords"), "seq")
-    base = cats.select("slug", "name", "description", "keywords", F.col("cat_ord").cast("bigint").alias("seq"))
-    with_adds = upsert(base, adds.withColumn("seq", F.col("seq") + F.lit(1_000_000)), "slug")
+    # The order is a struct (origin, position): existing rows first, then additions.
+    base = cats.select("slug", "name", "description", "keywords", F.struct(F.lit(0).alias("origin"), F.col("cat_ord").cast("bigint").alias("at")).alias("seq"))
+    with_adds = upsert(base, adds.withColumn("seq", F.struct(F.lit(1).alias("origin"), F.col("seq").cast("bigint").alias("at"))), "slug")
     merges = d.where(F.col("action") == "merge").select(F.col("target").alias("slug"), "seq", kw.alias("_kw"))
     extra = merges.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("seq", "_kw"))).alias("_k")) \
         .select("slug", F.flatten(F.transform("_k", lambda x: x["_kw"])).alias("_extra"))

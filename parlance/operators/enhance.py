@@ -11,33 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.formats import EXCHANGES, EXPANSION_FAILED
+from parlance.functions import prompts as W
 from parlance.functions.text import php_trim, range_label
 from parlance.operators.generate import cleaned_text, join_responses, parsed_json
+from parlance.plans.materialize import materialize
 from parlance.operators.pairs import PAIR_BATCH, attach_one_liners, pair_chunks, range_key, range_slices, valid_ranges
 
 def _empty():
     return F.array().cast("array<string>")
 
-# System prompts (our own wording). Only the JSON contracts are fixed.
-PAIR_SYSTEM = (
-    "Write one short line (at most 20 words) per exchange saying what was asked and what was "
-    "concluded. Answer in English with JSON only: "
-    '{"summaries": [{"pair_index": 0, "one_liner": "..."}]}'
-)
-FLAG_SYSTEM = (
-    "From a numbered digest of exchanges, pick runs of consecutive indices that hold decisions, "
-    "important clarifications, changes of direction or dense technical detail. Answer in English "
-    'with JSON only: {"flagged": [{"start": 0, "end": 2}], "reasoning": "..."}'
-)
-EXPAND_SYSTEM = (
-    "Summarise the excerpt densely in 3 to 6 sentences: decisions, reasons, concrete values and how "
-    "the discussion moved. Plain English text, no JSON, no headings."
-)
-PROPOSAL_SYSTEM = (
-    "Given current labels and detailed notes, propose better summary, key_facts and tags only where "
-    'they add value. Answer in English with JSON only: {"summary": "...", "key_facts": [], "tags": []}'
-)
-
 
 def _ordered(arr_col, field: str, sep: str = ""):
     return F.array_join(F.transform(F.array_sort(arr_col), lambda x: x[field]), sep)
@@ -45,18 +27,17 @@ def _ordered(arr_col, field: str, sep: str = ""):
 
 def pair_prompts(pairs: DataFrame, n: int = PAIR_BATCH) -> DataFrame:
     """M6: one prompt per (conversation, chunk of n pairs), full text."""
-    block = F.concat(F.lit("EXCHANGE "), F.col("pair_index").cast("string"), F.lit(":\nUSER: "), F.col("user"),
-                     F.lit("\nASSISTANT: "), F.col("assistant"), F.lit("\n\n"))
+    block = F.concat(F.lit(W.PAIR_ITEM), F.col("pair_index").cast("string"), F.lit(W.PAIR_ASKED), F.col("user"),
+                     F.lit(W.PAIR_ANSWERED), F.col("assistant"), F.lit(W.PAIR_END))
     g = pair_chunks(pairs, n).groupBy("conv_id", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("pair_index", block.alias("block")))).alias("_b"))
     indices = F.transform("_b", lambda x: x["pair_index"])
     prompt = F.concat(
-        F.lit("Exchanges to summarise (indices: "), F.array_join(indices, ", "), F.lit(").\n\n"),
-        F.array_join(F.transform("_b", lambda x: x["block"]), ""),
-        F.lit("Reply with JSON only, one entry per exchange."))
+        F.lit(W.PAIR_LIST), F.array_join(indices, ", "), F.lit(W.PAIR_LIST_END),
+        F.array_join(F.transform("_b", lambda x: x["block"]), ""))
     return g.select(
         F.concat(F.lit("pairs:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("chunk").cast("string")).alias("prompt_id"),
-        "conv_id", "chunk", indices.alias("pair_indices"), F.lit(PAIR_SYSTEM).alias("system"), prompt.alias("prompt"))
+        "conv_id", "chunk", indices.alias("pair_indices"), F.lit(W.PAIR_SYSTEM).alias("system"), prompt.alias("prompt"))
 
 
 def apply_pair_responses(pairs: DataFrame, prompts: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,10 +54,10 @@ def apply_pair_responses(pairs: DataFrame, prompts: DataFrame, responses: DataFr
         "conv_id", "chunk",
         F.posexplode(F.coalesce(F.try_variant_get("_obj", "$.summaries", "array<variant>"), F.array())).alias("item_pos", "item"))
     summaries = items.select(
-        "conv_id",
+        "conv_id", "chunk",
         F.coalesce(F.try_variant_get("item", "$.pair_index", "bigint"), F.lit(-1)).alias("pair_index"),
         F.coalesce(F.try_variant_get("item", "$.one_liner", "string"), F.lit("")).alias("one_liner"),
-        F.struct("chunk", "item_pos").alias("item_ord"))
+        F.col("item_pos").alias("item_ord"))
     ok_pairs = pairs.join(failed, "conv_id", "left_anti")
     attached = attach_one_liners(ok_pairs, summaries)
     per_conv = attached.groupBy("conv_id").agg(
@@ -87,12 +68,11 @@ def apply_pair_responses(pairs: DataFrame, prompts: DataFrame, responses: DataFr
 def flag_prompts(summaries: DataFrame, headers: DataFrame) -> DataFrame:
     """M8: indexed one-liner digest per conversation (none without pairs)."""
     digest = F.array_join(F.transform("message_summaries", lambda s: F.concat(
-        F.lit("["), s["pair_index"].cast("string"), F.lit("] "), s["one_liner"], F.lit("\n"))), "")
+        s["pair_index"].cast("string"), F.lit(W.FLAG_SEP), s["one_liner"], F.lit("\n"))), "")
     j = summaries.where(F.size("message_summaries") > 0).join(headers.select("conv_id", "title"), "conv_id")
-    prompt = F.concat(F.lit('Title: "'), F.col("title"), F.lit('"\n\nDigest (index and one line):\n'), digest,
-                      F.lit("\nWhich index ranges deserve a detailed summary? JSON only."))
+    prompt = F.concat(F.lit(W.FLAG_TITLE), F.col("title"), F.lit(W.FLAG_TITLE_END), digest)
     return j.select(F.concat(F.lit("flag:"), F.col("conv_id").cast("string")).alias("prompt_id"), "conv_id",
-                    F.lit(FLAG_SYSTEM).alias("system"), prompt.alias("prompt"))
+                    F.lit(W.FLAG_SYSTEM).alias("system"), prompt.alias("prompt"))
 
 
 def apply_flag_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
@@ -108,16 +88,14 @@ def expand_prompts(ranges: DataFrame, pairs: DataFrame, headers: DataFrame) -> D
     """One prompt per range with its exchanges (J4); a range that
     covers no pair gets none."""
     sl = range_slices(ranges, pairs)
-    block = F.concat(F.lit("USER:\n"), F.col("user"), F.lit("\n\nASSISTANT:\n"), F.col("assistant"), F.lit("\n\n---\n\n"))
+    block = F.concat(F.lit(W.EXPAND_ASKED), F.col("user"), F.lit(W.EXPAND_ANSWERED), F.col("assistant"), F.lit(W.EXPAND_SEP))
     g = sl.groupBy("conv_id", "range_ord", "start", "end").agg(
         F.array_sort(F.collect_list(F.struct("pair_index", block.alias("block")))).alias("_b"))
     j = g.join(headers.select("conv_id", "title"), "conv_id")
-    prompt = F.concat(F.lit('Conversation: "'), F.col("title"), F.lit('"\nExchanges '), F.col("start").cast("string"),
-                      F.lit("–"), F.col("end").cast("string"), F.lit(":\n\n"), _ordered("_b", "block"),
-                      F.lit("\nSummarise this excerpt in detail."))
+    prompt = F.concat(F.lit(W.EXPAND_TITLE), F.col("title"), F.lit(W.EXPAND_FROM), range_key(), F.lit(W.EXPAND_END), _ordered("_b", "block"))
     return j.select(
         F.concat(F.lit("expand:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("range_ord").cast("string")).alias("prompt_id"),
-        "conv_id", "range_ord", range_key().alias("range_key"), F.lit(EXPAND_SYSTEM).alias("system"), prompt.alias("prompt"))
+        "conv_id", "range_ord", range_key().alias("range_key"), F.lit(W.EXPAND_SYSTEM).alias("system"), prompt.alias("prompt"))
 
 
 def apply_expand_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
@@ -141,15 +119,14 @@ def php_json_list(arr):
 def proposal_prompts(labelled: DataFrame, detailed: DataFrame) -> DataFrame:
     """Current labels + expansions; none without expansions."""
     blocks = F.array_join(F.transform(F.map_entries("detailed_summaries"), lambda e: F.concat(
-        F.lit("### Exchanges "), e["key"], F.lit("\n"), e["value"], F.lit("\n\n"))), "")
+        e["key"], F.lit(W.NOTE_SEP), e["value"], F.lit(W.NOTE_END))), "")
     j = detailed.where(F.size("detailed_summaries") > 0).join(
         labelled.select("conv_id", "title", "summary", "key_facts", "tags"), "conv_id")
     prompt = F.concat(
-        F.lit('Conversation: "'), F.col("title"), F.lit('"\n\nCURRENT SUMMARY: '), F.col("summary"),
-        F.lit("\nCURRENT KEY_FACTS: "), php_json_list("key_facts"), F.lit("\nCURRENT TAGS: "), php_json_list("tags"),
-        F.lit("\n\nNOTES ON KEY SECTIONS:\n"), blocks, F.lit("Propose the updated JSON."))
+        F.lit(W.ENTRY_TITLE), F.col("title"), F.lit(W.ENTRY_SUMMARY), F.col("summary"),
+        F.lit(W.ENTRY_FACTS), php_json_list("key_facts"), F.lit(W.ENTRY_TAGS), php_json_list("tags"), F.lit(W.ENTRY_NOTES), blocks)
     return j.select(F.concat(F.lit("propose:"), F.col("conv_id").cast("string")).alias("prompt_id"), "conv_id",
-                    F.lit(PROPOSAL_SYSTEM).alias("system"), prompt.alias("prompt"))
+                    F.lit(W.PROPOSAL_SYSTEM).alias("system"), prompt.alias("prompt"))
 
 
 def proposal_diff(labelled: DataFrame, prompts: DataFrame, responses: DataFrame) -> DataFrame:
@@ -190,18 +167,19 @@ def apply_proposals(state: DataFrame, enhanced: DataFrame, diffs: DataFrame, acc
         F.when(take_a & F.col("summary_diff").isNotNull(), F.col("summary_diff.new")).alias("_summary"),
         F.when(take_a & F.col("key_facts_diff").isNotNull(), F.col("key_facts_diff.new")).alias("_facts"),
         F.when(take_b, F.col("tags_diff.new")).alias("_tags"))
-    from parlance.operators.setops import upsert
-    st = state.join(upd, "conv_id").select(
+    # One keyed left join per table: rows without an accepted change stay as they are.
+    upd = materialize(upd, "accepted-proposals")
+    st = state.join(upd, "conv_id", "left").select(
         *[F.coalesce(F.col("_summary"), F.col("summary")).alias("summary") if c == "summary"
           else F.coalesce(F.col("_facts"), F.col("key_facts")).alias("key_facts") if c == "key_facts"
           else F.coalesce(F.col("_tags"), F.col("tags")).alias("tags") if c == "tags"
           else F.col(c) for c in state.columns])
-    en = enhanced.join(upd, "conv_id").select(
+    en = enhanced.join(upd, "conv_id", "left").select(
         *[F.coalesce(F.col("_summary"), F.col("enhanced_summary")).alias("enhanced_summary") if c == "enhanced_summary"
           else F.coalesce(F.col("_facts"), F.col("enhanced_key_facts")).alias("enhanced_key_facts") if c == "enhanced_key_facts"
           else F.coalesce(F.col("_tags"), F.col("proposed_tags")).alias("proposed_tags") if c == "proposed_tags"
           else F.col(c) for c in enhanced.columns])
-    return upsert(state, st), upsert(enhanced, en)
+    return st, en
 
 
 def enhance_worklist(labelled: DataFrame, cats: DataFrame, enhanced: DataFrame, reset: bool = False) -> DataFrame:

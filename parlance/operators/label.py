@@ -3,17 +3,15 @@ validation (P11, P12, F9), resume rules (P13, P14) and run counters (A10)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.formats import FIRST_USER_MESSAGES, KEYWORD_SCORE, MAX_TAGS
+from parlance.functions.prompts import LABEL_CATEGORY, LABEL_CLOSE, LABEL_OPEN, LABEL_SYSTEM
 from parlance.functions.text import clamp01
 
-from parlance.functions.formats import FIRST_USER_MESSAGES, KEYWORD_SCORE, MAX_TAGS  # noqa: E402
-# Largest taxonomy inlined into the plan as a literal; larger keyword sets
-# go through the Aho-Corasick scan (mapInPandas) instead.
-MAX_INLINE_KEYWORDS = 2000
-MAX_CATEGORIES = 10000
-
 
 def first_user_messages(msgs: DataFrame, n: int = FIRST_USER_MESSAGES) -> DataFrame:
     """The first ``n`` user messages of each conversation.
@@ -37,33 +35,23 @@ def haystacks(headers: DataFrame, msgs: DataFrame, n: int = FIRST_USER_MESSAGES)
         "conv_id", F.lower(F.concat_ws(" ", "title", F.coalesce("_texts", F.lit("")))).alias("haystack"))
 
 
-def _category_literal(cats: DataFrame) -> tuple[Column, int]:
-    rows = cats.orderBy("cat_ord").select("slug", "keywords").limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
-    n_kw = sum(len(r["keywords"] or []) for r in rows)
-    lit = F.array(*[
-        F.struct(F.lit(r["slug"]).alias("slug"),
-                 F.array(*[F.lit(k.lower()) for k in (r["keywords"] or [])]).cast("array<string>").alias("keywords"))
-        for r in rows if r["slug"] != "other"
-    ]) if rows else F.array()
-    return lit, n_kw
+def _category_literal(cats: DataFrame) -> Column:
+    """The keyword taxonomy (configuration) as one constant: a JSON text that
+    Spark folds into an array, so the plan stays one node at any size."""
+    rows = cats.orderBy("cat_ord").where("slug <> 'other'").select("slug", "keywords").collect()
+    text = json.dumps([{"slug": r["slug"], "keywords": [k.lower() for k in r["keywords"] or []]} for r in rows])
+    return F.from_json(F.lit(text), "array<struct<slug: string, keywords: array<string>>>")
 
 
-def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame, method: str = "auto") -> DataFrame:
+def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame) -> DataFrame:
     """Categories whose keyword occurs in the lower-cased haystack, in
     category order, ``other`` excluded; none -> ['other']; score 0.5.
 
-    The taxonomy is a configuration table (size-checked); it is embedded as
-    a literal so the match is a JVM-side lambda with early exit per category
-    and no join fan-out. Large keyword sets use a multi-pattern scan."""
+    The match is a JVM-side lambda with early exit per category and no join
+    fan-out, the same plan for any number of keywords."""
     hay = haystacks(headers, msgs)
-    lit, n_kw = _category_literal(cats)
-    if method == "scan" or (method == "auto" and n_kw > MAX_INLINE_KEYWORDS):
-        from parlance.operators.keyword_scan import keyword_label_scan
-        return keyword_label_scan(hay, cats)
     matched = F.transform(
-        F.filter(lit, lambda c: F.exists(c["keywords"], lambda k: F.contains(F.col("haystack"), k))),
+        F.filter(_category_literal(cats), lambda c: F.exists(c["keywords"], lambda k: F.contains(F.col("haystack"), k))),
         lambda c: c["slug"])
     return hay.select(
         "conv_id",
@@ -72,11 +60,19 @@ def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame, method:
     )
 
 
-def valid_categories(slugs: Column, valid: list[str]) -> Column:
-    """Keep configured slugs (order kept, duplicates removed); none ->
-    ['other']."""
-    ok = F.array_distinct(F.filter(slugs, lambda s: s.isin(valid)))
-    return F.when(F.size(ok) > 0, ok).otherwise(F.array(F.lit("other")))
+def keep_valid(df: DataFrame, cats: DataFrame, key: list[str], column: str = "categories", always: tuple[str, ...] = ()) -> DataFrame:
+    """P11 as a join with the category table (no bound on its rows): per
+    ``key``, the slugs of the array ``column`` that are configured or in
+    ``always``, order kept, repeats removed; possibly empty. ``key`` must be
+    unique in ``df``."""
+    slugs = cats.select(F.col("slug").alias("_slug"))
+    for s in always:
+        slugs = slugs.unionByName(df.sparkSession.range(1).select(F.lit(s).alias("_slug")))
+    others = [c for c in df.columns if c not in (*key, column)]
+    each = df.select(*key, F.struct(*others).alias("_row"), F.posexplode_outer(column).alias("_pos", "_slug"))
+    marked = each.join(slugs.distinct().withColumn("_known", F.lit(True)), "_slug", "left")
+    g = marked.groupBy(*key).agg(F.first("_row").alias("_row"), F.array_sort(F.collect_list(F.when(F.col("_known"), F.struct("_pos", "_slug")))).alias("_kept"))
+    return g.select(*key, "_row.*", F.array_distinct(F.transform("_kept", lambda x: x["_slug"])).alias(column))
 
 
 def cap_tags(tags: Column, n: int = MAX_TAGS) -> Column:
@@ -136,34 +132,36 @@ def contract_types_ok(obj: Column) -> Column:
     return out
 
 
-def apply_label_fields(obj: Column, valid: list[str]) -> dict[str, Column]:
-    """M2 field contract over a parsed response variant."""
+def float_value(obj: Column, path: str) -> Column:
+    """the field as the reference's float cast gives it: a number as it
+    is, a text by its leading number (0 without one), true 1, a non-empty
+    list or object 1; null when missing."""
+    kind = _kind(obj, path)
+    text = F.try_variant_get(obj, path, "string")
+    leading = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return (F.when(kind == "STRING", F.coalesce(F.nullif(leading, F.lit("")).try_cast("double"), F.lit(0.0)))
+            .when(kind == "BOOLEAN", F.try_variant_get(obj, path, "boolean").cast("int").cast("double"))
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.when(kind.isin("ARRAY<VOID>", "OBJECT<>"), 0.0).otherwise(1.0))
+            .otherwise(F.try_variant_get(obj, path, "double")))
+
+
+def apply_label_fields(obj: Column) -> dict[str, Column]:
+    """M2 field contract over a parsed response variant (slugs not yet checked)."""
     from parlance.functions.json import vget
-    cats = F.coalesce(vget(obj, "$.categories", "array<string>"), F.array().cast("array<string>"))
     return {
-        "categories": valid_categories(cats, valid),
+        "categories": F.coalesce(vget(obj, "$.categories", "array<string>"), F.array().cast("array<string>")),
         "tags": cap_tags(F.coalesce(vget(obj, "$.tags", "array<string>"), F.array().cast("array<string>"))),
         "summary": F.coalesce(vget(obj, "$.summary", "string"), F.lit("")),
         "key_facts": F.coalesce(vget(obj, "$.key_facts", "array<string>"), F.array().cast("array<string>")),
-        "relevance_score": clamp01(vget(obj, "$.relevance_score", "double")),
+        "relevance_score": clamp01(float_value(obj, "$.relevance_score")),
     }
 
 
 # ---------------------------------------------------------------- M1, M2
-LABEL_SYSTEM_HEAD = (
-    "You read a finished conversation and describe it from the outside; do not continue it. "
-    "Answer in English with JSON only, shaped as "
-    '{"categories": [], "tags": [], "summary": "", "key_facts": [], "relevance_score": 0.5}. '
-    "Pick one to three category slugs from this list (use other only when nothing fits):\n"
-)
-
-
 def label_system(cats: DataFrame) -> str:
-    """The category list is a size-checked configuration table."""
-    rows = cats.orderBy("cat_ord").select("slug", "description").limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
-    return LABEL_SYSTEM_HEAD + "\n".join(f"- **{r['slug']}**: {r['description']}" for r in rows)
+    """The system prompt lists every category, so the table is as long as a prompt may be."""
+    rows = cats.orderBy("cat_ord").select("slug", "description").collect()
+    return LABEL_SYSTEM + "".join(LABEL_CATEGORY.format(slug=r["slug"], description=r["description"]) for r in rows)
 
 
 def label_prompts(headers: DataFrame, msgs: DataFrame, cats: DataFrame, max_chars: int = 8000) -> DataFrame:
@@ -171,8 +169,7 @@ def label_prompts(headers: DataFrame, msgs: DataFrame, cats: DataFrame, max_char
     ``max_chars`` budget, the category list in the system prompt."""
     from parlance.operators.render import condensed_text
     text = condensed_text(headers, msgs, max_chars)
-    prompt = F.concat(F.lit("Conversation to analyse:\n---\n"), F.col("condensed"),
-                      F.lit("\n---\n\nReply with the JSON analysis only."))
+    prompt = F.concat(F.lit(LABEL_OPEN), F.col("condensed"), F.lit(LABEL_CLOSE))
     return text.select(F.concat(F.lit("label:"), F.col("conv_id").cast("string")).alias("prompt_id"), "conv_id",
                        F.lit(label_system(cats)).alias("system"), prompt.alias("prompt"))
 
@@ -182,18 +179,19 @@ def apply_label_responses(prompts: DataFrame, responses: DataFrame, cats: DataFr
     JSON, service error) get status 'error' and no labels, so they stay out
     of the state table and are retried next run."""
     from parlance.operators.generate import join_responses, parsed_json
-    valid = [r["slug"] for r in cats.select("slug").limit(MAX_CATEGORIES + 1).collect()]
     j = join_responses(prompts.select("prompt_id", "conv_id"), responses)
 
     # Bind the parsed object once with a lambda: every check and field then
     # reads the bound value, so a filter on ``status`` that Catalyst pushes
     # below this projection does not repeat the extraction per reference.
     def pack(o):
-        fields = apply_label_fields(o, valid)
+        fields = apply_label_fields(o)
         return F.struct((o.isNotNull() & contract_types_ok(o)).alias("ok"), *[c.alias(k) for k, c in fields.items()])
 
     j = j.withColumn("_p", F.transform(F.array(parsed_json("response")), pack)[0])
     ok = F.col("_p.ok") & F.col("error").isNull()
     names = ["categories", "tags", "summary", "key_facts", "relevance_score"]
-    return j.select("conv_id", F.when(ok, "ok").otherwise("error").alias("status"),
-                    *[F.when(ok, F.col(f"_p.{k}")).alias(k) for k in names])
+    rows = j.select("conv_id", F.when(ok, "ok").otherwise("error").alias("status"), *[F.when(ok, F.col(f"_p.{k}")).alias(k) for k in names])
+    checked = keep_valid(rows, cats, ["conv_id"])
+    slugs = F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array(F.lit("other")))
+    return checked.select("conv_id", "status", F.when(F.col("status") == "ok", slugs).alias("categories"), *names[1:])

@@ -80,16 +80,17 @@ def range_key(start="start", end="end"):
     return F.concat(F.col(start).cast("string"), F.lit("-"), F.col(end).cast("string"))
 
 
-def attach_one_liners(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
-    """One-liner per pair from parsed (conv_id, pair_index, one_liner,
-    item_ord) rows: last entry per index wins, negative indices dropped,
-    missing -> '(no summary)'. Adds the 80-column snippets (F7)."""
+def attach_one_liners(pairs: DataFrame, summaries: DataFrame, n: int = PAIR_BATCH) -> DataFrame:
+    """One-liner per pair from parsed (conv_id, chunk, pair_index,
+    one_liner, item_ord) rows of the pair's own chunk: last entry per index
+    wins, negative indices dropped, missing -> '(no summary)'. Adds the
+    80-column snippets (F7)."""
     last = (
         summaries.where(F.col("pair_index") >= 0)
-        .groupBy("conv_id", "pair_index")
+        .groupBy("conv_id", "chunk", "pair_index")
         .agg(F.max_by("one_liner", "item_ord").alias("one_liner"))
     )
-    return pairs.join(last, ["conv_id", "pair_index"], "left").select(
+    return pair_chunks(pairs, n).join(last, ["conv_id", "chunk", "pair_index"], "left").select(
         "conv_id", "pair_index",
         snippet("user").alias("user_snippet"),
         snippet("assistant").alias("assistant_snippet"),

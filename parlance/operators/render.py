@@ -27,7 +27,6 @@ from parlance.functions.formats import (
     MIN_RELEVANCE, RELEVANCE, ROW_CATEGORIES, ROW_CREATED, ROW_MESSAGES, ROW_RELEVANCE, ROW_TAGS, ROW_UPDATED, RULE,
     SUMMARY, TABLE_HEAD, TABLE_RULE, TAGS, UPDATED, USER_HEADING)
 
-from parlance.plans.broadcast import bounded_broadcast  # noqa: E402
 
 HEADER_ORDER = 0
 BODY_ORDER = 1
@@ -54,7 +53,7 @@ def fact_lines(facts) -> Column:
 # ---------------------------------------------------------------- K6 category Markdown
 def category_markdown_blocks(labelled: DataFrame, cats: DataFrame, generated_at: str) -> DataFrame:
     """K6 blocks: (slug, part, relevance_score, create_time, conv_id, block)."""
-    members = _members(labelled, cats)
+    members = category_members(labelled, cats)
     body = members.select(
         "slug", F.lit(BODY_ORDER).alias("part"), "relevance_score", "create_time", "conv_id",
         lines(
@@ -72,7 +71,7 @@ def category_markdown_blocks(labelled: DataFrame, cats: DataFrame, generated_at:
             L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
-    header = counts.join(bounded_broadcast(cats.select("slug", "name")), "slug").select(
+    header = counts.join(cats.select("slug", "name"), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
         lines(L(F.concat(F.lit(H1), F.col("name")), "", EXPORTED + generated_at,
@@ -80,17 +79,17 @@ def category_markdown_blocks(labelled: DataFrame, cats: DataFrame, generated_at:
     return header.unionByName(body)
 
 
-def _members(labelled: DataFrame, cats: DataFrame) -> DataFrame:
+def category_members(labelled: DataFrame, cats: DataFrame) -> DataFrame:
     """J6 restricted to configured categories (a repeated slug repeats)."""
     ex = labelled.select("*", F.explode("categories").alias("slug"))
-    return ex.join(bounded_broadcast(cats.select("slug")), "slug", "left_semi")
+    return ex.join(cats.select("slug"), "slug", "left_semi")
 
 
 # ---------------------------------------------------------------- K5 category JSON
 def category_json_rows(labelled: DataFrame, cats: DataFrame) -> DataFrame:
     """K5: per category, the conversations array rows (state-row shape) with
     their sort keys; ``category_json_header`` gives the envelope."""
-    members = _members(labelled, cats)
+    members = category_members(labelled, cats)
     return members.select(
         "slug", "relevance_score", "create_time", "conv_id",
         F.col("conv_id").cast("string").alias("id"), "title",
@@ -98,11 +97,19 @@ def category_json_rows(labelled: DataFrame, cats: DataFrame) -> DataFrame:
         "message_count", "user_messages", "categories", "tags", "summary", "key_facts")
 
 
+def write_category_json(labelled: DataFrame, cats: DataFrame, path: str) -> None:
+    """K5 rows under ``path/slug=<s>/``: the lines of the part files in name
+    order are the conversations array, best relevance first."""
+    order = [F.col("slug"), F.col("relevance_score").desc(), F.col("_time").desc(), F.col("id")]
+    rows = category_json_rows(labelled, cats).withColumnRenamed("create_time", "_time").drop("conv_id")
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_time").write.mode("overwrite").partitionBy("slug").json(path))
+
+
 def category_json_header(labelled: DataFrame, cats: DataFrame, exported_at: str) -> DataFrame:
-    members = _members(labelled, cats)
+    members = category_members(labelled, cats)
     counts = members.groupBy("slug").agg(F.count(F.lit(1)).alias("conversation_count"))
-    return counts.join(bounded_broadcast(cats), "slug").select(
-        "slug", F.to_json(F.struct("slug", "name", "description", "keywords")).alias("category"),
+    return counts.join(cats, "slug").select(
+        F.struct("slug", "name", "description", "keywords").alias("category"),
         F.lit(exported_at).alias("exported_at"), "conversation_count")
 
 
@@ -110,7 +117,7 @@ def category_json_header(labelled: DataFrame, cats: DataFrame, exported_at: str)
 def context_package_blocks(labelled: DataFrame, cats: DataFrame, min_rel: float, generated_at: str) -> DataFrame:
     """K7 blocks: relevance >= min_rel; a category with members but none
     over the threshold still gets a package (header with 0)."""
-    members = _members(labelled, cats)
+    members = category_members(labelled, cats)
     kept = members.where(F.col("relevance_score") >= min_rel)
     body = kept.select(
         "slug", F.lit(BODY_ORDER).alias("part"), "relevance_score", "create_time", "conv_id",
@@ -124,7 +131,7 @@ def context_package_blocks(labelled: DataFrame, cats: DataFrame, min_rel: float,
             L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count_if(F.col("relevance_score") >= min_rel).alias("n"))
-    header = counts.join(bounded_broadcast(cats.select("slug", "name")), "slug").select(
+    header = counts.join(cats.select("slug", "name"), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
         lines(L(F.concat(F.lit(CONTEXT_TITLE), F.col("name")), "", GENERATED + generated_at,
@@ -144,7 +151,7 @@ def enhanced_package_blocks(labelled: DataFrame, enhanced: DataFrame, cats: Data
     """K9 blocks: enhanced summary / facts when non-empty, digest numbered
     from 1, deep-dive ranges shown 1-based."""
     from parlance.operators.select import with_enhanced
-    members = _members(with_enhanced(labelled, enhanced), cats)
+    members = category_members(with_enhanced(labelled, enhanced), cats)
     kept = members.where(F.col("relevance_score") >= min_rel)
     digest = F.transform(F.coalesce("message_summaries", F.array()), lambda s: F.concat(
         (s["pair_index"] + 1).cast("string"), F.lit(". "), s["one_liner"]))
@@ -165,7 +172,7 @@ def enhanced_package_blocks(labelled: DataFrame, enhanced: DataFrame, cats: Data
             L(RULE, ""),
         ).alias("block"))
     counts = members.groupBy("slug").agg(F.count_if(F.col("relevance_score") >= min_rel).alias("n"))
-    header = counts.join(bounded_broadcast(cats.select("slug", "name")), "slug").select(
+    header = counts.join(cats.select("slug", "name"), "slug").select(
         "slug", F.lit(HEADER_ORDER).alias("part"), F.lit(None).cast("double").alias("relevance_score"),
         F.lit(None).cast("double").alias("create_time"), F.lit(None).cast(members.schema["conv_id"].dataType).alias("conv_id"),
         lines(L(F.concat(F.lit(ENHANCED_TITLE), F.col("name")), "", GENERATED + generated_at,
@@ -186,9 +193,7 @@ def message_blocks(msgs: DataFrame) -> DataFrame:
 
 
 def transcripts(headers: DataFrame, msgs: DataFrame) -> DataFrame:
-    """(conv_id, file_name, markdown) per conversation. File names
-    are the safe title; a name shared by several conversations gets the id
-    appended so no transcript overwrites another."""
+    """(conv_id, markdown) per conversation: one prompt-sized document."""
     blocks = message_blocks(msgs).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_b"))
     h = headers.select("conv_id", "title", "create_time").join(blocks, "conv_id", "left")
@@ -196,8 +201,7 @@ def transcripts(headers: DataFrame, msgs: DataFrame) -> DataFrame:
                    F.concat(F.lit(CREATED_LINE), fmt_time("create_time", LONG_DATE_FMT), F.lit("_")), "", RULE, ""))
     body = F.transform(F.coalesce("_b", F.array()), lambda x: x["block"])
     doc = F.array_join(F.concat(F.array(head), body), "\n")
-    name = safe_name("title", "conv_id")
-    return h.select("conv_id", name.alias("_name"), doc.alias("markdown"))
+    return h.select("conv_id", doc.alias("markdown"))
 
 
 def transcript_blocks(headers: DataFrame, msgs: DataFrame) -> DataFrame:
@@ -213,12 +217,10 @@ def transcript_blocks(headers: DataFrame, msgs: DataFrame) -> DataFrame:
     return head.unionByName(body.join(headers.select("conv_id"), "conv_id", "left_semi"))
 
 
-def transcript_file_names(t: DataFrame) -> DataFrame:
-    """Quirk 8: suffix the id where a safe name collides."""
-    dup = t.groupBy("_name").agg(F.count(F.lit(1)).alias("_n"))
-    j = t.join(dup, "_name")
-    fname = F.when(F.col("_n") > 1, F.concat(F.col("_name"), F.lit("_"), F.col("conv_id").cast("string"))).otherwise(F.col("_name"))
-    return j.select("conv_id", F.concat(fname, F.lit(".md")).alias("file_name"), "markdown")
+def transcript_file_names(headers: DataFrame) -> DataFrame:
+    """(conv_id, file_name): the safe title and always the id, so that no two
+    conversations share a name and no join on titles is needed."""
+    return headers.select("conv_id", F.concat(safe_name("title", "conv_id"), F.lit("_"), F.col("conv_id").cast("string"), F.lit(".md")).alias("file_name"))
 
 
 # ---------------------------------------------------------------- F2 condensed text

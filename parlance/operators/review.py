@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import clamp01
 from parlance.operators import select as Sel
+from parlance.operators.label import keep_valid
 from parlance.plans.ranks import with_global_rank
 
 
@@ -25,20 +26,17 @@ def review_queue(labelled: DataFrame, slug: str | None = None, ids: DataFrame |
 
 
 def apply_review_edits(state: DataFrame, edits: DataFrame, cats: DataFrame) -> DataFrame:
-    """``edits(conv_id, seq, action, categories, relevance)``.
+    """``edits(conv_id, seq, action, categories, relevance)``, one row per conversation and seq.
 
     recategorise: valid slugs (configured + 'other'), distinct, order kept;
     none valid -> edit ignored. relevance: clamped to [0, 1]. delete:
     relevance 0. Several edits per conversation: the last one per field
     wins; each touched conversation is written once (U1)."""
     from parlance.operators.setops import upsert
-    valid = [r["slug"] for r in cats.select("slug").limit(10001).collect()]
-    if "other" not in valid:
-        valid.append("other")
-    cats_new = F.array_distinct(F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda s: s.isin(valid)))
-    e = edits.select(
+    checked = keep_valid(edits, cats, ["conv_id", "seq"], always=("other",))
+    e = checked.select(
         "conv_id", "seq",
-        F.when((F.col("action") == "recategorise") & (F.size(cats_new) > 0), cats_new).alias("_cats"),
+        F.when((F.col("action") == "recategorise") & (F.size("categories") > 0), F.col("categories")).alias("_cats"),
         F.when(F.col("action") == "relevance", clamp01("relevance", 0.0))
         .when(F.col("action") == "delete", F.lit(0.0)).alias("_rel"))
     per = e.groupBy("conv_id").agg(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.select import newest_order
-from parlance.plans.broadcast import MAX_BROADCAST_ROWS
 from parlance.plans.ranks import chunk_index, with_global_rank
 
 
@@ -23,15 +22,13 @@ def stratified_sample(df: DataFrame, s: int, order=None) -> DataFrame:
     default); all rows when ``s`` is 0 or not below the row count.
 
     Ranks come from the offset-based global rank; the positions table has
-    exactly ``s`` rows, so broadcasting it is bounded by the parameter."""
+    exactly ``s`` rows and is joined by the planner's choice."""
     order = order or newest_order()
     ranked = with_global_rank(df, order, "_rank")
     n = ranked.count()
     if s <= 0 or s >= n:
         return ranked.withColumn("sample_ord", F.col("_rank") - 1).drop("_rank")
     pos = sample_positions(df.sparkSession, n, s)
-    # exactly s rows: broadcast while s is within the broadcast bound
-    pos = F.broadcast(pos) if s <= MAX_BROADCAST_ROWS else pos
     return ranked.join(pos, ranked["_rank"] - 1 == pos["sample_pos"]).drop("_rank", "sample_pos")
 
 

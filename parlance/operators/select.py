@@ -85,7 +85,8 @@ def id_frame(spark: SparkSession, values: list[str], key_type: str = "string") -
     raw = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "opt_ord int, opt string")
     ex = raw.select("opt_ord", F.posexplode(F.split("opt", ",")).alias("part_ord", "part"))
     ids = ex.select("opt_ord", "part_ord", php_trim("part").alias("conv_id")).where(F.col("conv_id") != "")
-    return ids.select((F.col("opt_ord").cast("bigint") * 100000 + F.col("part_ord")).alias("ord"), F.col("conv_id").cast(key_type).alias("conv_id"))
+    # The request order is a struct: no bound on the ids of one option.
+    return ids.select(F.struct("opt_ord", "part_ord").alias("ord"), F.col("conv_id").cast(key_type).alias("conv_id"))
 
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -111,11 +112,10 @@ def lookup_ordered(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def by_category(df: DataFrame, cats: DataFrame) -> DataFrame:
-    """Conversation x configured category (many-to-many). The category
-    table is broadcast when its size check passes."""
-    from parlance.plans.broadcast import bounded_broadcast
+    """Conversation x configured category (many-to-many); the planner
+    broadcasts the category table while its bytes allow."""
     ex = df.select("*", F.explode("categories").alias("slug"))
-    return ex.join(bounded_broadcast(cats.select("slug", F.col("name").alias("category_name"))), "slug")
+    return ex.join(cats.select("slug", F.col("name").alias("category_name")), "slug")
 
 
 def with_enhanced(df: DataFrame, enhanced: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import fmt_time
-from parlance.plans.broadcast import bounded_broadcast
 
 # Histogram bins: label and exclusive upper bound (the last bin takes the rest).
 from parlance.functions.formats import HIGH_RELEVANCE, HISTOGRAM_BINS  # noqa: E402
@@ -146,18 +145,15 @@ def exported_total(labelled: DataFrame, cats: DataFrame) -> DataFrame:
     """A7 total: distinct conversations in at least one exported slug."""
     members = labelled.select("conv_id", F.explode("categories").alias("slug"))
     return (
-        members.join(bounded_broadcast(cats.select("slug")), "slug", "left_semi")
+        members.join(cats.select("slug"), "slug", "left_semi")
         .agg(F.count_distinct("conv_id").alias("total_conversations"))
     )
 
 
-CONCAT_CHUNK = 1000
-
-
 def concat_ordered(df: DataFrame, key: str, order: str, value: str, sep: str = "\n",
-                   chunk: int = CONCAT_CHUNK) -> DataFrame:
+                   chunk: int = 1000) -> DataFrame:
     """Ordered concatenation in bounded pieces: (key, chunk, text) with
-    at most ``chunk`` values per row; the chunks of a key joined by ``sep``
+    at most ``chunk`` values per row (a parameter of the output's shape); the chunks of a key joined by ``sep``
     in chunk order give the whole text. A key with a huge number of values
     is therefore split over many groups instead of one task."""
     from parlance.plans.ranks import grouped_rank

@@ -121,25 +121,18 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
 
 
 def _dfs_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact stack DFS for one conversation (visit-once)."""
+    """Visit-once preorder of one conversation: every level of the walk is an
+    iterator over the children still to try."""
     pdf = pdf.sort_values("map_pos")
-    conv = pdf["conv_id"].iloc[0]
-    children = {r.node_id: (list(r.children) if r.children is not None else []) for r in pdf.itertuples()}
-    root = None
-    for r in pdf.itertuples():
-        if r.parent is None or r.parent in ("", "0"):
-            root = r.node_id
-            break
-    out = []
-    if root is not None:
-        seen, stack = set(), [root]
-        while stack:
-            n = stack.pop()
-            if n in seen or n not in children:
-                continue
-            seen.add(n)
-            out.append(n)
-            for c in reversed(children[n]):
-                if c not in seen:
-                    stack.append(c)
-    return pd.DataFrame({"conv_id": [conv] * len(out), "node_id": out, "pos": list(range(len(out)))})
+    kids = dict(zip(pdf["node_id"], (() if c is None else tuple(c) for c in pdf["children"]), strict=True))
+    starts = pdf["node_id"][[p is None or p in ("", "0") for p in pdf["parent"]]]
+    place: dict[str, int] = {}
+    levels = [iter(starts[:1])]
+    while levels:
+        node = next((n for n in levels[-1] if n in kids and n not in place), None)
+        if node is None:
+            levels.pop()
+        else:
+            place[node] = len(place)
+            levels.append(iter(kids[node]))
+    return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], "node_id": list(place), "pos": list(place.values())})

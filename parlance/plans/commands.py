@@ -9,7 +9,8 @@ report | review -> state edits.
 
 The model is a user function over a pandas batch of prompts (see
 ``operators.generate``); nothing needs a server. Every step is a Spark job;
-the only values brought to the driver are counts and the category table.
+the only values brought to the driver are counts and the category table
+(configuration whose whole list goes into prompts and side files).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from parlance.operators import render as R
 from parlance.operators import review as Rv
 from parlance.operators import select as Sel
 from parlance.operators import stats as S
-from parlance.operators.generate import generate, join_responses
+from parlance.operators.generate import generate
 from parlance.operators.pairs import message_pairs
 from parlance.operators.setops import merge_counts
 from parlance.plans.ingest import ingest
@@ -49,11 +50,12 @@ class Workspace:
         self.spark, self.root = spark, root.rstrip("/")
         self.store = Tb.TableStore(spark, self.root + "/tables")
 
-    def headers(self) -> DataFrame:
-        return self.store.read("headers")
+    def headers(self) -> DataFrame | None:
+        """Headers of all conversations, from batch and streaming runs alike."""
+        return self.store.keyed("headers").read()
 
-    def messages(self) -> DataFrame:
-        return self.store.read("messages")
+    def messages(self) -> DataFrame | None:
+        return self.store.keyed("messages").read()
 
     def state(self) -> DataFrame:
         return self.store.read("state", STATE_SCHEMA)
@@ -62,12 +64,12 @@ class Workspace:
 # ---------------------------------------------------------------- parse
 def parse(ws: Workspace, input_path: str, min_messages: int = 4, glob: str = "*.json") -> dict[str, DataFrame]:
     headers, msgs = ingest(ws.spark, input_path, glob)
-    headers = materialize(headers.drop("file"), "parse-headers")
+    headers = headers.drop("file")
     new_index = Sel.index_rows(S.min_messages(headers, min_messages))
     old_index = ws.store.read("parsed_index", INDEX_SCHEMA)
     counts = materialize(merge_counts(new_index, old_index, "id"), "parse-counts")
-    ws.store.upsert("headers", headers, "conv_id")
-    ws.store.upsert("messages", msgs, "conv_id")
+    ws.store.keyed("messages").upsert(msgs)
+    ws.store.keyed("headers").upsert(headers)
     ws.store.upsert("parsed_index", new_index, "id")
     return {"summary": S.parse_summary(headers, min_messages), "merge": counts}
 
@@ -119,9 +121,7 @@ def export(ws: Workspace, cats: DataFrame, out_dir: str, generated_at: str, slug
         R.write_documents(R.context_package_blocks(pool, picked, min_rel, generated_at), f"{out_dir}/context")
         return
     R.write_documents(R.category_markdown_blocks(pool, picked, generated_at), f"{out_dir}/markdown")
-    rows = R.category_json_rows(pool, picked)
-    rows.repartitionByRange("slug", F.col("relevance_score").desc(), F.col("create_time").desc(), "conv_id") \
-        .drop("relevance_score", "create_time").write.mode("overwrite").partitionBy("slug").json(f"{out_dir}/json")
+    R.write_category_json(pool, picked, f"{out_dir}/json")
     R.category_json_header(pool, picked, generated_at).write.mode("overwrite").json(f"{out_dir}/json_header")
     index = S.category_index(pool, picked)
     previous = ws.store.read("category_index", "slug string, name string, count bigint, avg_relevance double")
@@ -142,9 +142,13 @@ def enhance(ws: Workspace, cats: DataFrame, model: Model, out_dir: str, generate
     headers, msgs, state = ws.headers(), ws.messages(), ws.state()
     lab = Sel.labelled(Sel.hydrate(S.min_messages(headers, min_messages), state, "label"))
     previous = ws.store.read("enhanced")
-    if previous is None or reset:
+    if previous is not None and reset:
+        # The rows of this run's conversations go first: a failed new run leaves none behind.
+        previous = ws.store.delete_keys("enhanced", E.enhance_worklist(lab, picked, previous, reset=True))
+    if previous is None:
         previous = lab.limit(0).select("conv_id")
-    work = E.enhance_worklist(lab, picked, previous, reset=False)
+    members = E.enhance_worklist(lab, picked, previous, reset=True)
+    work = materialize(E.enhance_worklist(lab, picked, previous, reset=False), "enh-work")
     wlab = lab.join(work, "conv_id", "left_semi")
 
     pairs = materialize(message_pairs(msgs.join(work, "conv_id", "left_semi")), "enh-pairs")
@@ -165,40 +169,57 @@ def enhance(ws: Workspace, cats: DataFrame, model: Model, out_dir: str, generate
         records = new_enh
     enhanced = ws.store.upsert("enhanced", records, "conv_id")
     R.write_documents(R.enhanced_package_blocks(lab, enhanced, picked, min_rel, generated_at), f"{out_dir}/enhanced")
-    return {"diffs": diffs, "enhanced": enhanced}
+    # A10: conversations processed, failed and skipped, and packages written.
+    done = records.select("conv_id")
+    counts = members.agg(F.count(F.lit(1)).alias("members")).collect()[0]["members"]
+    todo, ok = work.count(), done.count()
+    packages = R.category_members(lab, picked).select("slug").distinct().count()
+    status = ws.spark.createDataFrame([("processed", ok), ("error", todo - ok), ("skipped", counts - todo), ("files", packages)], "status string, conversations bigint")
+    return {"diffs": diffs, "enhanced": enhanced, "counts": status}
 
 
 # ---------------------------------------------------------------- ask
 def ask(ws: Workspace, question: str, model: Model, slug: str | None = None, ids: DataFrame | None = None,
         min_rel: float = 0.3, batch: int = A.ASK_BATCH, fan_in: int = A.FAN_IN, min_messages: int = 4,
-        generated_at_long: str = "") -> dict[str, DataFrame]:
+        generated_at_long: str = "", out_dir: str | None = None, file_stamp: str = "") -> dict[str, DataFrame]:
     """Map: one prompt per batch; reduce: synthesis in levels of at most
     ``fan_in`` answers until one answer is left (one level for up to
-    ``fan_in`` batches, as the reference)."""
-    headers, msgs = ws.headers(), ws.messages()
-    state = ws.state()
-    if ids is not None:
-        pool = A.ask_pool_ids(headers, ids)
+    ``fan_in`` batches, as the reference). Without a parsed export the pool
+    comes from the state alone. A failed prompt fails the ask; an unknown or
+    empty category is an error; requested ids without a conversation are
+    returned as ``missing``. With ``out_dir`` the document is written to a
+    named file there."""
+    headers, msgs, state = ws.headers(), ws.messages(), ws.state()
+    missing = None
+    if headers is None:
+        if state.limit(1).count() == 0:
+            raise ValueError("nothing to ask: no parsed export and no state")
+        if ids is not None:
+            state = Sel.by_ids(state, ids)
+        pool, msgs = A.ask_pool_stub(state, slug, min_rel if ids is None else 0.0)
+    elif ids is not None:
+        listed = S.min_messages(headers, min_messages)
+        missing = Sel.lookup_ordered(listed.select("conv_id"), ids).where(~F.col("found")).select("ord", "conv_id")
+        pool = A.ask_pool_ids(listed, ids)
     elif state.limit(1).count() > 0:
         pool = A.ask_pool_state(S.min_messages(headers, min_messages), state, slug, min_rel)
     else:
         pool = A.ask_pool_raw(headers, min_messages)
+    pool = materialize(pool, "ask-pool")
+    if pool.limit(1).count() == 0:
+        raise ValueError(f"no conversation to ask{f' in category {slug}' if slug else ''}")
     prompts = A.ask_prompts(pool, msgs, question, batch)
-    partials = join_responses(prompts.select("prompt_id", "batch"), materialize(generate(prompts, model), "ask-r0")) \
-        .select("batch", F.col("response").alias("answer"))
-    partials = materialize(partials, "ask-partials")
-    batches = partials.count()
-    level, current = 1, partials
-    while current.count() > 1:
-        sp = A.synthesis_prompts(current, question, fan_in, level)
-        resp = materialize(generate(sp, model), f"ask-synth{level}")
-        current = materialize(join_responses(sp.select("prompt_id", "batch"), resp)
-                              .select("batch", F.col("response").alias("answer")), f"ask-level{level}")
-        level += 1
-    answer = A.ask_result(partials, None if batches <= 1 else current.select(F.col("answer").alias("response")))
+    partials = A.partial_answers(prompts, materialize(generate(prompts, model), "ask-r0"))
+    answer = A.reduce_answers(partials, question, lambda p: materialize(generate(p, model), "ask-synth"), fan_in)
     sources = A.ask_sources(pool)
     doc = A.answer_document_blocks(question, answer, sources, generated_at_long)
-    return {"answer": answer, "sources": sources, "document": doc}
+    out = {"answer": answer, "sources": sources, "document": doc}
+    if missing is not None:
+        out["missing"] = missing
+    if out_dir is not None:
+        name = A.answer_file_name(slug, file_stamp)
+        R.write_documents(doc.withColumn("file_name", F.lit(name)), out_dir, doc_col="file_name", order=[F.col("part"), F.col("pool_rank")])
+    return out
 
 
 # ---------------------------------------------------------------- transcribe
@@ -207,11 +228,10 @@ def transcribe(ws: Workspace, out_dir: str, conv_id=None) -> DataFrame:
     headers, msgs = ws.headers(), ws.messages()
     if conv_id is not None:
         headers, msgs = Sel.by_id(headers, conv_id), Sel.by_id(msgs, conv_id)
-    names = R.transcript_file_names(headers.select("conv_id", R.safe_name("title", "conv_id").alias("_name"),
-                                                   F.lit("").alias("markdown")))
-    blocks = R.transcript_blocks(headers, msgs).join(names.select("conv_id", "file_name"), "conv_id")
+    names = R.transcript_file_names(headers)
+    blocks = R.transcript_blocks(headers, msgs).join(names, "conv_id")
     R.write_documents(blocks, out_dir, doc_col="file_name", order=[F.col("part"), F.col("pos")])
-    return names.select("conv_id", "file_name")
+    return names
 
 
 # ---------------------------------------------------------------- explore

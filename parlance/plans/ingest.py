@@ -19,7 +19,9 @@ from parlance.plans.ranks import grouped_rank
 
 def record_messages(hdr: DataFrame) -> DataFrame:
     """Messages of every record (rec = scan id), all roles, in order."""
-    nodes = S.tree_nodes(hdr).withColumnRenamed("conv_id", "_cid").withColumn("conv_id", F.col("file_pos"))
+    # The mapping is exploded once into a columnar node table: the tree steps
+    # read its structure columns only, the text is read once more, for the join.
+    nodes = materialize(S.tree_nodes(hdr).withColumn("conv_id", F.col("file_pos")).drop("file", "file_pos"), "nodes")
     order = linearise_tree(nodes)
     tree_msgs = nodes.where("has_message").join(order, ["conv_id", "node_id"]).select(
         F.col("conv_id").alias("rec"), "pos", F.coalesce("role", F.lit("unknown")).alias("role"), "content",
@@ -52,7 +54,7 @@ def ingest_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     pointer-doubling rounds, reads columnar data."""
     raw = materialize(raw, "raw-records")
     hdr = S.conversation_headers(raw)
-    msgs = S.chat_messages(record_messages(hdr))
+    msgs = materialize(S.chat_messages(record_messages(hdr)), "record-messages")
     counts = msgs.groupBy("rec").agg(F.count(F.lit(1)).alias("message_count"),
                                      F.count_if(F.col("role") == "user").alias("user_messages"))
     kept = hdr.select("conv_id", "title", "create_time", "update_time", "file", F.col("file_pos").alias("rec"),
@@ -62,4 +64,4 @@ def ingest_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     out_msgs = grouped_rank(joined, ["rec"], ["pos"], "_rank").select(
         "conv_id", (F.col("_rank") - 1).alias("pos"), "role", "content", "ts")
     headers = winners.select("conv_id", "title", "create_time", "update_time", "message_count", "user_messages", "file")
-    return headers, out_msgs
+    return materialize(headers, "ingest-headers"), materialize(out_msgs, "ingest-messages")

@@ -46,29 +46,24 @@ def chunk_index(rank: Column, n: int) -> Column:
     return F.floor((rank - 1) / n).cast("bigint")
 
 
-# Largest group ranked inside one task with a plain window. Bigger groups
-# (one conversation holding a large share of all rows) are ranked through
-# the range-partitioned global rank, which splits them over many tasks.
-HOT_GROUP_ROWS = 2_000_000
-
-
-def grouped_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank",
-                 hot_rows: int | None = None) -> DataFrame:
+def grouped_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """1-based rank inside each group by the ascending ``order`` columns,
     which must be unique within a group.
 
-    One pre-aggregated count finds the largest group. When every group fits
-    one task this is ``row_number`` over a window. Otherwise only the keys
-    (group + order columns, no payload such as message text) are ranked
-    with the offset-based global rank, each group's first rank is
-    subtracted, and the rank is joined back on the full composite key, so
-    neither the hot group nor its payload ever sits in one task."""
-    hot_rows = HOT_GROUP_ROWS if hot_rows is None else hot_rows
-    biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= hot_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    keys = df.select(*group, *order)
-    ranked = with_global_rank(keys, [F.col(c) for c in group + order], "_g")
-    firsts = ranked.groupBy(*group).agg(F.min("_g").alias("_first"))
-    ranks = ranked.join(firsts, group).select(*group, *order, (F.col("_g") - F.col("_first") + 1).alias(name))
-    return df.join(ranks, group + order)
+    Only the keys (group and order columns, no payload such as message text)
+    are ranked, by the offset-based global rank; a group's first rank is
+    subtracted and the rank is joined back on the composite key, nulls
+    included. So neither a hot group nor its payload ever sits in one task,
+    whatever its size."""
+    ranked = with_global_rank(df.select(*group, *order), [F.col(c) for c in group + order], "_g")
+    firsts = ranked.groupBy(*[F.col(c).alias(f"_f_{c}") for c in group]).agg(F.min("_g").alias("_first"))
+    with_first = ranked.join(firsts, _same(ranked, firsts, group, "_f_"))
+    ranks = with_first.select(*[F.col(c).alias(f"_k_{c}") for c in group + order], (F.col("_g") - F.col("_first") + 1).alias(name))
+    return df.join(ranks, _same(df, ranks, group + order, "_k_")).drop(*[f"_k_{c}" for c in group + order])
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & left[c].eqNullSafe(right[prefix + c])
+    return out

@@ -48,8 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins. Only when it is unset do we choose one:
-    a fresh temporary folder in local mode (tests), otherwise a folder under
-    the warehouse directory, which on a cluster is shared storage.
+    a fresh temporary folder in local mode (tests). On a cluster there is no
+    folder that is known to be shared, so the setting is required.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -58,11 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
     master = sc.master or ""
-    if master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="parlance-ckpt-")
-    else:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        path = warehouse.rstrip("/") + "/_parlance_checkpoints"
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="parlance-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -129,11 +129,12 @@ def _fence(body, cond):
 def label_responses(prompts: DataFrame, st: DataFrame) -> DataFrame:
     """Categorise responses built from state rows: fenced when conv_id % 3
     = 0, with a reasoning block when % 7 = 0, truncated when % 11 = 0, an
-    unknown slug added when % 13 = 0."""
+    unknown slug added when % 13 = 0, a score in words when % 19 = 0."""
     j = prompts.select("prompt_id", "conv_id").join(st, "conv_id")
     cats = F.when(F.col("conv_id") % 13 == 0, F.concat("categories", F.array(F.lit("made-up-slug")))).otherwise(F.col("categories"))
     body = F.to_json(F.struct(cats.alias("categories"), F.col("tags"), F.col("summary"),
                               F.col("key_facts"), F.col("relevance_score")))
+    body = F.when(F.col("conv_id") % 19 == 0, F.regexp_replace(body, r'"relevance_score":[^}]*', '"relevance_score":"high"')).otherwise(body)
     body = F.when(F.col("conv_id") % 11 == 0, F.substring(body, 1, 25)).otherwise(body)
     body = _fence(body, F.col("conv_id") % 3 == 0)
     body = F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("<think>\nweighing {the} options\n</think>\n"), body)).otherwise(body)
@@ -144,9 +145,11 @@ def pair_responses(prompts: DataFrame) -> DataFrame:
     """Pass-1 responses per (conversation, chunk): one-liners for pairs with
     (conv_id + i) % 4 <> 0; a revised repeat of the chunk's first pair when
     conv_id % 6 = 0; a negative index when % 7 = 0; fenced when % 3 = 0;
-    chunk 0 truncated (a failed conversation) when % 9 = 0."""
+    chunk 0 truncated (a failed conversation) when % 9 = 0; later chunks
+    numbered from 0 again when % 10 = 3, as models do."""
     cid = F.col("conv_id")
-    item = lambda i, text: F.concat(F.lit('{"pair_index": '), i.cast("string"), F.lit(', "one_liner": "'), text, F.lit('"}'))
+    shift = F.when(cid % 10 == 3, F.col("chunk") * 3).otherwise(0)
+    item = lambda i, text: F.concat(F.lit('{"pair_index": '), F.when(i < 0, i).otherwise(i - shift).cast("string"), F.lit(', "one_liner": "'), text, F.lit('"}'))
     kept = F.filter("pair_indices", lambda i: (cid + i) % 4 != 0)
     items = F.transform(kept, lambda i: item(i, F.concat(F.lit("Exchange "), i.cast("string"), F.lit(" of conversation "), cid.cast("string"))))
     first = F.col("pair_indices")[0]
@@ -157,15 +160,17 @@ def pair_responses(prompts: DataFrame) -> DataFrame:
     return prompts.select("prompt_id", _fence(body, cid % 3 == 0).alias("response"), F.lit(None).cast("string").alias("error"))
 
 
-def flag_responses(prompts: DataFrame) -> DataFrame:
-    """Pass-2 responses: [0,1]; [1,9] (past the end) when conv_id is even;
+def flag_responses(prompts: DataFrame, hdrs: DataFrame) -> DataFrame:
+    """Pass-2 responses: [0,1]; from 1 to the number of messages, past the
+    last exchange, when conv_id is even;
     [2,0] (reversed) when % 5 = 0; a string start (invalid) when % 7 = 0;
     a repeated [0,1] when % 10 = 0; a reasoning block when % 4 = 1;
     unparseable when % 17 = 0."""
     cid = F.col("conv_id")
-    rng = lambda s, e: F.lit('{"start": ' + s + ', "end": ' + e + "}")
+    rng = lambda s, e: F.concat(F.lit('{"start": ' + s + ', "end": '), F.lit(e) if isinstance(e, str) else e.cast("string"), F.lit("}"))
+    prompts = prompts.select("prompt_id", "conv_id").join(hdrs.select("conv_id", "message_count"), "conv_id")
     parts = F.array(rng("0", "1"))
-    parts = F.when(cid % 2 == 0, F.concat(parts, F.array(rng("1", "9")))).otherwise(parts)
+    parts = F.when(cid % 2 == 0, F.concat(parts, F.array(rng("1", F.col("message_count"))))).otherwise(parts)
     parts = F.when(cid % 5 == 0, F.concat(parts, F.array(rng("2", "0")))).otherwise(parts)
     parts = F.when(cid % 7 == 0, F.concat(parts, F.array(rng('"2"', "3")))).otherwise(parts)
     parts = F.when(cid % 10 == 0, F.concat(parts, F.array(rng("0", "1")))).otherwise(parts)
@@ -259,6 +264,12 @@ def ask_responses(prompts: DataFrame) -> DataFrame:
                           F.lit(None).cast("string").alias("error"))
 
 
+def ask_responses_failing(prompts: DataFrame) -> DataFrame:
+    """Partial answers of which every fifth batch fails."""
+    failed = F.col("batch") % 5 == 2
+    return prompts.select("prompt_id", F.when(~failed, F.lit("fine")).alias("response"), F.when(failed, F.lit("RuntimeError: timeout")).alias("error"))
+
+
 def synthesis_responses(prompts: DataFrame) -> DataFrame:
     return prompts.select("prompt_id", F.concat(F.lit("Combined answer over "), F.col("n_answers").cast("string"), F.lit(" partial answers.")).alias("response"),
                           F.lit(None).cast("string").alias("error"))
@@ -316,10 +327,26 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def write_export_fixture(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_name, file_ord, json) of the flat form: a ``messages`` array,
+    string contents and ``role`` when conv_id is even, parts and
+    ``author.role`` when odd; ids under ``conversation_id``."""
+    conv = table(spark, sf_dir, "conversations").withColumn("ts", (F.lit(BASE_EPOCH) + F.col("conv_id") * CONV_STEP + F.col("turn") * TURN_STEP).cast("double"))
+    plain = F.to_json(F.struct("role", F.col("text").alias("content"), F.col("ts").alias("timestamp")))
+    parts = F.to_json(F.struct(F.struct("role").alias("author"), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content"), F.col("ts").alias("create_time")))
+    one = F.when(F.col("conv_id") % 2 == 0, plain).otherwise(parts)
+    per = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", one.alias("m")))).alias("ms"), F.max("ts").alias("update_time"))
+    start = (F.lit(BASE_EPOCH) + F.col("conv_id") * CONV_STEP).cast("double")
+    head = F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"),
+                              start.alias("create_time"), "update_time"))
+    body = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(', "messages": ['), F.array_join(F.transform("ms", lambda x: x["m"]), ", "), F.lit("]}"))
+    return per.withColumn("h", head).select(F.lit("export.json").alias("file_name"), F.struct(F.lit(0).alias("dup"), "conv_id").alias("file_ord"), body.alias("json"))
+
+
+def write_export_fixture(spark: SparkSession, sf_dir: str, out_dir: str, recs: DataFrame | None = None) -> str:
     """Write the raw export fixture as JSON-array files named export-k.json
     directly under ``out_dir`` (an export file is one unit by format)."""
-    recs = export_records(spark, sf_dir)
+    recs = export_records(spark, sf_dir) if recs is None else recs
     files = recs.groupBy("file_name").agg(
         F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "json"))), lambda x: x["json"]), ",\n"),
                  F.lit("\n]")).alias("value"))

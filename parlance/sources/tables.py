@@ -10,7 +10,7 @@ the new rows, written as the next version.
 
 The JSON side files of the reference (categories, discovery report) are
 read with an explicit schema; the category table is a configuration table
-and is size-checked so it can be broadcast everywhere.
+without a bound on its rows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from parlance.operators.setops import upsert
 
-MAX_CATEGORIES = 10000
-
 CATEGORY_FILE_SCHEMA = "slug string, name string, description string, keywords array<string>"
 DISCOVERY_SCHEMA = ("discovered_at string, model string, free_mode boolean, conversations_sampled bigint, "
                     "existing_categories array<string>, discovered_categories array<struct<slug: string, name: string, "
@@ -82,6 +80,15 @@ class TableStore:
         base = self.read(name)
         return self.write(name, new if base is None else upsert(base, new, key))
 
+    def keyed(self, name: str, key: str = "conv_id") -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/{name}", key)
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Remove all but the newest ``keep`` versions."""
+        fs, _ = _fs(self.spark, self.root)
+        for v in self._versions(name)[:-keep]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v={v}"), True)
+
     def delete_keys(self, name: str, keys: DataFrame, key: str = "conv_id") -> DataFrame:
         """K4: drop rows for the given keys (anti-join) as a new version."""
         base = self.read(name)
@@ -99,28 +106,27 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of categories. Missing file -> empty; invalid JSON ->
     error; an entry without slug or name -> error naming the entry;
     description defaults to '' and keywords to []; ``cat_ord`` keeps file
-    order. At most MAX_CATEGORIES rows (so it may be broadcast)."""
+    order."""
     schema = "cat_ord int, " + CATEGORY_FILE_SCHEMA
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     raw = (spark.read.schema(CATEGORY_FILE_SCHEMA + ", _corrupt string").option("multiLine", True)
            .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    rows = raw.select(F.monotonically_increasing_id().alias("_i"), "*").limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise CategoryFileError(f"more than {MAX_CATEGORIES} categories in {path}")
-    out = []
-    for i, r in enumerate(sorted(rows, key=lambda r: r["_i"])):
-        if r["_corrupt"] is not None:
-            raise CategoryFileError(f"categories file is not valid JSON: {path}")
-        if r["slug"] is None or r["name"] is None:
-            raise CategoryFileError(f"categories entry #{i} is missing required fields 'slug' and/or 'name'.")
-        out.append((i, r["slug"], r["name"], r["description"] or "", list(r["keywords"] or [])))
-    return spark.createDataFrame(out, schema)
+    # One JSON file is one partition, so the generated id is the position.
+    rows = raw.select(F.monotonically_increasing_id().cast("int").alias("cat_ord"), "*")
+    bad = rows.agg(F.max(F.col("_corrupt").isNotNull()).alias("corrupt"),
+                   F.min(F.when(F.col("slug").isNull() | F.col("name").isNull(), F.col("cat_ord"))).alias("entry")).first()
+    if bad["corrupt"]:
+        raise CategoryFileError(f"categories file is not valid JSON: {path}")
+    if bad["entry"] is not None:
+        raise CategoryFileError(f"categories entry #{bad['entry']} is missing required fields 'slug' and/or 'name'.")
+    return rows.select("cat_ord", "slug", "name", F.coalesce("description", F.lit("")).alias("description"),
+                       F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def categories_json(cats: DataFrame) -> DataFrame:
     """K12 rendering: one text row holding the JSON array, in category order
-    (a configuration table: bounded by MAX_CATEGORIES)."""
+    (a configuration file, read whole by its users)."""
     item = F.to_json(F.struct("slug", "name", "description", "keywords"))
     return cats.agg(F.concat(F.lit("[\n"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("cat_ord", item.alias("j")))), lambda x: x["j"]), ",\n"), F.lit("\n]")).alias("value"))
@@ -137,12 +143,14 @@ def upsert_categories(cats: DataFrame, new: DataFrame) -> DataFrame:
     n = new.select("slug", "name", "description", "keywords", F.col("cat_ord").alias("_new_ord"))
     kept = cats.join(n.select("slug"), "slug", "left_anti").select("slug", "name", "description", "keywords", F.col("cat_ord").cast("bigint").alias("_o"))
     replaced = cats.select("slug", F.col("cat_ord").cast("bigint").alias("_old")).join(n, "slug", "right")
-    offset = 1_000_000
+    # The order is a struct (origin, position): existing rows first, then new ones.
+    at = lambda origin, c: F.struct(F.lit(origin).alias("origin"), c.cast("bigint").alias("at"))
     repl = replaced.select("slug", "name", "description", "keywords",
-                           F.coalesce("_old", F.col("_new_ord").cast("bigint") + offset).alias("_o"))
-    u = kept.unionByName(repl)
-    from pyspark.sql import Window
-    return u.select((F.row_number().over(Window.orderBy("_o")) - 1).alias("cat_ord"), "slug", "name", "description", "keywords")
+                           F.when(F.col("_old").isNotNull(), at(0, F.col("_old"))).otherwise(at(1, F.col("_new_ord"))).alias("_o"))
+    u = kept.withColumn("_o", at(0, F.col("_o"))).unionByName(repl)
+    from parlance.plans.ranks import with_global_rank
+    return with_global_rank(u, [F.col("_o"), F.col("slug")], "_at").select(
+        (F.col("_at") - 1).cast("int").alias("cat_ord"), "slug", "name", "description", "keywords")
 
 
 def _write_single_text(spark: SparkSession, one_row: DataFrame, path: str) -> None:
@@ -214,51 +222,46 @@ def merge_category_index(existing: DataFrame, new: DataFrame) -> DataFrame:
                   new.select("slug", "name", "count", "avg_relevance"), "slug")
 
 
-# ---------------------------------------------------------------- bucketed upserts
-class BucketedTable:
-    """A large keyed table (messages, headers) partitioned by a hash bucket
-    of its key, for frequent upserts (the incremental stream).
+# ---------------------------------------------------------------- keyed batches
+class KeyedTable:
+    """A large keyed table (messages, headers) as append-only batches, shared
+    by batch and streaming runs.
 
-    An upsert appends rows with new keys and rewrites only the buckets that
-    hold updated keys (dynamic partition overwrite), so a micro-batch costs
-    O(batch + touched buckets), not O(table). Finding updated keys reads only
-    the key column of the table (column pruning). The rewrite is staged
-    first, because Spark cannot read and overwrite the same files in one
-    job. Each write shuffles by bucket so a bucket gets one file per write;
-    size ``buckets`` so a bucket is a few hundred MB at the target scale.
+    An upsert writes one new folder ``batch=<n>`` and nothing else, so it
+    costs O(batch) and commits at once (``_SUCCESS``); a reader sees all of it
+    or none. Reading keeps, per key, the rows of the newest batch that holds
+    it: the newest batch per key comes from the key column alone, and one
+    semi-join selects the rows. ``compact`` rewrites the table as a single
+    batch and removes the older ones. Replaying a batch gives the same table.
     Single writer per table, like the versioned store."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "conv_id", buckets: int = 64):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+    def __init__(self, spark: SparkSession, path: str, key: str = "conv_id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int"))
-
-    def exists(self) -> bool:
-        return path_exists(self.spark, self.path + "/_SUCCESS")
+    def _batches(self) -> list[int]:
+        fs, p = _fs(self.spark, self.path)
+        if not fs.exists(p):
+            return []
+        found = [st.getPath() for st in fs.listStatus(p)]
+        return sorted(int(f.getName()[6:]) for f in found if f.getName().startswith("batch=") and fs.exists(f.suffix("/_SUCCESS")))
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path).drop("_bucket") if self.exists() else None
+        batches = self._batches()
+        if not batches:
+            return None
+        df = self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/batch={b}" for b in batches])
+        if len(batches) == 1:
+            return df.drop("batch")
+        newest = df.groupBy(self.key).agg(F.max("batch").alias("batch"))
+        return df.join(newest, [self.key, "batch"], "left_semi").drop("batch")
 
     def upsert(self, new: DataFrame) -> None:
-        from parlance.plans.materialize import materialize
-        from parlance.session import scratch_path
-
-        k = self.key
-        new_b = materialize(self._bucketed(new), "bucketed-batch")
-        if not self.exists():
-            new_b.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(self.path)
-            return
-        table = self.spark.read.parquet(self.path)
-        new_keys = new_b.select(k, "_bucket").distinct()
-        updated = table.select(k, "_bucket").join(new_keys, [k, "_bucket"], "left_semi")
-        touched = [r[0] for r in updated.select("_bucket").distinct().collect()]  # at most `buckets` rows
-        if touched:
-            in_touched = F.col("_bucket").isin(touched)
-            kept = table.where(in_touched).join(new_keys.where(in_touched), [k, "_bucket"], "left_anti")
-            staged_path = scratch_path(self.spark, "bucket-rewrite")
-            kept.unionByName(new_b.where(in_touched)).repartition("_bucket").write.parquet(staged_path)
-            (self.spark.read.parquet(staged_path).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path))
-            new_b = new_b.where(~in_touched)
-        new_b.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(self.path)
+        new.write.mode("overwrite").parquet(f"{self.path}/batch={max(self._batches(), default=0) + 1}")
+
+    def compact(self) -> None:
+        batches = self._batches()
+        if len(batches) > 1:
+            self.upsert(self.read())
+            fs, _ = _fs(self.spark, self.path)
+            for b in batches:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={b}"), True)

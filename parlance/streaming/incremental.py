@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 from parlance.operators import label as L
 from parlance.operators.select import index_rows, state_rows
 from parlance.plans.ingest import ingest_raw
+from parlance.plans.materialize import materialize
 from parlance.sources.export import RAW_SCHEMA
-from parlance.sources.tables import BucketedTable, TableStore
+from parlance.sources.tables import TableStore
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, store: TableStore, checkpoint: str,
                   glob: str = "*.json", min_messages: int = 4, files_per_batch: int | None = None) -> None:
     """New export files -> headers, messages and parsed-index upserts.
     Within a batch W2 picks the winner; across batches the later arrival
-    wins (as a later run does in the reference)."""
-    reader = spark.readStream.schema(RAW_SCHEMA).option("multiLine", True).option("pathGlobFilter", glob)
+    wins (as a later run does in the reference). A file that is not valid
+    fails the run, and is read again by the next one."""
+    reader = spark.readStream.schema(RAW_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.json(source_dir).select("*", F.col("_metadata.file_name").alias("file"))
@@ -38,10 +40,9 @@ def ingest_stream(spark: SparkSession, source_dir: str, store: TableStore, check
     def apply(batch: DataFrame, epoch_id: int) -> None:
         raw = batch.withColumn("file_pos", F.monotonically_increasing_id())
         headers, msgs = ingest_raw(raw)
-        # the large keyed tables take bucketed upserts (append new ids,
-        # rewrite only buckets with updated ids); the index is versioned
-        BucketedTable(spark, f"{store.root}/headers_b").upsert(headers.drop("file"))
-        BucketedTable(spark, f"{store.root}/messages_b").upsert(msgs)
+        # The tables that batch runs read and write, too (Workspace).
+        store.keyed("messages").upsert(msgs)
+        store.keyed("headers").upsert(headers.drop("file"))
         rows = index_rows(headers.where(F.col("message_count") >= min_messages))
         store.upsert("parsed_index", rows, "id")
 
@@ -71,7 +72,8 @@ def label_stream(spark: SparkSession, source_dir: str, schema: str, msgs: DataFr
         else:
             from parlance.operators.generate import generate
             prompts = L.label_prompts(work, msgs, cats)
-            responses = responses_for(prompts) if responses_for is not None else generate(prompts, model)
+            # Stored before they are used: the model is asked once per prompt.
+            responses = materialize(responses_for(prompts) if responses_for is not None else generate(prompts, model), "stream-responses")
             parsed = L.apply_label_responses(prompts, responses, cats).where("status = 'ok'").drop("status")
             rows = state_rows(work.join(parsed, "conv_id"))
         store.upsert("state", rows, "conv_id")

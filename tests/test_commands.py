@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
 def test_command_flow(spark):
+    from parlance.operators import select as Sel
     from parlance.plans import commands as C
     from parlance.sources import fixtures as X
     from parlance.session import scratch_path
@@ -49,8 +50,29 @@ def test_command_flow(spark):
     res = C.ask(ws, "What?", stub_model, fan_in=2)
     assert res["answer"].first()["answer"].startswith("answer for synth")
 
+    a, b = sorted(r["conv_id"] for r in ws.headers().collect())[:2]
+    ids = Sel.id_frame(spark, [f"{a},{a}", b, "none"])
+    by_id = C.ask(ws, "What?", stub_model, ids=ids, min_messages=2, out_dir=os.path.join(out, "answers"), file_stamp="t")
+    assert [r["conv_id"] for r in by_id["missing"].collect()] == ["none"]
+    assert [r["conv_id"] for r in by_id["sources"].orderBy("pool_rank").collect()] == [a, a, b]
+    assert os.path.isdir(os.path.join(out, "answers", "file_name=ask-answer-t.md"))
+    with pytest.raises(ValueError, match="no conversation"):
+        C.ask(ws, "What?", stub_model, slug="nowhere")
+
+    def broken(pdf):
+        raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError, match="failed"):
+        C.ask(ws, "What?", broken)
+    # Without an export the pool comes from the state.
+    stub = C.Workspace(spark, tempfile.mkdtemp(prefix="ws-"))
+    stub.store.write("state", ws.state())
+    assert C.ask(stub, "What?", stub_model)["sources"].count() > 0
+
     enh = C.enhance(ws, cats, stub_model, out, "2024-06-01 00:00:00", "2024-06-01T00:00:00+00:00",
                     accept=lambda d: d.select("conv_id", d.conv_id.isNotNull().alias("accept_a"), d.conv_id.isNotNull().alias("accept_b")))
+    counts = {r["status"]: r["conversations"] for r in enh["counts"].collect()}
+    assert counts["processed"] > 0 and counts["error"] == 0 and counts["files"] > 0
     e = enh["enhanced"].collect()
     assert e and all(r["enhanced_summary"] == "New summary" for r in e)
     assert all(r["summary"] == "New summary" for r in ws.state().collect() if r["conv_id"] in {x["conv_id"] for x in e})

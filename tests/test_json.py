@@ -45,3 +45,13 @@ def test_label_contract_types(spark):
     assert out[1].status == "ok" and list(out[1].categories) == ["german"] and out[1].relevance_score == 0.4
     assert out[2].status == "error" and out[3].status == "error" and out[5].status == "error"
     assert out[4].status == "ok" and list(out[4].categories) == ["other"] and out[4].summary == ""
+
+
+def test_float_cast_of_scores(spark):
+    from pyspark.sql import functions as F
+
+    from parlance.operators.label import float_value
+    cases = {"0.7": 0.7, "1": 1.0, '"high"': 0.0, '"0.4 or so"': 0.4, '" .5e1x"': 5.0, "true": 1.0, "false": 0.0, "null": None, "[]": 0.0, "[1]": 1.0, "{}": 0.0, '{"a": 1}': 1.0}
+    df = spark.createDataFrame([(k, '{"relevance_score": ' + k + "}") for k in cases] + [("none", "{}")], "k string, j string")
+    got = {r.k: r.v for r in df.select("k", float_value(F.parse_json("j"), "$.relevance_score").alias("v")).collect()}
+    assert got == cases | {"none": None}

@@ -30,12 +30,23 @@ def test_all_text_kept_in_order(spark):
     assert texts == [f"{r}{i}" for i, r in enumerate(roles)]
 
 
-def test_keyword_scan_matches_inline(spark):
+def test_keyword_label_with_a_large_taxonomy(spark):
     from parlance.catalog import _base
-    from parlance.operators.label import keyword_label
-    from parlance.sources import fixtures as X
+    from parlance.operators.label import haystacks, keyword_label
     msgs, hdrs = _base(spark, "/root/testdata/sf0.001")
-    cats = X.categories(spark)
-    a = {r.conv_id: list(r.categories) for r in keyword_label(hdrs, msgs, cats, "inline").collect()}
-    b = {r.conv_id: list(r.categories) for r in keyword_label(hdrs, msgs, cats, "scan").collect()}
-    assert a == b and len(a) > 0
+    hay = {r.conv_id: r.haystack for r in haystacks(hdrs, msgs).collect()}
+    words = sorted({w for h in hay.values() for w in h.split()})
+    taxonomy = [(i, f"c{i}", "", "", [f"no such word {i}", words[i % len(words)].upper()] if i % 3 == 0 else [f"'\"\\ {i}"]) for i in range(11_000)]
+    cats = spark.createDataFrame(taxonomy, "cat_ord int, slug string, name string, description string, keywords array<string>")
+    got = {r.conv_id: list(r.categories) for r in keyword_label(hdrs, msgs, cats).collect()}
+    want = {c: [slug for _, slug, _, _, kws in taxonomy if any(k.lower() in h for k in kws)] or ["other"] for c, h in hay.items()}
+    assert got == want and max(map(len, got.values())) > 100
+
+
+def test_one_liners_belong_to_their_chunk(spark):
+    from parlance.operators.pairs import attach_one_liners
+    pairs = spark.createDataFrame([(1, i, f"u{i}", f"a{i}") for i in range(5)], "conv_id long, pair_index long, user string, assistant string")
+    said = spark.createDataFrame([(1, 0, 0, "zero", 0), (1, 0, 0, "zero again", 1), (1, 1, 0, "wrong chunk", 0), (1, 1, 4, "four", 1), (1, 1, -1, "stray", 2)],
+                                 "conv_id long, chunk long, pair_index long, one_liner string, item_ord int")
+    got = {r.pair_index: r.one_liner for r in attach_one_liners(pairs, said).collect()}
+    assert got == {0: "zero again", 1: "(no summary)", 2: "(no summary)", 3: "(no summary)", 4: "four"}

@@ -44,3 +44,20 @@ def test_interval_join_is_equi_join(spark):
 def test_keyword_label_has_no_join_fanout(spark):
     plan = physical(spark, "keyword_label")
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tree_steps_read_no_text(spark):
+    """The tree of a stored node table is ordered without its text."""
+    from parlance.operators.tree import edges, roots
+    from parlance.plans.materialize import materialize
+    from parlance.sources import export as Ex
+    from parlance.sources import fixtures as X
+    from parlance.session import scratch_path
+    raw = Ex.read_export(spark, X.write_export_fixture(spark, SF, scratch_path(spark, "plan-export")))
+    nodes = materialize(Ex.tree_nodes(Ex.conversation_headers(raw)), "plan-nodes")
+    plan = edges(nodes, roots(nodes))._jdf.queryExecution().executedPlan().toString()
+    assert scans(plan) and all("content" not in ln for ln in scans(plan))
+
+
+def test_proposals_scan_few_tables(spark):
+    assert len(scans(physical(spark, "apply_proposals"))) < 15

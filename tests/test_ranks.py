@@ -22,16 +22,22 @@ def test_sample_positions(spark):
     assert len(set(got)) == s and got == sorted(got)
 
 
-def test_hot_group_path(spark, monkeypatch):
-    """Force the split path for every group; results must not change."""
+def test_one_large_group(spark):
+    """A group that spans range partitions is ranked like a small one."""
     from parlance.operators.pairs import message_pairs
-    from parlance.plans import ranks
     rows = [(1, i, "user" if i % 3 else "assistant", f"t{i}") for i in range(50)] + [(2, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, pos long, role string, content string")
-    normal = sorted(message_pairs(df).collect())
-    monkeypatch.setattr(ranks, "HOT_GROUP_ROWS", 0)
-    split = sorted(message_pairs(df).collect())
-    assert normal == split and len(normal) > 10
+    got = sorted((r.conv_id, r.pair_index, r.user, r.assistant) for r in message_pairs(df).collect())
+    want, pending = [], []
+    for _, _, role, text in rows[:50]:
+        if role == "user":
+            pending.append(text)
+        else:
+            want.append((1, len(want), "\n\n".join(pending), text))
+            pending = []
+    if pending:
+        want.append((1, len(want), "\n\n".join(pending), "(no reply)"))
+    assert got == [*want, (2, 0, "x", "(no reply)")]
 
 
 def test_condensed_long_conversation(spark):
@@ -67,3 +73,10 @@ def test_sample_sizes(spark):
     for n, s in [(11, 10), (77, 10), (1000, 50), (51, 50), (7, 3)]:
         got = [r.sample_pos for r in sample_positions(spark, n, s).orderBy("sample_ord").collect()]
         assert len(got) == s and got == sorted(set(got)) and got[-1] <= n - 1
+
+
+def test_grouped_rank_keeps_null_keys(spark):
+    from parlance.plans.ranks import grouped_rank
+    df = spark.createDataFrame([(1, 5, "a"), (1, None, "b"), (None, 7, "c"), (None, 3, "d"), (2, 1, "e")], "g int, o int, v string")
+    got = sorted((r.v, r["rank"]) for r in grouped_rank(df, ["g"], ["o"]).collect())
+    assert got == [("a", 2), ("b", 1), ("c", 2), ("d", 1), ("e", 1)]

@@ -62,3 +62,58 @@ def test_label_stream_with_model(spark):
     stored = {r.conv_id for r in store.read("state").collect()}
     expected = {r.conv_id for r in pool.collect() if r.conv_id % 10 != 3}
     assert stored == expected and len(stored) > 0
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
+def test_model_is_asked_once_per_prompt(spark):
+    from parlance.catalog import _base
+    from parlance.session import scratch_path
+    from parlance.sources import fixtures as X
+    from parlance.sources.tables import TableStore
+    from parlance.streaming import incremental as Inc
+
+    msgs, hdrs = _base(spark, SF)
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(pdf):
+        asked.add(len(pdf))
+        return good_label_model(pdf)
+
+    store = TableStore(spark, scratch_path(spark, "once-store"))
+    pool = hdrs.where("message_count >= 4")
+    store.write("state", X.prepared(spark, SF).state.limit(0))
+    source = scratch_path(spark, "once-source")
+    pool.write.parquet(source)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema.fields)
+    Inc.label_stream(spark, source, schema, msgs, X.categories(spark), store, scratch_path(spark, "once-ckpt"), model=model)
+    assert asked.value == pool.count() == store.read("state").count()
+
+
+def test_upsert_evaluates_new_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from parlance.operators.setops import upsert
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def value(k):
+        seen.add(1)
+        return f"new{k}"
+
+    base = spark.createDataFrame([(1, "old1"), (2, "old2"), (None, "kept")], "conv_id long, v string")
+    new = spark.range(2, 5).select(F.col("id").alias("conv_id"), value("id").alias("v"))
+    assert sorted((str(r.conv_id), r.v) for r in upsert(base, new).collect()) == [("1", "old1"), ("2", "new2"), ("3", "new3"), ("4", "new4"), ("None", "kept")]
+    assert seen.value == 3
+
+
+def test_corrupt_export_fails_the_stream(spark):
+    from parlance.session import scratch_path
+    from parlance.sources.tables import TableStore
+    from parlance.streaming import incremental as Inc
+
+    source = tempfile.mkdtemp()
+    with open(os.path.join(source, "a.json"), "w") as f:
+        f.write('[{"id": "1", "title"')
+    with pytest.raises(Exception):
+        Inc.ingest_stream(spark, source, TableStore(spark, scratch_path(spark, "bad-store")), scratch_path(spark, "bad-ckpt"))

@@ -42,30 +42,33 @@ def test_category_file(spark):
         read_categories(spark, bad)
 
 
-def test_bucketed_upsert(spark):
-    """Bucketed upserts equal plain U1 upserts; untouched buckets keep their files."""
+def test_keyed_table(spark):
+    """Upserts append one batch; the newest batch wins per key, compacted or not."""
     import random
-    from parlance.sources.tables import BucketedTable
+    from parlance.sources.tables import KeyedTable
     rng = random.Random(11)
     root = tempfile.mkdtemp()
-    t = BucketedTable(spark, os.path.join(root, "t"), buckets=16)
+    t = KeyedTable(spark, os.path.join(root, "t"))
+    assert t.read() is None
     expected = {}
     for rnd in range(4):
         keys = rng.sample(range(200), 40 if rnd else 120)
-        rows = [(k, f"v{rnd}-{k}") for k in keys]
-        for k, v in rows:
-            expected[k] = v
-        t.upsert(spark.createDataFrame(rows, "conv_id long, v string"))
-    got = {r.conv_id: r.v for r in t.read().collect()}
-    assert got == expected
-    # an update touching one key rewrites one bucket only
-    before = {d: sorted(os.listdir(os.path.join(root, "t", d))) for d in os.listdir(os.path.join(root, "t")) if d.startswith("_bucket=")}
-    k = next(iter(expected))
-    t.upsert(spark.createDataFrame([(k, "new")], "conv_id long, v string"))
-    after = {d: sorted(os.listdir(os.path.join(root, "t", d))) for d in os.listdir(os.path.join(root, "t")) if d.startswith("_bucket=")}
-    changed = [d for d in before if before[d] != after.get(d)]
-    assert len(changed) == 1
-    assert {r.conv_id: r.v for r in t.read().collect()}[k] == "new"
+        expected |= {k: sorted([f"v{rnd}-{k}", f"w{rnd}-{k}"][:1 + k % 2]) for k in keys}
+        t.upsert(spark.createDataFrame([(k, v) for k in keys for v in expected[k]], "conv_id long, v string"))
+
+    def rows():
+        got = {}
+        for r in t.read().collect():
+            got.setdefault(r.conv_id, []).append(r.v)
+        return {k: sorted(v) for k, v in got.items()}
+
+    assert rows() == expected
+    assert sorted(d for d in os.listdir(os.path.join(root, "t"))) == [f"batch={i}" for i in range(1, 5)]
+    # A batch without _SUCCESS is not seen.
+    os.makedirs(os.path.join(root, "t", "batch=9"))
+    assert rows() == expected
+    t.compact()
+    assert rows() == expected and os.listdir(os.path.join(root, "t")).count("batch=1") == 0
 
 
 def test_store_reset_keeps_history(spark):

@@ -67,10 +67,3 @@ def test_unreachable_and_second_root(spark):
     rows = [("a", "r", 0, None, ["x"]), ("a", "x", 1, "r", []), ("a", "r2", 2, "", ["y"]), ("a", "y", 3, "r2", [])]
     df = spark.createDataFrame(rows, "conv_id string, node_id string, map_pos bigint, parent string, children array<string>")
     assert [r.node_id for r in linearise_tree(df).orderBy("pos").collect()] == ["r", "x"]
-
-
-def test_matches_dfs_hot_path(spark, monkeypatch):
-    """Same check with every conversation forced through the split path."""
-    from parlance.plans import ranks
-    monkeypatch.setattr(ranks, "HOT_GROUP_ROWS", 0)
-    test_matches_dfs(spark)
