@@ -12,8 +12,9 @@ Templates marked exact are phrases: only a diagonal on which every k-gram
 voted is a place, which by then is the phrase word for word. ``K`` is the
 number of words of the shortest phrase.
 
-Everything is DataFrame code. The templates are a parameter of a few hundred
-rows; their join side is planned by Spark. Only matches are shuffled. Each
+Everything is DataFrame code. The templates are a parameter, usually of a few
+hundred k-grams, whose side of the join is broadcast after a check of its
+size; then only matches are shuffled. Each
 document adds one marker row holding its word count, so documents without
 matches are kept without a second scan.
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 K = 3
 GAP = 3
+#: Template k-grams up to which their side of the join is broadcast (about 10 MB); larger sets are shuffled.
+BROADCAST_GRAMS = 200_000
 #: Least share of a template's k-grams in a verified span.
 COVERAGE = 0.6
 
@@ -85,13 +88,15 @@ def scan_spans(docs: DataFrame, id_col: str, text_col: str, templates: list[tupl
     spark = docs.sparkSession
     templates = PHRASES + NOTICES if templates is None else templates
     grams = template_grams(spark, templates, k)
+    small = sum(max(0, len(text.split()) - k + 1) for _, text, _ in templates) <= BROADCAST_GRAMS
     # The marker hash is joined like a gram; its position is the word count.
     mark = F.xxhash64(F.lit("\u0000" + _MARK))
     marker = spark.range(1).select(F.lit(-1).alias("template"), F.lit(_MARK).alias("label"), F.lit(0).alias("grams"), F.lit(False).alias("exact"), F.lit(0).alias("tpos"), mark.alias("h"))
+    table = grams.unionByName(marker)
     votes = (
         docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), words_of(F.col(text_col).cast("string")).alias("words"))
         .select("_id", "_text_hash", F.posexplode(F.concat(_hashes("words", k), F.array(mark))).alias("pos", "h"))
-        .join(grams.unionByName(marker), "h")
+        .join(F.broadcast(table) if small else table, "h")
         .select("_id", "_text_hash", "template", "label", "grams", "exact", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
     )
     key = ["_id", "_text_hash"]
