@@ -8,7 +8,7 @@ by the caller.
 
 from __future__ import annotations
 
-from parlance.sources.fixtures import BASE_EPOCH, CATEGORY_ROWS, CONV_STEP, TURN_STEP
+from parlance.sources.fixtures import BASE_EPOCH, CATEGORY_ROWS, CONV_STEP, FILE_CONVERSATIONS, TURN_STEP
 
 TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
 
@@ -827,10 +827,10 @@ walk(conv_id, turn, path) AS (
 SELECT conv_id, CAST(turn AS VARCHAR) AS node_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS BIGINT) AS pos
 FROM walk"""
 
-INGESTED = """ing AS (
+INGESTED = f"""ing AS (
   SELECT CAST(h.conv_id AS VARCHAR) AS conv_id,
          CASE WHEN h.conv_id % 10 = 0 THEN h.title || ' (revised)' ELSE h.title END AS title,
-         CASE WHEN h.conv_id % 10 = 0 THEN 'export-2.json' ELSE 'export-' || (h.conv_id % 3) || '.json' END AS file,
+         'export-' || CASE WHEN h.conv_id % 10 = 0 THEN 2 ELSE h.conv_id % 3 END || '-' || lpad(CAST(h.conv_id // {3 * FILE_CONVERSATIONS} AS VARCHAR), 8, '0') || '.json' AS file,
          h.create_time, h.update_time, h.message_count, h.user_messages
   FROM headers h)"""
 

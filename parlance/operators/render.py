@@ -272,6 +272,13 @@ def write_documents(blocks: DataFrame, path: str, doc_col: str = "slug",
      .write.mode("overwrite").partitionBy(doc_col).text(path))
 
 
+def write_transcripts(blocks: DataFrame, path: str) -> None:
+    """All transcripts as Parquet rows (file_name, part, pos, block), sorted;
+    billions of conversations make as many rows, not as many folders."""
+    order = ["file_name", "part", "pos"]
+    blocks.select(*order, "block").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def assemble(blocks: DataFrame, doc_col: str = "slug") -> DataFrame:
     """Whole documents from blocks: only for small outputs (tests, single
     documents); the ordered collect puts a document in one task."""

@@ -224,13 +224,17 @@ def ask(ws: Workspace, question: str, model: Model, slug: str | None = None, ids
 
 # ---------------------------------------------------------------- transcribe
 def transcribe(ws: Workspace, out_dir: str, conv_id=None) -> DataFrame:
-    """K10 for one conversation (an empty result means not found) or all."""
+    """K10 for one conversation (an empty result means not found): its
+    Markdown file; or for all: block rows with their ``file_name``."""
     headers, msgs = ws.headers(), ws.messages()
     if conv_id is not None:
         headers, msgs = Sel.by_id(headers, conv_id), Sel.by_id(msgs, conv_id)
     names = R.transcript_file_names(headers)
     blocks = R.transcript_blocks(headers, msgs).join(names, "conv_id")
-    R.write_documents(blocks, out_dir, doc_col="file_name", order=[F.col("part"), F.col("pos")])
+    if conv_id is not None:
+        R.write_documents(blocks, out_dir, doc_col="file_name", order=[F.col("part"), F.col("pos")])
+    else:
+        R.write_transcripts(blocks, out_dir)
     return names
 
 

@@ -17,6 +17,7 @@ from parlance.functions.text import php_trim, fmt_time
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 CONV_STEP = 3600         # seconds between conversation starts
 TURN_STEP = 60           # seconds between turns
+FILE_CONVERSATIONS = 100  # conversations of one export file, at most
 
 # Inline category table used by the labelling queries:
 # (slug, name, description, keywords)
@@ -301,8 +302,9 @@ def tree_nodes_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_name, file_ord, json) per conversation record of the raw export
-    fixture: split over three files by conv_id % 3, and every 10th
-    conversation repeated at the end of the last file with a new title."""
+    fixture: three sets of files by conv_id % 3, each file of at most
+    FILE_CONVERSATIONS, and every 10th conversation repeated at the end of a
+    file of the last set with a new title."""
     nodes = tree_nodes_from_table(spark, sf_dir)
     node = F.struct(
         F.col("parent"), F.col("children"),
@@ -319,16 +321,17 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(BASE_EPOCH) + F.col("conv_id") * CONV_STEP).cast("double").alias("create_time"),
         F.coalesce("update_time", F.lit(0.0)).alias("update_time"), "mapping")
     body = lambda title: F.to_json(F.struct("id", title.alias("title"), "create_time", "update_time", "mapping"))
-    first = rec.select(F.concat(F.lit("export-"), (F.col("conv_id") % 3).cast("string"), F.lit(".json")).alias("file_name"),
+    block = F.lpad(F.floor(F.col("conv_id") / (3 * FILE_CONVERSATIONS)).cast("string"), 8, "0")
+    first = rec.select(F.concat(F.lit("export-"), (F.col("conv_id") % 3).cast("string"), F.lit("-"), block, F.lit(".json")).alias("file_name"),
                        F.struct(F.lit(0).alias("dup"), "conv_id").alias("file_ord"), body(F.col("title")).alias("json"))
     again = rec.where(F.col("conv_id") % 10 == 0).select(
-        F.lit("export-2.json").alias("file_name"), F.struct(F.lit(1).alias("dup"), "conv_id").alias("file_ord"),
+        F.concat(F.lit("export-2-"), block, F.lit(".json")).alias("file_name"), F.struct(F.lit(1).alias("dup"), "conv_id").alias("file_ord"),
         body(F.concat(F.col("title"), F.lit(" (revised)"))).alias("json"))
     return first.unionByName(again)
 
 
 def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_name, file_ord, json) of the flat form: a ``messages`` array,
+    """(conv_id, json) of the flat form: a ``messages`` array,
     string contents and ``role`` when conv_id is even, parts and
     ``author.role`` when odd; ids under ``conversation_id``."""
     conv = table(spark, sf_dir, "conversations").withColumn("ts", (F.lit(BASE_EPOCH) + F.col("conv_id") * CONV_STEP + F.col("turn") * TURN_STEP).cast("double"))
@@ -340,13 +343,25 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"),
                               start.alias("create_time"), "update_time"))
     body = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(', "messages": ['), F.array_join(F.transform("ms", lambda x: x["m"]), ", "), F.lit("]}"))
-    return per.withColumn("h", head).select(F.lit("export.json").alias("file_name"), F.struct(F.lit(0).alias("dup"), "conv_id").alias("file_ord"), body.alias("json"))
+    return per.withColumn("h", head).select("conv_id", body.alias("json"))
 
 
-def write_export_fixture(spark: SparkSession, sf_dir: str, out_dir: str, recs: DataFrame | None = None) -> str:
-    """Write the raw export fixture as JSON-array files named export-k.json
+def write_flat_export(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """All flat records as the one file ``path``: an array that opens with an
+    empty record, one record a line, streamed by a single task (one file is
+    one unit by format), never held as one text."""
+    from parlance.sources.tables import write_single_text
+
+    ends = spark.range(2).select((F.col("id") * 2).alias("part"), F.lit(None).cast("bigint").alias("conv_id"), F.when(F.col("id") == 0, "[{}").otherwise("]").alias("value"))
+    recs = flat_records(spark, sf_dir).select(F.lit(1).cast("bigint").alias("part"), "conv_id", F.concat(F.lit(","), "json").alias("value"))
+    write_single_text(spark, ends.unionByName(recs).repartition(1).sortWithinPartitions("part", "conv_id").select("value"), path)
+    return path
+
+
+def write_export_fixture(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """Write the raw export fixture as JSON-array files named export-k-n.json
     directly under ``out_dir`` (an export file is one unit by format)."""
-    recs = export_records(spark, sf_dir) if recs is None else recs
+    recs = export_records(spark, sf_dir)
     files = recs.groupBy("file_name").agg(
         F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "json"))), lambda x: x["json"]), ",\n"),
                  F.lit("\n]")).alias("value"))

@@ -134,7 +134,7 @@ def categories_json(cats: DataFrame) -> DataFrame:
 
 def save_categories(spark: SparkSession, cats: DataFrame, path: str) -> None:
     """Write the category table as a JSON array file at ``path``."""
-    _write_single_text(spark, categories_json(cats), path)
+    write_single_text(spark, categories_json(cats), path)
 
 
 def upsert_categories(cats: DataFrame, new: DataFrame) -> DataFrame:
@@ -153,10 +153,10 @@ def upsert_categories(cats: DataFrame, new: DataFrame) -> DataFrame:
         (F.col("_at") - 1).cast("int").alias("cat_ord"), "slug", "name", "description", "keywords")
 
 
-def _write_single_text(spark: SparkSession, one_row: DataFrame, path: str) -> None:
-    """Write a one-row text frame as exactly the file ``path``."""
+def write_single_text(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Write the text rows of one partition as exactly the file ``path``."""
     staging = path + "._staging"
-    one_row.coalesce(1).write.mode("overwrite").text(staging)
+    rows.coalesce(1).write.mode("overwrite").text(staging)
     fs, _ = _fs(spark, staging)
     jvm = spark._jvm
     Path = jvm.org.apache.hadoop.fs.Path
@@ -168,21 +168,27 @@ def _write_single_text(spark: SparkSession, one_row: DataFrame, path: str) -> No
 
 
 # ---------------------------------------------------------------- S8 / K1 parsed index
-def parsed_index_json(index_rows: DataFrame, min_messages: int, parsed_at: str) -> DataFrame:
-    """K1 document: header + conversations newest-first by ``created``.
-    The index has one small row per conversation (no text)."""
-    return index_rows.agg(F.to_json(F.struct(
-        F.lit(parsed_at).alias("parsed_at"), F.count(F.lit(1)).alias("total_conversations"),
-        F.lit(min_messages).alias("min_messages"),
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("created", "yyyy-MM-dd HH:mm")).alias("_k"), "id", F.struct(
-            "id", "title", "created", "updated", "messages", "user_messages").alias("c")))), lambda x: x["c"]).alias("conversations"))).alias("value"))
+INDEX_ROW = "id string, title string, created string, updated string, messages bigint, user_messages bigint"
+
+
+def write_index(index_rows: DataFrame, min_messages: int, parsed_at: str, path: str) -> None:
+    """K1: ``path/header`` with the run's figures and ``path/conversations``,
+    one JSON line per conversation; the part files in name order hold them
+    newest first. No row is gathered with the others."""
+    order = [F.col("created").desc(), F.col("id")]
+    (index_rows.select("id", "title", "created", "updated", "messages", "user_messages").repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("overwrite").json(path + "/conversations"))
+    index_rows.agg(F.lit(parsed_at).alias("parsed_at"), F.count(F.lit(1)).alias("total_conversations"), F.lit(min_messages).alias("min_messages")) \
+        .write.mode("overwrite").json(path + "/header")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed-index rows keyed by id; missing or corrupt -> empty."""
-    empty = "id string, title string, created string, updated string, messages bigint, user_messages bigint"
+    """Parsed-index rows keyed by id, from ``write_index`` or from the
+    single JSON document of another tool; missing or corrupt -> empty."""
     if not path_exists(spark, path):
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], INDEX_ROW)
+    if path_exists(spark, path + "/conversations"):
+        return spark.read.schema(INDEX_ROW).json(path + "/conversations").where("id IS NOT NULL")
     doc = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     return doc.select(F.inline(F.coalesce("conversations", F.array().cast(
         "array<struct<id: string, title: string, created: string, updated: string, messages: bigint, user_messages: bigint>>"))))
@@ -212,7 +218,7 @@ def read_discovery(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_json_document(spark: SparkSession, doc: DataFrame, path: str) -> None:
-    _write_single_text(spark, doc, path)
+    write_single_text(spark, doc, path)
 
 
 # ---------------------------------------------------------------- K8 category index
