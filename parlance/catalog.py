@@ -597,7 +597,8 @@ def response_text(spark, sf_dir):
     first = F.to_json(F.struct(F.substring("response", 1, half).alias("response"), F.lit(False).alias("done")))
     rest = F.to_json(F.struct(F.expr("substring(response, floor(length(response) / 2) + 1)").alias("response"), F.lit(True).alias("done")))
     raw = F.when(F.col("conv_id") % 2 == 0, one).otherwise(F.concat(first, F.lit("\n"), rest, F.lit("\n")))
-    return j.select("conv_id", _response_text(raw).alias("text"), (F.col("response") == _response_text(raw)).alias("same_as_trimmed"))
+    read = j.select("conv_id", "response", _response_text(raw).alias("text"))
+    return read.select("conv_id", "text", (F.col("response") == F.col("text")).alias("same_as_trimmed"))
 
 
 def _stub_model(pdf):

@@ -94,3 +94,9 @@ WIDE_CHARACTERS = (
     r"\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{A960}-\x{A97C}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE10}-\x{FE19}\x{FE30}-\x{FE6B}"
     r"\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1B000}-\x{1B001}\x{1F200}-\x{1F251}\x{20000}-\x{2FFFD}\x{30000}-\x{3FFFD}]"
 )
+
+# Patterns of response cleanup.
+FENCE_BLOCK = r"(?si)```(?:json)?\s*(.*?)\s*```"
+FENCE_OPEN = r"(?m)^```(?:json)?\s*"
+FENCE_CLOSE = r"(?m)```\s*$"
+REASONING = r"(?s)<think>.*?</think>"

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions.formats import FENCE_BLOCK
 from parlance.functions.text import col_, php_trim
 
-# Fenced block pattern removed before the brace scan (content kept).
-FENCE_BLOCK = r"(?si)```(?:json)?\s*(.*?)\s*```"
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
 
 def extract_json(c) -> Column:
     """First balanced JSON object in the text, string- and escape-aware.
@@ -21,15 +27,8 @@ def extract_json(c) -> Column:
     cleaned = F.regexp_replace(col_(c), FENCE_BLOCK, "$1")
     start = F.instr(cleaned, "{")
     rest = F.when(start > 0, cleaned.substr(start, F.length(cleaned) - start + 1))
-    chars = tokens(rest)
-    folded = F.aggregate(
-        chars,
-        F.struct(F.lit(0).alias("d"), F.lit(False).alias("q"), F.lit(False).alias("e"),
-                 F.lit(0).alias("n"), F.lit(0).alias("end")),
-        _step,
-    )
     # Re-join the same pieces, so code points and token lengths never matter.
-    return F.when(folded["end"] > 0, F.array_join(F.slice(chars, 1, folded["end"]), ""))
+    return let(tokens(rest), lambda pieces: let(_object_end(pieces), lambda end: F.when(end > 0, F.array_join(F.slice(pieces, 1, end), ""))))
 
 
 def _state(d, q, e, n, end) -> Column:
@@ -101,18 +100,18 @@ def response_text(raw) -> Column:
     the last character."""
     raw = col_(raw)
 
+    def is_whole(body):
+        return body.startswith("{") & let(tokens(body), lambda t: _object_end(t) == F.size(t))
+
     def whole(body, parsed):
-        toks = tokens(body)
-        is_object = body.startswith("{") & (_object_end(toks) == F.size(toks)) & parsed.isNotNull()
+        is_object = is_whole(body) & parsed.isNotNull()
         is_array = body.startswith("[") & body.endswith("]") & parsed.isNotNull()
         return F.struct(is_object.alias("obj"), is_array.alias("arr"),
                         F.try_variant_get(parsed, "$.response", "string").alias("text"))
 
     # bind the trimmed body and its parse once (lambda), used by every check
-    w = F.transform(F.array(php_trim(raw)), lambda b: whole(b, F.try_parse_json(b)))[0]
+    w = let(php_trim(raw), lambda b: let(F.try_parse_json(b), lambda parsed: whole(b, parsed)))
     lines = F.filter(F.transform(F.split(raw, "\n"), lambda ln: php_trim(ln)), lambda ln: ln != "")
-    parts = F.transform(lines, lambda ln: F.when(
-        ln.startswith("{") & (_object_end(tokens(ln)) == F.size(tokens(ln))),
-        F.try_variant_get(F.try_parse_json(ln), "$.response", "string")))
+    parts = F.transform(lines, lambda ln: F.when(is_whole(ln), F.try_variant_get(F.try_parse_json(ln), "$.response", "string")))
     combined = F.nullif(F.array_join(parts, ""), F.lit(""))
-    return php_trim(F.when(w["obj"], w["text"]).when(w["arr"], F.lit(None).cast("string")).otherwise(combined))
+    return php_trim(let(w, lambda x: F.when(x["obj"], x["text"]).when(x["arr"], F.lit(None).cast("string")).otherwise(combined)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parlance.functions.formats import (  # noqa: F401  (re-exported)
-    DATE_FMT, ELLIPSIS, LONG_DATE_FMT, MESSAGE_CAP, MESSAGE_CAP_MARKER, MIDDLE_MARKER, SNIPPET_WIDTH, STAR,
+    DATE_FMT, ELLIPSIS, FENCE_CLOSE, FENCE_OPEN, LONG_DATE_FMT, MESSAGE_CAP, MESSAGE_CAP_MARKER, MIDDLE_MARKER, REASONING, SNIPPET_WIDTH, STAR,
     TRIM_CHARS, WIDE_CHARACTERS)
 
 
@@ -91,9 +91,9 @@ def range_label(key) -> Column:
 
 def strip_boilerplate(c) -> Column:
     """Remove code fences and reasoning blocks, then trim."""
-    r = F.regexp_replace(col_(c), r"(?m)^```(?:json)?\s*", "")
-    r = F.regexp_replace(r, r"(?m)```\s*$", "")
-    r = F.regexp_replace(r, r"(?s)<think>.*?</think>", "")
+    r = F.regexp_replace(col_(c), FENCE_OPEN, "")
+    r = F.regexp_replace(r, FENCE_CLOSE, "")
+    r = F.regexp_replace(r, REASONING, "")
     return php_trim(r)
 
 
