@@ -22,30 +22,35 @@ from parlance.llm.decontaminate import remove_hits
 from parlance.llm.near_dup import keep_one
 from parlance.llm.quality import fit_quality, keep_good
 from parlance.llm.queries import QUALITY_FROM, TOXIC_FROM
-from parlance.llm.tables import table, written
+from parlance.llm.tables import small_batches, table, written
 from parlance.llm.toxicity import fit_toxicity, keep_clean
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     return keep_clean(docs, "text", model, TOXIC_FROM)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     trees = fit_quality(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
     return keep_good(docs, "text", trees, QUALITY_FROM)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_one(docs, "doc_id", "text", percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     clean = remove_hits(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     return encode_texts(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -36,7 +36,7 @@ from parlance.llm.words import ALNUM, Words, blocks
 WINDOW = 10
 SAMPLE = 8
 #: Text of documents per FM-index; one longer document is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Text of test items broadcast at once.
 BLOCK_BYTES = 16 << 20
 

@@ -43,7 +43,7 @@ from parlance.llm.words import BLANK, Words, blocks, distinct_by_text, mix, seed
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Text of one block of a candidate group; a cell holds two blocks.
-CELL_BYTES = 4 << 20
+CELL_BYTES = 2 << 20
 
 
 def super_min_hash(value: np.ndarray, text: np.ndarray, texts: int, size: int) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.tables import held_out, table
+from parlance.llm.tables import held_out, small_batches, table
 
 # Fixed values of the url query's contract: (host, path, decision).
 URL_RULES = [
@@ -98,5 +100,12 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (
+def _in_small_batches(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(small_batches(spark), sf_dir)
+    return run
+
+
+QUERIES = {f.__name__: _in_small_batches(f) for f in (
     op1_url_filter, op2_quality, op3_html_text, op4_decontaminate, op5_bpe, op6_minhash, op7_license_scan, op8_sharding, op9_toxicity, op10_neighbours)}

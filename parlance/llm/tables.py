@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from parlance.session import ensure_checkpoint_dir, scratch_path
 
 
+#: Rows and bytes of one Arrow batch between Spark and a Python worker: with
+#: whole texts in a row, Spark's 10,000 rows would be tens of megabytes, held
+#: several times on either side.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Set the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; called by every query and stage."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +70,7 @@ def ranges(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def rows_where(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]], size: int = 2 << 20) -> DataFrame:
+def rows_where(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]], size: int = 1 << 20) -> DataFrame:
     """The rows of ``docs``, untouched, whose text ``keep`` accepts. It gets the UTF-8 bytes of a block of texts (null as empty)."""
     column = docs.columns.index(text_col)
 

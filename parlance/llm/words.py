@@ -16,9 +16,9 @@ import pandas as pd
 
 SPACE = 0x20
 # Bytes of text gathered before a block is processed; one longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 # Bytes hashed at once, cut at word boundaries.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
