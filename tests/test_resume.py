@@ -45,7 +45,6 @@ def test_label_stream_with_model(spark):
     """T2 model branch: failed rows are not stored; a later run retries them."""
     from checks.stub_model import flaky_label_model
     from parlance.catalog import _base
-    from parlance.plans.materialize import materialize
     from parlance.session import scratch_path
     from parlance.sources import fixtures as X
     from parlance.sources.tables import TableStore
