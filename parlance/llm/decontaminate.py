@@ -10,9 +10,11 @@ counts, and suffix positions sampled every ``SAMPLE`` places. All windows are
 searched backwards at once; occurrences are located by walking back to a
 sampled position; overlapping spans are merged per document.
 
-The documents are not shuffled. The windows go to the executors as broadcast
-blocks of items holding at most ``block_bytes`` of text each, whatever the
-size of the test set; documents are searched once per block.
+The windows go to the executors as a broadcast block of items holding at most
+``block_bytes`` of text, and the documents are not shuffled. A larger test set
+goes block by block, the driver holding one at a time: every block's hits are
+written and brought together by the row's number before anything is merged or
+cut, so the result does not depend on ``block_bytes``.
 
 Null and empty texts have no words and are never hit; null and empty items
 have no windows. Equal items are all reported. Documents are handled row by
@@ -30,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.tables import carried, ranges, restored, utf8
+from parlance.llm.tables import carried, ranges, restored, utf8, written
 from parlance.llm.words import ALNUM, Words, blocks
+from parlance.session import scratch_path
 
 WINDOW = 10
 SAMPLE = 8
@@ -40,6 +43,8 @@ SHARD_BYTES = 4 << 20
 #: Text of test items broadcast at once.
 BLOCK_BYTES = 16 << 20
 
+SPANS = "spans array<struct<first: bigint, end: bigint>>, items array<string>"
+
 
 class Windows:
     """The distinct windows of a block of items, as symbol sequences."""
@@ -216,11 +221,15 @@ def _hits(windows: Windows, texts: list[bytes]) -> Iterator[tuple[int, list[tupl
                 spans[d] = _merged(local, local + windows.lengths[window[lo:hi]])
                 items[d].update(i for w in np.unique(window[lo:hi]).tolist() for i in windows.owners[w])
     for i, t in enumerate(texts):
-        edges = []
-        if spans[i]:
-            w = Words([t], ALNUM, hashed=False)
-            edges = [(int(w.starts[b]), int(w.ends[e - 1])) for b, e in spans[i]]
-        yield int(counts[i]), spans[i], items[i], edges
+        yield int(counts[i]), spans[i], items[i], _edges(t, spans[i])
+
+
+def _edges(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Word spans of a text as spans of its bytes."""
+    if not spans:
+        return []
+    w = Words([text], ALNUM, hashed=False)
+    return [(int(w.starts[b]), int(w.ends[e - 1])) for b, e in spans]
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
@@ -239,65 +248,125 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
     yield block
 
 
-def find_hits(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
-              window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: ``id_col``, ``n_words``, ``spans`` (merged hit
-    word ranges, end exclusive) and ``items`` (sorted ids of items with an
-    occurring window). Each block of items is one more pass over the rows
-    inside the same tasks."""
-    found = "n_words bigint, spans array<struct<first: bigint, end: bigint>>, items array<string>"
-    out = carried(docs, id_col, text_col).selectExpr(
-        "*", "CAST(0 AS bigint) AS n_words", "CAST(array() AS array<struct<first: bigint, end: bigint>>) AS spans", "CAST(array() AS array<string>) AS items")
+def only_block(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[tuple[str, bytes]] | None:
+    """The items, if they are one block."""
+    found = item_blocks(benchmark, item_col, text_col, block_bytes)
+    block = next(found)
+    return block if next(found, None) is None else None
+
+
+def hits_by_row(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """``_row``, merged ``spans`` and ``items`` over all blocks of items, of the rows (``_row``, ``_text``) that are hit."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "block-hits")
     for block in item_blocks(benchmark, item_col, item_text, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(block)
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             windows = Windows(shared.value, window)
             for frame in blocks(frames, "_text", SHARD_BYTES):
-                n_words, spans, items = [], [], []
-                for (n, new, ids, _), old, had in zip(_hits(windows, list(frame["_text"])), frame["spans"], frame["items"], strict=True):
-                    both = np.array(sorted(new + [(s["first"], s["end"]) for s in old]), np.int64).reshape(-1, 2)
-                    n_words.append(n)
-                    spans.append([{"first": b, "end": e} for b, e in _merged(both[:, 0], both[:, 1])])
-                    items.append(sorted(ids | set(had)))
-                yield frame.assign(n_words=n_words, spans=spans, items=items)
+                hit = [(r, [{"first": b, "end": e} for b, e in s], sorted(i)) for r, (_, s, i, _) in zip(frame["_row"], _hits(windows, list(frame["_text"])), strict=True) if s]
+                yield pd.DataFrame(hit, columns=["_row", "spans", "items"])
+
+        rows.mapInPandas(run, f"_row bigint, {SPANS}").write.mode("append").parquet(path)
+        shared.destroy()
+    found = spark.read.schema(f"_row bigint, {SPANS}").parquet(path).groupBy("_row").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
-        out = out.mapInPandas(run, f"_id string, _text binary, {found}")
-    return restored(out.drop("_text"), docs, id_col)
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            both = [np.array([(s["first"], s["end"]) for s in spans], np.int64) for spans in frame["spans"]]
+            yield frame.assign(spans=[[{"first": b, "end": e} for b, e in _merged(s[:, 0], s[:, 1])] for s in both])
+
+    return written(found.mapInPandas(merge, f"_row bigint, {SPANS}"), "hits")
+
+
+def find_hits(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
+              window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: ``id_col``, ``n_words``, ``spans`` (merged hit
+    word ranges, end exclusive) and ``items`` (sorted ids of items with an
+    occurring window)."""
+    block = only_block(benchmark, item_col, item_text, block_bytes)
+    if block is None:
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame.assign(n_words=[len(t.translate(ALNUM).split()) for t in frame["_text"]]).drop(columns="_text")
+
+        rows = written(carried(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        found = hits_by_row(rows.select("_row", "_text"), benchmark, item_col, item_text, window, block_bytes)
+        out = rows.mapInPandas(count, "_id string, _row bigint, n_words bigint").join(found, "_row", "left").select(
+            "_id", "n_words", *(F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items")))
+        return restored(out, docs, id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows = Windows(shared.value, window)
+        for frame in blocks(frames, "_text", SHARD_BYTES):
+            found = list(_hits(windows, list(frame["_text"])))
+            yield pd.DataFrame({"_id": frame["_id"], "n_words": [n for n, _, _, _ in found], "spans": [[{"first": b, "end": e} for b, e in s] for _, s, _, _ in found],
+                                "items": [sorted(i) for _, _, i, _ in found]})
+
+    return restored(carried(docs, id_col, text_col).mapInPandas(run, f"_id string, n_words bigint, {SPANS}"), docs, id_col)
 
 
 def remove_hits(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
                 window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with every hit span cut out of the text; the cut leaves one
     line break. Words that come together over a cut may form a window again,
-    so changed texts are searched until nothing is hit. Texts that are not hit
-    are returned as they are; rows of which nothing is left are dropped."""
+    so changed texts are searched, for all items, until nothing is hit. Texts
+    that are not hit are returned as they are; rows of which nothing is left
+    are dropped."""
+    block = only_block(benchmark, item_col, item_text, block_bytes)
+    if block is None:
+        return _remove_by_blocks(docs, text_col, benchmark, item_col, item_text, window, block_bytes)
     schema = docs.schema
     column = schema.names.index(text_col)
-    for block in item_blocks(benchmark, item_col, item_text, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(shared.value, window)
+        for batch in batches:
+            values = batch.column(column)
+            texts = values.cast(pa.binary()).to_pylist()
+            changed: set[int] = set()
+            for at, end in ranges(texts, SHARD_BYTES):
+                todo = [i for i in range(at, end) if texts[i]]
+                while todo:
+                    edges = [e for _, _, _, e in _hits(windows, [texts[i] for i in todo])]
+                    todo = [i for i, e in zip(todo, edges, strict=True) if e]
+                    for i, e in zip(todo, filter(None, edges), strict=True):
+                        texts[i] = _without(texts[i], e)
+                        changed.add(i)
+            if changed:
+                batch = batch.set_column(column, batch.schema.field(column), pa.array(texts, pa.binary()).cast(values.type))
+                batch = batch.filter(pa.array([i not in changed or bool(t) for i, t in enumerate(texts)], pa.bool_()))
+            yield batch
+
+    return docs.mapInArrow(run, schema)
+
+
+def _remove_by_blocks(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """``remove_hits`` for items of several blocks: a round cuts what any block hits, the next searches the cut texts."""
+    numbered = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    texts = numbered.select("_row", utf8(f"row.{text_col}").alias("_text"))
+    cut_texts = None
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"_row": frame["_row"], "_text": [
+                _without(t, _edges(t, [(s["first"], s["end"]) for s in spans])) for t, spans in zip(frame["_text"], frame["spans"], strict=True)]})
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, window)
-            for batch in batches:
-                values = batch.column(column)
-                texts = values.cast(pa.binary()).to_pylist()
-                changed: set[int] = set()
-                for at, end in ranges(texts, SHARD_BYTES):
-                    todo = [i for i in range(at, end) if texts[i]]
-                    while todo:
-                        edges = [e for _, _, _, e in _hits(windows, [texts[i] for i in todo])]
-                        todo = [i for i, e in zip(todo, edges, strict=True) if e]
-                        for i, e in zip(todo, filter(None, edges), strict=True):
-                            texts[i] = _without(texts[i], e)
-                            changed.add(i)
-                if changed:
-                    batch = batch.set_column(column, batch.schema.field(column), pa.array(texts, pa.binary()).cast(values.type))
-                    batch = batch.filter(pa.array([i not in changed or bool(t) for i, t in enumerate(texts)], pa.bool_()))
-                yield batch
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    while True:
+        found = hits_by_row(texts, benchmark, item_col, item_text, window, block_bytes)
+        if found.isEmpty():
+            break
+        texts = written(texts.join(found, "_row").mapInPandas(cut, "_row bigint, _text binary"), "cut")
+        cut_texts = texts if cut_texts is None else written(texts.unionByName(cut_texts.join(texts, "_row", "left_anti")), "cut-texts")
+    if cut_texts is None:
+        return numbered.select("row.*")
+    rows = numbered.join(cut_texts, "_row", "left").where("_text IS NULL OR length(_text) > 0")
+    return rows.select(*(
+        F.coalesce(F.col("_text").cast(docs.schema[c].dataType), F.col(f"row.{c}")).alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns))
 
 
 def _without(text: bytes, edges: list[tuple[int, int]]) -> bytes:

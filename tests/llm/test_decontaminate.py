@@ -95,3 +95,18 @@ def test_removal_leaves_no_window(spark):
     rows = {r["doc_id"]: r["text"] for r in remove_hits(docs, "text", bench, "item_id", "text").collect()}
     assert rows == {1: "Start here.\n! The end.", 3: "clean text  stays\n as it is", 4: None, 5: "", 6: "and more"}
     assert remove_hits(docs, "text", bench, "item_id", "text").schema == docs.schema
+
+
+def test_removal_does_not_depend_on_the_blocks(spark):
+    # The second item's cut joins the first's words; two items overlap; and random ones.
+    rng = random.Random(5)
+    items = [(1, "a b c d"), (2, "x y z v"), (3, "k l m n"), (4, "m n o p"), (5, None)] + [(i, " ".join(rng.choice("qrst") for _ in range(5))) for i in range(6, 12)]
+    texts = ["go a b x y z v c d on", "go k l m n o p on", "a b x k l m n y z v c d", "a b c d", None, "", "left as  it is"]
+    texts += [" ".join(rng.choice("qrstu") for _ in range(60)) for _ in range(40)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    docs = documents(spark, [(i % 30, t) for i, t in enumerate(texts)])
+    by_size = [sorted(map(str, remove_hits(docs, "text", bench, "item_id", "text", window=4, block_bytes=size).collect())) for size in (1 << 20, 8)]
+    assert by_size[0] == by_size[1] and len(by_size[0]) < len(texts)
+    rows = [r["text"] for r in remove_hits(docs, "text", bench, "item_id", "text", window=4, block_bytes=8).collect()]
+    assert rows.count("go\non") == 2 and {"left as  it is", None, ""} <= set(rows)
+    assert not any(brute(t, items, 4)[1] for t in rows)
