@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling,
 over word and character inputs, trained and run in numpy.
 
-A text is cut into overlapping windows of ``WINDOW`` words, one every
-``STRIDE``; every window of every whole text is scored and a text's score is
-its highest window. A word's input is an embedding, if the fit knows the
+A text's windows are all its runs of ``WINDOW`` words (a shorter text is one
+window); each is scored, whatever the text's length, and a text's score is
+its highest window, so every passage of up to WINDOW words is seen whole. A word's input is an embedding, if the fit knows the
 word, beside the mean embedding of its character trigrams (computed once per
 distinct word of a block); both directions of gated recurrent units run over
 the inputs, attention weighs the words' states and inputs into one vector,
@@ -12,8 +12,8 @@ and a logistic unit scores it.
 The fit uses a bounded sample of labelled rows (``ROWS_PER_CLASS`` of each
 class, texts up to ``MAX_TRAIN_BYTES``) on the driver. Only whole texts are
 labelled, so each round picks the highest window of every text (and a random
-one of the clean texts) and takes gradient steps on these. The first
-component of a word's embedding starts as the log odds of texts that hold
+one of the clean texts), of one every ``FIT_STRIDE`` words, and takes gradient
+steps on these. The first component of a word's embedding starts as the log odds of texts that hold
 it. The weights, a few megabytes at most by VOCABULARY, are broadcast.
 
 Only the text is an input of a score. Null and empty texts, and texts without
@@ -34,6 +34,8 @@ from parlance.llm.tables import carried, restored, rows_where
 from parlance.llm.words import ALNUM, Words, blocks
 
 WINDOW, STRIDE = 24, 16
+#: Words between the windows of the fit, which works on a sample; a coarser step than that raises the scores of clean texts.
+FIT_STRIDE = 4
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 2048
 VOCABULARY = 20_000
@@ -41,8 +43,8 @@ LEAST_TEXTS = 3
 ROWS_PER_CLASS = 1500
 MAX_TRAIN_BYTES = 20_000
 ROUNDS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 8, 500, 64, 0.01, 1e-4, 11
-#: Windows that run through the network at once.
-CHUNK = 4096
+#: Windows that run through the network at once, and neighbouring ones in a score.
+CHUNK, SCORED = 4096, 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -60,7 +62,8 @@ class Block:
     """Distinct words of a block of texts with their trigrams, and its windows
     as indexes of distinct words (the last index is the padding)."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], stride: int | None = STRIDE):
+        """Windows start every ``stride`` words until the text's last word is inside one; without a stride there are none."""
         w = Words(texts, ALNUM)
         self.hashes, where, index = np.unique(w.hashes, return_index=True, return_inverse=True)
         starts, ends = w.starts[where], w.ends[where]
@@ -70,16 +73,20 @@ class Block:
         padded = np.concatenate([[32], w.buf, [32]]).astype(np.int64)
         self.trigrams = (padded[at] * 7919 + padded[at + 1] * 104729 + padded[at + 2] * 1299709) % TRIGRAMS
         self.trigram_begin, self.trigram_count = np.cumsum(size) - size, size
-        # Windows start every STRIDE words until the text's last word is inside one.
-        n = 1 + np.maximum(0, -(-(w.counts - WINDOW) // STRIDE))
-        self.owner = np.repeat(np.arange(len(texts)), n)
-        begin = w.first[:-1][self.owner] + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        place = begin[:, None] + np.arange(WINDOW)
-        inside = place < w.first[1:][self.owner][:, None]
-        index = np.append(index, len(self.hashes))
-        self.windows = np.where(inside, index[np.minimum(place, len(index) - 1)], len(self.hashes))
+        self.first, self.counts = w.first, w.counts
+        self.index = np.append(index, len(self.hashes)).astype(np.int32)
+        if stride:
+            n = 1 + np.maximum(0, -(-(w.counts - WINDOW) // stride))
+            self.owner = np.repeat(np.arange(len(texts)), n)
+            self.windows = self.rows(w.first[:-1][self.owner] + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)), self.owner)
         self.texts = len(texts)
 
+    def rows(self, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The windows of texts ``owner`` that begin at these words."""
+        place = begin[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32)
+        inside = place < self.first[1:][owner][:, None]
+        return np.where(inside, self.index[np.minimum(place, len(self.index) - 1)], np.int32(len(self.hashes)))
+
 
 class Network:
     def __init__(self, vocabulary: np.ndarray, odds: np.ndarray):
@@ -188,11 +195,60 @@ class Network:
         x, _ = self.inputs(block)
         return np.concatenate([self.forward(x, block.windows[i:i + CHUNK])[0] for i in range(0, len(block.windows), CHUNK)] or [np.zeros(0)])
 
+    def _neighbours(self, x: np.ndarray) -> np.ndarray:
+        """Logits of all windows of WINDOW neighbouring rows of the inputs ``x``. As ``forward``, with rows as
+        columns: what depends on a word alone is computed once for all windows that hold it."""
+        p, H, n = self.p, HIDDEN, len(x) - WINDOW + 1
+        # The attention's inputs and the output's share of a state, at once.
+        both = np.concatenate([p["Wa"], p["wo"][:, None]], axis=1).T
+        seen = both[:, 2 * H:] @ x.T
+        seen[:-1] += p["ba"][:, None]
+        parts = np.empty((WINDOW, ATTENTION + 1, n), np.float32)
+        for k, d in enumerate("fb"):
+            projected = p["W" + d].T @ x.T + p["b" + d][:, None]
+            U, of_state = np.ascontiguousarray(p["U" + d].T), np.ascontiguousarray(both[:, k * H:(k + 1) * H])
+            h = np.zeros((H, n), np.float32)
+            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                u, now = U @ h, projected[:, t:t + n]
+                zr = u[:2 * H]
+                zr += now[:2 * H]
+                np.clip(zr, -30, 30, out=zr)
+                np.negative(zr, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                c = u[2 * H:]
+                c *= zr[H:]
+                c += now[2 * H:]
+                np.tanh(c, out=c)
+                h -= c
+                h *= zr[:H]
+                h += c  # z * h + (1 - z) * c
+                if d == "f":
+                    parts[t] = of_state @ h
+                else:
+                    parts[t] += of_state @ h
+                    parts[t] += seen[:, t:t + n]
+        e = np.einsum("a,tan->tn", p["va"], np.tanh(parts[:, :-1]))
+        e = np.exp(e - e.max(axis=0))
+        return (e * parts[:, -1]).sum(axis=0) / e.sum(axis=0) + p["bo"][0]
+
     def score(self, texts: list[bytes]) -> np.ndarray:
-        block = Block(texts)
+        block = Block(texts, None)
+        x, _ = self.inputs(block)
         best = np.full(block.texts, -np.inf)
-        np.maximum.at(best, block.owner, self.logits(block))
-        return _sigmoid(best.astype(np.float64))
+        short = np.flatnonzero(block.counts < WINDOW)
+        for at in range(0, len(short), CHUNK):
+            part = short[at:at + CHUNK]
+            best[part] = self.forward(x, block.rows(block.first[part], part))[0]
+        # The words of the other texts in a row; windows across two texts do not count.
+        owner = np.repeat(np.arange(block.texts), np.where(block.counts < WINDOW, 0, block.counts))
+        words = block.index[:-1][np.repeat(block.counts >= WINDOW, block.counts)]
+        for at in range(0, len(words) - WINDOW + 1, SCORED):
+            logit = self._neighbours(x[words[at:at + SCORED + WINDOW - 1]])
+            begin, end = owner[at:at + len(logit)], owner[at + WINDOW - 1:at + WINDOW - 1 + len(logit)]
+            np.maximum.at(best, begin[begin == end], logit[begin == end])
+        return _sigmoid(best)
 
 
 class Constant:
@@ -221,7 +277,7 @@ def _odds(block: Block, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit_network(texts: list[bytes], label: np.ndarray, rounds: int = ROUNDS):
     if not len(label) or label.min() == label.max():
         return Constant(float(label.mean()) if len(label) else 0.0)
-    block = Block(texts)
+    block = Block(texts, FIT_STRIDE)
     net = Network(*_odds(block, label))
     rng = np.random.default_rng(SEED + 1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}

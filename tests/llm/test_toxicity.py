@@ -27,6 +27,24 @@ def test_windows_cover_every_word_and_overlap():
         assert len({x for x in rows.ravel() if x < len(block.hashes)}) == words
 
 
+def test_every_window_is_scored():
+    rng = np.random.default_rng(6)
+    words = [b"w%d" % i for i in range(300)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 300, n)) for n in (0, 5, 23, 24, 25, 90, 3, 2000)]
+    net, _ = network([b" ".join(words)])
+    every = Block(texts, 1)
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, every.owner, net.logits(every))
+    assert np.allclose(net.score(texts), 1 / (1 + np.exp(-best)), atol=1e-5)
+    # A passage of 10 to 24 words counts at any offset as it does alone in a window.
+    for n in (10, 17, 24):
+        passage = [b"bad%d" % i for i in range(n)]
+        for at in range(40):
+            text = words[:at] + passage + words[at:80]
+            own = b" ".join(text[max(0, at + n - WINDOW):][:WINDOW])
+            assert net.score([b" ".join(text)])[0] >= net.score([own])[0] - 1e-5
+
+
 def test_gradients():
     net, block = network([b"you are a fool " * 9, b"a kind word", b"x"])
     target = np.arange(len(block.windows)) % 2
