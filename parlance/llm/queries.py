@@ -100,6 +100,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
 
+def op11_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources by weights 5, 2, 1 takes of every document."""
+    from parlance.llm.entropy_mix import balance, n_words
+    return balance(table(spark, sf_dir, "documents"), "doc_id", "source", n_words("text"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    from parlance.llm.spelling import group_variants, word_counts
+    return group_variants(word_counts(table(spark, sf_dir, "documents"), "doc_id", "text", least_letters=5, least_count=3, damage=97))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of every vector."""
+    from parlance.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
+
+
 def _in_small_batches(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +126,5 @@ def _in_small_batches(query):
 
 
 QUERIES = {f.__name__: _in_small_batches(f) for f in (
-    op1_url_filter, op2_quality, op3_html_text, op4_decontaminate, op5_bpe, op6_minhash, op7_license_scan, op8_sharding, op9_toxicity, op10_neighbours)}
+    op1_url_filter, op2_quality, op3_html_text, op4_decontaminate, op5_bpe, op6_minhash, op7_license_scan, op8_sharding, op9_toxicity, op10_neighbours,
+    op11_entropy_mix, op12_spelling, op13_whitening)}
