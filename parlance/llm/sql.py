@@ -61,13 +61,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 # crc32 is computed byte by byte through its table of 256 entries. Near words
-# are found as words that become equal when each loses at most one letter.
+# are found as words that become equal when one loses a letter, or both the letter at the same place.
 OP12 = r"""
 WITH RECURSIVE bits AS (
   SELECT list(list_reduce(list_prepend(i, range(1, 9)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
   FROM (SELECT unnest(range(256)) AS i)),
 runs AS (
-  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
 counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
 hashed AS (
   SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(name)), lambda i: CAST('0x' || substr(hex(encode(name)), 2 * i + 1, 2) AS BIGINT))),
@@ -77,9 +77,9 @@ spelt AS (
   SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM hashed),
 words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
 less AS (
-  SELECT word, n, word AS v FROM words
-  UNION SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
-near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b USING (v) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+  SELECT word, n, 0 AS i, word AS v FROM words
+  UNION ALL SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b USING (v) WHERE a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
 best AS (
   SELECT word, n_near, other, other_n
   FROM (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r FROM near) WHERE r = 1),
