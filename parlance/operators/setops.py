@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.plans.materialize import materialize
+
 
 def upsert(base: DataFrame, new: DataFrame, key: str | list[str] = "conv_id") -> DataFrame:
     """New rows win per key, other base rows kept.
 
-    ``new`` is evaluated once: base and new rows are united with a mark and
-    one shuffle on the key keeps the rows of the newest side. Rows with a
-    null key are all kept."""
+    ``new`` is evaluated once, by storing it; from there on its size is
+    known, so the keys of a few new rows are broadcast and the base is not
+    shuffled. Rows with a null key are all kept."""
     keys = [key] if isinstance(key, str) else key
-    both = base.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    newest = F.max("_new").over(Window.partitionBy(*keys))
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    return both.withColumn("_newest", newest).where((F.col("_new") == F.col("_newest")) | no_key).drop("_new", "_newest")
+    new = materialize(new, "upsert-new")
+    return base.join(new.select(*keys), keys, "left_anti").select(*base.columns).unionByName(new, allowMissingColumns=True)
 
 
 def except_keys(a: DataFrame, b: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -1,12 +1,11 @@
 """Stored tables (S6-S9; K1-K4, K8, K12).
 
-State, enhanced rows, the parsed index, the category index, the discovery
-report and the category table are kept as versioned parquet tables:
-``<root>/<name>/v=<n>/`` with ``_SUCCESS``. A writer always creates a new
-version directory (single writer per table); readers take the newest
-complete version, so a crashed write never leaves a half table and never
-needs a lock. An upsert is U1 (anti-join + union) of the newest version and
-the new rows, written as the next version.
+State, enhanced rows, the parsed index, the category index, headers and
+messages are keyed tables of parquet folders: a whole table, and after it the
+rows of each later upsert or deletion (``KeyedTable``). A writer always
+creates a new folder (single writer per table) and readers take only finished
+ones, so a crashed write never leaves a half table, never blocks the next
+write and never needs a lock.
 
 The JSON side files of the reference (categories, discovery report) are
 read with an explicit schema; the category table is a configuration table
@@ -15,10 +14,13 @@ without a bound on its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators.setops import upsert
+from parlance.plans.materialize import materialize
 
 CATEGORY_FILE_SCHEMA = "slug string, name string, description string, keywords array<string>"
 DISCOVERY_SCHEMA = ("discovered_at string, model string, free_mode boolean, conversations_sampled bigint, "
@@ -43,58 +45,151 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+class KeyedTable:
+    """A keyed table as a whole folder ``<full>=<n>`` and one folder
+    ``<delta>=<n>`` per later upsert or deletion, shared by batch and
+    streaming runs.
+
+    A delta holds new rows; which older rows it takes the place of is listed
+    beside it, as (key, folder number) pairs, before it is finished. So an
+    upsert writes its own size, and reads nothing of the table but the key
+    column; its keys are joined as the small side, so the table is not
+    shuffled. A reader drops the listed pairs by an anti-join whose right
+    side holds the replaced rows alone, broadcast while that is small: rows
+    that nobody replaced are never shuffled. ``compact`` writes a whole
+    folder again. Replaying an upsert gives the same table. Rows with a null
+    key are never replaced.
+
+    Numbers go past every folder that exists, finished or not: what a
+    crashed write left is never read and never in the way."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "conv_id", full: str = "full", delta: str = "batch"):
+        self.spark, self.path, self.key, self.full, self.delta = spark, path.rstrip("/"), key, full, delta
+        self.replaced = self.path + ".replaced"
+
+    def _numbers(self, folder: str, prefix: str, finished: bool) -> list[int]:
+        fs, p = _fs(self.spark, folder)
+        if not fs.exists(p):
+            return []
+        found = [st.getPath() for st in fs.listStatus(p) if st.getPath().getName().startswith(prefix + "=")]
+        return sorted(int(f.getName()[len(prefix) + 1:]) for f in found if not finished or fs.exists(f.suffix("/_SUCCESS")))
+
+    def _next(self) -> int:
+        taken = [n for prefix in (self.full, self.delta) for folder in (self.path, self.replaced) for n in self._numbers(folder, prefix, False)]
+        return max(taken, default=0) + 1
+
+    def _live(self) -> tuple[int, list[int]]:
+        """The newest whole folder (0: none) and the deltas after it."""
+        base = max(self._numbers(self.path, self.full, True), default=0)
+        return base, [n for n in self._numbers(self.path, self.delta, True) if n > base]
+
+    def _rows(self) -> DataFrame | None:
+        """All rows, replaced ones too, with their folder's number ``_n``."""
+        base, deltas = self._live()
+        parts = []
+        if base:
+            parts.append(self.spark.read.parquet(f"{self.path}/{self.full}={base}").withColumn("_n", F.lit(base)))
+        if deltas:
+            rows = self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/{self.delta}={n}" for n in deltas])
+            parts.append(rows.withColumnRenamed(self.delta, "_n"))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def read(self) -> DataFrame | None:
+        rows = self._rows()
+        if rows is None:
+            return None
+        listed = set(self._numbers(self.replaced, self.delta, True))
+        lists = [f"{self.replaced}/{self.delta}={n}" for n in self._live()[1] if n in listed]
+        if lists:
+            gone = self.spark.read.option("recursiveFileLookup", True).parquet(*lists)
+            rows = rows.join(gone, gone.columns, "left_anti")
+        return rows.drop("_n")
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """The whole table anew."""
+        path = f"{self.path}/{self.full}={self._next()}"
+        df.write.mode("error").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _replace(self, keys: DataFrame, rows: DataFrame) -> None:
+        n, before = self._next(), self._rows()
+        if before is not None:
+            gone = before.select(self.key, "_n").join(keys.select(self.key).distinct(), self.key, "left_semi").distinct()
+            gone.write.mode("error").parquet(f"{self.replaced}/{self.delta}={n}")
+        rows.write.mode("error").parquet(f"{self.path}/{self.delta}={n}")
+
+    def upsert(self, new: DataFrame) -> None:
+        """``new`` rows win per key; evaluated once."""
+        new, base = materialize(new, "upsert-new"), self._rows()
+        if base is None:
+            self._replace(new, new)
+            return
+        types = {f.name: f.dataType for f in base.schema.fields if f.name != "_n"}
+        if set(new.columns) - types.keys():  # new columns: the table is written whole
+            self.write(upsert(self.read(), new, self.key))
+            return
+        self._replace(new, new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]))
+
+    def delete(self, keys: DataFrame) -> None:
+        base = self.read()
+        if base is not None:
+            self._replace(keys, base.limit(0))
+
+    def compact(self, keep_seconds: float = 0) -> None:
+        """The table as one whole folder; older folders go once they are
+        ``keep_seconds`` old, an age that readers who planned on them must
+        not exceed."""
+        base, deltas = self._live()
+        if deltas:
+            self.write(self.read())
+        self.vacuum(keep_seconds)
+
+    def vacuum(self, keep_seconds: float) -> None:
+        """Remove folders before the newest whole one, from the age of ``keep_seconds`` on."""
+        base, _ = self._live()
+        Path, now = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jvm.java.lang.System.currentTimeMillis()
+        for folder in (self.path, self.replaced):
+            for prefix in (self.full, self.delta):
+                for n in self._numbers(folder, prefix, False):
+                    fs, p = _fs(self.spark, f"{folder}/{prefix}={n}")
+                    if n < base and now - fs.getFileStatus(p).getModificationTime() >= 1000 * keep_seconds:
+                        fs.delete(Path(p.toString()), True)
+
+
 class TableStore:
-    """Versioned parquet tables under one root folder."""
+    """Keyed tables under one root folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        fs, p = _fs(self.spark, f"{self.root}/{name}")
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            n = st.getPath().getName()
-            if n.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(int(n[2:]))
-        return sorted(out)
+    def _table(self, name: str, key: str = "conv_id") -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/{name}", key, full="v", delta="delta")
 
     def read(self, name: str, schema: str | None = None) -> DataFrame | None:
-        """Newest complete version; ``schema`` gives an empty frame when the
-        table does not exist (missing -> empty, as the reference)."""
-        vs = self._versions(name)
-        if not vs:
-            return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.parquet(f"{self.root}/{name}/v={vs[-1]}")
+        """The table as it is; ``schema`` gives an empty frame when it does
+        not exist (missing -> empty, as the reference)."""
+        df = self._table(name).read()
+        return self.spark.createDataFrame([], schema) if df is None and schema else df
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        vs = self._versions(name)
-        n = (vs[-1] + 1) if vs else 1
-        path = f"{self.root}/{name}/v={n}"
-        df.write.mode("error").parquet(path)
-        return self.spark.read.parquet(path)
+        return self._table(name).write(df)
 
     def upsert(self, name: str, new: DataFrame, key: str = "conv_id") -> DataFrame:
         """U1 into the table."""
-        base = self.read(name)
-        return self.write(name, new if base is None else upsert(base, new, key))
+        self._table(name, key).upsert(new)
+        return self.read(name)
 
     def keyed(self, name: str, key: str = "conv_id") -> KeyedTable:
         return KeyedTable(self.spark, f"{self.root}/{name}", key)
 
-    def vacuum(self, name: str, keep: int = 2) -> None:
-        """Remove all but the newest ``keep`` versions."""
-        fs, _ = _fs(self.spark, self.root)
-        for v in self._versions(name)[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v={v}"), True)
+    def compact(self, name: str, keep_seconds: float = 0) -> None:
+        self._table(name).compact(keep_seconds)
 
     def delete_keys(self, name: str, keys: DataFrame, key: str = "conv_id") -> DataFrame:
-        """K4: drop rows for the given keys (anti-join) as a new version."""
-        base = self.read(name)
-        if base is None:
-            return keys.limit(0)
-        return self.write(name, base.join(keys.select(key), key, "left_anti"))
+        """K4: the rows of the given keys go."""
+        self._table(name, key).delete(keys)
+        left = self.read(name)
+        return keys.limit(0) if left is None else left
 
     def reset(self, name: str, schema: str) -> DataFrame:
         """K4 ``--reset``: a new empty version."""
@@ -117,9 +212,9 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
     bad = rows.agg(F.max(F.col("_corrupt").isNotNull()).alias("corrupt"),
                    F.min(F.when(F.col("slug").isNull() | F.col("name").isNull(), F.col("cat_ord"))).alias("entry")).first()
     if bad["corrupt"]:
-        raise CategoryFileError(f"categories file is not valid JSON: {path}")
+        raise CategoryFileError(f"cannot parse {path} as a JSON array of categories")
     if bad["entry"] is not None:
-        raise CategoryFileError(f"categories entry #{bad['entry']} is missing required fields 'slug' and/or 'name'.")
+        raise CategoryFileError(f"{path}: category #{bad['entry']} needs a slug and a name")
     return rows.select("cat_ord", "slug", "name", F.coalesce("description", F.lit("")).alias("description"),
                        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
@@ -153,18 +248,35 @@ def upsert_categories(cats: DataFrame, new: DataFrame) -> DataFrame:
         (F.col("_at") - 1).cast("int").alias("cat_ord"), "slug", "name", "description", "keywords")
 
 
-def write_single_text(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Write the text rows of one partition as exactly the file ``path``."""
-    staging = path + "._staging"
-    rows.coalesce(1).write.mode("overwrite").text(staging)
-    fs, _ = _fs(spark, staging)
-    jvm = spark._jvm
+def write_text_file(rows: DataFrame, path: str, order: list[Column]) -> None:
+    """Write the text column ``block`` as exactly the file ``path``, a line
+    per row. Rows are sorted and written by many tasks; their part files, in
+    name order, are then copied as streams into the one file, which appears
+    under its name when it is complete."""
+    spark, parts, whole = rows.sparkSession, path + "._parts", path + "._whole"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("block").write.mode("overwrite").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path
-    part = [s for s in fs.listStatus(Path(staging)) if s.getPath().getName().startswith("part-")][0]
+    fs, p = _fs(spark, parts)
+    out = fs.create(Path(whole), True)
+    try:
+        for part in sorted(st.getPath().toString() for st in fs.listStatus(p) if st.getPath().getName().startswith("part-")):
+            source = fs.open(Path(part))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
     if fs.exists(Path(path)):
-        fs.delete(Path(path), False)
-    fs.rename(part.getPath(), Path(path))
-    fs.delete(Path(staging), True)
+        fs.delete(Path(path), True)
+    fs.rename(Path(whole), Path(path))
+    fs.delete(p, True)
+
+
+def write_single_text(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Write one text row (``value``) as exactly the file ``path``."""
+    write_text_file(rows.select(F.col("value").alias("block")), path, [F.col("block")])
 
 
 # ---------------------------------------------------------------- S8 / K1 parsed index
@@ -226,48 +338,3 @@ def merge_category_index(existing: DataFrame, new: DataFrame) -> DataFrame:
     """K8: this run's stats win per slug, slugs absent from this run kept."""
     return upsert(existing.select("slug", "name", "count", "avg_relevance"),
                   new.select("slug", "name", "count", "avg_relevance"), "slug")
-
-
-# ---------------------------------------------------------------- keyed batches
-class KeyedTable:
-    """A large keyed table (messages, headers) as append-only batches, shared
-    by batch and streaming runs.
-
-    An upsert writes one new folder ``batch=<n>`` and nothing else, so it
-    costs O(batch) and commits at once (``_SUCCESS``); a reader sees all of it
-    or none. Reading keeps, per key, the rows of the newest batch that holds
-    it: the newest batch per key comes from the key column alone, and one
-    semi-join selects the rows. ``compact`` rewrites the table as a single
-    batch and removes the older ones. Replaying a batch gives the same table.
-    Single writer per table, like the versioned store."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str = "conv_id"):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
-
-    def _batches(self) -> list[int]:
-        fs, p = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        found = [st.getPath() for st in fs.listStatus(p)]
-        return sorted(int(f.getName()[6:]) for f in found if f.getName().startswith("batch=") and fs.exists(f.suffix("/_SUCCESS")))
-
-    def read(self) -> DataFrame | None:
-        batches = self._batches()
-        if not batches:
-            return None
-        df = self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/batch={b}" for b in batches])
-        if len(batches) == 1:
-            return df.drop("batch")
-        newest = df.groupBy(self.key).agg(F.max("batch").alias("batch"))
-        return df.join(newest, [self.key, "batch"], "left_semi").drop("batch")
-
-    def upsert(self, new: DataFrame) -> None:
-        new.write.mode("overwrite").parquet(f"{self.path}/batch={max(self._batches(), default=0) + 1}")
-
-    def compact(self) -> None:
-        batches = self._batches()
-        if len(batches) > 1:
-            self.upsert(self.read())
-            fs, _ = _fs(self.spark, self.path)
-            for b in batches:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={b}"), True)

@@ -106,3 +106,71 @@ def test_free_mode_and_suggestion_filter(spark):
     sugg = spark.createDataFrame([(0, 0, "english"), (0, 1, ""), (0, 2, "new-one")], "batch long, item_pos long, slug string")
     assert sorted(r.slug for r in new_suggestions(sugg, cats).collect()) == ["new-one"]
     assert sorted(r.slug for r in new_suggestions(sugg, cats, free=True).collect()) == ["english", "new-one"]
+
+
+def test_crashed_writes_never_block_the_table(spark):
+    """Folders without _SUCCESS are neither read nor in the way; numbers go past them."""
+    from parlance.sources.tables import KeyedTable
+    root = tempfile.mkdtemp()
+    store = TableStore(spark, root)
+    rows = lambda *r: spark.createDataFrame(list(r), "conv_id long, v string")
+    store.write("t", rows((1, "a"), (2, "b")))
+    for left in ("v=2", "delta=3"):
+        os.makedirs(os.path.join(root, "t", left))
+    assert sorted(store.read("t").collect()) == [(1, "a"), (2, "b")]
+    store.write("t", rows((1, "c"), (2, "b")))
+    store.upsert("t", rows((2, "d"), (3, "e")))
+    # A list of replaced rows whose rows were never finished counts for nothing.
+    rows((1, "x")).selectExpr("conv_id", "4 AS _n").write.parquet(os.path.join(root, "t.replaced", "delta=9"))
+    os.makedirs(os.path.join(root, "t", "delta=9"))
+    assert sorted(store.read("t").collect()) == [(1, "c"), (2, "d"), (3, "e")]
+    store.upsert("t", rows((1, "f")))
+    assert sorted(store.read("t").collect()) == [(1, "f"), (2, "d"), (3, "e")]
+    t = KeyedTable(spark, os.path.join(root, "k"))
+    os.makedirs(os.path.join(root, "k", "batch=1"))
+    t.upsert(rows((1, "a")))
+    t.upsert(rows((1, "b"), (2, "c")))
+    assert sorted(t.read().collect()) == [(1, "b"), (2, "c")]
+
+
+def test_keyed_table_keeps_null_keys_and_columns(spark):
+    store = TableStore(spark, tempfile.mkdtemp())
+    store.write("t", spark.createDataFrame([(1, "a", 5), (None, "n", 6)], "conv_id long, v string, w int"))
+    store.upsert("t", spark.createDataFrame([("z", 1), (None, None)], "v string, conv_id long"))
+    assert sorted(map(str, store.read("t").select("conv_id", "v", "w").collect())) == sorted(map(str, [
+        spark.createDataFrame([r], "conv_id long, v string, w int").first() for r in ((1, "z", None), (None, "n", 6), (None, None, None))]))
+    # A new column: the table is written whole.
+    store.upsert("t", spark.createDataFrame([(1, "y", 2.5)], "conv_id long, v string, extra double"))
+    assert {(r.conv_id, r.v, r.extra) for r in store.read("t").collect()} == {(1, "y", 2.5), (None, "n", None), (None, None, None)}
+    store.delete_keys("t", spark.createDataFrame([(1,), (7,)], "conv_id long"))
+    assert store.read("t").where("conv_id = 1").count() == 0 and store.read("t").count() == 2
+    store.compact("t", keep_seconds=3600)
+    assert store.read("t").count() == 2
+
+
+def test_small_updates_shuffle_no_large_table(spark):
+    """An upsert of ten rows, and a read after it, leave the table's rows where they are."""
+    from parlance.sources.tables import KeyedTable
+    root = tempfile.mkdtemp()
+    t = KeyedTable(spark, os.path.join(root, "t"))
+    t.upsert(spark.range(5000).selectExpr("id AS conv_id", "repeat('text ', 50) AS content"))
+    t.upsert(spark.range(10).selectExpr("id * 7 AS conv_id", "'new' AS content"))
+    read = t.read()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert read.count() == 5000 and read.where("content = 'new'").count() == 10
+    out = upsert(spark.read.parquet(os.path.join(root, "t", "batch=1")), spark.range(10).selectExpr("id AS conv_id", "'x' AS content"))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_file_of_many_parts(spark):
+    from pyspark.sql import functions as F
+
+    from parlance.sources.tables import write_text_file
+    path = os.path.join(tempfile.mkdtemp(), "doc.md")
+    for n in (2000, 3, 0):  # written over
+        rows = spark.range(n).repartition(7).select("id", F.concat(F.lit("line "), "id").alias("block"))
+        write_text_file(rows, path, [F.col("id")])
+        with open(path) as f:
+            assert f.read() == "".join(f"line {i}\n" for i in range(n))
+    assert [f for f in os.listdir(os.path.dirname(path)) if not f.startswith(".")] == ["doc.md"]
