@@ -346,16 +346,14 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("h", head).select("conv_id", body.alias("json"))
 
 
-def write_flat_export(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """All flat records as the one file ``path``: an array that opens with an
-    empty record, one record a line, streamed by a single task (one file is
-    one unit by format), never held as one text."""
-    from parlance.sources.tables import write_single_text
-
-    ends = spark.range(2).select((F.col("id") * 2).alias("part"), F.lit(None).cast("bigint").alias("conv_id"), F.when(F.col("id") == 0, "[{}").otherwise("]").alias("value"))
-    recs = flat_records(spark, sf_dir).select(F.lit(1).cast("bigint").alias("part"), "conv_id", F.concat(F.lit(","), "json").alias("value"))
-    write_single_text(spark, ends.unionByName(recs).repartition(1).sortWithinPartitions("part", "conv_id").select("value"), path)
-    return path
+def write_flat_export(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """All flat records as array files flat-n.json directly under
+    ``out_dir``, each of at most FILE_CONVERSATIONS records after an empty
+    one."""
+    recs = flat_records(spark, sf_dir).withColumn("file_name", F.concat(F.lit("flat-"), F.lpad(F.floor(F.col("conv_id") / FILE_CONVERSATIONS).cast("string"), 8, "0"), F.lit(".json")))
+    files = recs.groupBy("file_name").agg(F.concat(
+        F.lit("[{},\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "json"))), lambda x: x["json"]), ",\n"), F.lit("]")).alias("value"))
+    return _write_named(spark, files, out_dir)
 
 
 def write_export_fixture(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
@@ -365,6 +363,11 @@ def write_export_fixture(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
     files = recs.groupBy("file_name").agg(
         F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "json"))), lambda x: x["json"]), ",\n"),
                  F.lit("\n]")).alias("value"))
+    return _write_named(spark, files, out_dir)
+
+
+def _write_named(spark: SparkSession, files: DataFrame, out_dir: str) -> str:
+    """Write every (file_name, value) row as the file ``out_dir/file_name``."""
     staging = out_dir.rstrip("/") + "_staging"
     files.write.mode("overwrite").partitionBy("file_name").text(staging)
     jvm = spark._jvm

@@ -64,3 +64,64 @@ def test_missing_paths(spark):
         ingest(spark, os.path.join(d, "nope"))
     with pytest.raises(ExportNotFound):
         ingest(spark, d)
+
+
+NASTY = [
+    {"id": "a", "title": 'quote " and \\ backslash', "messages": [{"role": "user", "content": "}{]["}, {"role": "assistant", "content": '\\"}'}]},
+    {"id": "b", "title": "}", "mapping": {"}": {"parent": None, "children": ["x"], "message": None},
+                                         "x": {"parent": "}", "children": [], "message": {"author": {"role": "user"}, "content": {"content_type": "text", "parts": ["\\\\", {"a": {}}, "{"]}}}}},
+    {}, {"id": "d", "title": "\u00fc\u2028\n\t", "messages": []}, {"id": "e" * 3000, "title": "long " * 2000},
+]
+
+
+def _records(df):
+    from pyspark.sql import functions as F
+    rows = df.select("id", "title", "create_time", F.to_json(F.struct("mapping", "messages")).alias("rest"), "file", "file_pos").collect()
+    return [(r.file, r.id, r.title, r.create_time, r.rest) for r in sorted(rows, key=lambda r: (r.file, r.file_pos))], len({r.file_pos for r in rows}) == len(rows)
+
+
+def test_split_files_give_the_same_records(spark):
+    from parlance.sources.export import read_export
+    d = tempfile.mkdtemp()
+    write(d, "a.json", NASTY)
+    write(d, "b c+d.json", [dict(r, id=f"{i}") for i in range(40) for r in NASTY])
+    write(d, "empty.json", [])
+    with open(os.path.join(d, "pretty.json"), "w") as f:
+        json.dump(NASTY, f, indent=2, ensure_ascii=False)
+    want, _ = _records(read_export(spark, d))
+    assert len(want) == 42 * 5
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "1000", before):  # pieces of a few bytes up to whole files
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got, unique = _records(read_export(spark, d, split_bytes=0))
+            assert got == want and unique
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Large and small files together, and a single large one.
+    got, unique = _records(read_export(spark, d, split_bytes=20_000))
+    assert got == want and unique
+    assert _records(read_export(spark, os.path.join(d, "a.json"), split_bytes=0))[0] == [r for r in want if r[0] == "a.json"]
+
+
+def test_one_large_file_makes_many_tasks(spark):
+    from parlance.sources.export import split_records
+    d = tempfile.mkdtemp()
+    write(d, "a.json", [dict(r, id=f"{i}") for i in range(200) for r in NASTY[:2]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+        assert spark.read.option("lineSep", "}").text(os.path.join(d, "a.json")).rdd.getNumPartitions() > 4
+        assert split_records(spark, [os.path.join(d, "a.json")]).count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", ['[{"id": "a"}, {"id": "b"', '[{"id": "a"} {"id": "b"}]', '[{"id": "a"}, 5]', '{"id": "a"}, {"id": "b"}', '[{"id": "a"}', '[{"id": "a}]', '[{"id": a}]'])
+def test_split_files_that_are_no_arrays_fail(spark, text):
+    from parlance.sources.export import read_export
+    path = os.path.join(tempfile.mkdtemp(), "a.json")
+    with open(path, "w") as f:
+        f.write(text)
+    with pytest.raises(Exception):
+        read_export(spark, path, split_bytes=0).select("id", "title").collect()
