@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from parlance.functions.formats import FIRST_USER_MESSAGES, KEYWORD_SCORE, MAX_TAGS
 from parlance.functions.prompts import LABEL_CATEGORY, LABEL_CLOSE, LABEL_OPEN, LABEL_SYSTEM
 from parlance.functions.text import clamp01
+from parlance.plans.materialize import materialize
+
+#: Keywords up to which the taxonomy is a constant of the plan.
+LITERAL_KEYWORDS = 1000
+#: Letters of a gram by which keywords of a larger one are looked up.
+GRAM = 3
 
 
 def first_user_messages(msgs: DataFrame, n: int = FIRST_USER_MESSAGES) -> DataFrame:
@@ -35,27 +41,81 @@ def haystacks(headers: DataFrame, msgs: DataFrame, n: int = FIRST_USER_MESSAGES)
         "conv_id", F.lower(F.concat_ws(" ", "title", F.coalesce("_texts", F.lit("")))).alias("haystack"))
 
 
-def _category_literal(cats: DataFrame) -> Column:
-    """The keyword taxonomy (configuration) as one constant: a JSON text that
-    Spark folds into an array, so the plan stays one node at any size."""
-    rows = cats.orderBy("cat_ord").where("slug <> 'other'").select("slug", "keywords").collect()
-    text = json.dumps([{"slug": r["slug"], "keywords": [k.lower() for k in r["keywords"] or []]} for r in rows])
-    return F.from_json(F.lit(text), "array<struct<slug: string, keywords: array<string>>>")
-
-
-def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame) -> DataFrame:
+def _keywords(cats: DataFrame) -> DataFrame:
+    """(slug, cat_ord, keyword) rows of the taxonomy, lower-cased, ``other`` left out."""
+    return cats.where("slug <> 'other'").select("slug", "cat_ord", F.explode("keywords").alias("_k")).where("_k IS NOT NULL") \
+        .select("slug", "cat_ord", F.lower("_k").alias("keyword"))
+
+
+def _literal_matches(hay: DataFrame, rows: list) -> Column:
+    """The matched slugs of a small taxonomy, given as rows: a constant that
+    Spark folds into an array, tested with early exit per category."""
+    per: dict[tuple, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["cat_ord"], r["slug"], r["keyword"])):
+        per.setdefault((r["cat_ord"], r["slug"]), []).append(r["keyword"])
+    text = json.dumps([{"slug": slug, "keywords": keywords} for (_, slug), keywords in per.items()])
+    taxonomy = F.from_json(F.lit(text), "array<struct<slug: string, keywords: array<string>>>")
+    return F.transform(F.filter(taxonomy, lambda c: F.exists(c["keywords"], lambda k: F.contains(F.col("haystack"), k))), lambda c: c["slug"])
+
+
+def gram_matches(hay: DataFrame, keywords: DataFrame, q: int = GRAM) -> DataFrame:
+    """(conv_id, slug, cat_ord) of every category with a keyword in the
+    haystack, for a taxonomy of any size.
+
+    A keyword occurs only where each of its q-grams does (a shorter keyword
+    is its own gram). Grams of haystacks that some keyword has are kept once
+    per conversation; each keyword is then looked up by its rarest gram, an
+    equi-join, and what meets is verified. A keyword with a gram that no
+    haystack has is dropped. Only (conv_id, gram) rows are shuffled; the text
+    is read again for the verification."""
+    # How long the grams of the taxonomy are: at most q + 1 lengths.
+    lengths = [r["n"] for r in keywords.select(F.least(F.length("keyword"), F.lit(q)).alias("n")).distinct().collect()]
+
+    def grams(text: str, n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n))))
+
+    if not lengths:
+        return hay.sparkSession.createDataFrame([], "conv_id string, slug string, cat_ord int").withColumn("conv_id", F.col("conv_id").cast(hay.schema["conv_id"].dataType))
+    of_keyword = F.array_distinct(F.flatten(F.array(*[
+        F.when(F.least(F.length("keyword"), F.lit(q)) == n, grams("keyword", n)).otherwise(F.array().cast("array<string>")) for n in lengths])))
+    distinct = materialize(keywords.select("keyword").distinct().withColumn("_grams", of_keyword), "keyword-grams")
+    wanted = distinct.select(F.explode("_grams").alias("gram")).distinct()
+    of_text = F.flatten(F.array(*[grams("haystack", n) for n in lengths]))
+    held = materialize(hay.select("conv_id", F.explode(of_text).alias("gram")).join(wanted, "gram", "left_semi"), "haystack-grams")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        distinct.select("keyword", F.size("_grams").alias("_size"), F.explode("_grams").alias("gram")).join(counts, "gram")
+        .groupBy("keyword", "_size").agg(F.count(F.lit(1)).alias("_found"), F.min_by("gram", F.struct("_n", "gram")).alias("gram"))
+        .where("_found = _size").select("keyword", "gram"))
+    candidates = held.join(rarest, "gram").select("conv_id", "keyword")
+    found = candidates.join(hay, "conv_id").where(F.contains(F.col("haystack"), F.col("keyword"))).select("conv_id", "keyword")
+    return found.join(keywords, "keyword").select("conv_id", "slug", "cat_ord").distinct()
+
+
+def keyword_label(headers: DataFrame, msgs: DataFrame, cats: DataFrame, literal_keywords: int = LITERAL_KEYWORDS) -> DataFrame:
     """Categories whose keyword occurs in the lower-cased haystack, in
     category order, ``other`` excluded; none -> ['other']; score 0.5.
 
-    The match is a JVM-side lambda with early exit per category and no join
-    fan-out, the same plan for any number of keywords."""
+    A taxonomy of at most ``literal_keywords`` keywords is a constant of the
+    plan, matched by a JVM-side lambda without any join; a larger one never
+    reaches the driver and is matched by ``gram_matches``. Both give the same
+    rows."""
     hay = haystacks(headers, msgs)
-    matched = F.transform(
-        F.filter(_category_literal(cats), lambda c: F.exists(c["keywords"], lambda k: F.contains(F.col("haystack"), k))),
-        lambda c: c["slug"])
-    return hay.select(
+    keywords = _keywords(cats)
+    few = keywords.limit(literal_keywords + 1).collect()
+    if len(few) <= literal_keywords:
+        labelled = hay.withColumn("_matched", _literal_matches(hay, few))
+    else:
+        hay = materialize(hay, "haystacks")
+        matched = gram_matches(hay, materialize(keywords, "keywords")).groupBy("conv_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("cat_ord", "slug"))), lambda x: x["slug"]).alias("_matched"))
+        labelled = hay.select("conv_id").join(matched, "conv_id", "left")
+    return labelled.select(
         "conv_id",
-        F.when(F.size(matched) > 0, matched).otherwise(F.array(F.lit("other"))).alias("categories"),
+        F.when(F.size("_matched") > 0, F.col("_matched")).otherwise(F.array(F.lit("other"))).alias("categories"),
         F.lit(KEYWORD_SCORE).alias("relevance_score"),
     )
 
@@ -97,16 +157,16 @@ def cached(candidates: DataFrame, done: DataFrame, key: str = "conv_id") -> Data
 
 def run_status(candidates: DataFrame, state: DataFrame, ok: DataFrame, using_model: bool = True) -> DataFrame:
     """A10: status per candidate: skipped (cached), retried (stored but not
-    done, now succeeded), processed (new, succeeded) or error."""
-    done = model_done(state) if using_model else state
-    s = candidates.select("conv_id").join(done.select("conv_id", F.lit(True).alias("_done")), "conv_id", "left") \
-        .join(state.select("conv_id", F.lit(True).alias("_stored")), "conv_id", "left") \
-        .join(ok.select("conv_id", F.lit(True).alias("_ok")), "conv_id", "left")
-    status = (F.when(F.col("_done").isNotNull(), "skipped")
-              .when(F.col("_ok").isNull(), "error")
-              .when(F.col("_stored").isNotNull(), "retried")
-              .otherwise("processed"))
-    return s.select("conv_id", status.alias("status"))
+    done, now succeeded), processed (new, succeeded) or error.
+
+    The three tables meet in one union of flagged keys, grouped once."""
+    is_done = ((F.coalesce(F.col("summary"), F.lit("")) != "") | (F.size(F.coalesce("tags", F.array())) > 0)) if using_model else F.lit(True)
+    flags = lambda df, **have: df.select("conv_id", *[F.coalesce(have.get(k, F.lit(False)), F.lit(False)).alias(k) for k in ("asked", "done", "stored", "ok")])
+    s = flags(candidates, asked=F.lit(True)).unionByName(flags(state, stored=F.lit(True), done=is_done)).unionByName(flags(ok, ok=F.lit(True)))
+    s = s.where("conv_id IS NOT NULL").groupBy("conv_id").agg(
+        F.count_if("asked").alias("_n"), *[F.max(k).alias(k) for k in ("done", "stored", "ok")])
+    status = F.when(F.col("done"), "skipped").when(~F.col("ok"), "error").when(F.col("stored"), "retried").otherwise("processed")
+    return s.where("_n > 0").select("conv_id", status.alias("status"))
 
 
 def run_counts(status: DataFrame) -> DataFrame:
