@@ -11,9 +11,10 @@ order is computed with pointer doubling. Each node carries (anc, top,
 path, depth): ``path`` holds the sibling ordinals of the branching points
 on the way down (only where a parent has more than one child, so a linear
 chain of n messages keeps an empty path instead of an n-long one).
-Each round is one self-join on (conv_id, node) and halves the remaining
-distance, so a conversation of depth d needs ceil(log2 d) rounds, and each
-round's output is checkpointed to the shared folder (no lineage growth).
+Each round is one join on (conv_id, node) of the nodes that have not reached
+their end, and halves their remaining distance, so a conversation of depth d
+needs ceil(log2 d) rounds of fewer and fewer rows; each round's output is
+checkpointed to the shared folder (no lineage growth).
 Sorting by (path, depth) inside a conversation is the preorder.
 
 Conversations where a node is listed by two parents (a DAG, or a child
@@ -25,6 +26,7 @@ one conversation, i.e. one export record.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,24 +89,24 @@ def linearise_tree(nodes: DataFrame, max_rounds: int | None = None) -> DataFrame
     if max_rounds is None:
         biggest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
         max_rounds = max(1, math.ceil(math.log2(max(biggest, 2)))) + 1
+    # Nodes that reached their end leave the rounds: a round joins and stores
+    # the others alone, and looks their ancestors up among all.
     state = state.checkpoint(eager=True)
+    ended, active = [state.where(F.col("anc").isNull())], state.where(F.col("anc").isNotNull())
     for _ in range(max_rounds):
-        if state.where(F.col("anc").isNotNull()).limit(1).count() == 0:
+        if active.limit(1).count() == 0:
             break
-        a = state.select("conv_id", F.col("node_id").alias("anc"), F.col("anc").alias("a_anc"), F.col("top").alias("a_top"),
+        known = reduce(DataFrame.unionByName, [*ended, active])
+        a = known.select("conv_id", F.col("node_id").alias("anc"), F.col("anc").alias("a_anc"), F.col("top").alias("a_top"),
                          F.col("path").alias("a_path"), F.col("depth").alias("a_depth"))
-        j = state.join(a, ["conv_id", "anc"], "left")
-        hop = F.col("anc").isNotNull()
-        state = j.select(
-            "conv_id", "node_id", "root",
-            F.when(hop, F.col("a_anc")).alias("anc"),
-            F.when(hop, F.col("a_top")).otherwise(F.col("top")).alias("top"),
-            F.when(hop, F.concat("a_path", "path")).otherwise(F.col("path")).alias("path"),
-            F.when(hop, F.col("a_depth") + F.col("depth")).otherwise(F.col("depth")).alias("depth"),
-        ).checkpoint(eager=True)
+        moved = active.join(a, ["conv_id", "anc"]).select(
+            "conv_id", "node_id", "root", F.col("a_anc").alias("anc"), F.col("a_top").alias("top"),
+            F.concat("a_path", "path").alias("path"), (F.col("a_depth") + F.col("depth")).alias("depth")).checkpoint(eager=True)
+        ended.append(moved.where(F.col("anc").isNull()))
+        active = moved.where(F.col("anc").isNotNull())
 
     # reachable: the chain ends at the chosen root (cycles never end)
-    reach = state.where(F.col("anc").isNull() & (F.col("top") == F.col("root")))
+    reach = reduce(DataFrame.unionByName, ended).where(F.col("top") == F.col("root"))
     simple_order = grouped_rank(reach.select("conv_id", "node_id", "path", "depth"), ["conv_id"],
                                 ["path", "depth"], "_rank") \
         .select("conv_id", "node_id", (F.col("_rank") - 1).alias("pos"))
