@@ -1,7 +1,7 @@
 """Text that must equal the reference's for identical output.
 
 Kept together, in natural order. Prompt wording is not here: prompts are
-written in our own words (see the operator modules); only the JSON
+written in our own words (``functions/prompts.py``); only the JSON
 contracts of the model responses are fixed.
 """
 

@@ -37,7 +37,9 @@ def snippet(c, width: int = SNIPPET_WIDTH) -> Column:
     """cut to ``width`` display columns, ellipsis included; East Asian
     wide characters take two columns."""
     c = col_(c)
-    columns = F.length(c) + F.regexp_count(c, F.lit(WIDE_CHARACTERS))
+    # A character takes a column at least, so the first width + 1 decide whether the text is cut.
+    seen = F.substring(c, 1, width + 1)
+    columns = F.length(seen) + F.regexp_count(seen, F.lit(WIDE_CHARACTERS))
     # The longest prefix within width - 1 columns: it has at most as many characters.
     fold = F.aggregate(
         F.split(F.substring(c, 1, width - 1), ""), F.struct(F.lit(0).alias("used"), F.lit("").alias("kept")),
@@ -45,7 +47,7 @@ def snippet(c, width: int = SNIPPET_WIDTH) -> Column:
                             F.struct((s["used"] + 1 + F.rlike(x, F.lit(WIDE_CHARACTERS)).cast("int")).alias("used"), F.concat(s["kept"], x).alias("kept")))
         .otherwise(F.struct(F.lit(width).alias("used"), s["kept"].alias("kept"))),
         lambda s: s["kept"])
-    narrow = F.length(c) == columns
+    narrow = F.length(seen) == columns
     cut = F.when(narrow, F.substring(c, 1, width - 1)).otherwise(fold)
     return F.when(columns > width, F.concat(cut, F.lit(ELLIPSIS))).otherwise(c)
 

@@ -1,18 +1,17 @@
 """Exchange pairs and their follow-ups.
 
-Pair indices come from ranks (``grouped_rank``), so even a conversation
-holding a large share of all messages is split over many tasks; grouping
-is on (conv_id, pair_index), i.e. one exchange per group.
+Pair indices are a running count inside the conversation, which is one
+record of the export and so bounded by what a row can hold. The window and
+the grouping on (conv_id, pair_index) share one shuffle by conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.formats import NO_REPLY, NO_SUMMARY, PAIR_BATCH, USER_JOIN
 from parlance.functions.text import snippet
-from parlance.plans.ranks import grouped_rank
 
 
 
@@ -22,16 +21,11 @@ def message_pairs(msgs: DataFrame) -> DataFrame:
     Gaps and islands: a message's pair is the number of assistant messages
     before it. Consecutive user texts merge with a blank line; an assistant
     with no pending user gets ''; a trailing user gets '(no reply)'."""
-    # pair = assistants before the message. With i = 0-based position of
-    # the message, a user message's pair is i - (users before it) and an
-    # assistant's is (assistants before it): both are plain ranks, which
-    # grouped_rank computes without putting a huge conversation in one task.
-    m = msgs.select("conv_id", "pos", "role", "content")
-    m = grouped_rank(m, ["conv_id"], ["pos"], "_i")
-    m = grouped_rank(m, ["conv_id", "role"], ["pos"], "_r")
-    tagged = m.select(
+    # A running frame, so a conversation is streamed through, not held.
+    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = msgs.select(
         "conv_id", "pos", "role", "content",
-        F.when(F.col("role") == "assistant", F.col("_r") - 1).otherwise(F.col("_i") - F.col("_r")).cast("bigint").alias("pair_index"))
+        F.coalesce(F.sum((F.col("role") == "assistant").cast("bigint")).over(before), F.lit(0)).cast("bigint").alias("pair_index"))
     grouped = tagged.groupBy("conv_id", "pair_index").agg(
         F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("pos", "content")))).alias("_users"),
         F.max(F.when(F.col("role") == "assistant", F.col("content"))).alias("_assistant"),

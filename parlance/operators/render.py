@@ -15,7 +15,7 @@ can reach its bounded output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import (LONG_DATE_FMT, MIDDLE_MARKER, cap_text, comma_list, fmt_time,
@@ -234,15 +234,15 @@ def condensed_text(headers: DataFrame, msgs: DataFrame, max_chars: int = 8000) -
     parts and the tail in the last ``max_chars``; the total length comes
     from an algebraic sum. A very long conversation therefore never has to
     be gathered whole."""
-    from parlance.plans.ranks import grouped_rank
     parts = msgs.where(F.col("content") != "").select(
         "conv_id", "pos", F.concat(F.lit("["), F.upper("role"), F.lit("]: "), cap_text("content"), F.lit("\n")).alias("part"))
-    ranked = grouped_rank(parts, ["conv_id"], ["pos"], "_r")
-    totals = parts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("part")).alias("_len"))
     k = max_chars
-    kept = ranked.join(totals, "conv_id").where((F.col("_r") <= k) | (F.col("_r") > F.col("_n") - k))
-    g = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_r", "part"))).alias("_p"),
-                                    F.first("_n").alias("_n"), F.first("_len").alias("_len"))
+    # Ranks from both ends and the grouping share one shuffle by conversation.
+    one = Window.partitionBy("conv_id")
+    ranked = parts.withColumn("_r", F.row_number().over(one.orderBy("pos"))).withColumn("_back", F.row_number().over(one.orderBy(F.col("pos").desc())))
+    g = ranked.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when((F.col("_r") <= k) | (F.col("_back") <= k), F.struct("_r", "part")))).alias("_p"),
+        F.count(F.lit(1)).alias("_n"), F.sum(F.length("part")).alias("_len"))
     h = headers.select("conv_id", "title").join(g, "conv_id", "left")
     head_line = F.concat(F.lit(H1), F.col("title"), F.lit("\n"))
     p = F.coalesce("_p", F.array())
