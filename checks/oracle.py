@@ -925,6 +925,26 @@ SELECT CAST(m.conv_id AS VARCHAR) AS conv_id, CAST(row_number() OVER (PARTITION
        m.role, m.content, m.ts, h.title, h.message_count
 FROM messages m JOIN headers h ON m.conv_id = h.conv_id"""
 
+SQL["ingest_split"] = SQL["ingest_roundtrip"]
+
+SQL["linearise_dag"] = """
+WITH RECURSIVE nodes AS (
+  SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL WHEN turn = 3 AND conv_id % 2 = 0 THEN 0 WHEN turn % 3 = 2 THEN turn - 2 ELSE turn - 1 END AS parent,
+         CASE WHEN turn = 3 AND conv_id % 2 = 0 THEN -1 ELSE turn END AS ord
+  FROM conversations),
+walk(conv_id, turn, path) AS (
+  SELECT conv_id, turn, [ord] FROM nodes WHERE parent IS NULL
+  UNION ALL
+  SELECT n.conv_id, n.turn, list_append(w.path, n.ord) FROM nodes n JOIN walk w ON n.conv_id = w.conv_id AND n.parent = w.turn)
+SELECT conv_id, CAST(turn AS VARCHAR) AS node_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS BIGINT) AS pos
+FROM walk"""
+
+SQL["keyword_label_many"] = with_(MESSAGES, HEADERS, """words AS (
+  SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents),
+cats AS (SELECT 0 AS cat_ord, substr(word, 1, 3) AS slug, list(word) AS keywords FROM words WHERE word <> '' GROUP BY slug)""",
+    KEYWORD.replace("list(slug ORDER BY cat_ord)", "list(slug ORDER BY slug)")) + """
+SELECT conv_id, array_to_string(categories, '|') AS categories, CAST(0.5 AS DOUBLE) AS relevance_score FROM kwlabels"""
+
 SQL["stream_then_stats"] = with_(MESSAGES, HEADERS) + f"""
 SELECT count(*) AS raw, count(*) FILTER (WHERE message_count >= 4) AS filtered, CAST(0 AS BIGINT) AS labelled,
        count(*) FILTER (WHERE message_count >= 4) AS unlabelled,

@@ -1093,8 +1093,8 @@ def answer_file(spark, sf_dir):
     """The document written under its file name and read back, by line."""
     path = scratch_path(spark, "answers")
     name = A.answer_file_name("english", "20240601-000000")
-    R.write_documents(answer_document(spark, sf_dir).withColumn("file_name", F.lit(name)), path, doc_col="file_name", order=[F.col("part"), F.col("pool_rank")])
-    return spark.read.text(f"{path}/file_name={name}").select(F.col("value").alias("line"))
+    Tb.write_text_file(answer_document(spark, sf_dir), f"{path}/{name}", [F.col("part"), F.col("pool_rank")])
+    return spark.read.text(f"{path}/{name}").select(F.col("value").alias("line"))
 
 
 @register
@@ -1133,9 +1133,9 @@ def explore_free(spark, sf_dir):
 
 @register
 def ingest_flat(spark, sf_dir):
-    """One export file with flat records."""
+    """Export files with flat records."""
     def build():
-        return _ingest(spark, X.write_flat_export(spark, sf_dir, scratch_path(spark, "flat-export") + ".json"))
+        return _ingest(spark, X.write_flat_export(spark, sf_dir, scratch_path(spark, "flat-export")))
     hdrs, msgs = _stage(spark, sf_dir, "ingest-flat", build)
     return msgs.join(hdrs.select("conv_id", "title", "message_count"), "conv_id")
 
@@ -1166,3 +1166,29 @@ def label_stream_model(spark, sf_dir):
     Inc.label_stream(spark, source, pool.schema.simpleString()[7:-1].replace(":", " "), msgs, X.categories(spark), store,
                      scratch_path(spark, "label-ckpt"), responses_for=lambda prompts: X.label_responses(prompts, st))
     return store.read("state").select("conv_id", joined("categories").alias("categories"), "summary", "relevance_score")
+
+
+@register
+def ingest_split(spark, sf_dir):
+    """The raw export files split into records by many tasks, as files of any size can be."""
+    from parlance.plans.ingest import ingest_raw
+    hdrs, msgs = ingest_raw(Ex.read_export(spark, _export_dir(spark, sf_dir), split_bytes=0))
+    return msgs.join(hdrs.select("conv_id", "title"), "conv_id").select("conv_id", "pos", "role", "content", "ts", "title")
+
+
+@register
+def linearise_dag(spark, sf_dir):
+    """W1 where a node is listed by two parents: the root of every second
+    conversation lists node 3 first, too, so it is visited from there."""
+    nodes = X.tree_nodes_from_table(spark, sf_dir)
+    twice = (F.col("node_id") == "0") & (F.col("conv_id") % 2 == 0)
+    return _linearise(nodes.withColumn("children", F.when(twice, F.concat(F.array(F.lit("3")), F.coalesce("children", F.array()))).otherwise(F.col("children"))))
+
+
+@register
+def keyword_label_many(spark, sf_dir):
+    """J7 with every word of the documents as a keyword, its first three letters as the category."""
+    msgs, hdrs = _base(spark, sf_dir)
+    words = X.table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''").distinct()
+    cats = words.groupBy(F.substring("word", 1, 3).alias("slug")).agg(F.collect_list("word").alias("keywords")).withColumn("cat_ord", F.lit(0))
+    return L.keyword_label(hdrs, msgs, cats).select("conv_id", joined("categories").alias("categories"), "relevance_score")

@@ -72,11 +72,14 @@ def merge_suggestions(seed: DataFrame, new: DataFrame) -> DataFrame:
     g = u.groupBy("slug").agg(
         F.sum("n").alias("count"),
         F.min_by(F.coalesce("name", "slug"), "ord").alias("name"),
-        F.max_by("_desc", F.struct(F.length("_desc").alias("l"), F.struct((-F.col("ord.src")).alias("s"), (-F.col("ord.b")).alias("b"), (-F.col("ord.p")).alias("p")).alias("o"))).alias("description"),
-        F.array_sort(F.collect_list(F.struct("ord", "sample_titles"))).alias("_t"))
-    return g.select("slug", "name", "description",
-                    F.array_distinct(F.flatten(F.transform("_t", lambda x: x["sample_titles"]))).alias("sample_titles"),
-                    "count")
+        F.max_by("_desc", F.struct(F.length("_desc").alias("l"), F.struct((-F.col("ord.src")).alias("s"), (-F.col("ord.b")).alias("b"), (-F.col("ord.p")).alias("p")).alias("o"))).alias("description"))
+    # Titles: the first place of every (slug, title), pre-aggregated, so a
+    # slug with most suggestions brings its distinct titles together alone.
+    each = u.select("slug", "ord", F.posexplode("sample_titles").alias("at", "title"))
+    firsts = each.groupBy("slug", "title").agg(F.min(F.struct("ord", "at")).alias("first"))
+    titles = firsts.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "title"))), lambda x: x["title"]).alias("sample_titles"))
+    return g.join(titles, "slug", "left").select(
+        "slug", "name", "description", F.coalesce("sample_titles", F.array().cast("array<string>")).alias("sample_titles"), "count")
 
 
 def keywords_for(name, slug) -> F.Column:

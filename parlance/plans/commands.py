@@ -43,6 +43,10 @@ INDEX_SCHEMA = "id string, title string, created string, updated string, message
 Model = Callable
 
 
+class NothingParsed(RuntimeError):
+    pass
+
+
 class Workspace:
     """Stored tables of one corpus under ``root`` (shared storage)."""
 
@@ -54,6 +58,13 @@ class Workspace:
         """Headers of all conversations, from batch and streaming runs alike."""
         return self.store.keyed("headers").read()
 
+    def parsed(self) -> DataFrame:
+        """The headers; without a parsed export the run cannot go on."""
+        headers = self.headers()
+        if headers is None:
+            raise NothingParsed(f"no conversations under {self.root}: parse an export into this workspace first")
+        return headers
+
     def messages(self) -> DataFrame | None:
         return self.store.keyed("messages").read()
 
@@ -77,7 +88,7 @@ def parse(ws: Workspace, input_path: str, min_messages: int = 4, glob: str = "*.
 # ---------------------------------------------------------------- categorise
 def categorise(ws: Workspace, cats: DataFrame, model: Model | None = None, limit: int | None = None,
                min_messages: int = 4, max_chars: int = 8000) -> dict[str, DataFrame]:
-    pool = S.min_messages(ws.headers(), min_messages)
+    pool = S.min_messages(ws.parsed(), min_messages)
     if limit:
         pool = Sel.first_n(pool, limit)
     state = ws.state()
@@ -105,7 +116,7 @@ def categorise(ws: Workspace, cats: DataFrame, model: Model | None = None, limit
 
 # ---------------------------------------------------------------- stats
 def stats(ws: Workspace, min_messages: int = 4) -> dict[str, DataFrame]:
-    headers, state = ws.headers(), ws.state()
+    headers, state = ws.parsed(), ws.state()
     pool = Sel.hydrate(S.min_messages(headers, min_messages), state, "stats")
     return {"corpus": S.corpus_stats(headers, state, min_messages),
             "categories": S.category_breakdown(pool),
@@ -116,7 +127,7 @@ def stats(ws: Workspace, min_messages: int = 4) -> dict[str, DataFrame]:
 def export(ws: Workspace, cats: DataFrame, out_dir: str, generated_at: str, slug: str | None = None,
            context_package: bool = False, min_rel: float = 0.3, min_messages: int = 4) -> None:
     picked = Sel.pick_category(cats, slug) if slug else cats
-    pool = Sel.labelled(Sel.hydrate(S.min_messages(ws.headers(), min_messages), ws.state(), "label"))
+    pool = Sel.labelled(Sel.hydrate(S.min_messages(ws.parsed(), min_messages), ws.state(), "label"))
     if context_package:
         R.write_documents(R.context_package_blocks(pool, picked, min_rel, generated_at), f"{out_dir}/context")
         return
@@ -139,7 +150,7 @@ def enhance(ws: Workspace, cats: DataFrame, model: Model, out_dir: str, generate
     if slug is not None and Sel.pick_category(cats, slug).limit(1).count() == 0:
         raise ValueError(f"unknown category slug: {slug}")
     picked = Sel.pick_category(cats, slug) if slug else cats
-    headers, msgs, state = ws.headers(), ws.messages(), ws.state()
+    headers, msgs, state = ws.parsed(), ws.messages(), ws.state()
     lab = Sel.labelled(Sel.hydrate(S.min_messages(headers, min_messages), state, "label"))
     previous = ws.store.read("enhanced")
     if previous is not None and reset:
@@ -218,7 +229,7 @@ def ask(ws: Workspace, question: str, model: Model, slug: str | None = None, ids
         out["missing"] = missing
     if out_dir is not None:
         name = A.answer_file_name(slug, file_stamp)
-        R.write_documents(doc.withColumn("file_name", F.lit(name)), out_dir, doc_col="file_name", order=[F.col("part"), F.col("pool_rank")])
+        Tb.write_text_file(doc, f"{out_dir.rstrip('/')}/{name}", [F.col("part"), F.col("pool_rank")])
     return out
 
 
@@ -226,15 +237,17 @@ def ask(ws: Workspace, question: str, model: Model, slug: str | None = None, ids
 def transcribe(ws: Workspace, out_dir: str, conv_id=None) -> DataFrame:
     """K10 for one conversation (an empty result means not found): its
     Markdown file; or for all: block rows with their ``file_name``."""
-    headers, msgs = ws.headers(), ws.messages()
+    headers, msgs = ws.parsed(), ws.messages()
     if conv_id is not None:
         headers, msgs = Sel.by_id(headers, conv_id), Sel.by_id(msgs, conv_id)
     names = R.transcript_file_names(headers)
     blocks = R.transcript_blocks(headers, msgs).join(names, "conv_id")
-    if conv_id is not None:
-        R.write_documents(blocks, out_dir, doc_col="file_name", order=[F.col("part"), F.col("pos")])
-    else:
+    if conv_id is None:
         R.write_transcripts(blocks, out_dir)
+        return names
+    found = names.first()
+    if found is not None:
+        Tb.write_text_file(blocks, f"{out_dir.rstrip('/')}/{found['file_name']}", [F.col("part"), F.col("pos")])
     return names
 
 
@@ -244,7 +257,7 @@ def explore(ws: Workspace, cats: DataFrame, model: Model, report_path: str, disc
             free: bool = False, min_messages: int = 4) -> DataFrame:
     spark = ws.spark
     is_free = D.free_mode(cats, free)
-    pool = S.min_messages(ws.headers(), min_messages)
+    pool = S.min_messages(ws.parsed(), min_messages)
     prompts = D.explore_prompts(pool, ws.messages(), cats, sample, batch, max_chars, is_free)
     sugg = D.apply_explore_responses(prompts, materialize(generate(prompts, model), "explore-r"))
     seed = Tb.read_discovery(spark, report_path)

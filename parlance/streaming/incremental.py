@@ -3,8 +3,8 @@
 The reference re-reads everything on each run and merges into its stores.
 Here a file-source stream with ``trigger(availableNow=True)`` processes
 only files not yet seen (tracked in the checkpoint), and ``foreachBatch``
-applies the batch as keyed upserts (U1) into versioned tables. An upsert is
-idempotent, so a micro-batch replayed after a failure gives the same table.
+applies the batch as keyed upserts (U1), which write the batch's own size
+(``KeyedTable``). An upsert is idempotent, so a micro-batch replayed after a failure gives the same table.
 There is no event time in this domain: no watermark or state store is
 needed, each micro-batch is a stateless batch job over keyed tables.
 Exports must land under new file names: a rewritten file under a name the
@@ -62,7 +62,8 @@ def label_stream(spark: SparkSession, source_dir: str, schema: str, msgs: DataFr
     def apply(batch: DataFrame, epoch_id: int) -> None:
         state = store.read("state")
         done = (L.model_done(state) if model is not None or responses_for is not None else state) if state is not None else None
-        work = batch if done is None else L.worklist(batch, done)
+        # Which of this batch are done: its few ids are the small side, the state is not shuffled.
+        work = batch if done is None else L.worklist(batch, done.select("conv_id").join(batch.select("conv_id"), "conv_id", "left_semi"))
         if model is None and responses_for is None:
             labels = L.keyword_label(work, msgs, cats)
             labelled = work.join(labels, "conv_id")

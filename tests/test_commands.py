@@ -55,7 +55,7 @@ def test_command_flow(spark):
     by_id = C.ask(ws, "What?", stub_model, ids=ids, min_messages=2, out_dir=os.path.join(out, "answers"), file_stamp="t")
     assert [r["conv_id"] for r in by_id["missing"].collect()] == ["none"]
     assert [r["conv_id"] for r in by_id["sources"].orderBy("pool_rank").collect()] == [a, a, b]
-    assert os.path.isdir(os.path.join(out, "answers", "file_name=ask-answer-t.md"))
+    assert os.path.isfile(os.path.join(out, "answers", "ask-answer-t.md"))
     with pytest.raises(ValueError, match="no conversation"):
         C.ask(ws, "What?", stub_model, slug="nowhere")
 
