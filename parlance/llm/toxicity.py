@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 
 from parlance.llm.labels import labelled_sample
 from parlance.llm.tables import carried, restored, rows_where
-from parlance.llm.words import ALNUM, Words, blocks
+from parlance.llm.words import ALNUM, Words, blocks, mix
 
-WINDOW, STRIDE = 24, 16
+WINDOW = 24
 #: Words between the windows of the fit, which works on a sample; a coarser step than that raises the scores of clean texts.
 FIT_STRIDE = 4
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8, 8, 8, 8
@@ -43,8 +43,10 @@ LEAST_TEXTS = 3
 ROWS_PER_CLASS = 1500
 MAX_TRAIN_BYTES = 20_000
 ROUNDS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 8, 500, 64, 0.01, 1e-4, 11
+#: Bytes of text scored at once: repeated windows are found inside such a block.
+SCORED_BYTES = 4 << 20
 #: Windows that run through the network at once, and neighbouring ones in a score.
-CHUNK, SCORED = 4096, 2048
+CHUNK, SCORED = 4096, 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -58,11 +60,21 @@ def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(flat, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
+def _window_hashes(words: np.ndarray) -> np.ndarray:
+    """64-bit hash of the WINDOW words from every word on, by a polynomial's prefix sums."""
+    base = 0x9E3779B97F4A7C15
+    n = len(words) - WINDOW + 1
+    up = np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, base, np.uint64)))
+    down = np.cumprod(np.append(np.uint64(1), np.full(n - 1, pow(base, -1, 1 << 64), np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum(mix(words) * up))
+    return (sums[WINDOW:] - sums[:n]) * down
+
+
 class Block:
     """Distinct words of a block of texts with their trigrams, and its windows
     as indexes of distinct words (the last index is the padding)."""
 
-    def __init__(self, texts: list[bytes], stride: int | None = STRIDE):
+    def __init__(self, texts: list[bytes], stride: int | None):
         """Windows start every ``stride`` words until the text's last word is inside one; without a stride there are none."""
         w = Words(texts, ALNUM)
         self.hashes, where, index = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -199,41 +211,59 @@ class Network:
         """Logits of all windows of WINDOW neighbouring rows of the inputs ``x``. As ``forward``, with rows as
         columns: what depends on a word alone is computed once for all windows that hold it."""
         p, H, n = self.p, HIDDEN, len(x) - WINDOW + 1
-        # The attention's inputs and the output's share of a state, at once.
-        both = np.concatenate([p["Wa"], p["wo"][:, None]], axis=1).T
-        seen = both[:, 2 * H:] @ x.T
-        seen[:-1] += p["ba"][:, None]
-        parts = np.empty((WINDOW, ATTENTION + 1, n), np.float32)
-        for k, d in enumerate("fb"):
-            projected = p["W" + d].T @ x.T + p["b" + d][:, None]
-            U, of_state = np.ascontiguousarray(p["U" + d].T), np.ascontiguousarray(both[:, k * H:(k + 1) * H])
-            h = np.zeros((H, n), np.float32)
-            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-                u, now = U @ h, projected[:, t:t + n]
-                zr = u[:2 * H]
-                zr += now[:2 * H]
-                np.clip(zr, -30, 30, out=zr)
-                np.negative(zr, out=zr)
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                c = u[2 * H:]
-                c *= zr[H:]
-                c += now[2 * H:]
-                np.tanh(c, out=c)
-                h -= c
-                h *= zr[:H]
-                h += c  # z * h + (1 - z) * c
-                if d == "f":
-                    parts[t] = of_state @ h
-                else:
-                    parts[t] += of_state @ h
-                    parts[t] += seen[:, t:t + n]
-        e = np.einsum("a,tan->tn", p["va"], np.tanh(parts[:, :-1]))
+        # All activations are s(y) = 1 / (1 + exp(y)), their signs folded into the weights. For tanh(y) = 2 s(-2y) - 1
+        # the states are kept as (h + 1) / 2, beside a row of ones that carries the constants.
+        sign = np.repeat(np.array([-1, -1, -2], np.float32), H)[:, None]
+        attention, output = np.empty((WINDOW, ATTENTION, n), np.float32), np.empty((WINDOW, n), np.float32)
+        seen, seen_out = -2 * (p["Wa"][2 * H:].T @ x.T + p["ba"][:, None]), p["wo"][2 * H:] @ x.T
+        state, u = np.empty((H + 1, n), np.float32), np.empty((3 * H, n), np.float32)
+        h = state[:H]
+
+        def halved(weights: np.ndarray) -> np.ndarray:
+            """Weights of h as weights of (h + 1) / 2 and 1."""
+            return np.ascontiguousarray(np.concatenate([2 * weights, -weights.sum(axis=1, keepdims=True)], axis=1), np.float32)
+
+        def activate(y: np.ndarray) -> np.ndarray:
+            np.exp(y, out=y)
+            y += 1
+            return np.reciprocal(y, out=y)
+
+        with np.errstate(over="ignore"):  # exp of a large number is inf, its reciprocal 0
+            for k, d in enumerate("fb"):
+                projected = (p["W" + d].T @ x.T + p["b" + d][:, None]) * sign
+                U = halved(p["U" + d].T * sign)
+                of_state, of_output = halved(-2 * p["Wa"][k * H:(k + 1) * H].T), halved(p["wo"][None, k * H:(k + 1) * H])
+                h[:], state[H] = 0.5, 1
+                for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                    now = projected[:, t:t + n]
+                    np.matmul(U, state, out=u)
+                    gates, c = u[:2 * H], u[2 * H:]
+                    gates += now[:2 * H]
+                    activate(gates)
+                    c *= gates[H:]
+                    c += now[2 * H:]
+                    activate(c)
+                    h -= c
+                    h *= gates[:H]
+                    h += c  # z * h + (1 - z) * c
+                    if d == "f":
+                        np.matmul(of_state, state, out=attention[t])
+                        np.matmul(of_output, state, out=output[t:t + 1])
+                    else:
+                        attention[t] += of_state @ state
+                        attention[t] += seen[:, t:t + n]
+                        output[t] += (of_output @ state)[0]
+                        output[t] += seen_out[t:t + n]
+            e = 2 * p["va"] @ activate(attention)
         e = np.exp(e - e.max(axis=0))
-        return (e * parts[:, -1]).sum(axis=0) / e.sum(axis=0) + p["bo"][0]
+        return (e * output).sum(axis=0) / e.sum(axis=0) + p["bo"][0]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        """Scores of a block of texts; equal ones are scored once."""
+        place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        return self._score(list(place))[[place[t] for t in texts]] if texts else np.zeros(0)
+
+    def _score(self, texts: list[bytes]) -> np.ndarray:
         block = Block(texts, None)
         x, _ = self.inputs(block)
         best = np.full(block.texts, -np.inf)
@@ -244,10 +274,23 @@ class Network:
         # The words of the other texts in a row; windows across two texts do not count.
         owner = np.repeat(np.arange(block.texts), np.where(block.counts < WINDOW, 0, block.counts))
         words = block.index[:-1][np.repeat(block.counts >= WINDOW, block.counts)]
-        for at in range(0, len(words) - WINDOW + 1, SCORED):
-            logit = self._neighbours(x[words[at:at + SCORED + WINDOW - 1]])
-            begin, end = owner[at:at + len(logit)], owner[at + WINDOW - 1:at + WINDOW - 1 + len(logit)]
-            np.maximum.at(best, begin[begin == end], logit[begin == end])
+        if len(words):
+            last = len(words) - WINDOW + 1
+            starts = np.flatnonzero(owner[:last] == owner[WINDOW - 1:])
+            # Copies share most of their windows: each distinct window is scored once.
+            _, first, which = np.unique(_window_hashes(block.hashes[words])[starts], return_index=True, return_inverse=True)
+            wanted = np.zeros(len(words) + 1, np.int64)
+            wanted[starts[first]] = 1
+            covering = np.cumsum(wanted[:-1])
+            covering[WINDOW:] -= covering[:-WINDOW].copy()
+            kept = np.flatnonzero(covering > 0)
+            logits = np.empty(len(words))
+            for at in range(0, len(kept) - WINDOW + 1, SCORED):
+                part = kept[at:at + SCORED + WINDOW - 1]
+                value = self._neighbours(x[words[part]])
+                whole = part[WINDOW - 1:] - part[:len(value)] == WINDOW - 1
+                logits[part[:len(value)][whole]] = value[whole]
+            np.maximum.at(best, owner[starts], logits[starts[first]][which])
         return _sigmoid(best)
 
 
@@ -346,7 +389,7 @@ def score_toxicity(docs: DataFrame, id_col: str, text_col: str, model) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in blocks(frames, "_text"):
+        for frame in blocks(frames, "_text", SCORED_BYTES):
             yield pd.DataFrame({"_id": frame["_id"], "score": shared.value.score(list(frame["_text"]))})
 
     return restored(carried(docs, id_col, text_col).mapInPandas(run, "_id string, score double"), docs, id_col)
@@ -355,4 +398,4 @@ def score_toxicity(docs: DataFrame, id_col: str, text_col: str, model) -> DataFr
 def keep_clean(docs: DataFrame, text_col: str, model, threshold: float) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows_where(docs, text_col, lambda texts: shared.value.score(texts) < threshold)
+    return rows_where(docs, text_col, lambda texts: shared.value.score(texts) < threshold, SCORED_BYTES)

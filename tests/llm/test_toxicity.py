@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def network(texts):
-    block = Block(texts)
+    block = Block(texts, 16)
     rng = np.random.default_rng(3)
     net = Network(block.hashes[::2], rng.normal(size=len(block.hashes[::2])).astype(np.float32))
     net.p = {k: (v.astype(np.float64) + 0.1 * rng.normal(size=v.shape)) for k, v in net.p.items()}
@@ -19,7 +19,7 @@ def network(texts):
 
 def test_windows_cover_every_word_and_overlap():
     texts = [b" ".join(b"w%d" % i for i in range(n)) for n in (0, 1, 23, 24, 25, 40, 41, 100)]
-    block = Block(texts)
+    block = Block(texts, 16)
     for i, t in enumerate(texts):
         rows = block.windows[block.owner == i]
         words = len(t.split())
@@ -45,6 +45,19 @@ def test_every_window_is_scored():
             assert net.score([b" ".join(text)])[0] >= net.score([own])[0] - 1e-5
 
 
+def test_repeated_windows_are_scored_as_any():
+    rng = np.random.default_rng(8)
+    words = [b"w%d" % i for i in range(60)]
+    parts = [[words[i] for i in rng.integers(0, 60, n)] for n in (40, 24, 100, 30, 23)]
+    picks = ([0], [0, 1], [1], [2, 1, 0], [0], [3, 3, 3], [4, 2, 4], [4], [1, 1], [])
+    texts = [b" ".join(w for i in pick for w in parts[i]) for pick in picks]
+    net, _ = network([b" ".join(words)])
+    every = Block(texts, 1)
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, every.owner, net.logits(every))
+    assert np.allclose(net.score(texts), 1 / (1 + np.exp(-best)), atol=1e-5)
+
+
 def test_gradients():
     net, block = network([b"you are a fool " * 9, b"a kind word", b"x"])
     target = np.arange(len(block.windows)) % 2
@@ -76,7 +89,7 @@ def test_scores_do_not_depend_on_the_block():
     texts = [b"", b"a few words", b"many " * 300, b"!!!", "日本 été".encode()]
     net, _ = network(texts)
     assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], atol=1e-5)
-    block = Block(texts)
+    block = Block(texts, None)
     part = _subset(block, np.arange(2))
     assert np.allclose(net.inputs(part)[0][:2], net.inputs(block)[0][:2], atol=1e-6)
 
