@@ -35,15 +35,65 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def _log_ratio(a: int, b: int) -> float:
+    """log(a! / b!). Large ones by Stirling's series, arranged so that no large terms cancel."""
+    if min(a, b) < 16:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+
+    def rest(x: int) -> float:
+        return 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5)
+
+    return (a - b) * math.log(b) + (a + 0.5) * math.log1p((a - b) / b) - (a - b) + rest(a) - rest(b)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows drawn without replacement from ``good + bad``
+    are good; exact for any counts.
+
+    By symmetry less than half of the rows are drawn from a smaller good
+    side. Small expected counts are drawn row by row of the smaller side, the
+    others by the ratio of uniforms: a point under the square root of the
+    density about its mode, as Stadlober gives its bounds."""
+    total = good + bad
+    if 2 * n > total:
+        return good - hypergeometric(rng, good, bad, total - n)
+    if good > bad:
+        return n - hypergeometric(rng, bad, good, n)
+    if n > good:  # exchange the parts: the rows drawn are the good ones
+        return hypergeometric(rng, n, total - n, good)
+    if n <= 10:
+        drawn = 0
+        for i in range(n):
+            drawn += int(rng.integers(total - i)) < good - drawn
+        return drawn
+    share = good / total
+    mean, spread = n * share + 0.5, math.sqrt((total - n) / (total - 1) * n * share * (1 - share) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + (3 - 2 * math.sqrt(3 / math.e))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    while True:
+        u, v = rng.random(), rng.random()
+        if not u:
+            continue
+        k = math.floor(mean + width * (v - 0.5) / u)
+        if 0 <= k <= n:
+            log_density = _log_ratio(mode, k) + _log_ratio(good - mode, good - k) + _log_ratio(n - mode, n - k) + _log_ratio(bad - n + mode, bad - n + k)
+            if 2 * math.log(u) <= log_density:
+                return k
+
+
 def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int) -> list[list[int]]:
-    """Partition-to-shard counts of a uniform permutation of all rows."""
+    """Partition-to-shard counts of a uniform permutation of all rows, whose number has no bound."""
     rng = np.random.default_rng(seed)
-    left = np.array(sizes, dtype=np.int64)
+    left = list(sizes)
     out = []
     for n in partition_rows:
-        drawn = rng.multivariate_hypergeometric(left, n, method="marginals") if n else np.zeros_like(left)
-        left -= drawn
-        out.append([int(x) for x in drawn])
+        drawn, beyond = [], sum(left)
+        for size in left:
+            beyond -= size
+            drawn.append(hypergeometric(rng, size, beyond, n))
+            n -= drawn[-1]
+        left = [size - k for size, k in zip(left, drawn, strict=True)]
+        out.append(drawn)
     return out
 
 
