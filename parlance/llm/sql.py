@@ -52,14 +52,6 @@ SELECT page_id, url, t AS text, CAST(length(t) AS BIGINT) AS n_chars
 FROM (SELECT page_id, url, regexp_replace(array_to_string(blocks, chr(10)), '&amp;?', '&', 'g') AS t FROM parts)
 """
 
-OP10 = """
-WITH pairs AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
-"""
-
 # crc32 is computed byte by byte through its table of 256 entries. Near words
 # are found as words that become equal when one loses a letter, or both the letter at the same place.
 OP12 = r"""
@@ -91,4 +83,4 @@ ends AS (SELECT o.word, o.root FROM onward o JOIN forms f ON f.word = o.root WHE
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
 """
 
-SQL = {"op3_html_text": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op10_neighbours": OP10, "op12_spelling": OP12}
+SQL = {"op3_html_text": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op12_spelling": OP12}
