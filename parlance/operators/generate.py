@@ -7,11 +7,16 @@ parallelism equals the number of prompt partitions and no prompt passes
 through the driver. One failing prompt never fails the job: when a batch
 raises, its rows are retried one by one and the exception text is kept
 in ``error``.
+
+A task that Spark runs again (a lost executor, speculation) asks for all its
+prompts again. ``generate_logged`` bounds that and lets a failed run be
+resumed: finished prompts are kept in a response log and are not asked twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +26,8 @@ from parlance.functions.json import extract_json
 from parlance.functions.text import php_trim, strip_boilerplate
 
 RESPONSE_SCHEMA = "prompt_id string, response string, error string"
+#: Prompts of a task, and of a wave, of a logged model step.
+PER_TASK, PER_WAVE = 32, 10_000
 
 
 def generate(prompts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series],
@@ -49,6 +56,40 @@ def generate(prompts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series],
     return prompts.select(*cols).mapInPandas(run, RESPONSE_SCHEMA)
 
 
+def generate_logged(prompts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], log_path: str,
+                    per_task: int = PER_TASK, per_wave: int = PER_WAVE) -> DataFrame:
+    """X1 with a response log: responses(prompt_id, response, error) as
+    ``generate`` gives them.
+
+    The log is keyed by the hash of (system, prompt). Prompts it holds are
+    answered from it; of the others each distinct one is asked once, in waves
+    of about ``per_wave``, and a wave's responses are appended before the
+    next begins. So a run that fails loses the wave at work alone, and one
+    that is started again goes on from there; a task that fails asks again
+    for its own ``per_task`` prompts or so. Failed prompts are not logged:
+    the next run retries them."""
+    from parlance.plans.materialize import materialize
+    from parlance.sources.tables import KeyedTable
+
+    log = KeyedTable(prompts.sparkSession, log_path, "prompt_key")
+    key = F.sha2(F.concat_ws("\u0000", F.coalesce("system", F.lit("")), F.coalesce("prompt", F.lit(""))).cast("binary"), 256)
+    keyed = materialize(prompts.select("prompt_id", "system", "prompt", key.alias("prompt_key")), "keyed-prompts")
+    todo = keyed.dropDuplicates(["prompt_key"])
+    have = log.read()
+    if have is not None:
+        todo = todo.join(have.select("prompt_key"), "prompt_key", "left_anti")
+    todo = materialize(todo.select(F.col("prompt_key").alias("prompt_id"), "system", "prompt"), "open-prompts")
+    n, failed = todo.count(), []
+    waves = -(-n // per_wave)
+    for wave in range(waves):
+        part = todo.where(F.pmod(F.xxhash64("prompt_id"), F.lit(waves)) == wave).repartition(max(1, -(-n // (waves * per_task))), "prompt_id")
+        got = materialize(generate(part, fn), "wave").withColumnRenamed("prompt_id", "prompt_key")
+        log.upsert(got.where("error IS NULL"))
+        failed.append(got.where("error IS NOT NULL"))
+    answers = reduce(DataFrame.unionByName, [a for a in [log.read(), *failed] if a is not None], prompts.sparkSession.createDataFrame([], "prompt_key string, response string, error string"))
+    return keyed.join(answers, "prompt_key", "left").select("prompt_id", "response", "error")
+
+
 def parsed_json(response) -> F.Column:
     """F12 -> F13 -> F14: boilerplate stripped, first object extracted and
     parsed; NULL when any step fails (the reference throws)."""

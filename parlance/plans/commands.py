@@ -28,7 +28,7 @@ from parlance.operators import render as R
 from parlance.operators import review as Rv
 from parlance.operators import select as Sel
 from parlance.operators import stats as S
-from parlance.operators.generate import generate
+from parlance.operators.generate import generate, generate_logged
 from parlance.operators.pairs import message_pairs
 from parlance.operators.setops import merge_counts
 from parlance.plans.ingest import ingest
@@ -48,12 +48,20 @@ class NothingParsed(RuntimeError):
 
 
 class Workspace:
-    """Stored tables of one corpus under ``root`` (shared storage)."""
+    """Stored tables of one corpus under ``root`` (shared storage). With
+    ``resume``, model steps keep a response log there: a run that failed goes
+    on where it stopped, and no finished prompt is asked twice."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, resume: bool = False):
+        self.spark, self.root, self.resume = spark, root.rstrip("/"), resume
         self.store = Tb.TableStore(spark, self.root + "/tables")
 
+    def respond(self, prompts: DataFrame, model: Model, name: str) -> DataFrame:
+        """The stored responses of a model step."""
+        if self.resume:
+            return materialize(generate_logged(prompts, model, self.root + "/responses"), name)
+        return materialize(generate(prompts, model), name)
+
     def headers(self) -> DataFrame | None:
         """Headers of all conversations, from batch and streaming runs alike."""
         return self.store.keyed("headers").read()
@@ -103,7 +111,7 @@ def categorise(ws: Workspace, cats: DataFrame, model: Model | None = None, limit
     else:
         work = L.worklist(pool, L.model_done(state))         # P13
         prompts = L.label_prompts(work, msgs, cats, max_chars)
-        responses = materialize(generate(prompts, model), "label-responses")
+        responses = ws.respond(prompts, model, "label-responses")
         parsed = L.apply_label_responses(prompts, responses, cats).where("status = 'ok'").drop("status")
         rows = Sel.state_rows(work.join(parsed, "conv_id"))
         ok = rows
@@ -164,16 +172,16 @@ def enhance(ws: Workspace, cats: DataFrame, model: Model, out_dir: str, generate
 
     pairs = materialize(message_pairs(msgs.join(work, "conv_id", "left_semi")), "enh-pairs")
     p1 = E.pair_prompts(pairs)
-    r1 = materialize(generate(p1, model), "enh-r1")
+    r1 = ws.respond(p1, model, "enh-r1")
     summaries, _ = E.apply_pair_responses(pairs, p1, r1)
     summaries = materialize(summaries, "enh-pass1")
     p2 = E.flag_prompts(summaries, headers)
-    ranges = materialize(E.apply_flag_responses(p2, materialize(generate(p2, model), "enh-r2")), "enh-pass2")
+    ranges = materialize(E.apply_flag_responses(p2, ws.respond(p2, model, "enh-r2")), "enh-pass2")
     p3 = E.expand_prompts(ranges, pairs, headers)
-    detailed = materialize(E.apply_expand_responses(p3, materialize(generate(p3, model), "enh-r3")), "enh-pass3")
+    detailed = materialize(E.apply_expand_responses(p3, ws.respond(p3, model, "enh-r3")), "enh-pass3")
     records = E.enhanced_records(wlab, summaries, ranges, detailed, enhanced_at)
     p4 = E.proposal_prompts(wlab, detailed)
-    diffs = materialize(E.proposal_diff(wlab, p4, materialize(generate(p4, model), "enh-r4")), "enh-diffs")
+    diffs = materialize(E.proposal_diff(wlab, p4, ws.respond(p4, model, "enh-r4")), "enh-diffs")
     if accept is not None:
         new_state, new_enh = E.apply_proposals(state, records, diffs, accept(diffs))
         ws.store.write("state", new_state)
@@ -220,8 +228,8 @@ def ask(ws: Workspace, question: str, model: Model, slug: str | None = None, ids
     if pool.limit(1).count() == 0:
         raise ValueError(f"no conversation to ask{f' in category {slug}' if slug else ''}")
     prompts = A.ask_prompts(pool, msgs, question, batch)
-    partials = A.partial_answers(prompts, materialize(generate(prompts, model), "ask-r0"))
-    answer = A.reduce_answers(partials, question, lambda p: materialize(generate(p, model), "ask-synth"), fan_in)
+    partials = A.partial_answers(prompts, ws.respond(prompts, model, "ask-r0"))
+    answer = A.reduce_answers(partials, question, lambda p: ws.respond(p, model, "ask-synth"), fan_in)
     sources = A.ask_sources(pool)
     doc = A.answer_document_blocks(question, answer, sources, generated_at_long)
     out = {"answer": answer, "sources": sources, "document": doc}
@@ -259,7 +267,7 @@ def explore(ws: Workspace, cats: DataFrame, model: Model, report_path: str, disc
     is_free = D.free_mode(cats, free)
     pool = S.min_messages(ws.parsed(), min_messages)
     prompts = D.explore_prompts(pool, ws.messages(), cats, sample, batch, max_chars, is_free)
-    sugg = D.apply_explore_responses(prompts, materialize(generate(prompts, model), "explore-r"))
+    sugg = D.apply_explore_responses(prompts, ws.respond(prompts, model, "explore-r"))
     seed = Tb.read_discovery(spark, report_path)
     merged = materialize(D.merge_suggestions(seed, D.new_suggestions(sugg, cats, is_free)), "explore-merged")
     existing = [r["slug"] for r in cats.select("slug").collect()]
