@@ -10,8 +10,8 @@ counts, and suffix positions sampled every ``SAMPLE`` places. All windows are
 searched backwards at once; occurrences are located by walking back to a
 sampled position; overlapping spans are merged per document.
 
-The windows go to the executors as a broadcast block of items holding at most
-``block_bytes`` of text, and the documents are not shuffled. A larger test set
+The windows go to the executors as a broadcast block, packed in arrays, of items
+holding at most ``block_bytes`` of text, and the documents are not shuffled. A larger test set
 goes block by block, the driver holding one at a time: every block's hits are
 written and brought together by the row's number before anything is merged or
 cut, so the result does not depend on ``block_bytes``.
@@ -47,22 +47,51 @@ SPANS = "spans array<struct<first: bigint, end: bigint>>, items array<string>"
 
 
 class Windows:
-    """The distinct windows of a block of items, as symbol sequences."""
+    """The distinct windows of a block of items, packed: per length a matrix
+    of symbols, a window a row, and the items of every window as one array
+    with offsets. It is built once, on the driver, and broadcast; it takes
+    some ``4 * (window + 2)`` bytes a word of the items."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        # A plain dictionary: the vocabulary is bounded by the block's bytes.
+        # The vocabulary is bounded by the block's bytes.
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        sequences, owner = [], []
         for item, text in items:
             words = (text or b"").translate(ALNUM).split()
-            symbols = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for i in range(max(1, len(symbols) - window + 1) if symbols else 0):
-                owners[tuple(symbols[i:i + window])].add(item)
-        self.patterns = sorted(owners)
-        self.owners = [sorted(owners[p]) for p in self.patterns]
-        self.lengths = np.array([len(p) for p in self.patterns], np.int64)
+            if words:
+                sequences.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words)))
+                owner.append(number[item])
+        #: (length, first window's number, matrix) of every length.
+        self.groups: list[tuple[int, int, np.ndarray]] = []
+        lengths, owners, offsets = [], [], [np.zeros(1, np.int64)]
+        sizes = np.array([min(len(q), window) for q in sequences], np.int64)
+        first = held = 0
+        for length in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == length).tolist()
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(sequences[i], length) for i in mine])
+            item = np.concatenate([np.full(len(sequences[i]) - length + 1, owner[i], np.int32) for i in mine])
+            order = np.lexsort((item, *rows.T[::-1]))
+            rows, item = rows[order], item[order]
+            new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
+            again = ~new & np.append(False, item[1:] == item[:-1])  # a window that its item repeats
+            window_of = (np.cumsum(new) - 1)[~again]
+            self.groups.append((length, first, np.ascontiguousarray(rows[new])))
+            counts = np.bincount(window_of)
+            owners.append(item[~again])
+            offsets.append(held + np.cumsum(counts))
+            lengths.append(np.full(len(counts), length, np.int64))
+            first, held = first + len(counts), held + len(window_of)
+        self.lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        self.owner, self.offset = np.concatenate(owners) if owners else np.zeros(0, np.int32), np.concatenate(offsets)
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
 
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        """The items of any of these windows."""
+        own = [self.owner[self.offset[w]:self.offset[w + 1]] for w in windows.tolist()]
+        return {self.items[i] for i in np.unique(np.concatenate(own)).tolist()} if own else set()
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix order by prefix doubling over 64-bit keys (rank, next rank)."""
@@ -135,8 +164,8 @@ class FMIndex:
         """Suffix-array ranges of equally long patterns (rows), by backward search."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         live = np.arange(len(patterns))
-        for column in patterns.T[::-1] + 1:
-            symbol = column[live]
+        for column in patterns.T[::-1]:
+            symbol = column[live].astype(np.int64) + 1
             known = symbol < self.symbols
             low[live[~known]] = high[live[~known]] = 0
             live, symbol = live[known], symbol[known]
@@ -164,16 +193,15 @@ class FMIndex:
 
 def occurrences(windows: Windows, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (window, position) of the windows in the symbols ``text``."""
-    if not len(windows.patterns) or not len(text):
+    if not len(windows.lengths) or not len(text):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     index = FMIndex(text)
     found_w, found_p = [], []
-    for length in np.unique(windows.lengths):
-        which = np.flatnonzero(windows.lengths == length)
-        low, high = index.search(np.array([windows.patterns[i] for i in which], np.int64))
+    for _, first, patterns in windows.groups:
+        low, high = index.search(patterns)
         n = high - low
         rows = np.repeat(low, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        found_w.append(np.repeat(which, n))
+        found_w.append(np.repeat(first + np.arange(len(patterns)), n))
         found_p.append(index.locate(rows))
     return np.concatenate(found_w), np.concatenate(found_p)
 
@@ -219,7 +247,7 @@ def _hits(windows: Windows, texts: list[bytes]) -> Iterator[tuple[int, list[tupl
                 lo, hi = np.searchsorted(owner, [d, d + 1])
                 local = at[lo:hi] - first[d]
                 spans[d] = _merged(local, local + windows.lengths[window[lo:hi]])
-                items[d].update(i for w in np.unique(window[lo:hi]).tolist() for i in windows.owners[w])
+                items[d] = windows.items_of(np.unique(window[lo:hi]))
     for i, t in enumerate(texts):
         yield int(counts[i]), spans[i], items[i], _edges(t, spans[i])
 
@@ -260,10 +288,10 @@ def hits_by_row(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text:
     spark = rows.sparkSession
     path = scratch_path(spark, "block-hits")
     for block in item_blocks(benchmark, item_col, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Windows(block, window))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            windows = Windows(shared.value, window)
+            windows = shared.value
             for frame in blocks(frames, "_text", SHARD_BYTES):
                 hit = [(r, [{"first": b, "end": e} for b, e in s], sorted(i)) for r, (_, s, i, _) in zip(frame["_row"], _hits(windows, list(frame["_text"])), strict=True) if s]
                 yield pd.DataFrame(hit, columns=["_row", "spans", "items"])
@@ -297,10 +325,10 @@ def find_hits(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame,
         out = rows.mapInPandas(count, "_id string, _row bigint, n_words bigint").join(found, "_row", "left").select(
             "_id", "n_words", *(F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items")))
         return restored(out, docs, id_col)
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(block, window))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows = Windows(shared.value, window)
+        windows = shared.value
         for frame in blocks(frames, "_text", SHARD_BYTES):
             found = list(_hits(windows, list(frame["_text"])))
             yield pd.DataFrame({"_id": frame["_id"], "n_words": [n for n, _, _, _ in found], "spans": [[{"first": b, "end": e} for b, e in s] for _, s, _, _ in found],
@@ -321,10 +349,10 @@ def remove_hits(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col:
         return _remove_by_blocks(docs, text_col, benchmark, item_col, item_text, window, block_bytes)
     schema = docs.schema
     column = schema.names.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(block, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, window)
+        windows = shared.value
         for batch in batches:
             values = batch.column(column)
             texts = values.cast(pa.binary()).to_pylist()

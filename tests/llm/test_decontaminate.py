@@ -110,3 +110,27 @@ def test_removal_does_not_depend_on_the_blocks(spark):
     rows = [r["text"] for r in remove_hits(docs, "text", bench, "item_id", "text", window=4, block_bytes=8).collect()]
     assert rows.count("go\non") == 2 and {"left as  it is", None, ""} <= set(rows)
     assert not any(brute(t, items, 4)[1] for t in rows)
+
+
+def test_packed_windows():
+    rng = np.random.default_rng(7)
+    items = [(str(rng.integers(0, 12)), b" ".join(b"w%d" % i for i in rng.integers(0, 3, n))) for n in (0, 1, 2, 3, 3, 4, 7, 30, 30, 2, 1, 50)]
+    windows = Windows(items, 4)
+    want = {}
+    for item, text in items:
+        words = text.split()
+        for i in range(max(1, len(words) - 3) if words else 0):
+            want.setdefault(tuple(words[i:i + 4]), set()).add(item)
+    word = {n: w for w, n in windows.vocabulary.items()}
+    got = {tuple(word[s] for s in row): windows.items_of(np.array([first + i])) for _, first, rows in windows.groups for i, row in enumerate(rows.tolist())}
+    assert got == want and len(windows.lengths) == len(want)
+    assert not Windows([], 4).shortest and not Windows([("a", b" . ")], 4).shortest
+
+
+def test_windows_of_many_items_stay_small():
+    rng = np.random.default_rng(8)
+    vocabulary = [b"word%d" % i for i in range(50_000)]
+    items = [(str(n), b" ".join(vocabulary[i] for i in rng.integers(0, 50_000, 200))) for n in range(2000)]
+    windows, text = Windows(items), sum(len(t) for _, t in items)
+    size = sum(m.nbytes for _, _, m in windows.groups) + windows.owner.nbytes + windows.offset.nbytes + windows.lengths.nbytes
+    assert text > 3 << 20 and size < 8 * text
