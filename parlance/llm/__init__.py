@@ -1,4 +1,4 @@
-"""Operators for preparing training data at scale: ten dealt methods, one
+"""Operators for preparing training data at scale: thirteen dealt methods, one
 module each, and the queries that apply them to whole tables (``queries``).
 
 Every operator takes a DataFrame and the names of the columns it reads and

@@ -53,6 +53,47 @@ NOTICES = [
     ("proprietary", "all rights reserved", False),
 ]
 
+# Whole texts of short public licenses, their words in order.
+TEXTS = [
+    ("mit", """
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to
+deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or
+sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above
+copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as
+is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular
+purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an
+action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""", False),
+    ("isc", """
+permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
+copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with
+regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special
+direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract
+negligence or other tortious action arising out of or in connection with the use or performance of this software""", False),
+    ("bsd", """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in
+binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied
+warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event
+shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but
+not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory
+of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software
+even if advised of the possibility of such damage""", False),
+    ("zlib", """
+this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from
+the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it
+and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that
+you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is
+not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice
+may not be removed or altered from any source distribution""", False),
+    ("unlicense", """
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
+software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that
+recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we
+make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law""", False),
+]
+
 _MARK = "mark"
 
 
@@ -86,7 +127,7 @@ def scan_spans(docs: DataFrame, id_col: str, text_col: str, templates: list[tupl
     struct(first, last, label, exact, score): verified spans, first and last
     word numbers counted from 0."""
     spark = docs.sparkSession
-    templates = PHRASES + NOTICES if templates is None else templates
+    templates = PHRASES + NOTICES + TEXTS if templates is None else templates
     grams = template_grams(spark, templates, k)
     small = sum(max(0, len(text.split()) - k + 1) for _, text, _ in templates) <= BROADCAST_GRAMS
     # The marker hash is joined like a gram; its position is the word count.
@@ -101,7 +142,7 @@ def scan_spans(docs: DataFrame, id_col: str, text_col: str, templates: list[tupl
     )
     key = ["_id", "_text_hash"]
     diagonals = (
-        votes.repartition(*key).groupBy(*key, "template", "label", "grams", "exact", "diagonal")
+        votes.groupBy(*key, "template", "label", "grams", "exact", "diagonal")
         .agg(F.collect_set("tpos").alias("tpos"), F.count(F.lit(1)).alias("n"))
     )
     # Merge neighbouring diagonals of a template; phrases and markers stand alone.

@@ -36,6 +36,8 @@ ORDER = 4
 #: Scores are compared in steps of 1 / STEPS for the calibration.
 STEPS = 200
 LIMIT = 5
+#: Grams of one and two characters up to which their counts are broadcast (some 10 MB).
+BROADCAST_GRAMS = 200_000
 #: Size of the alphabet of the order below 0, where all characters are alike.
 ALPHABET = 256
 
@@ -78,10 +80,20 @@ def gram_scores(training: DataFrame, grams: DataFrame, order: int = ORDER) -> Da
     contexts = seen.groupBy("k", F.expr("substring(hc, 1, k)").alias("h")).agg(
         F.sum("g").alias("hg"), F.sum("b").alias("hb"),
         F.sum((F.col("g") > 0).cast("double")).alias("tg"), F.sum((F.col("b") > 0).cast("double")).alias("tb"))
+    seen, contexts = written(seen, "url-seen"), written(contexts, "url-contexts")
     asked = grams.select("gram", F.inline(suffixes)).withColumn("h", F.expr("substring(hc, 1, k)"))
+    # All grams share the empty context and most share one of a few characters: the lowest orders
+    # are broadcast, where no key can be hot, if the characters of the urls are few enough.
+    short = F.col("k") <= 1
+    small = seen.where(short).limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+
+    def joined(asked: DataFrame, mark) -> DataFrame:
+        return asked.join(mark(seen), ["k", "hc"], "left").join(mark(contexts), ["k", "h"], "left")
+
+    looked_up = joined(asked.where(~short), lambda t: t.where(~short)).unionByName(
+        joined(asked.where(short), lambda t: F.broadcast(t.where(short)) if small else t.where(short)))
     levels = (
-        asked.join(seen, ["k", "hc"], "left").join(contexts, ["k", "h"], "left")
-        .groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("g", "b", "hg", "hb", "tg", "tb"))))).alias("levels"))
+        looked_up.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("g", "b", "hg", "hb", "tg", "tb"))))).alias("levels"))
     )
 
     def probability(n, total, kinds):

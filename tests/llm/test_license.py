@@ -1,6 +1,8 @@
+import random
 import re
 
 from parlance.llm.license_scan import NOTICES, PHRASES, scan_licenses
+from parlance.llm.license_scan import TEXTS as TEMPLATES
 
 from .rows import TEXTS, documents
 
@@ -42,6 +44,64 @@ def test_notices_with_changes(spark):
     assert [s["first"] for s in rows[5]["spans"]] == [2, 2 + len(mit) + 50]
 
 
+def brute_spans(t, templates, k=3, gap=3, coverage=0.6):
+    """Verified spans of the templates that are not exact: votes by plain loops."""
+    w, out = words(t), []
+    for label, text, exact in templates:
+        tw = text.split()
+        grams = len(tw) - k + 1
+        votes = {}
+        for p in range(len(w) - k + 1):
+            for q in range(grams):
+                if w[p:p + k] == tw[q:q + k]:
+                    votes.setdefault(p - q, set()).add(q)
+        groups = []
+        for d in sorted(votes):
+            if groups and d - groups[-1][-1] <= gap:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in () if exact else groups:
+            score = len(set().union(*(votes[d] for d in g))) / grams
+            if score >= coverage:
+                out.append((min(d + min(votes[d]) for d in g), max(d + max(votes[d]) + k - 1 for d in g), label, score))
+    return sorted(out)
+
+
+def test_method_labels_like_brute_force(spark):
+    rng = random.Random(3)
+    every = NOTICES + TEMPLATES
+    texts = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            ws = rng.choice(every)[1].split()
+            ws = ws[rng.randrange(1 + len(ws) // 4):]
+            for _ in range(rng.randrange(len(ws) // 6 + 1)):  # words lost, added and changed
+                at = rng.randrange(len(ws))
+                ws[at:at + rng.randrange(2)] = rng.choice([[], ["other"], ["the", "of"]])
+            parts.append(" ".join(rng.choice([w, w.upper(), w + ","]) for w in ws))
+        texts.append((i, (" filler " * rng.randrange(9)).join(parts)))
+    rows = {r["doc_id"]: r for r in scan_licenses(documents(spark, texts), "doc_id", "text").collect()}
+    some = 0
+    for i, t in texts:
+        want = brute_spans(t, PHRASES + every)
+        got = sorted((s["first"], s["last"], s["label"], s["score"]) for s in rows[i]["spans"] if not s["exact"])
+        assert got == want
+        places = base(t)
+        assert rows[i]["labels"] == ",".join(sorted({s[2] for s in want} | set(filter(None, places[4].split(",")))))
+        assert rows[i]["score"] == (1 if places[1] else max((s[3] for s in want), default=0))
+        some += len(want) > 0
+    assert some > 20
+
+
+def test_whole_license_is_one_span(spark):
+    for label, text, _ in TEMPLATES:
+        row = scan_licenses(documents(spark, [(1, "Copyright (c) 2020 Ann\n\n" + text.upper() + ".\nint main")]), "doc_id", "text").first()
+        assert label in row["labels"].split(",") and row["score"] == 1
+        assert any(s["first"] == 4 and s["last"] == 3 + len(text.split()) and s["score"] == 1 for s in row["spans"])
+
+
 def test_native_plan(spark):
     plan = scan_licenses(documents(spark), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
