@@ -6,13 +6,18 @@ window); each is scored, whatever the text's length, and a text's score is
 its highest window, so every passage of up to WINDOW words is seen whole. A word's input is an embedding, if the fit knows the
 word, beside the mean embedding of its character trigrams (computed once per
 distinct word of a block); both directions of gated recurrent units run over
-the inputs, attention weighs the words' states and inputs into one vector,
+the inputs, attention weighs a window's states and inputs into one vector,
 and a logistic unit scores it.
 
+The recurrence is shared by neighbouring windows: it runs over segments of
+``SEGMENT`` words, which overlap by WINDOW - 1, so that every window lies
+whole in one segment, the last that begins before it or with it. Attention
+then pools each of the segment's windows apart. Fit and score do the same.
+
 The fit uses a bounded sample of labelled rows (``ROWS_PER_CLASS`` of each
 class, texts up to ``MAX_TRAIN_BYTES``) on the driver. Only whole texts are
 labelled, so each round picks the highest window of every text (and a random
-one of the clean texts), of one every ``FIT_STRIDE`` words, and takes gradient
+one of the clean texts) and takes gradient
 steps on these. The first component of a word's embedding starts as the log odds of texts that hold
 it. The weights, a few megabytes at most by VOCABULARY, are broadcast.
 
@@ -31,11 +36,11 @@ from pyspark.sql import DataFrame
 
 from parlance.llm.labels import labelled_sample
 from parlance.llm.tables import carried, restored, rows_where
-from parlance.llm.words import ALNUM, Words, blocks, mix
+from parlance.llm.words import ALNUM, Words, blocks
 
-WINDOW = 24
-#: Words between the windows of the fit, which works on a sample; a coarser step than that raises the scores of clean texts.
-FIT_STRIDE = 4
+WINDOW, SEGMENT = 24, 48
+#: Windows of a segment, and words between the begins of two segments.
+STEP = SEGMENT - WINDOW + 1
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 2048
 VOCABULARY = 20_000
@@ -43,10 +48,8 @@ LEAST_TEXTS = 3
 ROWS_PER_CLASS = 1500
 MAX_TRAIN_BYTES = 20_000
 ROUNDS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 8, 500, 64, 0.01, 1e-4, 11
-#: Bytes of text scored at once: repeated windows are found inside such a block.
-SCORED_BYTES = 4 << 20
-#: Windows that run through the network at once, and neighbouring ones in a score.
-CHUNK, SCORED = 4096, 4096
+#: Segments that run through the network at once.
+CHUNK = 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -60,22 +63,11 @@ def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(flat, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
-def _window_hashes(words: np.ndarray) -> np.ndarray:
-    """64-bit hash of the WINDOW words from every word on, by a polynomial's prefix sums."""
-    base = 0x9E3779B97F4A7C15
-    n = len(words) - WINDOW + 1
-    up = np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, base, np.uint64)))
-    down = np.cumprod(np.append(np.uint64(1), np.full(n - 1, pow(base, -1, 1 << 64), np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(mix(words) * up))
-    return (sums[WINDOW:] - sums[:n]) * down
-
-
 class Block:
-    """Distinct words of a block of texts with their trigrams, and its windows
+    """Distinct words of a block of texts with their trigrams, and its segments
     as indexes of distinct words (the last index is the padding)."""
 
-    def __init__(self, texts: list[bytes], stride: int | None):
-        """Windows start every ``stride`` words until the text's last word is inside one; without a stride there are none."""
+    def __init__(self, texts: list[bytes]):
         w = Words(texts, ALNUM)
         self.hashes, where, index = np.unique(w.hashes, return_index=True, return_inverse=True)
         starts, ends = w.starts[where], w.ends[where]
@@ -85,19 +77,16 @@ class Block:
         padded = np.concatenate([[32], w.buf, [32]]).astype(np.int64)
         self.trigrams = (padded[at] * 7919 + padded[at + 1] * 104729 + padded[at + 2] * 1299709) % TRIGRAMS
         self.trigram_begin, self.trigram_count = np.cumsum(size) - size, size
-        self.first, self.counts = w.first, w.counts
-        self.index = np.append(index, len(self.hashes)).astype(np.int32)
-        if stride:
-            n = 1 + np.maximum(0, -(-(w.counts - WINDOW) // stride))
-            self.owner = np.repeat(np.arange(len(texts)), n)
-            self.windows = self.rows(w.first[:-1][self.owner] + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)), self.owner)
-        self.texts = len(texts)
-
-    def rows(self, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """The windows of texts ``owner`` that begin at these words."""
-        place = begin[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32)
-        inside = place < self.first[1:][owner][:, None]
-        return np.where(inside, self.index[np.minimum(place, len(self.index) - 1)], np.int32(len(self.hashes)))
+        # A text's segments begin every STEP words until its last word is inside one.
+        n = 1 + np.maximum(0, -(-(w.counts - SEGMENT) // STEP))
+        self.texts, self.owner = len(texts), np.repeat(np.arange(len(texts)), n)
+        begin = STEP * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        left = w.counts[self.owner] - begin
+        place = (w.first[:-1][self.owner] + begin)[:, None] + np.arange(SEGMENT)
+        index = np.append(index, len(self.hashes)).astype(np.int32)
+        self.segments = np.where(np.arange(SEGMENT) < left[:, None], index[np.minimum(place, len(index) - 1)], np.int32(len(self.hashes)))
+        #: How many windows begin in the segment: one in a text shorter than a window.
+        self.windows = np.clip(left - WINDOW + 1, 1, STEP)
 
 
 class Network:
@@ -134,11 +123,11 @@ class Network:
         return out, row
 
     def _scan(self, d: str, projected: np.ndarray, mask: np.ndarray, keep: bool):
-        """States of one direction, (steps, windows, HIDDEN); padding leaves the state as it is."""
-        steps = range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1)
+        """States of one direction, (steps, segments, HIDDEN); padding leaves the state as it is."""
+        steps = range(SEGMENT) if d == "f" else range(SEGMENT - 1, -1, -1)
         U, H = self.p["U" + d], HIDDEN
         h = np.zeros((projected.shape[1], H), np.float32)
-        out, saved = np.empty((WINDOW, len(h), H), np.float32), {}
+        out, saved = np.empty((SEGMENT, len(h), H), np.float32), {}
         for t in steps:
             u = h @ U
             zr = _sigmoid(projected[t, :, :2 * H] + u[:, :2 * H])
@@ -150,9 +139,9 @@ class Network:
             out[t] = h
         return out, saved
 
-    def forward(self, x: np.ndarray, windows: np.ndarray, keep: bool = False):
-        """Logits of windows of distinct-word indexes into inputs ``x``."""
-        index = windows.T
+    def _attention(self, x: np.ndarray, segments: np.ndarray, keep: bool):
+        """Of every place (steps, segments): whether it is a word, its state, its attention's inner and outer value."""
+        index = segments.T
         mask = (index < len(x) - 1).astype(np.float32)
         states, saved = [], {}
         for d in "fb":
@@ -161,13 +150,30 @@ class Network:
             states.append(out)
         s = np.concatenate([*states, x[index]], axis=2)
         a = np.tanh(s @ self.p["Wa"] + self.p["ba"])
-        e = a @ self.p["va"]
-        e = np.exp(e - e.max(axis=0)) * mask
+        return index, mask, s, a, a @ self.p["va"], saved
+
+    def forward(self, x: np.ndarray, segments: np.ndarray, first: np.ndarray, keep: bool = False):
+        """Logits of the windows that begin at the places ``first`` of segments of distinct-word indexes into inputs ``x``."""
+        index, mask, s, a, e, saved = self._attention(x, segments, keep)
+        place = np.arange(SEGMENT)[:, None]
+        inside = mask * ((place >= first) & (place < first + WINDOW))
+        e = np.exp(e - np.where(inside > 0, e, -np.inf).max(axis=0, initial=-1e9)) * inside if inside.any() else np.zeros_like(e)
         weight = e / np.maximum(e.sum(axis=0), 1e-9)
         pooled = np.einsum("tn,tns->ns", weight, s)
         logit = pooled @ self.p["wo"] + self.p["bo"][0]
         return logit, (index, mask, s, a, weight, pooled, saved)
 
+    def window_logits(self, x: np.ndarray, segments: np.ndarray) -> np.ndarray:
+        """Logits (segments, STEP) of the windows at every place of the segments, as ``forward`` gives them."""
+        _, mask, s, _, e, _ = self._attention(x, segments, False)
+        e = np.exp(np.maximum(e - e.max(axis=0), -60)) * mask
+        worth = e * (s @ self.p["wo"])
+        total, weight = np.zeros((STEP, len(segments)), np.float32), np.zeros((STEP, len(segments)), np.float32)
+        for j in range(WINDOW):
+            total += worth[j:j + STEP]
+            weight += e[j:j + STEP]
+        return (total / np.maximum(weight, 1e-30)).T + self.p["bo"][0]
+
     def backward(self, x: np.ndarray, kept, dlogit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the weights and of the inputs."""
         index, mask, s, a, weight, pooled, saved = kept
@@ -187,7 +193,7 @@ class Network:
             dprojected = np.zeros((*index.shape, 3 * H), np.float32)
             U, dU = p["U" + d], np.zeros_like(p["U" + d])
             dh = np.zeros((index.shape[1], H), np.float32)
-            for t in (range(WINDOW - 1, -1, -1) if d == "f" else range(WINDOW)):
+            for t in (range(SEGMENT - 1, -1, -1) if d == "f" else range(SEGMENT)):
                 h, z, r, c, uc = saved[d][t]
                 dh = dh + dstate[t]
                 m = mask[t][:, None]
@@ -204,94 +210,21 @@ class Network:
         return g, dx
 
     def logits(self, block: Block) -> np.ndarray:
+        """(segments, STEP) of a block; -inf where no window begins."""
         x, _ = self.inputs(block)
-        return np.concatenate([self.forward(x, block.windows[i:i + CHUNK])[0] for i in range(0, len(block.windows), CHUNK)] or [np.zeros(0)])
-
-    def _neighbours(self, x: np.ndarray) -> np.ndarray:
-        """Logits of all windows of WINDOW neighbouring rows of the inputs ``x``. As ``forward``, with rows as
-        columns: what depends on a word alone is computed once for all windows that hold it."""
-        p, H, n = self.p, HIDDEN, len(x) - WINDOW + 1
-        # All activations are s(y) = 1 / (1 + exp(y)), their signs folded into the weights. For tanh(y) = 2 s(-2y) - 1
-        # the states are kept as (h + 1) / 2, beside a row of ones that carries the constants.
-        sign = np.repeat(np.array([-1, -1, -2], np.float32), H)[:, None]
-        attention, output = np.empty((WINDOW, ATTENTION, n), np.float32), np.empty((WINDOW, n), np.float32)
-        seen, seen_out = -2 * (p["Wa"][2 * H:].T @ x.T + p["ba"][:, None]), p["wo"][2 * H:] @ x.T
-        state, u = np.empty((H + 1, n), np.float32), np.empty((3 * H, n), np.float32)
-        h = state[:H]
-
-        def halved(weights: np.ndarray) -> np.ndarray:
-            """Weights of h as weights of (h + 1) / 2 and 1."""
-            return np.ascontiguousarray(np.concatenate([2 * weights, -weights.sum(axis=1, keepdims=True)], axis=1), np.float32)
-
-        def activate(y: np.ndarray) -> np.ndarray:
-            np.exp(y, out=y)
-            y += 1
-            return np.reciprocal(y, out=y)
-
-        with np.errstate(over="ignore"):  # exp of a large number is inf, its reciprocal 0
-            for k, d in enumerate("fb"):
-                projected = (p["W" + d].T @ x.T + p["b" + d][:, None]) * sign
-                U = halved(p["U" + d].T * sign)
-                of_state, of_output = halved(-2 * p["Wa"][k * H:(k + 1) * H].T), halved(p["wo"][None, k * H:(k + 1) * H])
-                h[:], state[H] = 0.5, 1
-                for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-                    now = projected[:, t:t + n]
-                    np.matmul(U, state, out=u)
-                    gates, c = u[:2 * H], u[2 * H:]
-                    gates += now[:2 * H]
-                    activate(gates)
-                    c *= gates[H:]
-                    c += now[2 * H:]
-                    activate(c)
-                    h -= c
-                    h *= gates[:H]
-                    h += c  # z * h + (1 - z) * c
-                    if d == "f":
-                        np.matmul(of_state, state, out=attention[t])
-                        np.matmul(of_output, state, out=output[t:t + 1])
-                    else:
-                        attention[t] += of_state @ state
-                        attention[t] += seen[:, t:t + n]
-                        output[t] += (of_output @ state)[0]
-                        output[t] += seen_out[t:t + n]
-            e = 2 * p["va"] @ activate(attention)
-        e = np.exp(e - e.max(axis=0))
-        return (e * output).sum(axis=0) / e.sum(axis=0) + p["bo"][0]
+        out = np.concatenate([self.window_logits(x, block.segments[i:i + CHUNK]) for i in range(0, len(block.segments), CHUNK)] or [np.zeros((0, STEP))])
+        out[np.arange(STEP) >= block.windows[:, None]] = -np.inf
+        return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Scores of a block of texts; equal ones are scored once."""
+        if not texts:
+            return np.zeros(0)
         place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-        return self._score(list(place))[[place[t] for t in texts]] if texts else np.zeros(0)
-
-    def _score(self, texts: list[bytes]) -> np.ndarray:
-        block = Block(texts, None)
-        x, _ = self.inputs(block)
+        block = Block(list(place))
         best = np.full(block.texts, -np.inf)
-        short = np.flatnonzero(block.counts < WINDOW)
-        for at in range(0, len(short), CHUNK):
-            part = short[at:at + CHUNK]
-            best[part] = self.forward(x, block.rows(block.first[part], part))[0]
-        # The words of the other texts in a row; windows across two texts do not count.
-        owner = np.repeat(np.arange(block.texts), np.where(block.counts < WINDOW, 0, block.counts))
-        words = block.index[:-1][np.repeat(block.counts >= WINDOW, block.counts)]
-        if len(words):
-            last = len(words) - WINDOW + 1
-            starts = np.flatnonzero(owner[:last] == owner[WINDOW - 1:])
-            # Copies share most of their windows: each distinct window is scored once.
-            _, first, which = np.unique(_window_hashes(block.hashes[words])[starts], return_index=True, return_inverse=True)
-            wanted = np.zeros(len(words) + 1, np.int64)
-            wanted[starts[first]] = 1
-            covering = np.cumsum(wanted[:-1])
-            covering[WINDOW:] -= covering[:-WINDOW].copy()
-            kept = np.flatnonzero(covering > 0)
-            logits = np.empty(len(words))
-            for at in range(0, len(kept) - WINDOW + 1, SCORED):
-                part = kept[at:at + SCORED + WINDOW - 1]
-                value = self._neighbours(x[words[part]])
-                whole = part[WINDOW - 1:] - part[:len(value)] == WINDOW - 1
-                logits[part[:len(value)][whole]] = value[whole]
-            np.maximum.at(best, owner[starts], logits[starts[first]][which])
-        return _sigmoid(best)
+        np.maximum.at(best, block.owner, self.logits(block).max(axis=1))
+        return _sigmoid(best)[[place[t] for t in texts]]
 
 
 class Constant:
@@ -305,7 +238,7 @@ class Constant:
 def _odds(block: Block, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words in at least LEAST_TEXTS texts (the VOCABULARY most frequent) and their smoothed log odds."""
     words = len(block.hashes)
-    held = np.unique(np.repeat(block.owner, WINDOW) * (words + 1) + block.windows.ravel())
+    held = np.unique(np.repeat(block.owner, SEGMENT) * (words + 1) + block.segments.ravel())
     text, word = held // (words + 1), held % (words + 1)
     text, word = text[word < words], word[word < words]
     n1 = np.bincount(word, label[text], minlength=words)
@@ -320,13 +253,17 @@ def _odds(block: Block, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit_network(texts: list[bytes], label: np.ndarray, rounds: int = ROUNDS):
     if not len(label) or label.min() == label.max():
         return Constant(float(label.mean()) if len(label) else 0.0)
-    block = Block(texts, FIT_STRIDE)
+    block = Block(texts)
     net = Network(*_odds(block, label))
     rng = np.random.default_rng(SEED + 1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, known = 0, len(net.vocabulary)
-    first = np.searchsorted(block.owner, np.arange(block.texts))
-    count = np.diff(np.append(first, len(block.owner)))
+    # All windows of all texts as (segment, place).
+    segment = np.repeat(np.arange(len(block.segments)), block.windows)
+    place = np.arange(len(segment)) - np.repeat(np.cumsum(block.windows) - block.windows, block.windows)
+    owner = block.owner[segment]
+    first = np.searchsorted(owner, np.arange(block.texts))
+    count = np.diff(np.append(first, len(owner)))
     clean = np.flatnonzero(label == 0)
     batches = max(1, (block.texts + len(clean)) // BATCH)
     passes = -(-LEAST_STEPS // (rounds * batches))  # small samples are passed more often
@@ -334,11 +271,12 @@ def fit_network(texts: list[bytes], label: np.ndarray, rounds: int = ROUNDS):
     heavier = np.where(label == 1, np.clip(0.5 * len(clean) / label.sum(), 1, 4), 1)
     for round_ in range(rounds):
         if round_:
-            value = net.logits(block)
+            value = net.logits(block)[segment, place]
         else:
             x, _ = net.inputs(block)
-            value = x[:, 0][block.windows].max(axis=1)
-        order = np.lexsort((-value, block.owner))
+            odds = x[:, 0][block.segments]
+            value = np.max([odds[segment, np.minimum(place + j, SEGMENT - 1)] for j in range(WINDOW)], axis=0)
+        order = np.lexsort((-value, owner))
         top = order[first]
         other = first[clean] + (rng.random(len(clean)) * count[clean]).astype(np.int64)
         pick = np.concatenate([top, other])
@@ -346,10 +284,10 @@ def fit_network(texts: list[bytes], label: np.ndarray, rounds: int = ROUNDS):
         weight = np.concatenate([heavier, np.ones(len(clean))])
         for at in (at for _ in range(passes) for at in np.array_split(rng.permutation(len(pick)), batches)):
             # The distinct words of this batch alone.
-            used, local = np.unique(block.windows[pick[at]], return_inverse=True)
+            used, local = np.unique(block.segments[segment[pick[at]]], return_inverse=True)
             part = _subset(block, used)
             x, row = net.inputs(part)
-            logit, kept = net.forward(x, local.reshape(len(at), WINDOW), keep=True)
+            logit, kept = net.forward(x, local.reshape(len(at), SEGMENT), place[pick[at]], keep=True)
             g, dx = net.backward(x, kept, (weight[at] * (_sigmoid(logit) - target[at]) / len(at)).astype(np.float32))
             dx = dx[:len(part.hashes)]
             g["words"] = _scatter(row, dx[:, :WORD_SIZE], known + 1)
@@ -366,7 +304,7 @@ def fit_network(texts: list[bytes], label: np.ndarray, rounds: int = ROUNDS):
 
 
 def _subset(block: Block, used: np.ndarray) -> Block:
-    """The distinct words ``used`` of a block, without windows."""
+    """The distinct words ``used`` of a block, without segments."""
     used = used[used < len(block.hashes)]
     out = object.__new__(Block)
     out.hashes = block.hashes[used]
@@ -389,7 +327,7 @@ def score_toxicity(docs: DataFrame, id_col: str, text_col: str, model) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in blocks(frames, "_text", SCORED_BYTES):
+        for frame in blocks(frames, "_text"):
             yield pd.DataFrame({"_id": frame["_id"], "score": shared.value.score(list(frame["_text"]))})
 
     return restored(carried(docs, id_col, text_col).mapInPandas(run, "_id string, score double"), docs, id_col)
@@ -398,4 +336,4 @@ def score_toxicity(docs: DataFrame, id_col: str, text_col: str, model) -> DataFr
 def keep_clean(docs: DataFrame, text_col: str, model, threshold: float) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows_where(docs, text_col, lambda texts: shared.value.score(texts) < threshold, SCORED_BYTES)
+    return rows_where(docs, text_col, lambda texts: shared.value.score(texts) < threshold)
