@@ -116,3 +116,48 @@ def test_corrupt_export_fails_the_stream(spark):
         f.write('[{"id": "1", "title"')
     with pytest.raises(Exception):
         Inc.ingest_stream(spark, source, TableStore(spark, scratch_path(spark, "bad-store")), scratch_path(spark, "bad-ckpt"))
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
+def test_label_stream_writes_its_own_size_and_survives_a_crash(spark):
+    """A micro-batch adds its own rows to the state; one that dies is done again by the next run."""
+    from parlance.catalog import _base
+    from parlance.session import scratch_path
+    from parlance.sources import fixtures as X
+    from parlance.sources.tables import TableStore
+    from parlance.streaming import incremental as Inc
+
+    class Store(TableStore):
+        dies = False
+
+        def upsert(self, name, new, key="conv_id"):
+            if self.dies:  # half a write
+                os.makedirs(os.path.join(self.root, name, "delta=2"))
+                raise RuntimeError("executor lost")
+            return super().upsert(name, new, key)
+
+    msgs, hdrs = _base(spark, SF)
+    pool = hdrs.where("message_count >= 4")
+    even, odd = pool.where("conv_id % 2 = 0"), pool.where("conv_id % 2 = 1")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema.fields)
+    store, source, ckpt = Store(spark, tempfile.mkdtemp()), scratch_path(spark, "t2-own-source"), scratch_path(spark, "t2-own-ckpt")
+
+    def run():
+        Inc.label_stream(spark, source, schema, msgs, X.categories(spark), store, ckpt)
+
+    even.coalesce(1).write.parquet(source)
+    run()
+    assert store.read("state").count() == even.count()
+    odd.unionByName(even).coalesce(1).write.mode("append").parquet(source)
+    store.dies = True
+    with pytest.raises(Exception):
+        run()
+    assert store.read("state").count() == even.count()
+    store.dies = False
+    run()
+    run()
+    rows = store.read("state").collect()
+    assert sorted(r["conv_id"] for r in rows) == sorted(r["conv_id"] for r in pool.collect())
+    # Rows already labelled were not written again.
+    sizes = {f: spark.read.parquet(os.path.join(store.root, "state", f)).count() for f in os.listdir(os.path.join(store.root, "state")) if f != "delta=2"}
+    assert sizes == {"delta=1": even.count(), "delta=3": odd.count()}
