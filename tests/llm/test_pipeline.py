@@ -69,4 +69,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries().keys()
-    assert "pipeline" in names and set(QUERIES) <= set(names) and len({n.split("_")[0] for n in QUERIES}) == 10
+    assert "pipeline" in names and set(QUERIES) <= set(names) and len({n.split("_")[0] for n in QUERIES}) == 13
