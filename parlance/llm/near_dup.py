@@ -9,17 +9,21 @@ reachable over links.
    fingerprint of the word sequence, the set size and the band keys of a
    SuperMinHash signature (``signatures``). Equal sequences collapse to one
    node, the smallest id, so copies of one text cost one row each from here.
-2. Nodes that share a band key are joined into candidate groups by the
-   smallest node of each band key (a star, never all pairs of a bucket).
-3. The texts of the nodes in candidate groups are shuffled once, to their
-   group. A group whose texts exceed ``CELL_BYTES`` is cut into blocks and
-   dealt to one cell per pair of blocks, so that no task holds a large group.
-   Inside a cell the full sets are compared exactly (``link_sets``); at most
-   one link per text leaves it.
-4. The links of all cells are joined into components.
-
-Chance of missing two texts at similarity s: (1 - s**ROWS)**BANDS, 4e-7 at 0.85 and 5e-5
-at 0.8. There is no cap on buckets, partners or candidates.
+2. A node's hub is the smallest node it shares a band key with. Its text goes
+   to the cell of its hub, once; a hub with more than ``CELL_BYTES`` of texts
+   has several cells, each with a copy of the hub's text. Inside a cell the
+   full sets are compared exactly (``link_sets``), and at most one link per
+   text leaves it. Families of near copies hang together after this pass.
+3. What is left are pairs that share a band key, lie in different components
+   so far and have not met. The texts of such pairs alone are dealt to cells,
+   one for every two blocks that hold any of them, and compared in the same way.
+   A block is one cell's texts linked with the hub, or up to ``CELL_BYTES`` of
+   its hub's other texts. No transitive closure of mere candidates is built.
+4. The links of both passes are joined into components.
+
+Chance of missing two texts at similarity s: (1 - s**ROWS)**BANDS, 3e-7 at 0.85 and 6e-5
+at 0.8; two texts at 0.5 meet with chance 0.4, at 0.3 with 0.02. There is no cap on
+buckets, partners or candidates.
 
 Null and empty texts have no shingles and are linked with nothing. A text of
 fewer than ``k`` words has its whole sequence as its one shingle. Rows that
@@ -40,9 +44,11 @@ from parlance.llm.tables import carried, utf8, written
 from parlance.llm.words import BLANK, Words, blocks, distinct_by_text, mix, seeds, shingle_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 25, 5
-#: Text of one block of a candidate group; a cell holds two blocks.
+BANDS, ROWS = 32, 6
+#: Text of one block; a cell holds two blocks.
 CELL_BYTES = 2 << 20
+#: The side of nodes that are compared with all of their cell.
+ALL = 2
 
 
 def super_min_hash(value: np.ndarray, text: np.ndarray, texts: int, size: int) -> np.ndarray:
@@ -141,7 +147,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def link_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning set of the links between texts with sorted distinct shingles
     ``sets``: enough links that exactly the linked texts are connected.
 
@@ -150,6 +156,7 @@ def link_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None = N
     in the order of fewest own shingles, each with all candidates it is not
     connected with yet; so the centre of a family of near copies connects it
     at once. With ``block``, only texts of different blocks are compared.
+    Texts of equal ``known`` count as connected already.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -174,7 +181,11 @@ def link_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None = N
 
     prefix_ids, prefix_owner = postings(in_prefix)
     all_ids, all_owner = postings(shared)
-    parent = list(range(n))
+    root = np.arange(n)
+    if known is not None:
+        _, first, code = np.unique(known, return_index=True, return_inverse=True)
+        root = first[code]
+    parent = root.tolist()
 
     def find(x):
         while parent[x] != x:
@@ -190,7 +201,6 @@ def link_sets(sets: list[np.ndarray], percent: int, block: np.ndarray | None = N
     links = []
     has_prefix = np.zeros(n, bool)
     has_prefix[prefix_owner] = True
-    root = np.arange(n)
     for x in np.lexsort((np.arange(n), own)):
         if not has_prefix[x]:
             continue
@@ -224,8 +234,8 @@ def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
         if not len(frame):
             continue
-        key = frame[["root", "i", "j"]].to_numpy()
-        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        key = frame["cell"].to_numpy()
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
         bounds = [0, *cut.tolist()]
         for b, e in zip(bounds[:-1], bounds[1:], strict=True):
             yield frame.iloc[b:e]
@@ -234,45 +244,71 @@ def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int = 80, k: int = SHINGLE,
-                    bands: int = BANDS, rows: int = ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """Per row: ``id_col`` (an integer), ``n_shingles``, ``component_id`` and ``kept``."""
-    signed = written(signatures(docs, id_col, text_col, k, bands, rows).withColumn("id", F.col("_id").cast("bigint")).drop("_id"), "near-signatures")
-    real = signed.where("fingerprint IS NOT NULL AND id IS NOT NULL")
-    # One node per distinct sequence: its smallest id.
-    nodes = written(real.groupBy("fingerprint").agg(F.min("id").alias("node"), F.max("n_bytes").alias("n_bytes"), F.first("keys").alias("keys")), "near-nodes")
-    # An id with several texts links their nodes.
-    same_id = real.select("id", "fingerprint").distinct().join(nodes.select("fingerprint", "node"), "fingerprint").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    stars = members.join(buckets, "key").where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    groups = written(components(stars, "near-candidates"), "near-groups")
-
-    located = groups.join(nodes.select("node", "n_bytes"), "node")
-    sizes = located.groupBy("root").agg(F.sum("n_bytes").alias("bytes"))
-    cells = (
-        located.join(sizes.select("root", F.ceil(F.col("bytes") / cell_bytes).cast("int").alias("blocks")), "root")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
-        .select("node", "root", "own", "blocks")
-    )
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), utf8(text_col).alias("_text"))
-    # Block b meets itself and every other block; the pairs inside the second block belong to its own cell.
-    dealt = (
-        texts.join(cells, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)))
-        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "node", "_text")
+def hub_cells(nodes: DataFrame, members: DataFrame, cell_bytes: int) -> DataFrame:
+    """(node, n_bytes, hub, chunks, chunk) of every node that shares a band
+    key with another: ``hub`` is the smallest node it shares one with (itself
+    included), ``chunk`` of ``chunks`` its cell among the hub's."""
+    buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub < high").drop("high")
+    hubs = members.join(buckets, "key").groupBy("node").agg(F.min("hub").alias("hub"))
+    sizes = nodes.groupBy("node").agg(F.sum("n_bytes").alias("n_bytes"))
+    located = hubs.join(sizes, "node")
+    chunks = located.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n_bytes") / cell_bytes), F.lit(1)).cast("int").alias("chunks"))
+    return located.join(chunks, "hub").select("node", "n_bytes", "hub", "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"))
+
+
+def unmet(members: DataFrame, cells: DataFrame, known: DataFrame, cell_bytes: int) -> DataFrame:
+    """(node, cell, side, known) that bring together every two nodes which
+    share a band key, are of different components and have not been compared:
+    a node goes to the cell of its own and another block if the other block
+    holds such a node.
+
+    Per key, the component with most nodes never meets its own blocks: nodes
+    meet the blocks of other components, and only nodes of other components
+    meet its blocks. So a family of near copies that holds a third of all rows
+    costs the product of its size and that of the texts not yet linked with it.
+    """
+    comps = cells.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    placed = comps.join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("of_hub")), "hub").withColumn("main", F.col("comp") == F.col("of_hub"))
+    apart = placed.where("NOT main").groupBy("hub").agg(F.ceil(F.sum("n_bytes") / cell_bytes).cast("int").alias("parts"))
+    placed = placed.join(apart, "hub", "left").select(
+        "node", "hub", "chunks", "comp",
+        F.concat_ws(":", "hub", F.when(F.col("main"), F.concat(F.lit("m"), F.col("chunk"))).otherwise(
+            F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("string"))).alias("block"))
+    held = members.join(placed, "node")
+    mixed = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    held = written(held.join(mixed, "key"), "near-mixed")
+    there = held.groupBy("key", F.col("block").alias("other"), F.col("hub").alias("other_hub"), "most").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("one"), F.max("node").alias("last"))
+    home = (F.col("low") == F.col("most")) & (F.col("high") == F.col("most"))
+    meets = held.join(there.where(~home).drop("most"), "key").unionByName(
+        held.where("comp <> most").join(there.where(home).drop("most"), "key"))
+    met = (
+        ((F.col("hub") == F.col("other_hub")) & (F.col("chunks") == 1))  # all of a hub's only cell
+        | (F.col("node") == F.col("other_hub"))  # a hub with its cells
+        | ((F.col("one") == F.col("hub")) & (F.col("last") == F.col("hub")))  # a node with its hub
     )
+    pairs = meets.where(((F.col("comp") != F.col("low")) | (F.col("comp") != F.col("high"))) & ~met).select("node", "comp", "block", "other").distinct()
+    return pairs.select(
+        "node", F.concat_ws("/", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+        F.when(F.col("block") == F.col("other"), ALL).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), F.col("comp").alias("known"))
 
+
+def compared(texts: DataFrame, dealt: DataFrame, percent: int, k: int) -> DataFrame:
+    """A spanning set of the links (a, b) between the nodes of every cell.
+    Nodes of one ``side`` are not compared, unless it is ``ALL``; nodes of
+    equal ``known`` are linked already."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
         for cell in _cells(frames):
+            side, node = cell["side"].to_numpy(), cell["node"].to_numpy()
+            across = side[0] != ALL
+            if len(cell) < 2 or across and (side == side[0]).all():
+                continue
             words = Words(list(cell["_text"]), BLANK)
             value, text = distinct_by_text(*shingle_hashes(words, k))
             sets = np.split(value, np.searchsorted(text, np.arange(1, len(cell))))
-            node = cell["node"].to_numpy()
-            across = cell["i"].iat[0] != cell["j"].iat[0]
-            for x, y in link_sets(sets, percent, cell["second"].to_numpy() if across else None):
+            for x, y in link_sets(sets, percent, side if across else None, cell["known"].to_numpy()):
                 a.append(node[x])
                 b.append(node[y])
             if len(a) > 50_000:
@@ -280,8 +316,31 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int =
                 a, b = [], []
         yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(run, "a bigint, b bigint")
-    linked = written(components(links.unionByName(same_id), "near-links"), "near-components")
+    return texts.join(dealt, "node").repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int = 80, k: int = SHINGLE,
+                    bands: int = BANDS, rows: int = ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Per row: ``id_col`` (an integer), ``n_shingles``, ``component_id`` and ``kept``."""
+    signed = written(signatures(docs, id_col, text_col, k, bands, rows).withColumn("id", F.col("_id").cast("bigint")).drop("_id"), "near-signatures")
+    real = signed.where("fingerprint IS NOT NULL AND id IS NOT NULL")
+    # One node per distinct sequence: its smallest id.
+    nodes = written(real.groupBy("fingerprint").agg(F.min("id").alias("node"), F.max("n_bytes").alias("n_bytes"), F.first("keys").alias("keys")), "near-nodes")
+    # An id with several texts links their nodes.
+    same_id = real.select("id", "fingerprint").distinct().join(nodes.select("fingerprint", "node"), "fingerprint").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), utf8(text_col).alias("_text"))
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    cells = written(hub_cells(nodes, members, cell_bytes), "near-cells")
+    # First pass: every text once, in its hub's cell, and the hub in all its cells.
+    busy = cells.groupBy("hub", "chunks").agg(F.max(F.col("node") != F.col("hub")).alias("others")).where("others").drop("others")
+    first = cells.join(busy, ["hub", "chunks"], "left_semi").select("node", "hub", "chunk").unionByName(
+        busy.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))).distinct()
+    dealt = first.select("node", F.concat_ws(":", "hub", "chunk").alias("cell"), F.lit(ALL).alias("side"), F.col("node").alias("known"))
+    known = written(components(compared(texts, dealt, percent, k).unionByName(same_id), "near-first"), "near-known")
+    # Second pass: the pairs that share a key and are neither connected nor compared.
+    links = compared(texts, unmet(members, cells, known, cell_bytes), percent, k)
+    linked = written(components(links.unionByName(known.select(F.col("root").alias("a"), F.col("node").alias("b"))), "near-links"), "near-components")
 
     found = nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component"))
     return (

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from parlance.llm.near_dup import components, keep_one, link_sets, near_duplicates, super_min_hash
+from parlance.llm.near_dup import components, hub_cells, keep_one, link_sets, near_duplicates, super_min_hash, unmet
 
 from .rows import TEXTS, documents
 
@@ -91,6 +91,47 @@ def test_whole_operator_like_brute_force(spark):
         assert collected(near_duplicates(docs, "doc_id", "text", 85, cell_bytes=cell_bytes)) == brute(texts, 85)
 
 
+def chained(seed=9, families=12, copies=12):
+    """Families of one template at some 0.5 to 0.7 of each other, each a chain of edits: candidates hang together, links only within chains."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(160)]
+    texts = []
+    for f in range(families):
+        w = list(template)
+        for at in rng.sample(range(160), 9):
+            w[at] = f"f{f}-{at}"
+        for c in range(copies):
+            if c:
+                w[rng.randrange(160)] = f"c{f}-{c}"
+            texts.append((c * families + f, " ".join(w)))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_candidates_that_hang_together(spark):
+    texts = chained()
+    docs = documents(spark, texts)
+    want = brute(texts, 85)
+    assert 1 < len({root for _, _, root in want}) < len(texts)
+    for cell_bytes in (1 << 22, 20_000, 1500):
+        assert collected(near_duplicates(docs, "doc_id", "text", 85, cell_bytes=cell_bytes)) == want
+
+
+def test_second_pass_leaves_out_linked_and_compared_texts(spark):
+    # Keys: 1-6 one family (hub 1), 7 shares a key with 3 and 5 and is not linked, 8 and 9 were compared in the only cell of 8.
+    members = spark.createDataFrame([(n, 10) for n in (1, 2, 3, 4, 5, 6)] + [(n, 11) for n in (3, 5, 7)] + [(8, 12), (9, 12)], "node bigint, key bigint")
+    nodes = spark.createDataFrame([(n, 100) for n in range(1, 10)], "node bigint, n_bytes bigint")
+    cells = hub_cells(nodes, members, 200)
+    assert {r["node"]: (r["hub"], r["chunks"]) for r in cells.collect()} == {
+        **{n: (1, 3) for n in range(1, 7)}, 7: (3, 1), 8: (8, 1), 9: (8, 1)}
+    known = spark.createDataFrame([(n, 1) for n in range(1, 7)], "node bigint, root bigint")
+    dealt = unmet(members, cells, known, 200).collect()
+    # 3 is the hub of 7, so they have met; 5 and 7 have not, and nobody else is dealt.
+    assert {r["node"] for r in dealt} == {5, 7}
+    by_cell = {c: {r["node"]: r["side"] for r in dealt if r["cell"] == c} for c in {r["cell"] for r in dealt}}
+    assert any({5, 7} <= set(sides) and sides[5] != sides[7] for sides in by_cell.values())
+
+
 def test_awkward_rows(spark):
     assert collected(near_duplicates(documents(spark), "doc_id", "text", 85)) == brute(TEXTS, 85)
     assert near_duplicates(documents(spark, []), "doc_id", "text").count() == 0
