@@ -244,10 +244,11 @@ def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def hub_cells(nodes: DataFrame, members: DataFrame, cell_bytes: int) -> DataFrame:
+def hub_cells(nodes: DataFrame, cell_bytes: int) -> DataFrame:
     """(node, n_bytes, hub, chunks, chunk) of every node that shares a band
     key with another: ``hub`` is the smallest node it shares one with (itself
     included), ``chunk`` of ``chunks`` its cell among the hub's."""
+    members = nodes.select("node", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub < high").drop("high")
     hubs = members.join(buckets, "key").groupBy("node").agg(F.min("hub").alias("hub"))
     sizes = nodes.groupBy("node").agg(F.sum("n_bytes").alias("n_bytes"))
@@ -256,7 +257,7 @@ def hub_cells(nodes: DataFrame, members: DataFrame, cell_bytes: int) -> DataFram
     return located.join(chunks, "hub").select("node", "n_bytes", "hub", "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"))
 
 
-def unmet(members: DataFrame, cells: DataFrame, known: DataFrame, cell_bytes: int) -> DataFrame:
+def unmet(nodes: DataFrame, cells: DataFrame, known: DataFrame, cell_bytes: int) -> DataFrame:
     """(node, cell, side, known) that bring together every two nodes which
     share a band key, are of different components and have not been compared:
     a node goes to the cell of its own and another block if the other block
@@ -274,7 +275,7 @@ def unmet(members: DataFrame, cells: DataFrame, known: DataFrame, cell_bytes: in
         "node", "hub", "chunks", "comp",
         F.concat_ws(":", "hub", F.when(F.col("main"), F.concat(F.lit("m"), F.col("chunk"))).otherwise(
             F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("string"))).alias("block"))
-    held = members.join(placed, "node")
+    held = nodes.select("node", "keys").join(placed, "node").select("*", F.explode("keys").alias("key")).drop("keys")
     mixed = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     held = written(held.join(mixed, "key"), "near-mixed")
@@ -297,7 +298,9 @@ def unmet(members: DataFrame, cells: DataFrame, known: DataFrame, cell_bytes: in
 def compared(texts: DataFrame, dealt: DataFrame, percent: int, k: int) -> DataFrame:
     """A spanning set of the links (a, b) between the nodes of every cell.
     Nodes of one ``side`` are not compared, unless it is ``ALL``; nodes of
-    equal ``known`` are linked already."""
+    equal ``known`` are linked already. ``dealt`` is written first, so that its
+    size is known when the texts are joined: while it is small they stay in
+    place, and only those dealt are shuffled."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
         for cell in _cells(frames):
@@ -316,7 +319,7 @@ def compared(texts: DataFrame, dealt: DataFrame, percent: int, k: int) -> DataFr
                 a, b = [], []
         yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return texts.join(dealt, "node").repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a bigint, b bigint")
+    return texts.join(written(dealt, "near-dealt"), "node").repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int = 80, k: int = SHINGLE,
@@ -330,8 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int =
     same_id = real.select("id", "fingerprint").distinct().join(nodes.select("fingerprint", "node"), "fingerprint").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), utf8(text_col).alias("_text"))
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    cells = written(hub_cells(nodes, members, cell_bytes), "near-cells")
+    cells = written(hub_cells(nodes, cell_bytes), "near-cells")
     # First pass: every text once, in its hub's cell, and the hub in all its cells.
     busy = cells.groupBy("hub", "chunks").agg(F.max(F.col("node") != F.col("hub")).alias("others")).where("others").drop("others")
     first = cells.join(busy, ["hub", "chunks"], "left_semi").select("node", "hub", "chunk").unionByName(
@@ -339,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int =
     dealt = first.select("node", F.concat_ws(":", "hub", "chunk").alias("cell"), F.lit(ALL).alias("side"), F.col("node").alias("known"))
     known = written(components(compared(texts, dealt, percent, k).unionByName(same_id), "near-first"), "near-known")
     # Second pass: the pairs that share a key and are neither connected nor compared.
-    links = compared(texts, unmet(members, cells, known, cell_bytes), percent, k)
+    links = compared(texts, unmet(nodes, cells, known, cell_bytes), percent, k)
     linked = written(components(links.unionByName(known.select(F.col("root").alias("a"), F.col("node").alias("b"))), "near-links"), "near-components")
 
     found = nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component"))

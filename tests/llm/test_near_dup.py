@@ -119,13 +119,13 @@ def test_candidates_that_hang_together(spark):
 
 def test_second_pass_leaves_out_linked_and_compared_texts(spark):
     # Keys: 1-6 one family (hub 1), 7 shares a key with 3 and 5 and is not linked, 8 and 9 were compared in the only cell of 8.
-    members = spark.createDataFrame([(n, 10) for n in (1, 2, 3, 4, 5, 6)] + [(n, 11) for n in (3, 5, 7)] + [(8, 12), (9, 12)], "node bigint, key bigint")
-    nodes = spark.createDataFrame([(n, 100) for n in range(1, 10)], "node bigint, n_bytes bigint")
-    cells = hub_cells(nodes, members, 200)
+    keys = {n: [10] for n in range(1, 7)} | {3: [10, 11], 5: [10, 11], 7: [11], 8: [12], 9: [12]}
+    nodes = spark.createDataFrame([(n, 100, keys[n]) for n in keys], "node bigint, n_bytes bigint, keys array<bigint>")
+    cells = hub_cells(nodes, 200)
     assert {r["node"]: (r["hub"], r["chunks"]) for r in cells.collect()} == {
         **{n: (1, 3) for n in range(1, 7)}, 7: (3, 1), 8: (8, 1), 9: (8, 1)}
     known = spark.createDataFrame([(n, 1) for n in range(1, 7)], "node bigint, root bigint")
-    dealt = unmet(members, cells, known, 200).collect()
+    dealt = unmet(nodes, cells, known, 200).collect()
     # 3 is the hub of 7, so they have met; 5 and 7 have not, and nobody else is dealt.
     assert {r["node"] for r in dealt} == {5, 7}
     by_cell = {c: {r["node"]: r["side"] for r in dealt if r["cell"] == c} for c in {r["cell"] for r in dealt}}
