@@ -334,6 +334,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int =
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), utf8(text_col).alias("_text"))
     cells = written(hub_cells(nodes, cell_bytes), "near-cells")
+    # The texts that share a key with another, shuffled out of all once and alike at every size; both passes read these alone.
+    texts = written(texts.join(cells.select("node").hint("merge"), "node", "left_semi"), "near-texts")
     # First pass: every text once, in its hub's cell, and the hub in all its cells.
     busy = cells.groupBy("hub", "chunks").agg(F.max(F.col("node") != F.col("hub")).alias("others")).where("others").drop("others")
     first = cells.join(busy, ["hub", "chunks"], "left_semi").select("node", "hub", "chunk").unionByName(
