@@ -35,3 +35,27 @@ def test_large_taxonomy_stays_out_of_the_plan(spark):
     cats = spark.range(4000).select(F.col("id").cast("int").alias("cat_ord"), F.concat(F.lit("s"), "id").alias("slug"), F.array(F.concat(F.lit("needle"), "id")).alias("keywords"))
     plan = L.keyword_label(headers, msgs, cats)._jdf.queryExecution().toString()
     assert "needle123" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_only_long_keywords_are_verified(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    texts = [" ".join(word(9) for _ in range(60)) for _ in range(80)]
+    long = "ab" * 10
+    texts[3] += f" x{long * 3}y"
+    texts[5] += f" {long} {long}"
+    headers = spark.createDataFrame(enumerate(texts), "conv_id long, title string")
+    msgs = spark.createDataFrame([], "conv_id long, pos long, role string, content string")
+    keywords = {word(rng.randrange(6, 12)) for _ in range(600)} | {long, f"{long} {long}", long * 3 + "y", "  "}
+    cats = spark.createDataFrame([(i, f"s{i}", [k]) for i, k in enumerate(sorted(keywords))], "cat_ord int, slug string, keywords array<string>")
+    want = sorted(map(str, L.keyword_label(headers, msgs, cats, literal_keywords=1000).collect()))
+    tested = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def contains(text, keyword):
+        tested.add(1)
+        return keyword in text
+
+    monkeypatch.setattr(L.F, "contains", contains)
+    assert sorted(map(str, L.keyword_label(headers, msgs, cats, literal_keywords=0).collect())) == want
+    assert tested.value <= 400
