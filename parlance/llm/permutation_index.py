@@ -50,25 +50,33 @@ def pivot_orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.nda
 
 
 class InvertedFiles:
-    """Per pivot: the vectors that have it in their prefix, and its rank there."""
+    """Per pivot: the weight (prefix less rank) that it has in the order of every vector, 0 beyond its prefix."""
 
     def __init__(self, orders: np.ndarray, pivots: int):
         n, prefix = orders.shape
-        flat = orders.ravel()
-        by = np.argsort(flat, kind="stable")
-        self.vector = np.repeat(np.arange(n), prefix)[by]
-        self.weight = (prefix - np.tile(np.arange(prefix), n))[by]
-        self.begin = np.searchsorted(flat[by], np.arange(pivots + 1))
-        self.n, self.prefix = n, prefix
+        # Wide enough for a whole sum of weights.
+        self.weight = np.zeros((pivots, n), np.uint16 if prefix < 256 else np.int64)
+        self.weight[orders.ravel(), np.repeat(np.arange(n), prefix)] = np.tile(prefix - np.arange(prefix), n)
+        self.own = (prefix - np.arange(prefix)).astype(self.weight.dtype)[:, None]
+        self.lists = np.empty((prefix, n), self.weight.dtype)
 
     def nearness(self, order: np.ndarray) -> np.ndarray:
         """prefix * (prefix + 1) less the footrule distance, halved, to every
         vector: the sum over shared pivots of prefix less the greater rank."""
-        begin, end = self.begin[order], self.begin[order + 1]
-        size = end - begin
-        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        own = np.repeat(self.prefix - np.arange(len(order)), size)
-        return np.bincount(self.vector[at], np.minimum(self.weight[at], own), self.n)
+        np.take(self.weight, order, axis=0, out=self.lists, mode="clip")
+        np.minimum(self.lists, self.own, out=self.lists)
+        return np.add.reduce(self.lists, axis=0, dtype=self.lists.dtype)
+
+
+def leading(score: np.ndarray, ids: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of all rows that can be among the best ``k`` ids, where every score is off by ``slack`` at most."""
+    size = 2 * k
+    while size < len(score) and np.isfinite(score).all():
+        first = np.argpartition(-score, size)[:size]
+        if len(np.unique(ids[first])) >= k:
+            return np.flatnonzero(score >= score[first].min() - 2 * slack)
+        size *= 4
+    return np.arange(len(score))
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, orders: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, query_orders: np.ndarray,
@@ -76,13 +84,16 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, orders: np.ndarray, query
     """(query id, id, score) of the best ``k`` found in the block per query."""
     files, lengths = InvertedFiles(orders, pivots), np.sqrt((vectors ** 2).sum(axis=1))
     count = min(len(ids), max(math.ceil(rerank * len(ids)), k + 1))
+    # Either order of addition is off by less than this times the query's length.
+    rounding = 2 * vectors.shape[1] * np.finfo(float).eps * lengths.max()
     out = []
     for query, own, order in zip(queries, query_ids, query_orders, strict=True):
         near = files.nearness(order)
         near = (near - near.mean()) * lengths
         found = np.argpartition(-near, count - 1)[:count] if count < len(ids) else np.arange(len(ids))
         found = found[ids[found] != own]
-        # Added up from the first component on, whatever the block looks like.
+        # All are measured; those that can be among the best are added up from the first component on, whatever the block looks like.
+        found = found[leading(vectors[found] @ query, ids[found], k, rounding * np.sqrt((query ** 2).sum()))]
         score = np.cumsum(vectors[found] * query, axis=1)[:, -1]
         best = found[np.lexsort((ids[found], -score))]
         score = np.sort(score)[::-1]

@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm.permutation_index import InvertedFiles, nearest, pivot_orders
+from parlance.llm import permutation_index
+from parlance.llm.permutation_index import InvertedFiles, leading, nearest, pivot_orders, search_block
 
 
 def frame(spark, rows):
@@ -82,3 +83,26 @@ def test_recall_over_full_blocks_with_uneven_lengths(spark, sigma):
     v *= (np.exp(sigma * rng.standard_normal(n)) / np.sqrt((v ** 2).sum(axis=1)))[:, None]
     df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n) * 4, "embedding": list(v)}))
     assert recall(df) >= 0.9
+
+
+def test_only_leading_rows_are_added_up_and_ordered(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, k = 3000, 20
+    # In whole numbers, with many ties and repeated ids.
+    ids, v = rng.integers(0, 2000, n), rng.integers(-3, 4, (n, 16)).astype(float)
+    v[:, 0] = 1
+    pivots = v[:64] / np.sqrt((v[:64] ** 2).sum(axis=1, keepdims=True))
+    orders = pivot_orders(v, pivots, 16)
+    ordered, lexsort = [], np.lexsort
+    monkeypatch.setattr(permutation_index.np, "lexsort", lambda keys: ordered.append(len(keys[0])) or lexsort(keys))
+    found = search_block(ids, v, orders, ids[:30], v[:30], orders[:30], 64, k, 1.0)
+    assert len(ordered) == 30 and max(ordered) <= 20 * k
+    for i in range(30):
+        best = {}
+        for j, x in zip(ids, v @ v[i], strict=True):
+            if j != ids[i]:
+                best[j] = max(best.get(j, -np.inf), x)
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+        assert [(j, x) for q, j, x in zip(*(f[k * i:k * (i + 1)] for f in found), strict=True)] == want
+    # A score that cannot be bounded, and fewer ids than asked for, leave every row.
+    assert len(leading(np.array([1.0] * 99 + [np.inf]), np.arange(100), k, 0.0)) == len(leading(rng.normal(size=100), np.arange(100) % 19, k, 0.0)) == 100
