@@ -7,15 +7,18 @@ are concatenated, and their suffixes are ordered by their first ``RUN``
 tokens (``suffix_order``; deeper order is not needed: a token lies in a
 substring of at least RUN tokens that repeats on distinct pages exactly if
 it lies in such a run of RUN tokens). A group gives every run once with its
-pages; these are added up over the host's groups, so the result does not
-depend on how the pages are dealt. Runs are told apart by 64-bit hashes.
+pages; of a host with several groups, the runs that are common in one of
+them are counted over all its pages, so the result does not depend on how the
+pages are dealt. Runs are told apart by 64-bit hashes. Every page of every
+host takes part, with an article or without one.
 
 Structure settles what a repeated run cannot tell: blocks inside an
 article stay, though another page may carry the same article; blocks inside
 menus, page headers and footers, sidebars, notices, adverts, forms and
 comments go, though their words may be unique; scripts, styles and markup are
 never text. An element is one of these by its tag, or by a name all of whose
-words say so (``named_roles``). On a page with an article other blocks go too. On a page without
+words say so (``named_roles``). On a page with an article other blocks go too; the runs tell
+which of what is left out is the host's template (``n_repeated``). On a page without
 one a block goes only as a whole: if each of its tokens lies in a run that is
 on at least MANY distinct pages and on one page in SHARE. A block that is
 partly covered stays whole, and a page of nothing but repeats keeps them.
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -307,33 +311,79 @@ def article_text(blocks: list[tuple[int, str]]) -> str:
     return "\n".join(text for role, text in blocks if role == ARTICLE)
 
 
+def page_text(blocks: list[tuple[int, str]], flag: np.ndarray) -> tuple[str, int]:
+    """Main text of a page, and the tokens of the blocks left out that repeat as a whole. The structure of a
+    page with an article is certain: it keeps what repeats inside, and leaves out what is unique outside."""
+    if is_open(blocks):
+        return open_text(blocks, flag)
+    dropped, at = 0, 0
+    for role, text in blocks:
+        n = text.count(" ") + 1
+        dropped += n if role != ARTICLE and flag[at:at + n].all() else 0
+        at += n
+    return article_text(blocks), dropped
+
+
 def extract_group(pages: list[str], urls: list, run: int = RUN) -> list[tuple[str, int, int]]:
     """Per page of a whole host: main text, tokens and tokens of the blocks left out as repeated."""
     parsed = [blocks_of(p) for p in pages]
     streams = [stream_of(blocks) for blocks in parsed]
     flags = repeated_tokens(streams, urls, run, many_pages(len(set(urls))))
-    found = [open_text(blocks, flag) if is_open(blocks) else (article_text(blocks), 0) for blocks, flag in zip(parsed, flags, strict=True)]
+    found = [page_text(blocks, flag) for blocks, flag in zip(parsed, flags, strict=True)]
     return [(text, len(stream), dropped) for (text, dropped), stream in zip(found, streams, strict=True)]
 
 
+def runs_on_pages(streams: list[list[str]], pages: list, among: np.ndarray, run: int = RUN) -> pd.DataFrame:
+    """``_run`` and ``_page``: the keys ``among`` that occur, each with its distinct pages."""
+    tokens, lengths, names = joined_streams(streams)
+    keys, whole = run_keys(tokens, names, run)
+    page = np.repeat(np.arange(len(pages)), lengths + 1)
+    at = np.flatnonzero(whole & np.isin(keys, among))
+    found = pd.DataFrame({"_run": keys[at], "page": page[at]}).drop_duplicates()
+    return pd.DataFrame({"_run": found["_run"].to_numpy(), "_page": pd.Series([pages[i] for i in found["page"]], dtype=object)}).drop_duplicates()
+
+
 def template_runs(source: DataFrame, hosts: DataFrame, few: bool, run: int) -> DataFrame:
-    """``_host`` and ``_run``: keys of the runs that many pages of the whole host share."""
-    def count_group(frame: pd.DataFrame) -> pd.DataFrame:
-        urls = [i if pd.isna(u) else u for i, u in enumerate(frame["url"])]
-        keys, n = run_counts([stream_of(blocks_of(p)) for p in frame["_html"]], urls, run)
-        total = len(set(urls))
-        if frame["_groups"].iloc[0] == 1:  # all of the host is here
-            keys, n = keys[n >= many_pages(total)], n[n >= many_pages(total)]
+    """``_host`` and ``_run``: keys of the runs that many pages of the whole host share.
+
+    A run on one page in SHARE of the host is on one in SHARE of a group's
+    pages in some group at least, so each group names those that are common in
+    it; of the hosts with several groups, the named are then counted in all."""
+    def rows(frame: pd.DataFrame, keys: np.ndarray, n: np.ndarray, total: int) -> pd.DataFrame:
         # A row without a key counts the pages.
-        return pd.DataFrame({"_host": frame["_host"].iloc[0], "_run": pd.array([*keys.tolist(), None], dtype="Int64"), "n": [*n.tolist(), total]})
+        host = pd.Series([frame["_host"].iloc[0]] * (len(keys) + 1), dtype=object)
+        return pd.DataFrame({"_host": host, "_groups": frame["_groups"].iloc[0], "_run": pd.array([*keys.tolist(), None], dtype="Int64"), "n": [*n.tolist(), total]})
+
+    def common(frame: pd.DataFrame) -> pd.DataFrame:
+        streams, pages = [zlib.decompress(t).decode().split(" ") if t else [] for t in frame["_text"]], frame["_page"].tolist()
+        keys, n = run_counts(streams, pages, run)
+        total = len(set(pages))
+        least = many_pages(total) if frame["_groups"].iloc[0] == 1 else -(-total // SHARE)
+        return rows(frame, keys[n >= least], n[n >= least], total)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for places in frame.groupby("_host").indices.values():
+                part = frame.iloc[places]
+                found = runs_on_pages([stream_of(blocks_of(p)) for p in part["_html"]], part["_page"].tolist(), np.asarray(part["_named"].iloc[0]), run)
+                yield found.assign(_host=pd.Series([part["_host"].iloc[0]] * len(found), index=found.index, dtype=object))[["_host", "_run", "_page"]]
 
-    # Rows of one url are in one group, so the groups' pages add up; equal rows of a url count once.
-    once = source.withColumn("_page", F.coalesce("url", F.concat(F.lit("row "), "_id"))).groupBy("_host", "_page", F.md5("_html").alias("_hash")).agg(
-        F.first("_id").alias("_id"), F.first("url").alias("url"), F.first("_html").alias("_html"))
-    counted = dealt(once, hosts, few, F.xxhash64(F.coalesce("url", "_id"))).groupBy("_host", "_group").applyInPandas(count_group, "_host string, _run bigint, n bigint")
-    counted = written(counted.groupBy("_host", "_run").agg(F.sum("n").alias("n")).where(F.col("_run").isNull() | (F.col("n") >= MANY)), "html-runs")
-    totals = counted.where("_run IS NULL").select("_host", F.greatest(F.lit(MANY), F.ceil(F.col("n") / SHARE)).alias("_many"))
-    return counted.where("_run IS NOT NULL").join(F.broadcast(totals) if few else totals, "_host").where(F.col("n") >= F.col("_many")).select("_host", "_run")
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [" ".join(stream_of(blocks_of(p))) for p in frame["_html"]]
+            out = pd.DataFrame({"_host": frame["_host"].astype(object), "_page": frame["_page"].astype(object), "_text": [zlib.compress(t.encode()) if t else b"" for t in texts]})
+            yield out.drop_duplicates()
+
+    # Only the packed tokens are shuffled. Rows of one url are in one group, so the groups' pages add up; equal rows of a url count once.
+    pages = source.select("_host", F.coalesce("url", F.concat(F.lit("row "), F.coalesce("_id", F.lit("")), F.lit(" "), F.md5("_html"))).alias("_page"), "_html")
+    groups = dealt(pages.mapInPandas(packed, "_host string, _page string, _text binary"), hosts, few, F.xxhash64("_page"))
+    groups = groups.groupBy("_host", "_groups", "_group", "_page", F.md5("_text").alias("_hash")).agg(F.first("_text").alias("_text"))
+    first = written(groups.groupBy("_host", "_group").applyInPandas(common, "_host string, _groups int, _run bigint, n bigint"), "html-runs")
+    totals = first.where("_run IS NULL").groupBy("_host").agg(F.greatest(F.lit(MANY), F.ceil(F.sum("n") / SHARE)).alias("_many"))
+    named = first.where("_run IS NOT NULL AND _groups > 1").groupBy("_host").agg(F.collect_set("_run").alias("_named"))
+    several = pages.join(named, "_host").mapInPandas(count, "_host string, _run bigint, _page string").groupBy("_host", "_run").agg(F.countDistinct("_page").alias("n"))
+    several = several.join(totals, "_host").where("n >= _many").select("_host", "_run")
+    return first.where("_run IS NOT NULL AND _groups = 1").select("_host", "_run").unionByName(several)
 
 
 def dealt(rows: DataFrame, hosts: DataFrame, few: bool, by: Column) -> DataFrame:
@@ -346,43 +396,28 @@ def dealt(rows: DataFrame, hosts: DataFrame, few: bool, by: Column) -> DataFrame
 
 
 def extract_text(pages: DataFrame, id_col: str, url_col: str, html_col: str, run: int = RUN, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Per row: ``id_col``, ``url``, ``text``, ``n_chars``, ``n_tokens`` of all blocks and ``n_repeated`` of those left out as repeated."""
+    """Per row: ``id_col``, ``url``, ``text``, ``n_chars``, ``n_tokens`` of all blocks and ``n_repeated`` of those left out that repeat on many pages of the host."""
     source = pages.select(F.col(id_col).cast("string").alias("_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
     source = source.withColumn("_host", host_of(F.col("url")))
 
-    def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"_host": frame["_host"], "n": [len(p.encode()) for p in frame["_html"]], "open": [is_open(blocks_of(p)) for p in frame["_html"]]})
-
-    # Only hosts with a page that repeats decide are compared.
-    hosts = source.select("_host", "_html").mapInPandas(sizes, "_host string, n bigint, open boolean").groupBy("_host").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
-    hosts = written(hosts.where("open").select("_host", F.ceil(F.col("n") / group_bytes).cast("int").alias("_groups")), "html-hosts")
-    n_hosts = hosts.limit(BROADCAST_HOSTS + 1).count()
+    # Every page of every host is compared.
+    hosts = source.groupBy("_host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("_html")) / group_bytes)).cast("int").alias("_groups"))
+    hosts = written(hosts, "html-hosts")
+    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parsed = [blocks_of(p) for p in frame["_html"]]
-            yield pd.DataFrame({
-                "_id": frame["_id"], "url": frame["url"], "_host": frame["_host"], "text": [None if is_open(b) else article_text(b) for b in parsed],
-                "n_tokens": [len(stream_of(b)) for b in parsed], "n_repeated": 0,
-                "_roles": [[role for role, _ in b] if is_open(b) else None for b in parsed], "_blocks": [[t for _, t in b] if is_open(b) else None for b in parsed],
-            })
-
-    def finish(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        parsed = [list(zip(roles, texts, strict=True)) for roles, texts in zip(frame["_roles"], frame["_blocks"], strict=True)]
-        flags = tokens_in([stream_of(blocks) for blocks in parsed], shared["_run"].to_numpy(np.int64), run)
-        found = [open_text(blocks, flag) for blocks, flag in zip(parsed, flags, strict=True)]
-        # As objects: strings of several batches, or of none, are no single Arrow array.
-        own = frame[["_id", "url"]].astype(object)
-        return own.assign(text=pd.Series([t for t, _ in found], dtype=object), n_tokens=frame["n_tokens"], n_repeated=pd.Series([n for _, n in found], dtype="int64"))
-
-    parsed = source.mapInPandas(parse, "_id string, url string, _host string, text string, n_tokens bigint, n_repeated bigint, _roles array<int>, _blocks array<string>")
-    columns = ["_id", "url", "text", "n_tokens", "n_repeated"]
-    out = parsed.where("text IS NOT NULL").select(columns)
-    if n_hosts:
-        few = n_hosts <= BROADCAST_HOSTS
-        shared = written(template_runs(source, hosts, few, run), "html-templates").join(F.broadcast(hosts) if few else hosts, "_host")
-        shared = shared.select("_host", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"), "_run")
-        undecided = dealt(parsed.where("text IS NULL").withColumn("_row", F.monotonically_increasing_id()), hosts, few, F.col("_row")).drop("_row").groupBy("_host", "_group")
-        out = out.unionByName(undecided.cogroup(shared.groupBy("_host", "_group")).applyInPandas(finish, "_id string, url string, text string, n_tokens bigint, n_repeated bigint"))
+            streams = [stream_of(blocks) for blocks in parsed]
+            flags = [np.zeros(len(s), bool) for s in streams]
+            for places in frame.groupby("_host").indices.values():
+                runs = frame["_runs"].iloc[places[0]]
+                if runs is not None:
+                    for i, flag in zip(places, tokens_in([streams[i] for i in places], np.asarray(runs), run), strict=True):
+                        flags[i] = flag
+            found = [page_text(blocks, flag) for blocks, flag in zip(parsed, flags, strict=True)]
+            yield pd.DataFrame({"_id": frame["_id"].astype(object), "url": frame["url"].astype(object), "text": pd.Series([t for t, _ in found], dtype=object), "n_tokens": [len(s) for s in streams], "n_repeated": [n for _, n in found]})
+
+    shared = written(template_runs(source, hosts, few, run).groupBy("_host").agg(F.collect_list("_run").alias("_runs")), "html-templates")
+    out = source.join(shared, "_host", "left").mapInPandas(finish, "_id string, url string, text string, n_tokens bigint, n_repeated bigint")
     return out.select(F.col("_id").cast(pages.schema[id_col].dataType).alias(id_col), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_tokens", "n_repeated")

@@ -135,3 +135,18 @@ def test_repeats_are_of_the_whole_host(spark):
         got = extract_text(df, "page_id", "url", "html", group_bytes=size).collect()
         assert len(got) == 63 and {r["page_id"]: (r["text"], r["n_tokens"], r["n_repeated"]) for r in got} == want
         assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_pages_with_an_article_are_compared_too(spark, monkeypatch):
+    menu, foot = "Home News Sport Weather Contact About us", "All rights reserved by the site owner"
+    common, own = "This line stands in the article of every page", "Nobody else says what is said here"
+    pages = [f"<nav>{menu}</nav><article><p>Story {i}</p><p>{common}</p></article><aside>{own} {i}</aside><div>{foot}</div>" for i in range(45)]
+    urls = [f"http://a.b/{i % 44}" for i in range(45)]
+    want = extract_group(pages, urls)
+    assert want[3] == (f"Story 3\n{common}", 33, 14)
+    rows = [(i, u, p) for i, (u, p) in enumerate(zip(urls, pages, strict=True))] + [(45, "http://c.d/1", pages[0]), (46, None, pages[0]), (None, None, pages[0]), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for size in (1 << 20, 1500, 1):
+        got = extract_text(df, "page_id", "url", "html", group_bytes=size).collect()
+        assert len(got) == 49
+        assert [(r["text"], r["n_tokens"], r["n_repeated"]) for r in sorted((r for r in got if r["page_id"] is not None), key=lambda r: r["page_id"])] == want + [(*want[0][:2], 0)] * 2
