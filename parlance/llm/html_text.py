@@ -32,11 +32,12 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +49,18 @@ RUN = 6
 #: A template's run is on at least so many distinct pages of its host, and on one page in so many.
 MANY, SHARE = 3, 10
 GROUP_BYTES = 1 << 20
+#: Codec of the packed tokens, page by page.
+PACKED_BY = "zstd"
 #: Compared hosts up to which their list is broadcast (some 10 MB); a longer one is joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"[^<]+|<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|head(?=[\s>]))\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?"
-    r"|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
+    r"|<[!?][^>]*>?|<", re.S | re.I)
+#: Of TOKEN's groups the last one that an element's tag matches.
+ATTRIBUTES = TOKEN.groupindex["attributes"]
 # Html elements by their role.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead
@@ -99,10 +104,10 @@ def closed_tags(tokens: list[re.Match]) -> set[int]:
     started: dict[str, list[int]] = {}
     out = set()
     for i, m in enumerate(tokens):
-        tag = m["tag"]
-        if tag is None:
+        if m.lastindex != ATTRIBUTES:
             continue
-        if not m["close"]:
+        _, close, tag, _ = m.groups()
+        if not close:
             started.setdefault(tag.lower(), []).append(i)
         elif started.get(tag.lower()):
             out.add(started[tag.lower()].pop())
@@ -120,28 +125,27 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     stack: list[tuple[str, int]] = []  # open containers and the role inside
     role = OTHER
     tokens = list(TOKEN.finditer(page))
-    closed = closed_tags(tokens)
+    closed: set[int] | None = None  # found when an inline element asks for it
     muted: list[str] = []  # the inline element that is no text, and those of its kind inside
     muted_parts: list[str] = []
     muted_closes = False
 
     def flush(of: int, texts: list[str]):
-        if texts:
-            text = " ".join(html.unescape("".join(texts)).split())
-            if text:
-                out.append((of, text))
-            texts.clear()
+        text = " ".join(html.unescape("".join(texts)).split())
+        if text:
+            out.append((of, text))
+        texts.clear()
 
     for i, m in enumerate(tokens):
-        tag = m["tag"]
-        if tag is None:
+        if m.lastindex != ATTRIBUTES:
             piece = m[0]
             if piece[0] != "<" or len(piece) == 1:
                 (muted_parts if muted else parts).append(piece)
-            elif m["raw"] and m["raw"].lower() in ("textarea", "select", "head") and not muted:
+            elif m["raw"] and m["raw"].lower() in ("textarea", "select", "head") and not muted and parts:
                 flush(role, parts)
             continue
-        tag, opens = tag.lower(), not m["close"] and not m["attributes"].endswith("/")
+        _, close, tag, attributes = m.groups()
+        tag, opens = tag.lower(), not close and not attributes.endswith("/")
         if muted:
             if tag == muted[0]:
                 muted.append(tag) if opens else muted.pop()
@@ -156,24 +160,26 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             else:
                 muted_parts.append(" " if tag in BLOCKS or tag == "br" else "")
                 continue
-        before = stack[-1][1] if stack else OTHER
-        roles = named_roles(m["attributes"]) if opens and m["attributes"] and tag not in ("html", "body", "main") else set()
-        if tag == "article":
-            roles &= NOT_MAIN
-        elif before == ARTICLE:
-            roles -= OWN_PARTS
+        roles = named_roles(attributes) if opens and attributes and tag not in ("html", "body", "main") else None
+        if roles:
+            if tag == "article":
+                roles &= NOT_MAIN
+            elif stack and stack[-1][1] == ARTICLE:
+                roles -= OWN_PARTS
         if tag in BLOCKS:
-            flush(role, parts)
+            if parts:
+                flush(role, parts)
         elif tag == "br":
             parts.append(" ")
         elif opens and tag not in ("img", "input", "meta", "link") and (tag in CONTROLS or roles):
             muted.append(tag)
+            closed = closed_tags(tokens) if closed is None else closed
             muted_closes = i in closed
             parts.append(" ")
             continue
-        if tag not in CONTAINERS and not roles and not any(t == tag for t, _ in stack[-1:]):
+        if tag not in CONTAINERS and not roles and not (stack and stack[-1][0] == tag):
             continue
-        if m["close"]:
+        if close:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] == tag:
                     del stack[at:]
@@ -198,82 +204,115 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``tokens`` ordered by their first ``depth`` tokens, and the
-    rank of each by these, by prefix doubling."""
-    ranks = {1: np.unique(tokens, return_inverse=True)[1].astype(np.int64)}
-
-    def joined(a: int, b: int) -> np.ndarray:
-        first, second = ranks[a], np.full(len(tokens), -1, np.int64)
-        second[:max(0, len(tokens) - a)] = ranks[b][a:]
-        return np.unique(first * (len(tokens) + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
+    rank of each by these, by prefix doubling. It begins with as many tokens as
+    one number holds."""
+    def joined(first: np.ndarray, second: np.ndarray, at: int) -> np.ndarray:
+        out = first * (int(second.max()) + 1)
+        out[:max(0, len(out) - at)] += second[at:]  # past the end nothing, which comes first
+        return out
+
+    def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.cumsum(np.diff(keys[order], prepend=-1) != 0)
+        return order, rank
 
-    done = 1
+    if not len(tokens):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    single = tokens.astype(np.int64) - int(tokens.min()) + 1
+    if int(single.max()) > 2 * len(tokens):
+        single = ranked(single)[1]
+    keys, done, span = single, 1, int(single.max()) + 1
+    while done < depth and span ** (done + 1) < 1 << 63:
+        keys, done = joined(keys, single, done), done + 1
+    order, rank = ranked(keys)
     while done < depth:
         step = min(done, depth - done)
-        if step not in ranks:  # the largest known power of two below
-            step = max(r for r in ranks if r <= step)
-        ranks[done + step] = joined(done, step)
+        order, rank = ranked(joined(rank, rank, step))
         done += step
-    return np.argsort(ranks[depth], kind="stable"), ranks[depth]
-
-
-def joined_streams(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The streams as one array of token numbers, each with its own end mark; the streams' lengths; the tokens by number."""
-    ids: dict[str, int] = {}
-    lengths = np.array([len(s) for s in streams], np.int64)
-    tokens = np.empty(int(lengths.sum()) + len(streams), np.int64)
-    at = 0
-    for i, stream in enumerate(streams):
-        tokens[at:at + len(stream)] = [ids.setdefault(t, len(ids)) for t in stream]
-        at += len(stream) + 1
-        tokens[at - 1] = -1 - i  # its own end mark: no run passes it unnoticed
-    return tokens, lengths, list(ids)
-
-
-def run_keys(tokens: np.ndarray, names: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of the ``run`` tokens from every place on, the same in any group, and whether they pass no end mark."""
-    hashes = np.append(pd.util.hash_array(np.array(names, dtype=object), categorize=False), np.uint64(0))[np.maximum(tokens, -1)]
-    n = max(0, len(tokens) - run + 1)
-    keys, whole = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), bool)
-    for j, c in enumerate(seeds(run, 3) | np.uint64(1)):
-        keys[:n] += mix(hashes[j:j + n] + np.uint64(j)) * c
+    return order, rank - 1
+
+
+def joined_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The texts' tokens as one array of numbers, each text with its own end mark; how many each has; the tokens by number."""
+    split = pc.split_pattern(pa.array([t or None for t in texts], pa.large_string()), " ")
+    words = split.values.dictionary_encode()
+    lengths = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    marks = np.cumsum(lengths + 1) - 1
+    tokens = np.zeros(len(words) + len(texts), np.int64)
+    tokens[marks] = -1 - np.arange(len(texts))  # its own end mark: no run passes it unnoticed
+    tokens[tokens == 0] = words.indices.to_numpy()
+    return tokens, lengths, words.dictionary
+
+
+def whole_runs(tokens: np.ndarray, run: int) -> np.ndarray:
+    """The places from which on ``run`` tokens pass no end mark."""
     passed = np.append(0, np.cumsum(tokens < 0))
-    whole[:n] = passed[run:] == passed[:n]
-    return mix(keys).view(np.int64), whole
+    return np.flatnonzero(passed[run:] == passed[:max(0, len(passed) - run)])
 
 
-def run_counts(streams: list[list[str]], pages: list, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Key of every distinct run of ``run`` tokens and the distinct pages it occurs on."""
-    tokens, lengths, names = joined_streams(streams)
+def run_keys(tokens: np.ndarray, names: pa.Array, run: int, places: np.ndarray) -> np.ndarray:
+    """64-bit hash of the ``run`` tokens from each of ``places`` on, the same in any group; they pass no end mark."""
+    used = np.zeros(len(names), bool)
+    for j in range(run):
+        used[tokens[places + j]] = True
+    hashes = np.zeros(len(names), np.uint64)
+    hashes[used] = pd.util.hash_array(names.filter(pa.array(used)).to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    keys = np.zeros(len(places), np.uint64)
+    for j, c in enumerate(seeds(run, 3) | np.uint64(1)):
+        keys += (mix(hashes + np.uint64(j)) * c)[tokens[places + j]]
+    return mix(keys).view(np.int64)
+
+
+def run_counts(texts: list[str], pages: list, run: int = RUN, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every distinct run of ``run`` tokens that occurs on ``least`` distinct pages, and on how many it does."""
+    tokens, lengths, names = joined_texts(texts)
     if not len(tokens):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     number = {p: i for i, p in enumerate(dict.fromkeys(pages))}
     page = np.repeat([number[p] for p in pages], lengths + 1)
     order, rank = suffix_order(tokens, run)
     first = order[np.flatnonzero(np.diff(rank[order], prepend=-1))]
-    n = np.bincount(np.unique(rank * len(number) + page) // len(number))
-    keys, whole = run_keys(tokens, names, run)
-    return keys[first[whole[first]]], n[whole[first]]
-
-
-def tokens_in(streams: list[list[str]], keys: np.ndarray, run: int = RUN) -> list[np.ndarray]:
-    """Per stream: which tokens lie in a run whose key is among ``keys``."""
-    tokens, lengths, names = joined_streams(streams)
-    if not len(tokens):
+    on = np.sort(rank * len(number) + page)
+    n = np.bincount(on[np.diff(on, prepend=-1) != 0] // len(number))
+    whole = np.zeros(len(tokens), bool)
+    whole[whole_runs(tokens, run)] = True
+    common = whole[first] & (n >= least)
+    return run_keys(tokens, names, run, first[common]), n[common]
+
+
+def runs_among(texts: list[str], among: list[tuple[int, np.ndarray]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places in the joined texts of the runs whose key is one of those looked for, these keys, and the texts'
+    lengths. ``among``: numbers of neighbouring texts, each with the keys looked for in them."""
+    tokens, lengths, names = joined_texts(texts)
+    places = whole_runs(tokens, run)
+    own = run_keys(tokens, names, run, places)
+    ends = np.searchsorted(places, np.append(0, np.cumsum(lengths + 1))[np.cumsum([n for n, _ in among], dtype=np.int64)])
+    found = np.zeros(len(places), bool)
+    for begin, end, (_, keys) in zip(np.append(0, ends), ends, among, strict=False):
+        if len(keys):
+            keys, part = np.sort(keys), own[begin:end]
+            found[begin:end] = keys[np.minimum(np.searchsorted(keys, part), len(keys) - 1)] == part
+    return places[found], own[found], lengths
+
+
+def tokens_in(texts: list[str], among: list[tuple[int, np.ndarray]], run: int = RUN) -> list[np.ndarray]:
+    """Per text: which tokens lie in a run whose key is among those looked for in it."""
+    if not texts:
         return []
-    own, whole = run_keys(tokens, names, run)
-    starts = np.flatnonzero(whole & np.isin(own, keys))
-    covered = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, starts + run, -1)
-    flags = np.cumsum(covered)[:-1] > 0
+    starts, _, lengths = runs_among(texts, among, run)
     ends = np.cumsum(lengths + 1)
+    covered = np.zeros(int(ends[-1]) + 1, np.int64)
+    covered[starts] += 1
+    covered[starts + run] -= 1
+    flags = np.cumsum(covered)[:-1] > 0
     return [flags[e - n - 1:e - 1] for e, n in zip(ends, lengths, strict=True)]
 
 
 def repeated_tokens(streams: list[list[str]], pages: list, run: int = RUN, many: int = 2) -> list[np.ndarray]:
     """Per stream: which tokens lie in a run of at least ``run`` tokens that occurs on ``many`` distinct pages."""
-    keys, n = run_counts(streams, pages, run)
-    return tokens_in(streams, keys[n >= many], run)
+    texts = [" ".join(s) for s in streams]
+    return tokens_in(texts, [(len(texts), run_counts(texts, pages, run, many)[0])], run)
 
 
 def many_pages(n_pages: int) -> int:
@@ -281,8 +320,13 @@ def many_pages(n_pages: int) -> int:
     return max(MANY, -(-n_pages // SHARE))
 
 
-def stream_of(blocks: list[tuple[int, str]]) -> list[str]:
-    return [t for _, text in blocks for t in text.split(" ")]
+def stream_of(blocks: list[tuple[int, str]]) -> str:
+    """The tokens of all blocks, with a space between them."""
+    return " ".join([text for _, text in blocks])
+
+
+def n_tokens(stream: str) -> int:
+    return stream.count(" ") + 1 if stream else 0
 
 
 def is_open(blocks: list[tuple[int, str]]) -> bool:
@@ -328,19 +372,24 @@ def extract_group(pages: list[str], urls: list, run: int = RUN) -> list[tuple[st
     """Per page of a whole host: main text, tokens and tokens of the blocks left out as repeated."""
     parsed = [blocks_of(p) for p in pages]
     streams = [stream_of(blocks) for blocks in parsed]
-    flags = repeated_tokens(streams, urls, run, many_pages(len(set(urls))))
+    flags = repeated_tokens([s.split() for s in streams], urls, run, many_pages(len(set(urls))))
     found = [page_text(blocks, flag) for blocks, flag in zip(parsed, flags, strict=True)]
-    return [(text, len(stream), dropped) for (text, dropped), stream in zip(found, streams, strict=True)]
+    return [(text, n_tokens(stream), dropped) for (text, dropped), stream in zip(found, streams, strict=True)]
+
+
+def runs_on_pages(texts: list[str], pages: list, among: list[tuple[int, np.ndarray]], run: int = RUN) -> pd.DataFrame:
+    """``text``, ``_run`` and ``_page``: the keys looked for that occur, each once with its distinct pages and a text there."""
+    places, keys, lengths = runs_among(texts, among, run)
+    text = np.searchsorted(np.cumsum(lengths + 1), places, side="right")
+    found = pd.DataFrame({"text": text, "_run": keys}).drop_duplicates()
+    return found.assign(_page=pd.Series([pages[i] for i in found["text"]], index=found.index, dtype=object))
 
 
-def runs_on_pages(streams: list[list[str]], pages: list, among: np.ndarray, run: int = RUN) -> pd.DataFrame:
-    """``_run`` and ``_page``: the keys ``among`` that occur, each with its distinct pages."""
-    tokens, lengths, names = joined_streams(streams)
-    keys, whole = run_keys(tokens, names, run)
-    page = np.repeat(np.arange(len(pages)), lengths + 1)
-    at = np.flatnonzero(whole & np.isin(keys, among))
-    found = pd.DataFrame({"_run": keys[at], "page": page[at]}).drop_duplicates()
-    return pd.DataFrame({"_run": found["_run"].to_numpy(), "_page": pd.Series([pages[i] for i in found["page"]], dtype=object)}).drop_duplicates()
+def by_host(frame: pd.DataFrame, runs: str) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The rows of hosts that have ``runs``, host by host, and how many of them have which runs."""
+    hosts = [places for places in frame.groupby("_host").indices.values() if frame[runs].iloc[places[0]] is not None]
+    among = [(len(places), np.asarray(frame[runs].iloc[places[0]], np.int64)) for places in hosts]
+    return np.concatenate(hosts) if hosts else np.zeros(0, np.int64), among
 
 
 def template_runs(source: DataFrame, hosts: DataFrame, few: bool, run: int) -> DataFrame:
@@ -355,29 +404,34 @@ def template_runs(source: DataFrame, hosts: DataFrame, few: bool, run: int) -> D
         return pd.DataFrame({"_host": host, "_groups": frame["_groups"].iloc[0], "_run": pd.array([*keys.tolist(), None], dtype="Int64"), "n": [*n.tolist(), total]})
 
     def common(frame: pd.DataFrame) -> pd.DataFrame:
-        streams, pages = [zlib.decompress(t).decode().split(" ") if t else [] for t in frame["_text"]], frame["_page"].tolist()
-        keys, n = run_counts(streams, pages, run)
+        codec = pa.Codec(PACKED_BY, compression_level=1)
+        streams = [codec.decompress(t, size, asbytes=True).decode() if size else "" for t, size in zip(frame["_text"], frame["_size"], strict=True)]
+        pages = frame["_page"].tolist()
         total = len(set(pages))
         least = many_pages(total) if frame["_groups"].iloc[0] == 1 else -(-total // SHARE)
-        return rows(frame, keys[n >= least], n[n >= least], total)
+        return rows(frame, *run_counts(streams, pages, run, least), total)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for places in frame.groupby("_host").indices.values():
-                part = frame.iloc[places]
-                found = runs_on_pages([stream_of(blocks_of(p)) for p in part["_html"]], part["_page"].tolist(), np.asarray(part["_named"].iloc[0]), run)
-                yield found.assign(_host=pd.Series([part["_host"].iloc[0]] * len(found), index=found.index, dtype=object))[["_host", "_run", "_page"]]
+            rows_of, among = by_host(frame, "_named")
+            part = frame.iloc[rows_of]
+            found = runs_on_pages([stream_of(blocks_of(p)) for p in part["_html"]], part["_page"].tolist(), among, run)
+            found = found.assign(_host=part["_host"].astype(object).to_numpy()[found["text"]])
+            yield found[["_host", "_run", "_page"]].drop_duplicates()
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = pa.Codec(PACKED_BY, compression_level=1)
         for frame in frames:
-            texts = [" ".join(stream_of(blocks_of(p))) for p in frame["_html"]]
-            out = pd.DataFrame({"_host": frame["_host"].astype(object), "_page": frame["_page"].astype(object), "_text": [zlib.compress(t.encode()) if t else b"" for t in texts]})
+            texts = [stream_of(blocks_of(p)).encode() for p in frame["_html"]]
+            out = pd.DataFrame({
+                "_host": frame["_host"].astype(object), "_page": frame["_page"].astype(object),
+                "_size": [len(t) for t in texts], "_text": [codec.compress(t, asbytes=True) if t else b"" for t in texts]})
             yield out.drop_duplicates()
 
     # Only the packed tokens are shuffled. Rows of one url are in one group, so the groups' pages add up; equal rows of a url count once.
     pages = source.select("_host", F.coalesce("url", F.concat(F.lit("row "), F.coalesce("_id", F.lit("")), F.lit(" "), F.md5("_html"))).alias("_page"), "_html")
-    groups = dealt(pages.mapInPandas(packed, "_host string, _page string, _text binary"), hosts, few, F.xxhash64("_page"))
-    groups = groups.groupBy("_host", "_groups", "_group", "_page", F.md5("_text").alias("_hash")).agg(F.first("_text").alias("_text"))
+    groups = dealt(pages.mapInPandas(packed, "_host string, _page string, _size bigint, _text binary"), hosts, few, F.xxhash64("_page"))
+    groups = groups.groupBy("_host", "_groups", "_group", "_page", F.md5("_text").alias("_hash")).agg(F.first("_size").alias("_size"), F.first("_text").alias("_text"))
     first = written(groups.groupBy("_host", "_group").applyInPandas(common, "_host string, _groups int, _run bigint, n bigint"), "html-runs")
     totals = first.where("_run IS NULL").groupBy("_host").agg(F.greatest(F.lit(MANY), F.ceil(F.sum("n") / SHARE)).alias("_many"))
     named = first.where("_run IS NOT NULL AND _groups > 1").groupBy("_host").agg(F.collect_set("_run").alias("_named"))
@@ -409,14 +463,13 @@ def extract_text(pages: DataFrame, id_col: str, url_col: str, html_col: str, run
         for frame in frames:
             parsed = [blocks_of(p) for p in frame["_html"]]
             streams = [stream_of(blocks) for blocks in parsed]
-            flags = [np.zeros(len(s), bool) for s in streams]
-            for places in frame.groupby("_host").indices.values():
-                runs = frame["_runs"].iloc[places[0]]
-                if runs is not None:
-                    for i, flag in zip(places, tokens_in([streams[i] for i in places], np.asarray(runs), run), strict=True):
-                        flags[i] = flag
+            sizes = [n_tokens(s) for s in streams]
+            flags = [np.zeros(n, bool) for n in sizes]
+            rows_of, among = by_host(frame, "_runs")
+            for i, flag in zip(rows_of, tokens_in([streams[i] for i in rows_of], among, run), strict=True):
+                flags[i] = flag
             found = [page_text(blocks, flag) for blocks, flag in zip(parsed, flags, strict=True)]
-            yield pd.DataFrame({"_id": frame["_id"].astype(object), "url": frame["url"].astype(object), "text": pd.Series([t for t, _ in found], dtype=object), "n_tokens": [len(s) for s in streams], "n_repeated": [n for _, n in found]})
+            yield pd.DataFrame({"_id": frame["_id"].astype(object), "url": frame["url"].astype(object), "text": pd.Series([t for t, _ in found], dtype=object), "n_tokens": sizes, "n_repeated": [n for _, n in found]})
 
     shared = written(template_runs(source, hosts, few, run).groupBy("_host").agg(F.collect_list("_run").alias("_runs")), "html-templates")
     out = source.join(shared, "_host", "left").mapInPandas(finish, "_id string, url string, text string, n_tokens bigint, n_repeated bigint")

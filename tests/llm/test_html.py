@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 
+from parlance.llm import html_text
 from parlance.llm.html_text import ARTICLE, blocks_of, extract_group, extract_text, repeated_tokens, suffix_order
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
@@ -68,6 +70,38 @@ def test_repeats_on_distinct_pages_only():
         assert np.flatnonzero(flags).tolist() == sorted(want)
 
 
+def test_work_of_a_group(monkeypatch):
+    """Three sorts order a group's suffixes and count its runs' pages; end tags are looked for only where one is asked for."""
+    rng = np.random.default_rng(3)
+    streams = [[f"w{x}" for x in rng.integers(0, 5000, 300)] + ["Home", "News", "Sport", "Weather", "About", "us"] for _ in range(20)]
+    sorts, hashed, closed = [], [], []
+
+    def noted(kept, f):
+        return lambda x, *a, **b: (kept.append(len(x)), f(x, *a, **b))[1]
+
+    for name in ("sort", "argsort", "unique"):
+        monkeypatch.setattr(np, name, noted(sorts, getattr(np, name)))
+    monkeypatch.setattr(html_text, "closed_tags", noted(closed, html_text.closed_tags))
+    flags = repeated_tokens(streams, list(range(20)))
+    assert all(f.tolist() == [False] * 300 + [True] * 6 for f in flags)
+    assert sum(n >= 20 * 306 for n in sorts) <= 3
+    monkeypatch.setattr(pd.util, "hash_array", noted(hashed, pd.util.hash_array))
+    html_text.run_counts([" ".join(s) for s in streams], list(range(20)), least=3)
+    assert hashed == [6]
+    blocks_of("<nav><ul><li><a href='/x'>Home</a></li></ul></nav><article><p>a <b>b</b></p></article>")
+    assert not closed
+    assert [t for _, t in blocks_of("<p>a <button>Share</button> b</p>")] == ["Share", "a b"] and len(closed) == 1
+
+
+def test_runs_looked_for_hold_for_their_texts_only():
+    texts = ["a b c d", "", "x a b c", "a b c", "c"]
+    abc, bcd = (html_text.run_counts([t], [0], 3)[0] for t in ("a b c", "b c d"))
+    flags = html_text.tokens_in(texts, [(2, bcd), (1, abc), (2, np.append(abc, bcd))], 3)
+    assert [f.tolist() for f in flags] == [[False, True, True, True], [], [False, True, True, True], [True] * 3, [False]]
+    found = html_text.runs_on_pages(texts, ["p", "q", "r", "r", "s"], [(2, bcd), (1, abc), (2, abc[:0])], 3)
+    assert found[["_run", "_page"]].values.tolist() == [[bcd[0], "p"], [abc[0], "r"]]
+
+
 def test_pages_without_an_article_keep_unique_runs():
     stories = ["Rain fell all day", "Nobody won today", "A cat came back home"]
     menu = "Home News Sport Weather Contact About us"
